@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeweave.llm import decontaminate, quality_rules
+from lodeweave.llm import bpe, decontaminate, quality_rules, token_records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": decontaminate.query,
+    "op4_bpe": bpe.query,
+    "op6_token_records": token_records.query,
     "op10_quality_rules": quality_rules.query,
 }
 ORACLE_SQL: dict[str, str] = {
