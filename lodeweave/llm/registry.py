@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeweave.llm import bpe, decontaminate, quality_rules, token_records
+from lodeweave.llm import bpe, chat_format, decontaminate, line_templates, quality_rules, token_records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_line_templates": line_templates.query,
     "op3_decontaminate": decontaminate.query,
     "op4_bpe": bpe.query,
     "op6_token_records": token_records.query,
+    "op8_chat_format": chat_format.query,
     "op10_quality_rules": quality_rules.query,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op2_line_templates": line_templates.oracle_sql(),
     "op3_decontaminate": decontaminate.oracle_sql(),
+    "op8_chat_format": chat_format.oracle_sql(),
     "op10_quality_rules": quality_rules.oracle_sql(),
 }
