@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeweave.llm import bpe, chat_format, decontaminate, line_templates, private_terms, quality_rules, token_records
+from lodeweave.llm import bpe, chat_format, decontaminate, line_templates, near_duplicates, private_terms, quality_rules, token_records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_templates": line_templates.query,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": bpe.query,
     "op5_private_terms": private_terms.query,
     "op6_token_records": token_records.query,
+    "op7_near_duplicates": near_duplicates.query,
     "op8_chat_format": chat_format.query,
     "op10_quality_rules": quality_rules.query,
 }
