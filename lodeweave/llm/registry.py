@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeweave.llm import bpe, chat_format, decontaminate, line_templates, near_duplicates, private_terms, quality_rules, token_records
+from lodeweave.llm import bpe, chat_format, decontaminate, line_templates, near_duplicates, page_text, private_terms, quality_rules, token_records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_page_text": page_text.query,
     "op2_line_templates": line_templates.query,
     "op3_decontaminate": decontaminate.query,
     "op4_bpe": bpe.query,
