@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeweave.llm import bpe, chat_format, decontaminate, line_templates, near_duplicates, page_text, private_terms, quality_rules, token_records
+from lodeweave.llm import bpe, chat_format, decontaminate, license_scan, line_templates, near_duplicates, page_text, private_terms, quality_rules, token_records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_page_text": page_text.query,
@@ -17,11 +17,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_records": token_records.query,
     "op7_near_duplicates": near_duplicates.query,
     "op8_chat_format": chat_format.query,
+    "op9_license_scan": license_scan.query,
     "op10_quality_rules": quality_rules.query,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_line_templates": line_templates.oracle_sql(),
     "op3_decontaminate": decontaminate.oracle_sql(),
     "op8_chat_format": chat_format.oracle_sql(),
+    "op9_license_scan": license_scan.oracle_sql(),
     "op10_quality_rules": quality_rules.oracle_sql(),
 }
