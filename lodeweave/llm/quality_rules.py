@@ -2,8 +2,9 @@
 
 Each rule compares one feature of a text with a cutoff. A cutoff is used only where labelled documents prove it safe: within
 every stratum (language), the exact binomial tail of the good documents that it would reject must show, at a confidence that is
-shared out over all (stratum, rule, cutoff) tests (Bonferroni), that it falsely rejects at most ``risk`` of good documents. Of the
-safe cutoffs of a rule the strictest is taken; a rule without a safe cutoff in a stratum does nothing there.
+shared out over all (stratum, rule, cutoff) tests (Bonferroni), that it falsely rejects at most ``risk`` of good documents. A cutoff must also be
+of use: more bad than good labelled documents are rejected by it. Of the safe and useful cutoffs of a rule the strictest is taken; a
+rule without one in a stratum does nothing there. All rules together reject at most the number of rules times ``risk``.
 
 Plan: one narrow pass computes features (no shuffle), one aggregate over the labelled rows gives a row per stratum, and that table
 of a few rows, whose size is bounded by strata x rules x cutoffs, is joined back by stratum.
@@ -111,13 +112,13 @@ def certify(labelled: DataFrame, stratum: str, good: Column, rules: tuple[Rule,
     from math import log
 
     flat = [(r, c) for r in rules for c in r.cutoffs]
-    rejected = lambda r, c: F.sum((good & (100 * F.col(r.numerator) > c * F.col(r.denominator))).cast("long"))
-    counts = labelled.groupBy(F.col(stratum).alias("_stratum")).agg(F.sum(good.cast("long")).alias("_good"), *[rejected(r, c).alias(f"_k_{r.name}_{c}") for r, c in flat])
+    rejected = lambda r, c, of: F.sum((of & (100 * F.col(r.numerator) > c * F.col(r.denominator))).cast("long"))
+    counts = labelled.groupBy(F.col(stratum).alias("_stratum")).agg(F.sum(good.cast("long")).alias("_good"), *[rejected(r, c, of).alias(f"_{k}_{r.name}_{c}") for r, c in flat for k, of in (("k", good), ("b", ~good))])
     # from here on there are as many rows as strata x cutoffs, however large the corpus
-    cells = ", ".join(f"'{r.name}', {c}, _k_{r.name}_{c}" for r, c in flat)
-    tests = counts.select("_stratum", "_good", F.expr(f"stack({len(flat)}, {cells}) AS (_rule, _cut, _k)"))
+    cells = ", ".join(f"'{r.name}', {c}, _k_{r.name}_{c}, _b_{r.name}_{c}" for r, c in flat)
+    tests = counts.select("_stratum", "_good", F.expr(f"stack({len(flat)}, {cells}) AS (_rule, _cut, _k, _bad)"))
     tests = tests.withColumn("_strata", F.count("*").over(Window.partitionBy("_rule", "_cut")))
-    tested = with_ln_tail(tests.where(F.col("_k") <= F.col("_good") * risk), "_k", "_good", risk)
+    tested = with_ln_tail(tests.where((F.col("_k") <= F.col("_good") * risk) & (F.col("_bad") > F.col("_k"))), "_k", "_good", risk)
     safe = tested.where(F.col("ln_tail") <= F.lit(log(1 - confidence)) - F.ln(F.col("_strata") * len(flat)))
     return safe.groupBy("_stratum").agg(*[F.min(F.when(F.col("_rule") == r.name, F.col("_cut"))).alias(f"_cut_{r.name}") for r in rules])
 
@@ -180,9 +181,10 @@ b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT} * n
 m AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
 s AS MATERIALIZED (SELECT b.*, quality FROM b JOIN m ON b.doc_id = m.doc_id WHERE NOT base_failed),
 v(rule, c) AS (VALUES {", ".join(f"('{r.name}', {c})" for r, c in flat)}),
-c AS (SELECT lang, rule, c, sum(quality) AS g, sum(CASE WHEN quality = 1 AND ({" OR ".join(f"rule = '{r.name}' AND 100 * {r.numerator} > c * {r.denominator}" for r in RULES)}) THEN 1 ELSE 0 END) AS k FROM s, v GROUP BY lang, rule, c),
-safe AS (SELECT lang, rule, min(c) AS c FROM (SELECT *, (SELECT count(*) FROM (SELECT DISTINCT lang FROM s)) AS strata FROM (SELECT lang, rule, c, CAST(g AS BIGINT) AS g, CAST(k AS BIGINT) AS k FROM c))
-         WHERE k <= g * {RISK} AND {tail} <= ln({1 - CONFIDENCE}) - ln(strata * {tests}) GROUP BY lang, rule),
+h AS (SELECT lang, rule, c, quality, {" OR ".join(f"rule = '{r.name}' AND 100 * {r.numerator} > c * {r.denominator}" for r in RULES)} AS hit FROM s, v),
+c AS (SELECT lang, rule, c, sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS g, sum(CASE WHEN quality = 1 AND hit THEN 1 ELSE 0 END) AS k, sum(CASE WHEN quality <> 1 AND hit THEN 1 ELSE 0 END) AS b FROM h GROUP BY lang, rule, c),
+safe AS (SELECT lang, rule, min(c) AS c FROM (SELECT *, (SELECT count(*) FROM (SELECT DISTINCT lang FROM s)) AS strata FROM (SELECT lang, rule, c, CAST(g AS BIGINT) AS g, CAST(k AS BIGINT) AS k, b FROM c))
+         WHERE k <= g * {RISK} AND b > k AND {tail} <= ln({1 - CONFIDENCE}) - ln(strata * {tests}) GROUP BY lang, rule),
 p AS (SELECT lang, {", ".join(f"max(CASE WHEN rule = '{r.name}' THEN c END) AS cut_{r.name}" for r in RULES)} FROM safe GROUP BY lang)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR {" OR ".join(f"coalesce(100 * {r.numerator} > cut_{r.name} * {r.denominator}, false)" for r in RULES)}) AS kept
