@@ -12,6 +12,8 @@ runs twice leaves the same file. The table of files, one short row each, says wh
 from __future__ import annotations
 
 import io
+import os
+import re
 import struct
 import uuid
 import zlib
@@ -28,7 +30,9 @@ from pyspark.sql import functions as F
 from lodeweave.llm.common import cut, read, scratch_path, small_batches, text_of
 
 END_ID = 2
-KEPT_CHUNKS = 400_000
+KEPT_CHUNKS = 700_000
+#: Letters that lower-casing and composing leave one letter, and marks after them that are one word of the tokenizer.
+LATIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?%&*#$]*)")
 HEAD, HEAD_SIZE = "<bqb", 10
 LANE = 1024  # bytes of a checksum that are computed side by side
 
@@ -128,32 +132,65 @@ def unframe(blob: bytes) -> list[bytes]:
 
 
 class ChunkEncoder:
-    """A tokenizer that drops white space, so that a text's ids are those of its chunks between spaces, one after another."""
+    """A tokenizer that drops white space, so that a text's ids are those of its chunks between spaces, one after another.
+
+    A chunk that is a Latin word and marks after it has the ids of the word in lower case and of the marks. Codes of chunks and of words are kept,
+    in tables of bounded size; what is in neither goes through the tokenizer, all that a batch of texts lacks in one call.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker for each core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned integers of ``width`` bytes."""
-        known = self.known
-        # str.split() also cuts at U+001C-U+001F, which the tokenizer keeps
-        chunks = text.split() if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f") else text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        try:
-            return b"".join([known[c] for c in chunks])
-        except KeyError:
-            if len(known) > KEPT_CHUNKS:
-                known.clear()
-            new = [c for c in dict.fromkeys(chunks) if c not in known]
-            kind = f"<u{self.width}"
-            for c, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[c] = np.array(e.ids, kind).tobytes()
-            return b"".join([known[c] for c in chunks])
+        self.words: dict[str, bytes] = {"": b""}
+
+    def codes(self, chunks: list[str]) -> Iterator[bytes]:
+        kind = f"<u{self.width}"
+        for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False):
+            yield np.array(e.ids, kind).tobytes()
+
+    def word_codes(self, words: list[str]) -> list[bytes]:
+        """As ``codes``, for words that the tokenizer doesn't cut: joined by spaces they are one text, and each ends with a token that ends words."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, f"<u{self.width}")
+        ends = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
+        if len(ends) != len(words) or not all(words):
+            return list(self.codes(words))
+        flat, w = ids.tobytes(), self.width
+        return [flat[a * w : b * w] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def learn(self, chunks: list[str]) -> None:
+        """Put the codes of new chunks into the table."""
+        known, words = self.known, self.words
+        if len(words) > KEPT_CHUNKS:
+            words.clear()
+            words[""] = b""
+        split = {c: (m[1].lower(), m[2]) for c in chunks if (m := LATIN.fullmatch(c))}
+        new = list({w for pair in split.values() for w in pair}.difference(words))
+        words.update(zip(new, self.word_codes(new), strict=True))
+        known.update((c, words[a] + words[b]) for c, (a, b) in split.items())
+        rest = [c for c in chunks if c not in split]
+        known.update(zip(rest, self.codes(rest), strict=True))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned integers of ``width`` bytes."""
+        # only these four are cut at: str.split() would also cut at U+001C-U+001F, which the tokenizer keeps
+        parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        out = []
+        for at in range(0, len(parts), 64):
+            group = parts[at : at + 64]
+            if len(self.known) > KEPT_CHUNKS:
+                self.known.clear()
+            if new := set().union(*group).difference(self.known):
+                self.learn(list(new))
+            out += [b"".join(map(self.known.__getitem__, p)) for p in group]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -188,9 +225,8 @@ def write(docs: DataFrame, out: str, vocabulary: str | None = None, *, id_col: s
         index, records, ids, offset = io.BytesIO(), 0, 0, 0
         with fs.open_output_stream(attempt) as f:
             for b in batches:
-                payloads = []
-                for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                    payloads.append(struct.pack(HEAD, doc is not None, doc or 0, encoder.width) + encoder.encode(text.as_py()) + end)
+                codes = encoder.encode_all(b.column(1).to_pylist())
+                payloads = [struct.pack(HEAD, doc is not None, doc or 0, encoder.width) + c + end for doc, c in zip(b.column(0).to_pylist(), codes, strict=True)]
                 for frame, p in zip(frames(payloads), payloads, strict=True):
                     f.write(frame)
                     index.write(struct.pack("<QQQ", offset, len(frame), ids))
