@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from lodeweave.llm.common import cut, read, scratch_path, small_batches, text_of
 
 END_ID = 2
-KEPT_CHUNKS = 700_000
+KEPT_CHUNKS, KEPT_WORDS = 500_000, 1_500_000
 #: Letters that lower-casing and composing leave one letter, and marks after them that are one word of the tokenizer.
 LATIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?%&*#$]*)")
 HEAD, HEAD_SIZE = "<bqb", 10
@@ -168,7 +168,7 @@ class ChunkEncoder:
     def learn(self, chunks: list[str]) -> None:
         """Put the codes of new chunks into the table."""
         known, words = self.known, self.words
-        if len(words) > KEPT_CHUNKS:
+        if len(words) > KEPT_WORDS:
             words.clear()
             words[""] = b""
         split = {c: (m[1].lower(), m[2]) for c in chunks if (m := LATIN.fullmatch(c))}
