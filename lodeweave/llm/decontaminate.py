@@ -82,9 +82,7 @@ def scan(words: list[bytes], tables: list[WordTables]) -> tuple[list[int], set[s
     found: set[str] = set()
     for t in tables:
         for start, items in t.search(words):
-            if ranges and ranges[-1] == start + t.length:
-                pass
-            elif ranges and ranges[-2] <= start <= ranges[-1]:
+            if ranges and ranges[-2] <= start <= ranges[-1]:
                 ranges[-1] = max(ranges[-1], start + t.length)
             else:
                 ranges += (start, start + t.length)
