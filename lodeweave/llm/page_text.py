@@ -26,7 +26,7 @@ from lodeweave.llm.common import read, small_batches, text_of
 TAG = re.compile(r"<(?:!--(?s:.*?)(?:-->|\Z)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|/?[a-zA-Z][^>]*(?:>|\Z)|[!?/][^>]*(?:>|\Z))")
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 #: Elements whose content is no text of the page.
-RAW = frozenset("script style noscript template title textarea iframe svg math object select option button canvas audio video head".split()) - {"head"}
+RAW = frozenset("script style noscript template title textarea iframe svg math object select option button canvas audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 SKIP = frozenset("nav aside footer form head dialog menu fieldset".split())
@@ -38,6 +38,8 @@ NOT_ARTICLE = frozenset(
     "comment comments respond replies reply disqus discussion search".split()
 )
 IS_CONTENT = frozenset("article content main post entry story maincontent".split())
+#: Pages in a range, about, and the most ranges, whose starts every worker holds.
+RANGE_PAGES, MOST_RANGES = 4000, 20_000
 SPLIT = re.compile(r"[^a-z]+")
 
 
@@ -159,18 +161,18 @@ def url_order(url: str | None) -> tuple[str, str]:
 LINES = "range int, neighbour boolean, host string, path string, page_id long, url string, texts array<string>, skipped array<boolean>, depth array<int>"
 
 
-def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sample: float | None = None) -> DataFrame:
+def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id``, ``url``, ``text``, ``n_chars`` (code points), ``n_lines`` and ``n_shared`` (lines that the neighbour has) of every page.
 
     Null or empty pages have an empty text. Pages with no URL count as one host. A host's only page shares nothing, and its own markup decides
     alone. Pages that repeat are neighbours of each other: all their lines are shared, so only what is marked as an article stays.
     """
     spark = pages.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), text_of(html_col).alias("html"))
     # starts of ranges: pages of a sample, whose size follows the number of ranges and not that of pages
     keys = p.select("page_id", "url")
     total = keys.count()
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_RANGES, total // RANGE_PAGES))
     picked = keys.sample(fraction=min(1.0, 20 * n / max(1, total)), seed=7).limit(60 * n).collect()
     order = lambda r: (*url_order(r.url), r.page_id if r.page_id is not None else -(1 << 63))
     ranked = sorted({order(r) for r in picked})
