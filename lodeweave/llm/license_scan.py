@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeweave.llm.common import cut, read, text_of
+from lodeweave.llm.common import cut, loose, read, text_of
 
 THRESHOLD = 0.75
 #: Names of licences with statements of them as headers and first lines of licence files have them.
@@ -96,7 +96,7 @@ def inherit(own: DataFrame) -> DataFrame:
     parts = F.split("dir", "/")
     chain = F.when(F.col("dir") == "", F.array(F.lit(""))).otherwise(F.transform(F.sequence(F.size(parts), F.lit(0), F.lit(-1)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/")))
     found = dirs.select("dir", F.posexplode(chain).alias("distance", "above")).join(given, "above").groupBy("dir").agg(F.min(F.struct("distance", "given")).alias("b"))
-    out = own.join(found.select(F.col("dir").alias("_dir"), "b"), (F.col("dir") == F.col("_dir")) & F.col("licence").isNull(), "left")
+    out = own.join(loose(found).select(F.col("dir").alias("_dir"), "b"), (F.col("dir") == F.col("_dir")) & F.col("licence").isNull(), "left")
     how = F.when(F.col("licence").isNotNull() & F.col("is_file"), "file").when(F.col("licence").isNotNull(), "header").when(F.col("b").isNotNull(), "inherited")
     return out.select("file", "dir", F.coalesce("licence", "b.given").alias("licence"), how.alias("how"), F.col("b.distance").alias("distance"), "cosine")
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeweave.llm.common import cut, drop_columns, read, text_of
+from lodeweave.llm.common import cut, drop_columns, loose, read, text_of
 
 LEAD, MIN_DOCS, MIN_TOKENS, FREE_TOKENS = 2, 5, 3, 8
 RESULTS = ("n_lines", "n_dropped")
@@ -58,7 +58,7 @@ def drop_recurring_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     once = keyed.select("_id", F.explode(F.array_distinct(F.flatten("_keys"))).alias("_key"))
     recurring = once.groupBy("_key").agg(F.count("*").alias("_n"), F.min("_id").alias("_first")).where(F.col("_n") >= min_docs).drop("_n")
     lines = keyed.select("_id", "_hash", F.posexplode("_keys").alias("_at", "_key")).select("_id", "_hash", "_at", F.explode("_key").alias("_key"))
-    gone = lines.join(recurring, "_key").where(~F.col("_id").eqNullSafe(F.col("_first")))
+    gone = lines.join(loose(recurring), "_key").where(~F.col("_id").eqNullSafe(F.col("_first")))
     gone = gone.groupBy(F.col("_id").alias("_gone_id"), F.col("_hash").alias("_gone_hash")).agg(F.collect_set("_at").alias("_gone"))
     at = F.expr("array_except(sequence(0, size(_lines) - 1), coalesce(_gone, cast(array() as array<int>)))")
     out = d.withColumn("_hash", row[1]).join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("_gone_id")) & (F.col("_hash") == F.col("_gone_hash")), "left")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeweave.llm.common import cut, read, small_batches, text_of
+from lodeweave.llm.common import cut, loose, read, small_batches, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 RADIUS, ALPHA, MIN_JOINT, MIN_TERM = 6, 1.25, 3, 3
@@ -171,12 +171,12 @@ def find_private(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     pairs = once.groupBy("entity", "term").agg(F.count("*").alias("n_joint")).where(F.col("n_joint") >= min_joint)
     with_entity = near.select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     with_term = found.where(F.col("term").isNotNull()).groupBy("term").agg(F.sum("n").alias("n_term"))
-    judged = pairs.join(with_entity, "entity").join(with_term, "term").crossJoin(F.broadcast(total))
+    judged = pairs.join(loose(with_entity), "entity").join(loose(with_term), "term").crossJoin(F.broadcast(total))
     # PMI >= IC / alpha, in counts: ln(n_joint * total / (n_entity * n_term)) * alpha >= ln(total / n_entity)
     pmi = F.ln(F.col("n_joint") * F.col("total") / (F.col("n_entity") * F.col("n_term")))
     disclosing = judged.where(pmi * alpha >= F.ln(F.col("total") / F.col("n_entity"))).select("entity", "term")
     reach = disclosing.groupBy("term").agg(F.count("*").alias("entities"))
-    hits = near.join(disclosing.join(reach, "term"), ["entity", "term"])
+    hits = near.join(loose(disclosing.join(loose(reach), "term")), ["entity", "term"])
     hits = hits.groupBy("row", "start", "end").agg(F.max("entities").alias("entities"))
     action = F.when(F.col("entities") > 1, "generalise").otherwise("remove")
     hits = hits.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", action.alias("action")))).alias("terms"))
