@@ -844,3 +844,70 @@ def stream_hourly_counts(spark: SparkSession, d: str) -> DataFrame:
     from lodeweave.streaming.streams import hourly_counts
 
     return hourly_counts(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts")
+
+
+# --- more of ingestion, ranking and answering --------------------------------------------------------------------------------------------
+
+
+@query("upsert_documents", "SELECT CAST(d.doc_id AS VARCHAR) AS external_id, CASE WHEN l.doc_id IS NULL THEN 'old' ELSE 'new' END AS title, CASE WHEN d.lang = 'en' THEN 'embedded' ELSE 'pending' END AS status FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE d.lang = 'en' OR l.doc_id IS NOT NULL")
+def upsert_documents(spark: SparkSession, d: str) -> DataFrame:
+    key = [F.lit("documents").alias("source_key"), F.col("doc_id").cast("string").alias("external_id")]
+    empty = F.create_map().cast("map<string,string>").alias("metadata")
+    stored = table(spark, d, "documents").where("lang = 'en'").select(*key, F.lit("old").alias("title"), empty, F.lit("embedded").alias("status"))
+    drafts = table(spark, d, "labels").select(*key, F.lit("new").alias("title"), empty)
+    return ingest.upsert_documents(stored, drafts).select("external_id", "title", "status")
+
+
+@query("pending_documents", "SELECT CAST(doc_id AS VARCHAR) AS external_id FROM documents WHERE NOT (lang = 'en' AND n_chars > 500 AND source <> 'src1')")
+def pending_documents(spark: SparkSession, d: str) -> DataFrame:
+    key = [F.lit("documents").alias("source_key"), F.col("doc_id").cast("string").alias("external_id")]
+    docs = table(spark, d, "documents")
+    now = docs.select(*key, F.sha2("text", 256).alias("content_checksum"))
+    was = docs.select(
+        *key, F.when(F.col("lang") == "en", F.sha2("text", 256)).otherwise("other").alias("content_checksum"), F.lit("params").alias("params_checksum"),
+        F.lit(3).alias("chunk_count"), F.when((F.col("n_chars") > 500) & (F.col("source") != "src1"), 3).otherwise(2).alias("embedded_chunk_count"),
+    )
+    return ingest.pending_documents(now, was, "params").select("external_id")
+
+
+@query("forget_document", "SELECT count(*) AS n FROM documents WHERE doc_id <> 5")
+def forget_document(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.lit("documents").alias("source_key"), F.col("doc_id").cast("string").alias("external_id"))
+    return ingest.forget_document(docs, docs, "documents", "5")[0].agg(F.count("*").alias("n"))
+
+
+@query("rerank_head", "WITH h AS (SELECT l_suppkey AS query_id, l_orderkey * 10 + l_linenumber AS chunk_id, l_tax AS new, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS p FROM lineitem), k AS (SELECT *, count(*) OVER (PARTITION BY query_id) >= 2 AND max(new) OVER (PARTITION BY query_id) - min(new) OVER (PARTITION BY query_id) >= 1e-6 AS ok FROM h WHERE p <= 30) SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN ok THEN new END DESC NULLS LAST, p) AS INTEGER) AS position FROM k")
+def rerank_head(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "o", "n")
+    hits = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("query_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("chunk_id"), F.col("l_extendedprice").alias("score"), F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"), "l_tax")
+    return retrieval.rerank(hits.withColumn("position", F.row_number().over(w)), F.col("l_tax"), O).select("query_id", "chunk_id", "position")
+
+
+@query("yes_probability", "SELECT l_orderkey, l_linenumber, round(1 / (1 + exp(-l_tax + l_discount)), 6) AS p FROM lineitem")
+def yes_probability(spark: SparkSession, d: str) -> DataFrame:
+    p = retrieval.yes_probability(F.col("l_tax"), F.col("l_discount"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(p, 6).alias("p"))
+
+
+@query("prompt_context", "SELECT conv_id AS query_id, string_agg('[#' || (turn + 1) || '] ' || role || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS context FROM conversations GROUP BY conv_id")
+def prompt_context(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("query_id"), (F.col("turn") + 1).cast("int").alias("marker"), F.col("role").alias("label"), F.col("text").alias("content"))
+    return answering.context(c)
+
+
+@query("parse_passages", "SELECT conv_id AS query_id, count(*) AS n, sum(length(text)) AS chars FROM conversations GROUP BY conv_id")
+def parse_passages(spark: SparkSession, d: str) -> DataFrame:
+    p = answering.parse_passages(F.col("context"))
+    total = F.aggregate(p, F.lit(0).cast("long"), lambda a, x: a + F.length(x["text"]))
+    return prompt_context(spark, d).select("query_id", F.size(p).cast("long").alias("n"), total.alias("chars"))
+
+
+@query("renumbered_chunks", "SELECT conv_id, turn AS ordinal, role = 'user' AS fresh FROM conversations")
+def renumbered_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks after a diff: what is new has no vector, what is kept has its own."""
+    c = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("ordinal"), "role", F.sha2(F.concat("text", F.col("turn").cast("string")), 256).alias("content_hash"))
+    old = c.where("role <> 'user'").withColumn("embedded_at", F.lit("2024-01-01").cast("timestamp_ntz"))
+    after = ingest.apply_diff(ingest.diff_chunks(old, c, ["conv_id"]), ["embedded_at"])
+    return after.select("conv_id", "ordinal", F.col("embedded_at").isNull().alias("fresh"))

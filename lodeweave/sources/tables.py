@@ -7,9 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import datetime, timedelta
 from typing import Any, Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -192,7 +193,12 @@ class SourceRegistry:
         return [k for k in self.keys() if self._exposed is None or k in self._exposed]
 
 
-def read_eval_cases(df_or_path: Any, spark: Any = None) -> DataFrame:
+def read_eval_cases(spark: SparkSession, path: str) -> DataFrame:
     """Evaluation cases from a JSON file: id, question, category, sources, expected (document_id, source, page, pages)."""
     schema = "id string, question string, category string, sources array<string>, expected array<struct<document_id:string,source:string,page:int,pages:array<int>>>"
-    return spark.read.schema(schema).option("multiLine", True).json(df_or_path) if spark is not None else df_or_path
+    return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
+def prune_files(files: DataFrame, now: datetime, days: int) -> DataFrame:
+    """Files that are kept: those created within the last ``days``."""
+    return files.where(F.col("created_at") >= F.lit(now - timedelta(days=days)).cast("timestamp_ntz"))
