@@ -38,25 +38,32 @@ NOT_ARTICLE = frozenset(
     "comment comments respond replies reply disqus discussion search".split()
 )
 IS_CONTENT = frozenset("article content main post entry story maincontent".split())
+SPEAKS_OF = frozenset("has with without no is not".split())
 #: Pages in a range, about, and the most ranges, whose starts every worker holds.
 RANGE_PAGES, MOST_RANGES = 4000, 20_000
 SPLIT = re.compile(r"[^a-z]+")
 
 
-def _marks(attributes: str) -> tuple[bool, bool]:
-    """(no article, article) as an element's class, id, role and visibility say."""
+def _marks(name: str, attributes: str) -> tuple[bool, bool]:
+    """(no article, article) as an element's class, id, role and visibility say.
+
+    A page's outer elements are no part of it that could be left out; a name such as ``has-sidebar`` speaks of what is inside.
+    """
     bad = good = False
     for m in ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id"):
-            words = set(SPLIT.split(value))
-            bad |= not words.isdisjoint(NOT_ARTICLE)
-            good |= not words.isdisjoint(IS_CONTENT)
-        elif name == "role":
+        kind, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if kind in ("class", "id"):
+            for one in value.split():
+                words = SPLIT.split(one)
+                if words[0] not in SPEAKS_OF:
+                    bad |= not NOT_ARTICLE.isdisjoint(words)
+                    good |= not IS_CONTENT.isdisjoint(words)
+        elif kind == "role":
             bad |= value in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu")
             good |= value in ("main", "article")
-        elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
+        elif kind == "hidden" or kind == "aria-hidden" and value == "true" or kind == "style" and re.search(r"display\s*:\s*none", value):
             bad = True
+    bad = bad and name not in ("html", "body", "main")
     return bad, good and not bad
 
 
@@ -104,7 +111,7 @@ def blocks(page: str) -> list[tuple[str, bool, int]]:
                 close = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)", re.I).search(page, at)
                 at = n if not close else close.start()
             continue
-        bad, good = _marks(m[3]) if m[3] and not m[3].isspace() else (False, False)
+        bad, good = _marks(name, m[3]) if m[3] and not m[3].isspace() else (False, False)
         if name in INLINE and not bad:
             continue
         end_block()
