@@ -911,3 +911,30 @@ def renumbered_chunks(spark: SparkSession, d: str) -> DataFrame:
     old = c.where("role <> 'user'").withColumn("embedded_at", F.lit("2024-01-01").cast("timestamp_ntz"))
     after = ingest.apply_diff(ingest.diff_chunks(old, c, ["conv_id"]), ["embedded_at"])
     return after.select("conv_id", "ordinal", F.col("embedded_at").isNull().alias("fresh"))
+
+
+@query(
+    "ivf_search_exhaustive",
+    "WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id, list_cosine_similarity(embedding::DOUBLE[], q) AS s FROM q, embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS rank FROM s) "
+    "SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank, round(s, 6) AS score FROM r WHERE rank <= 10",
+)
+def ivf_search_exhaustive(spark: SparkSession, d: str) -> DataFrame:
+    """The inverted-file index with as many probes as lists, which is exact."""
+    from lodeweave.operators import ann
+
+    e = table(spark, d, "embeddings")
+    centroids = ann.fit_centroids(e, 8)
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    hits = ann.search_index(q, ann.build_index(e, centroids), centroids, 10, 8, id_col="vec_id")
+    return hits.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query("ivf_search")
+def ivf_search(spark: SparkSession, d: str) -> DataFrame:
+    """The inverted-file index with half of its lists probed; tests hold its recall against the exact search."""
+    from lodeweave.operators import ann
+
+    e = table(spark, d, "embeddings")
+    centroids = ann.fit_centroids(e, 16)
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return ann.search_index(q, ann.build_index(e, centroids), centroids, 10, 8, id_col="vec_id").select("query_id", "vec_id", "rank")

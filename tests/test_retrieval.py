@@ -145,3 +145,11 @@ def test_stream(spark, tmp_path):
     seen = []
     ingest_stream(stream, lambda df, i: seen.append(df.count()), str(tmp_path / "checkpoint")).awaitTermination(60)
     assert sum(seen) == spark.read.parquet(folder).count()
+
+
+def test_index_recall(spark):
+    from lodeweave.plans.queries import ivf_search, ivf_search_exhaustive
+
+    exact = {(r.query_id, r.vec_id) for r in ivf_search_exhaustive(spark, "/root/testdata/sf0.01").collect()}
+    found = {(r.query_id, r.vec_id) for r in ivf_search(spark, "/root/testdata/sf0.01").collect()}
+    assert len(exact & found) / len(exact) >= 0.9
