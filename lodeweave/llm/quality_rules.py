@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodeweave.llm.common import cut, drop_columns, read, text_of
+from lodeweave.llm.common import cut, drop_columns, loose, read, text_of
 
 SPACE = r"[ \t-\r]"
 WINDOW = 8
@@ -42,6 +42,7 @@ RULES = (
     Rule("repeats", "n_repeat_words", "n_words", (5, 10, 15, 20, 25)),
 )
 RISK, CONFIDENCE, MIN_WORDS, MAX_REPEAT = 0.05, 0.95, 20, 30
+MOST_STRATA = 10_000
 
 
 def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -149,7 +150,9 @@ def count(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def judge(d: DataFrame, labels: DataFrame, id_col: str = "doc_id", stratum: str = "lang", rules: tuple[Rule, ...] = RULES, risk: float = RISK, confidence: float = CONFIDENCE) -> DataFrame:
     """``apply_rules`` for rows that are counted already. They are read twice: for the cutoffs and for the verdicts."""
     cuts = certify(labelled(d, labels, id_col, stratum), "_group", F.col("_quality") == 1, rules, risk, confidence)
-    # at most one row for each stratum; a small table however large the corpus, so Spark may broadcast it or not as its size says
+    # one row for each stratum, counted: a few go to every worker, or all rows would be dealt out by a handful of keys
+    cuts = cut(cuts, "cutoffs")
+    cuts = F.broadcast(cuts) if cuts.count() <= MOST_STRATA else loose(cuts)
     out = d.join(cuts, F.col(f"`{stratum}`").eqNullSafe(F.col("_stratum")), "left")
     bad = F.col("base_failed")
     for r in rules:
