@@ -35,12 +35,13 @@ CONTENT = frozenset("article main".split())
 NOT_ARTICLE = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login "
     "nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager sidebar sidebars aside widget widgets related recommended share sharing social footer footers masthead topbar toolbar "
-    "comment comments respond replies reply disqus discussion search".split()
+    "copyright comment comments respond replies reply disqus discussion search".split()
 )
 IS_CONTENT = frozenset("article content main post entry story maincontent".split())
 SPEAKS_OF = frozenset("has with without no is not".split())
 #: Pages in a range, about, and the most ranges, whose starts every worker holds.
 RANGE_PAGES, MOST_RANGES = 4000, 20_000
+HEADER = re.compile(r"\b(?:class|id)\s*=\s*(?:\"[^\"]*\bheader\b|'[^']*\bheader\b|header\b|\w+-header\b)", re.I)
 SPLIT = re.compile(r"[^a-z]+")
 
 
@@ -121,7 +122,8 @@ def blocks(page: str) -> list[tuple[str, bool, int]]:
         while stack and (stack[-1][0] in ("p", *INLINE) and name not in INLINE or stack[-1][0] == name and name in ("li", "dt", "dd", "tr", "td", "th", "option")):
             stack.pop()
             skipped, depth = stack[-1][1:] if stack else (False, 0)
-        skipped = skipped or bad or name in SKIP or (name == "header" and depth < 2)
+        # a header of the page, not one inside its article
+        skipped = skipped or bad or name in SKIP or (name == "header" and depth < 2) or (depth < 1 and HEADER.search(m[3]) is not None)
         depth = 2 if name in CONTENT and not skipped else max(depth, 1 if good and not skipped else 0)
         stack.append((name, skipped, depth))
     end_block()

@@ -46,6 +46,8 @@ def test_blocks():
     assert page_text.main_text(b, set(range(len(b)))) == "T & U abc d e last"  # what is marked as the article stays
     plain = page_text.blocks("<body><div>menu</div><div>the story</div><div>foot</div>")
     assert page_text.main_text(plain, {0, 2}) == "the story"
+    shell = '<body class="has-sidebar"><div class="main-header">Top</div><div id="sidebar">s</div><div class="main-content"><div class="article-header">T</div><p>x</p><ul class="share-links"><li>y</ul></div><div class=copyright>c</div>'
+    assert page_text.main_text(page_text.blocks(shell), set()) == "T x"
     assert page_text.blocks("") == [] and page_text.blocks("<p") == [] and page_text.blocks("a < b") == [("a < b", False, 0)]
 
 
