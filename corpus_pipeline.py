@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeweave.llm import bpe, decontaminate, line_templates, near_duplicates, quality_rules
-from lodeweave.llm.common import cut, read, small_batches
+from lodeweave.llm.common import SCRATCH, cut, drop_scratch, read, small_batches
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -53,6 +53,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage for the documents of ``sf_dir``."""
     docs = read(spark, sf_dir, "documents")
+    first = len(SCRATCH)
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop_scratch(spark, SCRATCH[first:-1])  # what the stage wrote for itself, and what it read
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -36,8 +36,22 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Tables written so far that nothing has removed.
+SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new place in the shared folder."""
+    SCRATCH.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return SCRATCH[-1]
+
+
+def drop_scratch(spark: SparkSession, paths: list[str]) -> None:
+    """Remove tables that no frame in use reads any more."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        SCRATCH.remove(path)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
