@@ -8,6 +8,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Callable, Iterable
+from datetime import datetime
 from math import ceil
 
 from pyspark.sql import Column
@@ -28,6 +29,11 @@ def col(c: Text) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def moment(at: datetime) -> Column:
+    """A literal timestamp without a time zone, whatever zone the session or this machine is in."""
+    return F.lit(at.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def strip_control(c: Text) -> Column:
     """Without control characters (but tab, line feed and carriage return), zero-width characters and U+FFFD."""
     return F.regexp_replace(col(c), CONTROL, "")

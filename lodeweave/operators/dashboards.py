@@ -7,6 +7,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeweave.functions.text import moment
+
 
 def percent(part: Column, whole: Column) -> Column:
     """A whole number; 0 of nothing."""
@@ -30,7 +32,7 @@ def corpus_stats(documents: DataFrame, chunks: DataFrame, runs: DataFrame, queri
 
 def spine(spark: SparkSession, first: datetime, count: int, step: timedelta) -> DataFrame:
     """``count`` bucket starts from ``first``."""
-    return spark.range(count).select(F.timestamp_seconds(F.lit(int((first - datetime(1970, 1, 1)).total_seconds())) + F.col("id") * int(step.total_seconds())).cast("timestamp_ntz").alias("bucket"))
+    return spark.range(count).select((moment(first) + F.make_dt_interval(secs=F.col("id") * int(step.total_seconds()))).alias("bucket"))
 
 
 def throughput(rows: DataFrame, at: str, now: datetime, hours: int = 24) -> DataFrame:
@@ -39,7 +41,7 @@ def throughput(rows: DataFrame, at: str, now: datetime, hours: int = 24) -> Data
 
     last = now.replace(minute=0, second=0, microsecond=0)
     first = last - timedelta(hours=hours - 1)
-    c = rows.where((F.col(at) >= F.lit(first).cast("timestamp_ntz")) & (F.col(at) <= F.lit(now).cast("timestamp_ntz"))).groupBy(F.date_trunc("hour", at).cast("timestamp_ntz").alias("bucket")).agg(F.count("*").alias("n"))
+    c = rows.where((F.col(at) >= moment(first)) & (F.col(at) <= moment(now))).groupBy(F.date_trunc("hour", at).cast("timestamp_ntz").alias("bucket")).agg(F.count("*").alias("n"))
     d = spine(rows.sparkSession, first, hours, timedelta(hours=1)).join(c, "bucket", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return d.withColumn("percent", percent(F.col("n"), F.max("n").over(Window.partitionBy())))  # as many rows as hours
 
@@ -48,7 +50,7 @@ def volume(rows: DataFrame, at: str, refused: Column, today: datetime, days: int
     """Rows by day over the last ``days``, empty ones too: answered and refused."""
     day = today.replace(hour=0, minute=0, second=0, microsecond=0)
     first = day - timedelta(days=days - 1)
-    c = rows.where((F.col(at) >= F.lit(first).cast("timestamp_ntz")) & (F.col(at) < F.lit(day + timedelta(days=1)).cast("timestamp_ntz"))).groupBy(F.date_trunc("day", at).cast("timestamp_ntz").alias("bucket"))
+    c = rows.where((F.col(at) >= moment(first)) & (F.col(at) < moment(day + timedelta(days=1)))).groupBy(F.date_trunc("day", at).cast("timestamp_ntz").alias("bucket"))
     c = c.agg(F.count_if(~F.coalesce(refused, F.lit(False))).alias("answered"), F.count_if(refused).alias("refused"))
     d = spine(rows.sparkSession, first, days, timedelta(days=1)).join(c, "bucket", "left")
     return d.select("bucket", F.coalesce("answered", F.lit(0)).alias("answered"), F.coalesce("refused", F.lit(0)).alias("refused"))

@@ -14,6 +14,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodeweave.functions.text import moment
 from lodeweave.operators.periods import Period, Refusal, resolve
 from lodeweave.sources.filters import is_blank
 
@@ -100,7 +101,7 @@ class MetricQuery:
 
     def __init__(self, definition: MetricDefinition, frame: DataFrame, period: Period):
         self.definition, self.period = definition, period
-        low, high = (F.lit(x).cast("timestamp_ntz") for x in period.bounds)
+        low, high = map(moment, period.bounds)
         self.frame = frame.where(F.col(definition.date_column).between(low, high))
 
     def _key(self, dimension: Dimension) -> tuple[DataFrame, Column]:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodeweave.functions.text import moment
 from lodeweave.sources.filters import FilterSet
 
 Values = dict[str, Any] | None
@@ -201,4 +202,4 @@ def read_eval_cases(spark: SparkSession, path: str) -> DataFrame:
 
 def prune_files(files: DataFrame, now: datetime, days: int) -> DataFrame:
     """Files that are kept: those created within the last ``days``."""
-    return files.where(F.col("created_at") >= F.lit(now - timedelta(days=days)).cast("timestamp_ntz"))
+    return files.where(F.col("created_at") >= moment(now - timedelta(days=days)))
