@@ -51,11 +51,14 @@ def _crc_tables() -> np.ndarray:
 
 
 CRC = _crc_tables()
+_X = np.arange(1 << 16, dtype=np.uint32)
+#: The same for two bytes at once: the low half of a 32-bit word, and the high one.
+LOW, HIGH = CRC[3][_X & 0xFF] ^ CRC[2][_X >> 8], CRC[1][_X & 0xFF] ^ CRC[0][_X >> 8]
 
 
 def _step(state: np.ndarray, words: np.ndarray) -> np.ndarray:
-    x = state ^ words
-    return CRC[3][x & 0xFF] ^ CRC[2][(x >> 8) & 0xFF] ^ CRC[1][(x >> 16) & 0xFF] ^ CRC[0][x >> 24]
+    halves = (state ^ words).astype("<u4").view("<u2").reshape(-1, 2)
+    return LOW.take(halves[:, 0]) ^ HIGH.take(halves[:, 1])
 
 
 @lru_cache(maxsize=1)
@@ -72,16 +75,32 @@ def _lane_shift() -> list[list[int]]:
     return tables.tolist()
 
 
+@lru_cache(maxsize=1)
+def _start_bits() -> list[int]:
+    """What the initial value 0xFFFFFFFF becomes when n zero bytes follow, for n below LANE."""
+    out, table = [0xFFFFFFFF], CRC[0].tolist()
+    for _ in range(LANE - 1):
+        out.append(out[-1] >> 8 ^ table[out[-1] & 0xFF])
+    return out
+
+
 def _shift_bits(n: int) -> int:
     """What the initial value 0xFFFFFFFF becomes when n zero bytes follow."""
-    state, (t0, t1, t2, t3), one = 0xFFFFFFFF, _lane_shift(), CRC[0].tolist() if n % LANE else None
+    state, (t0, t1, t2, t3) = _start_bits()[n % LANE], _lane_shift()
     for _ in range(n // LANE):
         state = t0[state & 0xFF] ^ t1[state >> 8 & 0xFF] ^ t2[state >> 16 & 0xFF] ^ t3[state >> 24]
-    for _ in range(n % LANE):
-        state = state >> 8 ^ one[state & 0xFF]
     return state
 
 
+def crc32c_lengths(sizes: list[bytes]) -> list[int]:
+    """CRC-32C of some 8-byte fields."""
+    words = np.frombuffer(b"".join(sizes), "<u4").reshape(-1, 2)
+    state = np.full(len(words), 0xFFFFFFFF, np.uint32)
+    for k in (0, 1):
+        state = _step(state, words[:, k])
+    return (state ^ np.uint32(0xFFFFFFFF)).tolist()
+
+
 def crc32c(parts: list[bytes]) -> list[int]:
     """CRC-32C of each part. Lanes of LANE bytes of all parts go side by side; a part's lanes are then joined in order."""
     lanes = [-(-len(p) // LANE) for p in parts]
@@ -110,7 +129,7 @@ def frames(payloads: list[bytes]) -> list[bytes]:
     """The framed records of some payloads."""
     sizes = [struct.pack("<Q", len(p)) for p in payloads]
     crcs = crc32c(payloads)
-    heads = crc32c(sizes)
+    heads = crc32c_lengths(sizes)
     return [b"".join((s, struct.pack("<I", masked(h)), p, struct.pack("<I", masked(c)))) for s, h, p, c in zip(sizes, heads, payloads, crcs, strict=True)]
 
 
@@ -125,7 +144,7 @@ def unframe(blob: bytes) -> list[bytes]:
         payloads.append(blob[at + 12 : at + 12 + size])
         want.append((struct.unpack_from("<I", blob, at + 8)[0], struct.unpack_from("<I", blob, at + 12 + size)[0]))
         at += 16 + size
-    for (h, c), a, b in zip(want, crc32c(sizes), crc32c(payloads), strict=True):
+    for (h, c), a, b in zip(want, crc32c_lengths(sizes), crc32c(payloads), strict=True):
         if masked(a) != h or masked(b) != c:
             raise ValueError("a record's checksum is wrong")
     return payloads
