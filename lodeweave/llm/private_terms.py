@@ -87,7 +87,13 @@ def entity(kind: str, value: str) -> str:
 
 def near_terms(text: str, spans: list[Span], radius: int) -> list[tuple[str, str, int, int]]:
     """(entity, term, start, end) of the words within ``radius`` words of a span that no span covers; at most 2 * radius a span."""
-    out, covered = [], sorted((a, b) for _, a, b in spans)
+    out: list[tuple[str, str, int, int]] = []
+    covered: list[tuple[int, int]] = []  # in order, without overlaps
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if covered and a <= covered[-1][1]:
+            covered[-1] = (covered[-1][0], max(b, covered[-1][1]))
+        else:
+            covered.append((a, b))
     for kind, a, b in spans:
         name = entity(kind, text[a:b])
         after = []
