@@ -71,9 +71,16 @@ def knn_join(queries: DataFrame, chunks: DataFrame, k: int, *, query_id: str = "
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def postings(chunks: DataFrame, text_col: str = "content", id_col: str = "chunk_id") -> DataFrame:
-    """(term, id) of every distinct word: what a keyword index holds. Write it partitioned or bucketed by term to search it often."""
-    return chunks.select(F.col(id_col), F.explode(lexemes(text_col)).alias("term"))
+Stem = Callable[[Column], Column]
+
+
+def postings(chunks: DataFrame, text_col: str = "content", id_col: str = "chunk_id", stem: Stem | None = None) -> DataFrame:
+    """(term, id) of every distinct word: what a keyword index holds. Write it partitioned or bucketed by term to search it often.
+
+    ``stem`` maps a column of words to their stems, and must be given to ``lexical_search`` too.
+    """
+    words = chunks.select(F.col(id_col), F.explode(lexemes(text_col)).alias("term"))
+    return words if stem is None else words.select(id_col, stem(F.col("term")).alias("term")).distinct()
 
 
 def document_frequencies(index: DataFrame) -> DataFrame:
@@ -81,9 +88,10 @@ def document_frequencies(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def query_terms(queries: DataFrame, o: RetrievalOptions, query_id: str = "query_id", text_col: str = "question") -> DataFrame:
+def query_terms(queries: DataFrame, o: RetrievalOptions, query_id: str = "query_id", text_col: str = "question", stem: Stem | None = None) -> DataFrame:
     """(query, term): folded terms, distinct."""
-    return queries.select(query_id, F.explode(terms(text_col, o.max_query_words)).alias("t")).select(query_id, F.explode(F.split(fold_accents("t"), "['’]")).alias("term")).where(F.length("term") > 0).distinct()
+    words = queries.select(query_id, F.explode(terms(text_col, o.max_query_words)).alias("t")).select(query_id, F.explode(F.split(fold_accents("t"), "['’]")).alias("term")).where(F.length("term") > 0).distinct()
+    return words if stem is None else words.select(query_id, stem(F.col("term")).alias("term")).distinct()
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -91,12 +99,12 @@ def idf(n: Column, df: Column) -> Column:
     return F.ln(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def lexical_search(queries: DataFrame, index: DataFrame, frequencies: DataFrame, n: int, o: RetrievalOptions, *, query_id: str = "query_id", id_col: str = "chunk_id", limit: int | None = None) -> DataFrame:
+def lexical_search(queries: DataFrame, index: DataFrame, frequencies: DataFrame, n: int, o: RetrievalOptions, *, query_id: str = "query_id", id_col: str = "chunk_id", limit: int | None = None, stem: Stem | None = None) -> DataFrame:
     """The best chunks of each query by the summed idf of its distinct matching terms, then by id: query, id, score, rank from 1.
 
     In a corpus of ``common_from`` chunks or more, terms of more than ``common_share`` of them are left out; of the others the ``max_terms`` rarest count.
     """
-    t = query_terms(queries, o, query_id).join(frequencies, "term")
+    t = query_terms(queries, o, query_id, stem=stem).join(frequencies, "term")
     if n >= o.common_from:
         t = t.where(F.col("df") <= F.ceil(F.lit(o.common_share * n)))
     t = t.withColumn("idf", idf(F.lit(max(1, n)), F.col("df")))

@@ -54,6 +54,10 @@ def test_keyword_search(spark):
     assert [r.chunk_id for r in ask("la città del beccaio")][0] == 1 and len(ask("la città del beccaio")) == 3
     assert {r.chunk_id for r in ask("citta")} == {1, 2}
     assert ask("?!") == []
+    stem = lambda c: F.substring(c, 1, 4)
+    index = retrieval.postings(chunks, stem=stem)
+    q = spark.createDataFrame([(0, "dormire")], "query_id int, question string")
+    assert [r.chunk_id for r in retrieval.lexical_search(q, index, retrieval.document_frequencies(index), 3, RetrievalOptions(), stem=stem).collect()] == [2]
 
 
 def test_neighbours(spark):
