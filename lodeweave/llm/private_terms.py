@@ -14,7 +14,6 @@ joins are of these small tables; texts are not shuffled.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
