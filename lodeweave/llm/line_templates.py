@@ -26,8 +26,8 @@ RESULTS = ("n_lines", "n_dropped")
 
 def line_keys(text: Column) -> Column:
     """For each line of a text an array of template hashes, empty for a line without a template."""
-    # white space becomes one space, and a token with a digit <*>
-    masked = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(F.trim(F.regexp_replace(x, r"[ \t-\r]+", " ")), r"[^ ]*[0-9][^ ]*", "<*>"))
+    # white space becomes one space, and a token with a digit <*>; a match begins at a token's start alone, so that long tokens take linear time
+    masked = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(F.trim(F.regexp_replace(x, r"[ \t-\r]+", " ")), r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<*>"))
     sized = F.transform(masked, lambda m: F.struct(m.alias("m"), F.when(m == "", 0).otherwise(F.length(m) - F.length(F.replace(m, F.lit(" "), F.lit(""))) + 1).alias("n")))
 
     def keys(x: Column) -> Column:
