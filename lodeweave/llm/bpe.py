@@ -30,7 +30,7 @@ from lodeweave.llm.common import drop_columns, read, small_batches, text_of
 #: The byte-level pre-tokenizer: contractions, then letters, numbers and other marks with one space before them, then spaces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BEYOND = regex.compile("[\U00010000-\U0010ffff]")
-KEPT_PIECES = 400_000
+KEPT_PIECES, KEPT_PAIRS = 200_000, 400_000
 RESULTS = ("n_tokens", "ids_sha256", "decoded_sha256")
 
 
@@ -108,7 +108,7 @@ class Encoder:
                     key = (before[0], token)
                     ok = pairs.get(key)
                     if ok is None:
-                        if len(pairs) > KEPT_PIECES:
+                        if len(pairs) > KEPT_PAIRS:
                             pairs.clear()
                         ok = pairs[key] = self.compatible(*key)
                     if ok:

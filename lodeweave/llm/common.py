@@ -61,13 +61,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def loose(df: DataFrame) -> DataFrame:
+def loose(df: DataFrame, parts: int | None = None) -> DataFrame:
     """An aggregate, dealt out anew before it is joined.
 
     A join right on top of an aggregate is tied to its partitions, and Spark can't split a hot key of the other side. The aggregate has one row a
     key, so it is the cheap side to move.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def drop_columns(df: DataFrame, *names: str) -> DataFrame:
