@@ -40,7 +40,7 @@ NOT_ARTICLE = frozenset(
 IS_CONTENT = frozenset("article content main post entry story maincontent".split())
 SPEAKS_OF = frozenset("has with without no is not".split())
 #: Pages in a range, about, and the most ranges, whose starts every worker holds.
-RANGE_PAGES, MOST_RANGES = 4000, 20_000
+RANGE_PAGES, MOST_RANGES = 1000, 20_000
 HEADER = re.compile(r"\b(?:class|id)\s*=\s*(?:\"[^\"]*\bheader\b|'[^']*\bheader\b|header\b|\w+-header\b)", re.I)
 SPLIT = re.compile(r"[^a-z]+")
 
