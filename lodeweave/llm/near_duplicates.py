@@ -10,8 +10,8 @@ Exact copies are one text from the start. In each bucket of a band every text is
 others, so a bucket costs as many comparisons as it has members, whatever its size; and pivots are the same across bands, so few pairs
 are new. Similarity is then verified on whole texts, and connected components of the verified links are the classes. A member that isn't
 in its pivot's class is compared again: the weighted Jaccard distance is a metric, so only members x with
-|d(pivot, f) - d(pivot, x)| <= 0.2 can be near f. In a small rest these are compared one by one, in a large one f meets the pivots of
-the finer buckets that its other bands cut the bucket into.
+|d(pivot, f) - d(pivot, x)| <= 0.2 can be near f. All of these are compared: in a small rest by a join, in a large one by pairs of blocks,
+so a large group whose members are apart from one another costs as many comparisons as it has pairs.
 
 Plan: texts are shuffled to the pairs that need them alone, and every result that is used twice is written to the shared folder.
 """
@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from lodeweave.llm.common import cut, drop_columns, loose, read, small_batches, text_of
 
 SHINGLE, THRESHOLD, BANDS, ROWS, SMALL_REST = 5, 0.8, 12, 2, 64
+#: Members in a block of a large rest, about: a task holds the texts of two blocks.
+BLOCK = 128
 SKETCH_BITS, SKETCH_BLOCK = 20, 1 << 12
 KEPT_WORDS = 200_000
 LINKS_IN_PART = 100_000
@@ -269,17 +271,55 @@ def find_links(signed: DataFrame, docs: DataFrame, id_col: str, text_col: str, i
     x = lambda df, s: df.select("bucket", *[F.col(c).alias(f"{c}{s}") for c in ("key", "root", "d", "apart")])
     near = x(small.where("apart"), 1).join(x(small, 2), "bucket").where((F.col("root1") != F.col("root2")) & (F.abs(F.col("d1") - F.col("d2")) <= limit))
     more = near.select(F.least("key1", "key2").alias("a"), F.greatest("key1", "key2").alias("b"))
-    # in a large rest the other bands cut finer buckets, each with two pivots of its own; the bucket of two bands is one, whichever is finer
-    fine = rest.where(F.col("n") > SMALL_REST).join(first.select("key", "bands"), "key").select("band", "key", "root", "apart", "bands", F.posexplode("bands").alias("other", "value"))
-    own = F.struct("band", F.col("bands")[F.col("band")].alias("value"))
-    fine = fine.where("other <> band").select("key", "root", "apart", F.xxhash64(F.array_sort(F.array(own, F.struct(F.col("other").alias("band"), "value")))).alias("bucket"))
-    fine = fine.groupBy("bucket", "key", "root").agg(F.max("apart").alias("apart"))
-    ends = fine.groupBy("bucket").agg(F.min(F.struct("key", "root")).alias("low"), F.max(F.struct("key", "root")).alias("high"), F.count_if("apart").alias("k")).where("k > 0 AND low.key <> high.key")
-    against = F.filter(F.array("low", "high"), lambda x: x["root"] != F.col("root"))
-    finer = fine.where("apart").join(loose(ends), "bucket").select("key", against.alias("pivots")).where(F.size("pivots") > 0).select("key", F.explode("pivots.key").alias("other_key"))
-    more = more.unionByName(finer.select(F.least("key", "other_key").alias("a"), F.greatest("key", "other_key").alias("b"))).distinct()
-    more = more.join(known.select("a", "b"), ["a", "b"], "left_anti")
-    return known.unionByName(cut(verify(more, texts, idf), "verified"))
+    more = more.distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
+    found = known.unionByName(cut(verify(more, texts, idf), "verified"))
+    large = rest.where(F.col("n") > SMALL_REST).join(first.select("key", "bands"), "key").join(texts, "key")
+    return found.unionByName(cut(compare_blocks(large, idf, limit), "verified"))
+
+
+def compare_blocks(rest: DataFrame, idf, limit: float) -> DataFrame:  # noqa: ANN001
+    """Links ``a``, ``b``, ``d`` among the open members of large buckets (bucket, band, key, root, d, apart, n, bands, text), with none left out.
+
+    Members of a bucket are dealt into blocks of about BLOCK, and each pair of blocks is a task's work, so no task has a whole bucket. A pair is compared in the first
+    band that it shares. What links found in the same two blocks have joined already isn't compared again, as only classes matter.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = rest.withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "band", "key", "root", "d", "apart", "bands", "text")
+
+    def run(cell: pa.Table) -> pa.Table:
+        known, table = WordHashes(), idf.value
+        low, high, band = (cell.column(c)[0].as_py() for c in ("low", "high", "band"))
+        keys, root = cell.column("key").to_pylist(), cell.column("root").to_pylist()
+        block, d, apart = (cell.column(c).to_numpy() for c in ("block", "d", "apart"))
+        bands = np.array(cell.column("bands").to_pylist(), np.int64)
+        sets = [weighted(t.as_py(), known, table) for t in cell.column("text")]
+        size = np.array([s[1].sum(dtype=np.float64) for s in sets])
+        up = {r: r for r in root}
+
+        def find(x: bytes) -> bytes:
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        out: list[tuple[bytes, bytes, float]] = []
+        for i in range(len(keys)):
+            if block[i] != low:
+                continue
+            same = bands == bands[i]
+            # weights too unlike, or distances to the pivot: never near
+            near = (np.argmax(same, axis=1) == band) & (apart | apart[i]) & (np.abs(d - d[i]) <= limit) & (np.minimum(size, size[i]) >= (1 - limit) * np.maximum(size, size[i]) - 1e-6)
+            near &= np.arange(len(keys)) > i if low == high else block == high
+            for j in np.flatnonzero(near).tolist():
+                a, b = find(root[i]), find(root[j])
+                if a != b:
+                    x = 1.0 - similarity(sets[i], sets[j])
+                    if x <= limit:
+                        out.append((min(keys[i], keys[j]), max(keys[i], keys[j]), x))
+                        up[max(a, b)] = min(a, b)
+        return pa.table({"a": pa.array([x[0] for x in out], pa.binary()), "b": pa.array([x[1] for x in out], pa.binary()), "d": pa.array([x[2] for x in out], pa.float64())})
+
+    return dealt.groupBy("bucket", "low", "high").applyInArrow(run, "a binary, b binary, d double")
 
 
 def classify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
