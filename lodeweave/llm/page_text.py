@@ -156,9 +156,9 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
 
 
 def main_text(page: list[tuple[str, bool, int]], shared: set[int]) -> str:
-    """The lines that stay, joined by one space: those that aren't shared, with the exact check of the page's markup."""
+    """The lines that stay, joined by one space: those that aren't shared; the page's markup restores shared lines of its article and takes out skipped ones."""
     best = max((d for _, s, d in page if not s), default=0)
-    return " ".join(t for i, (t, s, d) in enumerate(page) if not s and (d == best if best else i not in shared))
+    return " ".join(t for i, (t, s, d) in enumerate(page) if not s and (i not in shared or best and d == best))
 
 
 def url_order(url: str | None) -> tuple[str, str]:

@@ -2,7 +2,7 @@
 
 import random
 
-from lodeweave.llm import near_duplicates
+from lodeweave.llm import near_duplicates, page_text
 
 
 def test_pairs_in_a_large_group_below_the_threshold(spark):
@@ -14,3 +14,12 @@ def test_pairs_in_a_large_group_below_the_threshold(spark):
     rows += [(1000 + i, " ".join(template + own[i][:26] + [word() for _ in range(16)])) for i in range(40)]
     got = {x.doc_id: x.class_id for x in near_duplicates.classify(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: i % 1000 for i, _ in rows}
+
+
+def test_marks_on_a_page_drop_no_line_of_its_own(spark):
+    page = '<div>Shop name</div><h1 class="entry-title">title {0}</h1><p>the whole story {0}</p><div>imprint</div>'
+    rows = [(i, f"http://h.example/a/{i}", page.format(i)) for i in range(3)]
+    out = {r.page_id: r.text for r in page_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {i: f"title {i} the whole story {i}" for i in range(3)}
+    marked = page_text.blocks("<div>menu</div><article>copied</article><div>note of this page</div>")
+    assert page_text.main_text(marked, {0, 1}) == "copied note of this page"
