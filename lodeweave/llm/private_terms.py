@@ -4,12 +4,16 @@ Patterns find e-mail addresses, IP addresses, card and phone numbers. Each disti
 entity may reveal it as well: with corpus counts over documents, the pointwise mutual information PMI(entity; term) =
 ln(P(entity, term) / (P(entity) P(term))) says how much of the entity's information content IC(entity) = -ln P(entity) the term gives away. A term
 exceeds the disclosure threshold where PMI >= IC / ALPHA, and enough documents (MIN_JOINT) show the pair; such terms are
-removed beside their entity, or, where they reveal several entities, generalised to a word for the kind of data.
+removed, or, where they reveal several entities, generalised to a word for the kind of data.
 
-Counts cover every document: n(term) over all words of the corpus, n(entity), and n(entity, term) for words within RADIUS words of an
-entity in the same text. One pass over the texts finds the patterns and counts words for each task in a table that is flushed when it is full, so what is
-shuffled is a row for each distinct word of a task, and few rows for each entity found. That pass is written to the shared folder, and all
-joins are of these small tables; texts are not shuffled.
+The query counts everything over whole documents (``everywhere``): n(term), n(entity), and n(entity, term) for all words of a text that holds the
+entity; and marks every occurrence of a disclosing term, in texts without the entity too. Without ``everywhere`` pairs are counted, and
+terms marked, within RADIUS words of an entity alone.
+
+One pass over the texts finds the patterns and counts words for each task in a table that is flushed when it is full, so what is
+shuffled is a row for each distinct word of a task, and few rows for each entity found. That pass is written to the shared folder. Whole
+documents need two more: words of the texts with an entity that enough documents share, without those too frequent to disclose it; and a
+search of all texts for the terms, by a bit table of fixed size whose finds are then joined with the terms.
 """
 
 from __future__ import annotations
@@ -19,7 +23,8 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeweave.llm.common import cut, loose, read, small_batches, text_of
@@ -27,6 +32,8 @@ from lodeweave.llm.common import cut, loose, read, small_batches, text_of
 KINDS = ("email", "ip", "card", "phone")
 RADIUS, ALPHA, MIN_JOINT, MIN_TERM = 6, 1.25, 3, 3
 FLUSH = 200_000
+#: Bits, as a power of two, of the table that says which words may be disclosing terms.
+TERM_BITS = 24
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -115,40 +122,59 @@ def near_terms(text: str, spans: list[Span], radius: int) -> list[tuple[str, str
     return out
 
 
+def free_terms(text: str, spans: list[Span]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of all words of a text that no span covers."""
+    covered, k = sorted((a, b) for _, a, b in spans), 0
+    end = 0
+    for m in WORD.finditer(text):
+        s, e = m.span()
+        while k < len(covered) and covered[k][0] < e:
+            end = max(end, covered[k][1])
+            k += 1
+        if e - s >= MIN_TERM and end <= s:
+            yield m.group().lower(), s, e
+
+
 def _left(spans: list[tuple[int, int]], at: int) -> int:
     from bisect import bisect_left
 
     return bisect_left(spans, (at, at))
 
 
-SCAN = "row long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, spans string, near array<struct<entity:string,term:string,start:int,end:int>>, term string, n long"
+def text_key(text_col: str) -> Column:
+    """128 bits for a text: rows of equal texts have equal spans."""
+    return F.unhex(F.md5(text_of(text_col)))
+
+
+SCAN = "row long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, spans string, near array<struct<entity:string,term:string,start:int,end:int>>, term string, n long, held array<string>, text_key binary"
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str, radius: int) -> DataFrame:
     """Rows of documents (their spans and the words near them) and, with a null ``row``, rows of words with their document counts in a task."""
     near_type = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS], ("spans", pa.string()), ("near", near_type), ("term", pa.string()), ("n", pa.int64())])
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS], ("spans", pa.string()), ("near", near_type), ("term", pa.string()), ("n", pa.int64()), ("held", pa.list_(pa.string())), ("text_key", pa.binary())])
     find, words_in = base_spans, re.compile(r"\w+").findall
 
     def words(counts: Counter) -> pa.RecordBatch:
         k = len(counts)
-        columns = [pa.nulls(k, f.type) for f in schema][:-2] + [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())]
+        columns = [pa.nulls(k, f.type) for f in schema][:-4] + [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64()), pa.nulls(k, schema.field("held").type), pa.nulls(k, pa.binary())]
         return pa.RecordBatch.from_arrays(columns, schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for b in batches:
-            docs, spans, near = [], [], []
+            docs, spans, near, held = [], [], [], []
             for text in b.column(1):
                 t = text.as_py()
                 s = find(t)
                 counts.update(set(words_in(t.lower())))
                 spans.append(joined(s))
-                near.append([dict(zip(("entity", "term", "start", "end"), x, strict=True)) for x in near_terms(t, s, radius)] if s else [])
+                near.append([dict(zip(("entity", "term", "start", "end"), x, strict=True)) for x in near_terms(t, s, radius)] if s and radius else [])
+                held.append(sorted({entity(k, t[x:y]) for k, x, y in s}))
                 docs.append([sum(x[0] == k for x in s) for k in KINDS])
             n = len(docs)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([0] * n, pa.int64()), b.column(0), *[pa.array([d[i] for d in docs], pa.int64()) for i in range(4)], pa.array(spans, pa.string()), pa.array(near, near_type), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())],
+                [pa.array([0] * n, pa.int64()), b.column(0), *[pa.array([d[i] for d in docs], pa.int64()) for i in range(4)], pa.array(spans, pa.string()), pa.array(near, near_type), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.array(held, pa.list_(pa.string())), b.column(2)],
                 schema=schema,
             )
             if len(counts) >= FLUSH:
@@ -157,19 +183,89 @@ def scan(docs: DataFrame, id_col: str, text_col: str, radius: int) -> DataFrame:
         if counts:
             yield words(counts)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, SCAN)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), text_key(text_col).alias("text_key")).mapInArrow(run, SCAN)
+
+
+def joint_counts(docs: DataFrame, rows: DataFrame, with_entity: DataFrame, with_term: DataFrame, total: DataFrame, id_col: str, text_col: str, alpha: float, min_joint: int) -> DataFrame:
+    """``entity``, ``term``, ``n_joint``: rows that have both anywhere, for pairs that may disclose.
+
+    As n_joint is at most n_entity, a term of more than n_entity * (total / n_entity)^(1 - 1 / alpha) rows can't disclose the entity: such words make no pair.
+    """
+    held = rows.select("text_key", F.explode("held").alias("entity")).join(loose(with_entity.where(F.col("n_entity") >= min_joint)), "entity").crossJoin(F.broadcast(total))
+    held = held.withColumn("most", F.col("n_entity") * F.pow(F.col("total") / F.col("n_entity"), F.lit(1 - 1 / alpha)) * (1 + 1e-9))
+    # rows of one text count as one with their number
+    held = cut(held.groupBy("text_key", "entity").agg(F.count("*").alias("copies"), F.first("most").alias("most")), "private_held")
+    own = docs.select(text_key(text_col).alias("text_key"), text_of(text_col).alias("text")).join(held.groupBy("text_key").agg(F.max("most").alias("top")), "text_key").dropDuplicates(["text_key"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for t in b.column(1):
+                t = t.as_py()
+                found.append(sorted({w for w, _, _ in free_terms(t, base_spans(t))}))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.list_(pa.string()))], names=["text_key", "top", "words"])
+
+    words = own.select("text_key", "text", "top").mapInArrow(run, "text_key binary, top double, words array<string>").select("text_key", "top", F.explode("words").alias("term"))
+    rare = words.join(loose(with_term.where(F.col("n_term") >= min_joint)), "term").where(F.col("n_term") <= F.col("top"))
+    pairs = rare.join(held, "text_key").where(F.col("n_term") <= F.col("most"))
+    return pairs.groupBy("entity", "term").agg(F.sum("copies").alias("n_joint")).where(F.col("n_joint") >= min_joint)
+
+
+def occurrences(docs: DataFrame, reach: DataFrame, text_col: str) -> DataFrame:
+    """``text_key``, ``start``, ``end``, ``entities`` of every occurrence of a term of ``reach`` (term, entities) that no base span covers, in all texts.
 
+    Workers get a bit table of fixed size with the terms' hashes; what passes it is joined with the terms.
+    """
+    spark = docs.sparkSession
+    slot = F.pmod(F.xxhash64("term"), F.lit(1 << TERM_BITS))
+    parts = reach.select(slot.alias("s")).groupBy((F.col("s") / F.lit(1 << 15)).cast("int").alias("part")).agg(F.collect_set((F.col("s") % F.lit(1 << 15)).cast("int")).alias("at"))
+    bits = bytearray(1 << TERM_BITS - 3)
+    for r in parts.toLocalIterator():  # at most 2^TERM_BITS slots
+        for x in r.at:
+            k = (r.part << 15) + x
+            bits[k >> 3] |= 1 << (k & 7)
+    shared = spark.sparkContext.broadcast(bytes(bits))
 
-def find_private(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, alpha: float = ALPHA, min_joint: int = MIN_JOINT) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, known, mask = shared.value, {}, (1 << TERM_BITS) - 1
+        for b in batches:
+            out: list[tuple] = []
+            for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                t = text.as_py()
+                maybe = set()
+                for w in set(WORD.findall(t.lower())):
+                    if w not in known:
+                        if len(known) >= FLUSH:
+                            known.clear()
+                        k = xxhash.xxh64_intdigest(w.encode(), 42) & mask
+                        known[w] = table[k >> 3] >> (k & 7) & 1
+                    if known[w]:
+                        maybe.add(w)
+                if maybe:
+                    out += ((key, *x) for x in free_terms(t, base_spans(t)) if x[0] in maybe)
+            columns = zip(*out, strict=True) if out else ((), (), (), ())
+            kinds = (pa.binary(), pa.string(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["text_key", "term", "start", "end"])
+
+    found = docs.select(text_key(text_col).alias("text_key"), text_of(text_col).alias("text")).mapInArrow(run, "text_key binary, term string, start int, end int")
+    return found.join(loose(reach), "term").select("text_key", "start", "end", "entities").distinct()
+
+
+def find_private(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, alpha: float = ALPHA, min_joint: int = MIN_JOINT, everywhere: bool = False) -> DataFrame:
     """Per row: ``doc_id``, counts of the base kinds, ``base`` and ``spans`` (kind:start:end in code points, comma-joined), and ``terms``.
 
     ``spans`` has the base spans by kind, then those of disclosing terms as ``term``, by start. ``terms`` says for each of these whether it is to be
     removed or generalised. Null or empty text has none. Rows that repeat are each reported, and count as often as they occur. An
     entity that only one document has can't be told from chance and makes no term spans.
+
+    ``everywhere``: pairs are counted over whole documents instead of words within ``radius`` of an entity, and every occurrence of a disclosing term is
+    marked, in documents without the entity too.
     """
+    if everywhere:
+        return _find_everywhere(docs, id_col, text_col, alpha, min_joint)
     found = cut(scan(docs, id_col, text_col, radius), "private_scan")
     rows = found.where(F.col("row").isNotNull()).withColumn("row", F.monotonically_increasing_id())
-    rows = cut(rows, "private_rows").drop("term", "n")
+    rows = cut(rows.drop("term", "n", "held", "text_key"), "private_rows")
     total = rows.agg(F.count("*").alias("total"))  # one row
     near = rows.select("row", F.explode("near").alias("x")).select("row", "x.*")
     once = near.select("row", "entity", "term").distinct()
@@ -191,6 +287,24 @@ def find_private(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", *[f"n_{k}" for k in KINDS], F.col("spans").alias("base"), spans.alias("spans"), "terms")
 
 
+def _find_everywhere(docs: DataFrame, id_col: str, text_col: str, alpha: float, min_joint: int) -> DataFrame:
+    found = cut(scan(docs, id_col, text_col, 0), "private_scan")
+    rows = found.where(F.col("row").isNotNull()).select("doc_id", *[f"n_{k}" for k in KINDS], "spans", "held", "text_key")
+    total = rows.agg(F.count("*").alias("total"))  # one row
+    with_entity = rows.select(F.explode("held").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    with_term = found.where(F.col("term").isNotNull()).groupBy("term").agg(F.sum("n").alias("n_term"))
+    pairs = joint_counts(docs, rows, with_entity, with_term, total, id_col, text_col, alpha, min_joint)
+    judged = pairs.join(loose(with_entity), "entity").join(loose(with_term), "term").crossJoin(F.broadcast(total))
+    pmi = F.ln(F.col("n_joint") * F.col("total") / (F.col("n_entity") * F.col("n_term")))
+    reach = cut(judged.where(pmi * alpha >= F.ln(F.col("total") / F.col("n_entity"))).groupBy("term").agg(F.count("*").alias("entities")), "private_terms")
+    action = F.when(F.col("entities") > 1, "generalise").otherwise("remove")
+    hits = occurrences(docs, reach, text_col).groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("start", "end", action.alias("action")))).alias("terms"))
+    out = rows.join(loose(hits), "text_key", "left")
+    more = F.array_join(F.transform("terms", lambda t: F.concat(F.lit("term:"), t["start"].cast("string"), F.lit(":"), t["end"].cast("string"))), ",")
+    spans = F.when(F.col("terms").isNull(), F.col("spans")).when(F.col("spans") == "", more).otherwise(F.concat_ws(",", "spans", more))
+    return out.select("doc_id", *[f"n_{k}" for k in KINDS], F.col("spans").alias("base"), spans.alias("spans"), "terms")
+
+
 def sanitise(text: str, spans: str, generalised: str = "[{kind}]") -> str:
     """A text with its spans replaced by a word for their kind; overlaps are taken from left to right."""
     cut_at, out = 0, []
@@ -203,5 +317,5 @@ def sanitise(text: str, spans: str, generalised: str = "[{kind}]") -> str:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    d = find_private(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    d = find_private(read(spark, sf_dir, "documents").select("doc_id", "text"), everywhere=True)
     return d.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2("base", 256).alias("base_sha256"), "spans")
