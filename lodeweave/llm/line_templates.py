@@ -1,10 +1,14 @@
 r"""Line de-duplication with a log-template tree (DataFrame functions only).
 
 The tree has a fixed depth: a line goes down by its number of tokens and its LEAD first tokens, to a leaf. A token that holds a digit
-counts as ``<*>`` throughout. In a leaf, lines that share at least three quarters of their tokens at the same places belong to one
-template, in which the tokens of the other quarter are generalised. To share all but one quarter is an equality, so a leaf is not searched
-line by line: each line has four template hashes, one for each quarter that may vary, and what recurs is counted. The lead tokens never
-vary. A line of fewer than FREE_TOKENS tokens has one template, all of its tokens; one of fewer than MIN_TOKENS has none and always stays.
+counts as ``<*>`` throughout. In a leaf, lines that differ only inside one and the same quarter of their tokens belong to one
+template, in which the tokens of that quarter are generalised. That is an equality, so a leaf is not searched line by line: each line has
+four template hashes, one for each quarter that may vary, and what recurs is counted. The lead tokens never vary. A line of fewer than
+FREE_TOKENS tokens has one template, all of its tokens; one of fewer than MIN_TOKENS has none and always stays.
+
+Limits, which the SQL of the query states too: lines with variable tokens in two quarters, or among the lead tokens, or in a line of fewer than FREE_TOKENS
+tokens (digits apart), share no template, though three quarters of their tokens may agree; and ``min_docs`` is one number for lines of
+any length.
 
 A template recurs if at least ``min_docs`` rows of the corpus have it. Its lines are dropped from every document but the first (the one of
 the smallest id), so one copy of each text stays in the corpus.
