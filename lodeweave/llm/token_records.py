@@ -17,6 +17,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,9 +31,11 @@ from pyspark.sql import functions as F
 from lodeweave.llm.common import cut, read, scratch_path, small_batches, text_of
 
 END_ID = 2
-KEPT_CHUNKS, KEPT_WORDS = 500_000, 1_500_000
-#: Letters that lower-casing and composing leave one letter, and marks after them that are one word of the tokenizer.
-LATIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?%&*#$]*)")
+#: Words in each of the two generations of the table of known codes, and chunks of other texts.
+KEPT_WORDS, KEPT_CHUNKS = 400_000, 200_000
+#: The tokenizer's own words for text below U+0100, with its letters, numbers and spaces listed. Such text is composed already, and lower-casing it takes letter to letter.
+_L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+LATIN_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
 HEAD, HEAD_SIZE = "<bqb", 10
 LANE = 1024  # bytes of a checksum that are computed side by side
 
@@ -150,11 +153,18 @@ def unframe(blob: bytes) -> list[bytes]:
     return payloads
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that a byte-level model has for each byte: printable Latin-1 as it is, the others from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(others)}
+
+
 class ChunkEncoder:
-    """A tokenizer that drops white space, so that a text's ids are those of its chunks between spaces, one after another.
+    """A tokenizer that drops white space, so that a text's ids are those of its words, one after another.
 
-    A chunk that is a Latin word and marks after it has the ids of the word in lower case and of the marks. Codes of chunks and of words are kept,
-    in tables of bounded size; what is in neither goes through the tokenizer, all that a batch of texts lacks in one call.
+    Codes of words are kept in a table of two generations: what was used lately survives when one is full. Words that it lacks go through the
+    tokenizer's model. Text with characters from U+0100 on or added tokens is cut at spaces alone, and its chunks go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -165,51 +175,49 @@ class ChunkEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {"": b""}
-
-    def codes(self, chunks: list[str]) -> Iterator[bytes]:
-        kind = f"<u{self.width}"
-        for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False):
-            yield np.array(e.ids, kind).tobytes()
-
-    def word_codes(self, words: list[str]) -> list[bytes]:
-        """As ``codes``, for words that the tokenizer doesn't cut: joined by spaces they are one text, and each ends with a token that ends words."""
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, f"<u{self.width}")
-        ends = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
-        if len(ends) != len(words) or not all(words):
-            return list(self.codes(words))
-        flat, w = ids.tobytes(), self.width
-        return [flat[a * w : b * w] for a, b in zip([0, *ends], ends, strict=False)]
-
-    def learn(self, chunks: list[str]) -> None:
-        """Put the codes of new chunks into the table."""
-        known, words = self.known, self.words
-        if len(words) > KEPT_WORDS:
-            words.clear()
-            words[""] = b""
-        split = {c: (m[1].lower(), m[2]) for c in chunks if (m := LATIN.fullmatch(c))}
-        new = list({w for pair in split.values() for w in pair}.difference(words))
-        words.update(zip(new, self.word_codes(new), strict=True))
-        known.update((c, words[a] + words[b]) for c, (a, b) in split.items())
-        rest = [c for c in chunks if c not in split]
-        known.update(zip(rest, self.codes(rest), strict=True))
+        self.tokenize, self.letters = self.tokenizer.model.tokenize, byte_letters()
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.is_other = re.compile("|".join(["[^\x00-\xff]", *map(re.escape, added)])).search
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
+
+    def word(self, w: str) -> bytes:
+        """The ids of a word that isn't in the table yet."""
+        found = self.older.get(w)
+        if found is None:
+            mapped = w if w.isascii() and w.isprintable() else w.encode("utf-8").decode("latin-1").translate(self.letters)
+            found = array("H" if self.width == 2 else "I", [t.id for t in self.tokenize(mapped)]).tobytes()
+        if len(w) <= 64:
+            if len(self.words) >= KEPT_WORDS:
+                self.words, self.older = {}, self.words
+            self.words[w] = found
+        return found
+
+    def encode_other(self, text: str) -> bytes:
+        """Any text, by its chunks: only these four are cut at, as str.split() would also cut at U+001C-U+001F, which the tokenizer keeps."""
+        parts = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        if len(self.chunks) > KEPT_CHUNKS:
+            self.chunks.clear()
+        new = list(set(parts).difference(self.chunks))
+        for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.chunks[c] = np.array(e.ids, f"<u{self.width}").tobytes()
+        return b"".join(map(self.chunks.__getitem__, parts))
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a text as little-endian unsigned integers of ``width`` bytes."""
+        if self.is_other(text):
+            return self.encode_other(text)
+        words = LATIN_WORDS.findall(text.lower())
+        out = [*map(self.words.get, words)]
+        if None in out:
+            for i, code in enumerate(out):
+                if code is None:
+                    out[i] = self.words.get(words[i]) or self.word(words[i])
+        return b"".join(out)
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned integers of ``width`` bytes."""
-        # only these four are cut at: str.split() would also cut at U+001C-U+001F, which the tokenizer keeps
-        parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        out = []
-        for at in range(0, len(parts), 64):
-            group = parts[at : at + 64]
-            if len(self.known) > KEPT_CHUNKS:
-                self.known.clear()
-            if new := set().union(*group).difference(self.known):
-                self.learn(list(new))
-            out += [b"".join(map(self.known.__getitem__, p)) for p in group]
-        return out
+        return [*map(self.encode, texts)]
 
 
 @lru_cache(maxsize=2)
