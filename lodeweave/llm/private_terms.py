@@ -1,19 +1,15 @@
 r"""Personal data: exact patterns, and information-theoretic sanitisation of the terms that give them away.
 
-Patterns find e-mail addresses, IP addresses, card and phone numbers. Each distinct value is a protected entity. A term near an
-entity may reveal it as well: with corpus counts over documents, the pointwise mutual information PMI(entity; term) =
+Patterns find e-mail addresses, IP addresses, card and phone numbers. Protected entities are each distinct value and the parts of values that say whose they are
+and that other values share: the domain of an address and the words of its local part, the network of an IP address, the issuer of a card, the area of a phone
+number. A term of a text with an entity may reveal it as well: with corpus counts over whole documents, the pointwise mutual information PMI(entity; term) =
 ln(P(entity, term) / (P(entity) P(term))) says how much of the entity's information content IC(entity) = -ln P(entity) the term gives away. A term
-exceeds the disclosure threshold where PMI >= IC / ALPHA, and enough documents (MIN_JOINT) show the pair; such terms are
-removed, or, where they reveal several entities, generalised to a word for the kind of data.
+exceeds the disclosure threshold where PMI >= IC / ALPHA, and enough documents (MIN_JOINT) show the pair. Every occurrence of such a term is marked, in texts without
+the entity too, and ``sanitise_texts`` takes it out: it is removed, or, where it reveals several entities, generalised to a word for the kind of data.
 
-The query counts everything over whole documents (``everywhere``): n(term), n(entity), and n(entity, term) for all words of a text that holds the
-entity; and marks every occurrence of a disclosing term, in texts without the entity too. Without ``everywhere`` pairs are counted, and
-terms marked, within RADIUS words of an entity alone.
-
-One pass over the texts finds the patterns and counts words for each task in a table that is flushed when it is full, so what is
-shuffled is a row for each distinct word of a task, and few rows for each entity found. That pass is written to the shared folder. Whole
-documents need two more: words of the texts with an entity that enough documents share, without those too frequent to disclose it; and a
-search of all texts for the terms, by a bit table of fixed size whose finds are then joined with the terms.
+Plan: one pass finds the patterns, and notes the distinct words of the texts that have any; one counts the documents of every word, in tables that are flushed when
+they are full and summed before the shuffle; only words of texts with an entity that enough documents share, without those too frequent to disclose it, make
+pairs; and one searches all texts for the terms, by a bit table of fixed size whose finds are then joined with the terms. Nothing but spans, words and counts is shuffled.
 """
 
 from __future__ import annotations
@@ -30,8 +26,9 @@ from pyspark.sql import functions as F
 from lodeweave.llm.common import cut, loose, read, small_batches, text_of
 
 KINDS = ("email", "ip", "card", "phone")
-RADIUS, ALPHA, MIN_JOINT, MIN_TERM = 6, 1.25, 3, 3
-FLUSH = 200_000
+ALPHA, MIN_JOINT, MIN_TERM = 1.25, 3, 3
+#: Words that a worker counts before it hands them over, those whose bit it keeps, and words in one batch of its output.
+FLUSH, KEPT_BITS, SLICE = 50_000, 200_000, 5_000
 #: Bits, as a power of two, of the table that says which words may be disclosing terms.
 TERM_BITS = 24
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -86,40 +83,15 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def entity(kind: str, value: str) -> str:
-    """The value as it is compared: digits of numbers, lower case of addresses."""
-    return f"{kind}:{value.lower() if kind == 'email' else value if kind == 'ip' else ''.join(c for c in value if c.isdigit())}"
-
-
-def near_terms(text: str, spans: list[Span], radius: int) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the words within ``radius`` words of a span that no span covers; at most 2 * radius a span."""
-    out: list[tuple[str, str, int, int]] = []
-    covered: list[tuple[int, int]] = []  # in order, without overlaps
-    for a, b in sorted((a, b) for _, a, b in spans):
-        if covered and a <= covered[-1][1]:
-            covered[-1] = (covered[-1][0], max(b, covered[-1][1]))
-        else:
-            covered.append((a, b))
-    for kind, a, b in spans:
-        name = entity(kind, text[a:b])
-        after = []
-        for m in WORD.finditer(text, b):
-            after.append(m)
-            if len(after) == radius:
-                break
-        # to the left a window that doubles until it holds enough words
-        size, before = 16 * radius, []
-        while True:
-            low = max(0, a - size)
-            before = list(WORD.finditer(text, low, a))
-            if low == 0 or len(before) > radius:
-                break
-            size *= 4
-        for m in (*before[-radius:], *after):
-            s, e = m.span()
-            if e - s >= MIN_TERM and not any(x < e and s < y for x, y in covered[max(0, _left(covered, s) - 1) : _left(covered, e) + 1]):
-                out.append((name, m.group().lower(), s, e))
-    return out
+def entities(kind: str, value: str) -> list[str]:
+    """What a value reveals: itself as it is compared, and its parts that other values share."""
+    if kind == "email":
+        local, _, domain = value.lower().rpartition("@")
+        return [f"email:{value.lower()}", f"domain:{domain}", *(f"name:{w}" for w in WORD.findall(local) if len(w) >= MIN_TERM and not w.isdigit())]
+    if kind == "ip":
+        return [f"ip:{value}", "net:" + ".".join(value.split(".")[:2])]
+    digits = "".join(c for c in value if c.isdigit())
+    return [f"{kind}:{digits}", f"issuer:{digits[:6]}" if kind == "card" else f"area:{digits[:4]}"]
 
 
 def free_terms(text: str, spans: list[Span]) -> Iterator[tuple[str, int, int]]:
@@ -135,77 +107,65 @@ def free_terms(text: str, spans: list[Span]) -> Iterator[tuple[str, int, int]]:
             yield m.group().lower(), s, e
 
 
-def _left(spans: list[tuple[int, int]], at: int) -> int:
-    from bisect import bisect_left
-
-    return bisect_left(spans, (at, at))
-
-
 def text_key(text_col: str) -> Column:
     """128 bits for a text: rows of equal texts have equal spans."""
     return F.unhex(F.md5(text_of(text_col)))
 
 
-SCAN = "row long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, spans string, near array<struct<entity:string,term:string,start:int,end:int>>, term string, n long, held array<string>, text_key binary"
+SCAN = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, spans string, held array<string>, words array<string>, text_key binary"
 
 
-def scan(docs: DataFrame, id_col: str, text_col: str, radius: int) -> DataFrame:
-    """Rows of documents (their spans and the words near them) and, with a null ``row``, rows of words with their document counts in a task."""
-    near_type = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS], ("spans", pa.string()), ("near", near_type), ("term", pa.string()), ("n", pa.int64()), ("held", pa.list_(pa.string())), ("text_key", pa.binary())])
-    find, words_in = base_spans, re.compile(r"\w+").findall
-
-    def words(counts: Counter) -> pa.RecordBatch:
-        k = len(counts)
-        columns = [pa.nulls(k, f.type) for f in schema][:-4] + [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64()), pa.nulls(k, schema.field("held").type), pa.nulls(k, pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, schema=schema)
+def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row for each document: its base spans, and, if there are any, their entities and the distinct words that no span covers."""
+    strings = pa.list_(pa.string())
+    schema = pa.schema([("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS], ("spans", pa.string()), ("held", strings), ("words", strings), ("text_key", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
         for b in batches:
-            docs, spans, near, held = [], [], [], []
+            found: list[tuple] = []
             for text in b.column(1):
                 t = text.as_py()
-                s = find(t)
-                counts.update(set(words_in(t.lower())))
-                spans.append(joined(s))
-                near.append([dict(zip(("entity", "term", "start", "end"), x, strict=True)) for x in near_terms(t, s, radius)] if s and radius else [])
-                held.append(sorted({entity(k, t[x:y]) for k, x, y in s}))
-                docs.append([sum(x[0] == k for x in s) for k in KINDS])
-            n = len(docs)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([0] * n, pa.int64()), b.column(0), *[pa.array([d[i] for d in docs], pa.int64()) for i in range(4)], pa.array(spans, pa.string()), pa.array(near, near_type), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.array(held, pa.list_(pa.string())), b.column(2)],
-                schema=schema,
-            )
-            if len(counts) >= FLUSH:
-                yield words(counts)
-                counts = Counter()
-        if counts:
-            yield words(counts)
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), text_key(text_col).alias("text_key")).mapInArrow(run, SCAN)
-
-
-def joint_counts(docs: DataFrame, rows: DataFrame, with_entity: DataFrame, with_term: DataFrame, total: DataFrame, id_col: str, text_col: str, alpha: float, min_joint: int) -> DataFrame:
-    """``entity``, ``term``, ``n_joint``: rows that have both anywhere, for pairs that may disclose.
+                s = base_spans(t)
+                held = sorted({e for k, x, y in s for e in entities(k, t[x:y])})
+                found.append((*(sum(x[0] == k for x in s) for k in KINDS), joined(s), held, sorted({w for w, _, _ in free_terms(t, s)}) if s else []))
+            columns = [pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), [*schema][1:-1], strict=True)] if found else [pa.nulls(0, f.type) for f in [*schema][1:-1]]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns, b.column(2)], schema=schema)
 
-    As n_joint is at most n_entity, a term of more than n_entity * (total / n_entity)^(1 - 1 / alpha) rows can't disclose the entity: such words make no pair.
-    """
-    held = rows.select("text_key", F.explode("held").alias("entity")).join(loose(with_entity.where(F.col("n_entity") >= min_joint)), "entity").crossJoin(F.broadcast(total))
-    held = held.withColumn("most", F.col("n_entity") * F.pow(F.col("total") / F.col("n_entity"), F.lit(1 - 1 / alpha)) * (1 + 1e-9))
-    # rows of one text count as one with their number
-    held = cut(held.groupBy("text_key", "entity").agg(F.count("*").alias("copies"), F.first("most").alias("most")), "private_held")
-    own = docs.select(text_key(text_col).alias("text_key"), text_of(text_col).alias("text")).join(held.groupBy("text_key").agg(F.max("most").alias("top")), "text_key").dropDuplicates(["text_key"])
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_of(text_col).alias("text"), text_key(text_col).alias("text_key")).mapInArrow(run, SCAN)
+
+
+def term_counts(docs: DataFrame, text_col: str) -> DataFrame:
+    """``term``, ``n_term``: rows that have a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+
+        def out() -> Iterator[pa.RecordBatch]:
+            while counts:
+                some = [counts.popitem() for _ in range(min(SLICE, len(counts)))]
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in some], pa.string()), pa.array([x[1] for x in some], pa.int64())], names=["term", "n"])
+
+        words_in = WORD.findall
         for b in batches:
-            found = []
-            for t in b.column(1):
-                t = t.as_py()
-                found.append(sorted({w for w, _, _ in free_terms(t, base_spans(t))}))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.list_(pa.string()))], names=["text_key", "top", "words"])
+            for text in b.column(0):
+                counts.update(w for w in set(words_in(text.as_py().lower())) if len(w) >= MIN_TERM)
+                if len(counts) >= FLUSH:
+                    yield from out()
+        yield from out()
+
+    return docs.select(text_of(text_col).alias("text")).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+
+
+def joint_counts(rows: DataFrame, with_entity: DataFrame, with_term: DataFrame, total: DataFrame, alpha: float, min_joint: int) -> DataFrame:
+    """``entity``, ``term``, ``n_joint``: rows that have both anywhere, for pairs that may disclose.
 
-    words = own.select("text_key", "text", "top").mapInArrow(run, "text_key binary, top double, words array<string>").select("text_key", "top", F.explode("words").alias("term"))
+    As n_joint is at most n_entity, a term of more than n_entity * (total / n_entity)^(1 - 1 / alpha) rows can't disclose the entity: such words make no pair.
+    """
+    held = rows.select("text_key", F.explode("held").alias("entity")).groupBy("text_key", "entity").agg(F.count("*").alias("copies"))  # rows of one text count as one with their number
+    held = held.join(loose(with_entity.where(F.col("n_entity") >= min_joint)), "entity").crossJoin(F.broadcast(total))
+    held = held.withColumn("most", F.col("n_entity") * F.pow(F.col("total") / F.col("n_entity"), F.lit(1 - 1 / alpha)) * (1 + 1e-9))
+    held = cut(held.select("text_key", "entity", "copies", "most"), "private_held")
+    words = rows.join(loose(held.groupBy("text_key").agg(F.max("most").alias("top"))), "text_key").select("text_key", "top", F.explode("words").alias("term")).distinct()
     rare = words.join(loose(with_term.where(F.col("n_term") >= min_joint)), "term").where(F.col("n_term") <= F.col("top"))
     pairs = rare.join(held, "text_key").where(F.col("n_term") <= F.col("most"))
     return pairs.groupBy("entity", "term").agg(F.sum("copies").alias("n_joint")).where(F.col("n_joint") >= min_joint)
@@ -235,7 +195,7 @@ def occurrences(docs: DataFrame, reach: DataFrame, text_col: str) -> DataFrame:
                 maybe = set()
                 for w in set(WORD.findall(t.lower())):
                     if w not in known:
-                        if len(known) >= FLUSH:
+                        if len(known) >= KEPT_BITS:
                             known.clear()
                         k = xxhash.xxh64_intdigest(w.encode(), 42) & mask
                         known[w] = table[k >> 3] >> (k & 7) & 1
@@ -251,71 +211,60 @@ def occurrences(docs: DataFrame, reach: DataFrame, text_col: str) -> DataFrame:
     return found.join(loose(reach), "term").select("text_key", "start", "end", "entities").distinct()
 
 
-def find_private(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, alpha: float = ALPHA, min_joint: int = MIN_JOINT, everywhere: bool = False) -> DataFrame:
-    """Per row: ``doc_id``, counts of the base kinds, ``base`` and ``spans`` (kind:start:end in code points, comma-joined), and ``terms``.
+def find_private(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, min_joint: int = MIN_JOINT) -> DataFrame:
+    """Per row: ``doc_id``, counts of the base kinds, ``base`` and ``spans`` (kind:start:end in code points, comma-joined), ``terms`` and ``text_key``.
 
     ``spans`` has the base spans by kind, then those of disclosing terms as ``term``, by start. ``terms`` says for each of these whether it is to be
-    removed or generalised. Null or empty text has none. Rows that repeat are each reported, and count as often as they occur. An
-    entity that only one document has can't be told from chance and makes no term spans.
-
-    ``everywhere``: pairs are counted over whole documents instead of words within ``radius`` of an entity, and every occurrence of a disclosing term is
-    marked, in documents without the entity too.
+    removed or generalised (null: there are none). Null or empty text has none. Rows that repeat are each reported, and count as often as they occur. An
+    entity that fewer than ``min_joint`` documents have can't be told from chance and makes no term spans.
     """
-    if everywhere:
-        return _find_everywhere(docs, id_col, text_col, alpha, min_joint)
-    found = cut(scan(docs, id_col, text_col, radius), "private_scan")
-    rows = found.where(F.col("row").isNotNull()).withColumn("row", F.monotonically_increasing_id())
-    rows = cut(rows.drop("term", "n", "held", "text_key"), "private_rows")
+    rows = cut(scan(docs, id_col, text_col), "private_scan")
     total = rows.agg(F.count("*").alias("total"))  # one row
-    near = rows.select("row", F.explode("near").alias("x")).select("row", "x.*")
-    once = near.select("row", "entity", "term").distinct()
-    pairs = once.groupBy("entity", "term").agg(F.count("*").alias("n_joint")).where(F.col("n_joint") >= min_joint)
-    with_entity = near.select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    with_term = found.where(F.col("term").isNotNull()).groupBy("term").agg(F.sum("n").alias("n_term"))
+    with_entity = cut(rows.select(F.explode("held").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity")), "private_entities")
+    with_term = cut(term_counts(docs, text_col).where(F.col("n_term") >= min_joint), "private_counts")
+    pairs = joint_counts(rows, with_entity, with_term, total, alpha, min_joint)
     judged = pairs.join(loose(with_entity), "entity").join(loose(with_term), "term").crossJoin(F.broadcast(total))
     # PMI >= IC / alpha, in counts: ln(n_joint * total / (n_entity * n_term)) * alpha >= ln(total / n_entity)
     pmi = F.ln(F.col("n_joint") * F.col("total") / (F.col("n_entity") * F.col("n_term")))
-    disclosing = judged.where(pmi * alpha >= F.ln(F.col("total") / F.col("n_entity"))).select("entity", "term")
-    reach = disclosing.groupBy("term").agg(F.count("*").alias("entities"))
-    hits = near.join(loose(disclosing.join(loose(reach), "term")), ["entity", "term"])
-    hits = hits.groupBy("row", "start", "end").agg(F.max("entities").alias("entities"))
-    action = F.when(F.col("entities") > 1, "generalise").otherwise("remove")
-    hits = hits.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", action.alias("action")))).alias("terms"))
-    out = rows.drop("near").join(hits, "row", "left")
-    more = F.array_join(F.transform("terms", lambda t: F.concat(F.lit("term:"), t["start"].cast("string"), F.lit(":"), t["end"].cast("string"))), ",")
-    spans = F.when(F.col("terms").isNull(), F.col("spans")).when(F.col("spans") == "", more).otherwise(F.concat_ws(",", "spans", more))
-    return out.select("doc_id", *[f"n_{k}" for k in KINDS], F.col("spans").alias("base"), spans.alias("spans"), "terms")
-
-
-def _find_everywhere(docs: DataFrame, id_col: str, text_col: str, alpha: float, min_joint: int) -> DataFrame:
-    found = cut(scan(docs, id_col, text_col, 0), "private_scan")
-    rows = found.where(F.col("row").isNotNull()).select("doc_id", *[f"n_{k}" for k in KINDS], "spans", "held", "text_key")
-    total = rows.agg(F.count("*").alias("total"))  # one row
-    with_entity = rows.select(F.explode("held").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    with_term = found.where(F.col("term").isNotNull()).groupBy("term").agg(F.sum("n").alias("n_term"))
-    pairs = joint_counts(docs, rows, with_entity, with_term, total, id_col, text_col, alpha, min_joint)
-    judged = pairs.join(loose(with_entity), "entity").join(loose(with_term), "term").crossJoin(F.broadcast(total))
-    pmi = F.ln(F.col("n_joint") * F.col("total") / (F.col("n_entity") * F.col("n_term")))
     reach = cut(judged.where(pmi * alpha >= F.ln(F.col("total") / F.col("n_entity"))).groupBy("term").agg(F.count("*").alias("entities")), "private_terms")
     action = F.when(F.col("entities") > 1, "generalise").otherwise("remove")
     hits = occurrences(docs, reach, text_col).groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("start", "end", action.alias("action")))).alias("terms"))
-    out = rows.join(loose(hits), "text_key", "left")
+    out = rows.drop("held", "words").join(loose(hits), "text_key", "left")
     more = F.array_join(F.transform("terms", lambda t: F.concat(F.lit("term:"), t["start"].cast("string"), F.lit(":"), t["end"].cast("string"))), ",")
     spans = F.when(F.col("terms").isNull(), F.col("spans")).when(F.col("spans") == "", more).otherwise(F.concat_ws(",", "spans", more))
-    return out.select("doc_id", *[f"n_{k}" for k in KINDS], F.col("spans").alias("base"), spans.alias("spans"), "terms")
+    return out.select("doc_id", *[f"n_{k}" for k in KINDS], F.col("spans").alias("base"), spans.alias("spans"), "terms", "text_key")
 
 
-def sanitise(text: str, spans: str, generalised: str = "[{kind}]") -> str:
-    """A text with its spans replaced by a word for their kind; overlaps are taken from left to right."""
+def sanitise(text: str, spans: str, actions: list[str] | None = None, generalised: str = "[{kind}]") -> str:
+    """A text with its spans replaced by a word for their kind, but terms whose action is ``remove``, which go; overlaps are taken from left to right."""
+    found = [(int(a), -int(b), k) for k, a, b in (s.split(":") for s in spans.split(",") if s)]
+    terms = [x for x in found if x[2] == "term"]
+    act = dict(zip(terms, actions or [], strict=False))
     cut_at, out = 0, []
-    for kind, a, b in sorted(((k, int(a), int(b)) for k, a, b in (s.split(":") for s in spans.split(",") if s)), key=lambda x: (x[1], -x[2])):
-        if b > cut_at:
-            out += (text[cut_at : max(a, cut_at)], generalised.format(kind=kind) if a >= cut_at else "")
-            cut_at = b
+    for a, minus_b, kind in sorted(found):
+        if -minus_b > cut_at:
+            out += (text[cut_at : max(a, cut_at)], "" if a < cut_at or act.get((a, minus_b, kind)) == "remove" else generalised.format(kind=kind))
+            cut_at = -minus_b
     return "".join(out) + text[cut_at:]
 
 
+def sanitise_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, min_joint: int = MIN_JOINT) -> DataFrame:
+    """Every row of ``docs`` with its text sanitised: base spans and disclosing terms are replaced or removed. Null text becomes empty; columns stay."""
+    found = find_private(docs, id_col=id_col, text_col=text_col, alpha=alpha, min_joint=min_joint).where("spans <> ''")
+    found = found.groupBy(F.col("text_key").alias("__key")).agg(F.first("spans").alias("__spans"), F.first(F.transform("terms", lambda t: t["action"])).alias("__actions"))
+    d = docs.join(loose(found), text_key(text_col) == F.col("__key"), "left").drop("__key").withColumn(text_col, text_of(text_col))
+    names, schema = docs.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.withColumn(text_col, text_of(text_col)).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            col = dict(zip([*names, "__spans", "__actions"], b.columns, strict=True))
+            col[text_col] = pa.array([sanitise(t, s or "", a) for t, s, a in zip(*(col[c].to_pylist() for c in (text_col, "__spans", "__actions")), strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([col[c] for c in names], names=names)
+
+    return d.mapInArrow(run, schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    d = find_private(read(spark, sf_dir, "documents").select("doc_id", "text"), everywhere=True)
+    d = find_private(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2("base", 256).alias("base_sha256"), "spans")

@@ -148,16 +148,35 @@ def test_terms_that_reveal(spark):
     assert private_terms.find_private(spark.createDataFrame([], PLAIN)).count() == 0 and private_terms.find_private(spark.createDataFrame(rows, PLAIN)).count() == len(rows)
 
 
-def test_disclosure_against_brute_force(spark, texts):
-    got = {r.doc_id: r.spans for r in private_terms.find_private(spark.createDataFrame([(d, x, "") for d, x in texts], PLAIN), min_joint=1).collect()}
-    near = {d: private_terms.near_terms(x, private_terms.base_spans(x), private_terms.RADIUS) for d, x in texts}
-    n_term = collections.Counter(w for _, x in texts for w in set(re.findall(r"\w+", x.lower())))
-    n_entity = collections.Counter(e for v in near.values() for e in {x[0] for x in v})
-    n_joint = collections.Counter(p for v in near.values() for p in {x[:2] for x in v})
-    for d, x in texts:
-        hits = sorted({(s, e) for en, t, s, e in near[d] if math.log(n_joint[en, t] * len(texts) / (n_entity[en] * n_term[t])) * private_terms.ALPHA >= math.log(len(texts) / n_entity[en])})
-        want = private_terms.joined(private_terms.base_spans(x) + [("term", s, e) for s, e in hits])
-        assert got[d] == want
+def plain_disclosure(rows):
+    """(doc_id, spans) of every row, by counting over all of them."""
+    words = [set(re.findall(r"\w+", x.lower())) for _, x in rows]
+    spans = [private_terms.base_spans(x) for _, x in rows]
+    held = [{e for k, a, b in s for e in private_terms.entities(k, x[a:b])} for s, (_, x) in zip(spans, rows, strict=True)]
+    n_term, n_entity, n_joint = collections.Counter(w for s in words for w in s), collections.Counter(e for s in held for e in s), collections.Counter()
+    for h, s, (_, x) in zip(held, spans, rows, strict=True):
+        n_joint.update((e, w) for w in {w for w, _, _ in private_terms.free_terms(x, s)} for e in h)
+    ln, n = math.log, len(rows)
+    bad = {w for (e, w), j in n_joint.items() if j >= private_terms.MIN_JOINT and ln(j * n / (n_entity[e] * n_term[w])) * private_terms.ALPHA >= ln(n / n_entity[e])}
+    return [(d, private_terms.joined(s + [("term", a, b) for w, a, b in private_terms.free_terms(x, s) if w in bad])) for s, (d, x) in zip(spans, rows, strict=True)]
+
+
+def test_disclosure_against_brute_force(spark):
+    """At the settings of the query, over all documents of a larger folder, where the method marks terms beside the base spans."""
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").collect()]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.spans) for r in private_terms.find_private(d).collect())
+    assert got == sorted(plain_disclosure(rows)) and sum(s.count("term:") for _, s in got) > 10
+
+
+def test_sanitised_texts(spark):
+    filler = [(100 + i, f"ordinary words about the weather and the town {i}", "x") for i in range(60)]
+    told = [(i, f"please write to zorblax quickly at zed@corp.example today {i}", "x") for i in range(6)]
+    rows = filler + told + [(500, None, "x"), (501, "zorblax alone", "x")]
+    out = {r.doc_id: r for r in private_terms.sanitise_texts(spark.createDataFrame(rows, PLAIN)).collect()}
+    assert len(out) == len(rows) and out[500].text == "" and "zorblax" not in out[501].text and out[100].text == filler[0][1] and out[100].extra == "x"
+    assert "[email]" in out[0].text and "corp.example" not in out[0].text and "zorblax" not in out[0].text
+    assert private_terms.sanitise("ab cd ef", "term:0:2,term:3:5", ["remove", "generalise"]) == " [term] ef"
 
 
 # --- near-duplicates ---

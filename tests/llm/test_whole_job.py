@@ -30,8 +30,8 @@ def test_disclosing_terms_are_marked_everywhere(spark):
     rows = [(i, f"ordinary words about the town {i}") for i in range(60)]
     rows += [(100 + i, f"Zorblax is back. {gap}. Write to zed@corp.example today, {i}") for i in range(4)]
     rows += [(200, f"{gap} zorblax"), (201, gap), (100, rows[60][1]), (300, None)] + [(400 + i, f"{gap} {i}") for i in range(40)]
-    out = {r.doc_id: r for r in private_terms.find_private(spark.createDataFrame(rows, "doc_id long, text string"), everywhere=True).collect()}
+    out = {r.doc_id: r for r in private_terms.find_private(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all("term:0:7" in out[100 + i].spans and out[100 + i].n_email == 1 for i in range(4))
     at = len(gap) + 1
     assert out[200].spans == f"term:{at}:{at + 7}" and out[201].spans == "" and out[300].spans == ""
-    assert private_terms.find_private(spark.createDataFrame([], "doc_id long, text string"), everywhere=True).count() == 0
+    assert private_terms.find_private(spark.createDataFrame([], "doc_id long, text string")).count() == 0
