@@ -8,12 +8,14 @@ band are candidates: BANDS = 12 of 2 draws find a pair of similarity 0.8 with pr
 
 Exact copies are one text from the start. In each bucket of a band every text is compared with one pivot (the smallest key), not with all
 others, so a bucket costs as many comparisons as it has members, whatever its size; and pivots are the same across bands, so few pairs
-are new. Similarity is then verified on whole texts, and connected components of the verified links are the classes. A member that isn't
-in its pivot's class is compared again: the weighted Jaccard distance is a metric, so only members x with
-|d(pivot, f) - d(pivot, x)| <= 0.2 can be near f. All of these are compared: in a small rest by a join, in a large one by pairs of blocks,
-so a large group whose members are apart from one another costs as many comparisons as it has pairs.
+are new. Similarity is then verified on whole texts, and connected components of the verified links are the classes.
 
-Plan: texts are shuffled to the pairs that need them alone, and every result that is used twice is written to the shared folder.
+A member that isn't in its pivot's class is open. The weighted Jaccard distance is a metric, so only members x with d(pivot, x) >= d(pivot, f) - 0.2 can be near an
+open member f: these are the rest, and all links in it are found, by prefix filtering: with the shingles of every text in one order, rarest first, two texts of
+similarity 0.8 share a shingle among the first of each, up to where what follows weighs too little for the overlap that they need. Shingles of a template that a large group shares come
+last, so members that only the template makes alike share no prefix, and a large group of them costs what its texts cost and not its pairs. Nothing depends on a bucket's size.
+
+Plan: texts are shuffled to the pairs that need them alone, every result that is used twice is written to the shared folder, and links of the rest join classes, not texts.
 """
 
 from __future__ import annotations
@@ -22,20 +24,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeweave.llm.common import cut, drop_columns, loose, read, small_batches, text_of
+from lodeweave.llm.common import cut, loose, read, small_batches, text_of
 
-SHINGLE, THRESHOLD, BANDS, ROWS, SMALL_REST = 5, 0.8, 12, 2, 64
-#: Members in a block of a large rest, about: a task holds the texts of two blocks.
-BLOCK = 128
+SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 12, 2
 SKETCH_BITS, SKETCH_BLOCK = 20, 1 << 12
-KEPT_WORDS = 200_000
-LINKS_IN_PART = 100_000
-DELIMITERS = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
+#: Bytes of text, and shingles, that are worked on at once, about.
+GROUP_BYTES, GROUP_SHINGLES = 1 << 18, 40_000
+IS_WORD = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])
 M1, M2, M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
+Sets = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -45,30 +46,83 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """Hashes of words, kept for those seen; emptied when full."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def shingles(text: str, known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes, sorted, and their counts. Words are lower-cased runs of letters, digits and non-ASCII characters.
-
-    A text of fewer than five words, but some, is one shingle; one without words has none.
-    """
-    words = text.lower().encode("utf-8").translate(DELIMITERS).split()
-    if not words:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    w = np.fromiter([known[x] for x in words], np.uint64, len(words))
-    size, n = min(SHINGLE, len(w)), max(1, len(w) - SHINGLE + 1)
+BYTE_CODES = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * M3)
+
+
+def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of some texts (``data``, of which text i ends at ``ends[i]``) and the number of words before each end."""
+    inside = IS_WORD[data]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    borders = ends[:-1][ends[:-1] < len(data)]
+    begins[borders] = inside[borders]
+    starts = np.flatnonzero(begins)
+    codes = BYTE_CODES[data[inside]]
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(len(ends), np.int64)
+    first = (np.cumsum(inside) - 1)[starts]  # of each word, among the bytes of words
+    sizes = np.diff(first, append=len(codes))
+    # a polynomial in an odd constant, modulo 2^64
+    powers = np.full(int(sizes.max()), M2)
+    powers[0] = 1
+    np.multiply.accumulate(powers, out=powers)
+    codes *= powers[np.arange(len(codes)) - np.repeat(first, sizes)]
+    return mix(np.add.reduceat(codes, first) + sizes.astype(np.uint64)), np.searchsorted(starts, ends)
+
+
+def _window(w: np.ndarray, size: int) -> np.ndarray:
+    n = len(w) - size + 1
     h = np.full(n, size, np.uint64)
     for i in range(size):
         h = h * M3 + w[i : i + n]
-    return np.unique(mix(h), return_counts=True)
+    return mix(h)
+
+
+def _group_sets(texts: pa.Array) -> Sets:
+    low = pc.utf8_lower(texts)
+    at = np.frombuffer(low.buffers()[1], np.int32)[low.offset : low.offset + len(low) + 1]
+    data = np.frombuffer(low.buffers()[2], np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.zeros(0, np.uint8)
+    words, ends = word_hashes(data, (at[1:] - at[0]).astype(np.int64))
+    n_words = np.diff(ends, prepend=0)
+    n = np.where(n_words >= SHINGLE, n_words - SHINGLE + 1, np.minimum(n_words, 1))
+    stop = np.cumsum(n)
+    start = stop - n
+    out = np.empty(int(stop[-1]) if len(stop) else 0, np.uint64)
+    if len(words) >= SHINGLE:
+        long = np.flatnonzero(n_words >= SHINGLE)
+        of = np.repeat(long, n[long])
+        k = np.arange(len(of)) - np.repeat(np.cumsum(n[long]) - n[long], n[long])
+        out[start[of] + k] = _window(words, SHINGLE)[(ends - n_words)[of] + k]
+    for i in np.flatnonzero((n_words > 0) & (n_words < SHINGLE)).tolist():
+        out[start[i]] = _window(words[ends[i] - n_words[i] : ends[i]], int(n_words[i]))[0]
+    for a, b in zip(start.tolist(), stop.tolist(), strict=True):
+        out[a:b].sort()
+    new = np.ones(len(out), bool)
+    new[1:] = out[1:] != out[:-1]
+    new[start[n > 0]] = True
+    kept = np.flatnonzero(new)
+    return out[kept], np.diff(kept, append=len(out)), np.searchsorted(kept, stop)
+
+
+def shingle_sets(texts: pa.Array) -> Iterator[Sets]:
+    """Of groups of texts, in order: all distinct shingle hashes, sorted in each text, their counts, and where each text ends among them.
+
+    Words are lower-cased runs of letters, digits and non-ASCII characters. A text of fewer than five words, but some, is one shingle; one without words has none.
+    """
+    sizes = np.diff(np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1])
+    at, size = 0, 0
+    for i, k in enumerate(sizes.tolist()):
+        if i > at and size + k > GROUP_BYTES:
+            yield _group_sets(texts.slice(at, i - at))
+            at, size = i, 0
+        size += k
+    if at < len(texts):
+        yield _group_sets(texts.slice(at))
+
+
+def shingles(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of one text, sorted, and their counts."""
+    return _group_sets(pa.array([text]))[:2]
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
@@ -82,10 +136,10 @@ def document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, in
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total, rows = WordHashes(), np.zeros(1 << SKETCH_BITS, np.uint32), 0
+        total, rows = np.zeros(1 << SKETCH_BITS, np.uint32), 0
         for b in batches:
-            for text in b.column(0):
-                np.add.at(total, _slot(shingles(text.as_py(), known)[0]), 1)
+            for h, _, _ in shingle_sets(b.column(0)):
+                np.add.at(total, _slot(h), 1)
             rows += b.num_rows
         if rows:
             blocks = total.reshape(-1, SKETCH_BLOCK)
@@ -120,12 +174,21 @@ def idf_table(sketch: np.ndarray, n: int) -> np.ndarray:
     return (0.9 + 0.1 * np.log1p(n / np.maximum(sketch, 1)) / np.log1p(n)).astype(np.float32)
 
 
-def weighted(text: str, known: WordHashes, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def weighted(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted shingle hashes and their tf * idf weights."""
-    h, tf = shingles(text, known)
+    h, tf = shingles(text)
     return h, tf.astype(np.float32) * idf[_slot(h)]
 
 
+def weighted_sets(texts: pa.Array, idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``weighted`` of each of some texts."""
+    for h, tf, ends in shingle_sets(texts):
+        w, at = tf.astype(np.float32) * idf[_slot(h)], 0
+        for end in ends.tolist():
+            yield h[at:end], w[at:end]
+            at = end
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard: the sum of smaller weights over the sum of larger ones; 0 if either text has no words."""
     if not len(a[0]) or not len(b[0]):
@@ -147,6 +210,7 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], bands: int = BANDS, ro
     h, log_w = np.concatenate([h for h, _ in sets]), np.log(np.concatenate([w for _, w in sets]))
     owner = np.repeat(np.arange(len(sets)), sizes)
     unit, low24 = np.float32(2.0**-24), np.uint64(0xFFFFFF)
+    new = np.ones(1, bool)
     out = np.zeros((len(sets), bands), np.uint64)
     for k in range(bands * rows):
         x = mix(h ^ np.uint64((k + 1) * int(M3) & (1 << 64) - 1))
@@ -163,8 +227,8 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], bands: int = BANDS, ro
         score = np.log(-np.log(v)) - r * (t - b) - r
         best = np.minimum.reduceat(score, starts)
         at = np.flatnonzero(score == best[owner])
-        _, first = np.unique(owner[at], return_index=True)
-        at = at[first]
+        of = owner[at]
+        at = at[np.concatenate([new, of[1:] != of[:-1]])]  # of equal scores the first
         draw = mix(h[at] + (t[at].astype(np.int64).astype(np.uint64) + np.uint64(k + 1)) * M2)
         out[:, k // rows] = mix(out[:, k // rows] + draw)
     return out
@@ -179,20 +243,18 @@ def sign(docs: DataFrame, id_col: str, text_col: str, idf) -> DataFrame:  # noqa
     """``id``, ``key`` and ``bands`` (empty for a text without words) of every row; equal texts of a batch are sampled once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, table = WordHashes(), idf.value
+        table = idf.value
         for b in batches:
             keys = b.column(1).to_pylist()
             first = {k: i for i, k in reversed([*enumerate(keys)])}
             found: dict[bytes, np.ndarray] = {}
             group: list[tuple[bytes, tuple[np.ndarray, np.ndarray]]] = []
             size = 0
-            for k, i in [*first.items(), (None, -1)]:
-                if k is not None:
-                    s = weighted(b.column(2)[i].as_py(), known, table)
-                    if len(s[0]):
-                        group.append((k, s))
-                        size += len(s[0])
-                if group and (size > 40_000 or k is None):
+            for k, s in (*zip(first, weighted_sets(b.column(2).take(pa.array([*first.values()], pa.int64())), table), strict=True), (None, ((), ()))):
+                if k is not None and len(s[0]):
+                    group.append((k, s))
+                    size += len(s[0])
+                if group and (size > GROUP_SHINGLES or k is None):
                     found |= dict(zip([g[0] for g in group], signatures([g[1] for g in group]), strict=True))
                     group, size = [], 0
             bands = [found[k].astype(np.int64) if k in found else np.zeros(0, np.int64) for k in keys]
@@ -204,49 +266,81 @@ def sign(docs: DataFrame, id_col: str, text_col: str, idf) -> DataFrame:  # noqa
 
 
 def verify(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:  # noqa: ANN001
-    """The distance 1 - weighted Jaccard of each pair ``a``, ``b`` of keys, of which ``a`` repeats."""
+    """``d``, the distance 1 - weighted Jaccard, of each pair ``a``, ``b`` of keys, of which ``a`` repeats; other columns are kept."""
     t = lambda name: texts.select(F.col("key").alias(name), F.col("text").alias(f"text_{name}"))
-    both = pairs.join(t("b"), "b").join(t("a"), "a").select("a", "b", "text_a", "text_b")
+    more = [c for c in pairs.columns if c not in ("a", "b")]
+    both = pairs.join(t("b"), "b").join(t("a"), "a").select("a", "b", *more, "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, table, last = WordHashes(), idf.value, (None, None)
+        table, last = idf.value, (None, None)
         for batch in batches:
             out = []
-            for a, text_a, text_b in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            for a, text_a, y in zip(batch.column(0).to_pylist(), batch.column(len(more) + 2), weighted_sets(batch.column(len(more) + 3), table), strict=True):
                 if last[0] != a:
-                    last = (a, weighted(text_a.as_py(), known, table))
-                out.append(1.0 - similarity(last[1], weighted(text_b.as_py(), known, table)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["a", "b", "d"])
+                    last = (a, weighted(text_a.as_py(), table))
+                out.append(1.0 - similarity(last[1], y))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(more) + 2], pa.array(out, pa.float64())], names=["a", "b", *more, "d"])
 
-    return both.mapInArrow(run, "a binary, b binary, d double")
+    return both.mapInArrow(run, ", ".join(f"{c} binary" for c in ("a", "b", *more)) + ", d double")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``key`` and ``root`` (the smallest key of its component) of every key in ``links`` (a, b), by large-star and small-star rounds."""
-    # rounds over few links are short tasks: as many partitions as their number needs, and so few files
-    parts = max(1, min(int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")), links.count() // LINKS_IN_PART + 1))
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct().coalesce(parts), "edges")
-    state = None
+    """``key`` and ``root`` (the smallest key of its component) of every key in ``links`` (a, b), but of roots.
+
+    Each key is a child of smaller ones. In a round a child keeps its smallest parent, its other parents become children of that one, and a parent that is
+    a child itself is replaced by its own parent. A root that a third of all keys have is a parent only, never a key that rows are grouped by.
+    """
+    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct().hint("rebalance"), "edges")
     while True:
-        # large star: each larger neighbour of u is linked to the smallest of u and its neighbours
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(loose(low, parts), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # small star: u and its smaller neighbours are linked to the smallest of these
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(loose(low, parts), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = cut(small.where("u <> v").distinct().coalesce(parts), "edges")
-        new = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if new == state:
-            return edges.select(F.col("u").alias("key"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("key"), F.col("v").alias("root")).distinct())
-        state = new
-
-
-def find_links(signed: DataFrame, docs: DataFrame, id_col: str, text_col: str, idf, threshold: float) -> DataFrame:  # noqa: ANN001
-    """Verified distances ``a``, ``b``, ``d`` of candidates; links are those with d <= 1 - threshold."""
+        low = edges.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("top"))
+        other = edges.join(low.where("m <> top").select("u", "m").hint("rebalance"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"), F.lit(True).alias("hooked"))
+        flat = low.select("u", F.col("m").alias("v"), F.lit(False).alias("hooked")).unionByName(other)
+        up = low.select(F.col("u").alias("v"), F.col("m").alias("above")).hint("rebalance")
+        moved = flat.join(up, "v", "left").select("u", F.coalesce("above", "v").alias("v"), (F.col("hooked") | F.col("above").isNotNull()).alias("moved"))
+        edges = cut(moved.groupBy("u", "v").agg(F.max("moved").alias("moved")).hint("rebalance"), "edges")
+        if not edges.agg(F.max("moved")).first()[0]:
+            return edges.select(F.col("u").alias("key"), F.col("v").alias("root"))
+
+
+def prefixes(texts: DataFrame, idf, threshold: float) -> DataFrame:  # noqa: ANN001
+    """From rows with a ``key`` and a ``text``: ``key``, ``shingle``, ``weight`` (of the text), ``left`` (from this shingle on) and ``first`` of the shingles of its prefix.
+
+    Shingles are in the order of their document frequency, rarest first. Two texts of similarity t or more overlap by t of the heavier one's weight at least, and by 2t / (1 + t) of
+    the lighter one's; so the first shingle that they share is one with at least that much left, in both: ``first`` says that it is so for the lighter one.
+    """
+    share = 2 * threshold / (1 + threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, parts, size = idf.value, [], 0
+
+        def out() -> pa.RecordBatch:
+            columns = [np.concatenate(c) for c in zip(*[x[1:] for x in parts], strict=True)]
+            keys = pa.array([k for k, h, *_ in parts for _ in range(len(h))], pa.binary())
+            parts.clear()
+            return pa.RecordBatch.from_arrays([keys, *map(pa.array, columns)], names=["key", "shingle", "weight", "left", "first"])
+
+        for b in batches:
+            for key, (h, w) in zip(b.column(0).to_pylist(), weighted_sets(b.column(1), table), strict=True):
+                if len(h):
+                    order = np.lexsort((h, -table[_slot(h)]))
+                    left = np.cumsum(w[order][::-1].astype(np.float64))[::-1]
+                    n = int(np.searchsorted(-left, -(threshold * left[0] - 1e-6), side="right"))
+                    parts.append((key, h[order[:n]].astype(np.int64), np.full(n, left[0]), left[:n], left[:n] >= share * left[0] - 1e-6))
+                    size += n
+                    if size >= GROUP_SHINGLES:
+                        yield out()
+                        size = 0
+        if parts:
+            yield out()
+
+    return texts.select("key", "text").mapInArrow(run, "key binary, shingle long, weight double, left double, first boolean")
+
+
+def find_classes(signed: DataFrame, docs: DataFrame, id_col: str, text_col: str, idf, threshold: float) -> DataFrame:  # noqa: ANN001
+    """``key`` and ``root`` (the smallest key of its class) of the keys that links join, but of roots."""
     limit = 1 - threshold + 1e-9
     first = signed.where(F.size("bands") > 0).groupBy("key").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
-    spread = first.select("key", F.posexplode("bands").alias("band", "value")).select("key", "band", F.xxhash64("band", "value").alias("bucket"))
+    spread = first.select("key", F.posexplode("bands").alias("band", "value")).select("key", F.xxhash64("band", "value").alias("bucket"))
     pivots = spread.groupBy("bucket").agg(F.min("key").alias("pivot"), F.max("key").alias("top")).where("pivot <> top").drop("top")
     members = cut(spread.join(loose(pivots), "bucket"), "members")
     # the text of one row for each key that is in a bucket with another; copies aren't read, as the id must fit too
@@ -255,71 +349,34 @@ def find_links(signed: DataFrame, docs: DataFrame, id_col: str, text_col: str, i
     texts = cut(rows.join(needed, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("row_key") == F.col("key"))).select("key", "id", "text").dropDuplicates(["id", "key"]).drop("id"), "texts")
     pairs = members.where("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
     known = cut(verify(pairs, texts, idf), "verified")
-    linked = known.where(F.col("d") <= limit)
-    # what isn't in the class of its pivot yet
-    roots = loose(components(linked))
+    roots = components(known.where(F.col("d") <= limit))
+    # what isn't in the class of its pivot yet, and what can be near it
+    up = loose(roots)
     m = members.where("key <> pivot").join(known.select(F.col("a").alias("pivot"), F.col("b").alias("key"), "d"), ["pivot", "key"])
-    m = m.join(roots, "key", "left").join(roots.select(F.col("key").alias("pivot"), F.col("root").alias("pivot_root")), "pivot", "left")
+    m = m.join(up, "key", "left").join(up.select(F.col("key").alias("pivot"), F.col("root").alias("pivot_root")), "pivot", "left")
     m = m.withColumn("root", F.coalesce("root", "key")).withColumn("apart", F.col("root") != F.coalesce("pivot_root", "pivot"))
-    m = cut(m.select("bucket", "band", "key", "root", "d", "apart"), "rest")
-    open_ = m.groupBy("bucket").agg(F.min(F.when(F.col("apart"), F.col("d"))).alias("low"), F.count_if("apart").alias("n_apart")).where("n_apart > 0")
-    # a member that is in the class of the pivot stays only if it can be near one that isn't
+    m = cut(m.select("bucket", "key", "root", "d", "apart"), "rest")
+    open_ = m.groupBy("bucket").agg(F.min(F.when(F.col("apart"), F.col("d"))).alias("low")).where("low IS NOT NULL")
     rest = m.join(loose(open_), "bucket").where(F.col("apart") | (F.col("d") >= F.col("low") - limit))
-    counted = rest.groupBy("bucket").agg(F.count("*").alias("n"))
-    rest = cut(rest.join(loose(counted), "bucket").select("bucket", "band", "key", "root", "d", "apart", "n"), "rest")
-    small = rest.where(F.col("n") <= SMALL_REST)
-    x = lambda df, s: df.select("bucket", *[F.col(c).alias(f"{c}{s}") for c in ("key", "root", "d", "apart")])
-    near = x(small.where("apart"), 1).join(x(small, 2), "bucket").where((F.col("root1") != F.col("root2")) & (F.abs(F.col("d1") - F.col("d2")) <= limit))
-    more = near.select(F.least("key1", "key2").alias("a"), F.greatest("key1", "key2").alias("b"))
-    more = more.distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
-    found = known.unionByName(cut(verify(more, texts, idf), "verified"))
-    large = rest.where(F.col("n") > SMALL_REST).join(first.select("key", "bands"), "key").join(texts, "key")
-    return found.unionByName(cut(compare_blocks(large, idf, limit), "verified"))
-
-
-def compare_blocks(rest: DataFrame, idf, limit: float) -> DataFrame:  # noqa: ANN001
-    """Links ``a``, ``b``, ``d`` among the open members of large buckets (bucket, band, key, root, d, apart, n, bands, text), with none left out.
-
-    Members of a bucket are dealt into blocks of about BLOCK, and each pair of blocks is a task's work, so no task has a whole bucket. A pair is compared in the first
-    band that it shares. What links found in the same two blocks have joined already isn't compared again, as only classes matter.
-    """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = rest.withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "band", "key", "root", "d", "apart", "bands", "text")
-
-    def run(cell: pa.Table) -> pa.Table:
-        known, table = WordHashes(), idf.value
-        low, high, band = (cell.column(c)[0].as_py() for c in ("low", "high", "band"))
-        keys, root = cell.column("key").to_pylist(), cell.column("root").to_pylist()
-        block, d, apart = (cell.column(c).to_numpy() for c in ("block", "d", "apart"))
-        bands = np.array(cell.column("bands").to_pylist(), np.int64)
-        sets = [weighted(t.as_py(), known, table) for t in cell.column("text")]
-        size = np.array([s[1].sum(dtype=np.float64) for s in sets])
-        up = {r: r for r in root}
-
-        def find(x: bytes) -> bytes:
-            while up[x] != x:
-                up[x] = x = up[up[x]]
-            return x
-
-        out: list[tuple[bytes, bytes, float]] = []
-        for i in range(len(keys)):
-            if block[i] != low:
-                continue
-            same = bands == bands[i]
-            # weights too unlike, or distances to the pivot: never near
-            near = (np.argmax(same, axis=1) == band) & (apart | apart[i]) & (np.abs(d - d[i]) <= limit) & (np.minimum(size, size[i]) >= (1 - limit) * np.maximum(size, size[i]) - 1e-6)
-            near &= np.arange(len(keys)) > i if low == high else block == high
-            for j in np.flatnonzero(near).tolist():
-                a, b = find(root[i]), find(root[j])
-                if a != b:
-                    x = 1.0 - similarity(sets[i], sets[j])
-                    if x <= limit:
-                        out.append((min(keys[i], keys[j]), max(keys[i], keys[j]), x))
-                        up[max(a, b)] = min(a, b)
-        return pa.table({"a": pa.array([x[0] for x in out], pa.binary()), "b": pa.array([x[1] for x in out], pa.binary()), "d": pa.array([x[2] for x in out], pa.float64())})
-
-    return dealt.groupBy("bucket", "low", "high").applyInArrow(run, "a binary, b binary, d double")
+    rest = cut(rest.groupBy("key").agg(F.first("root").alias("root"), F.max("apart").alias("apart")), "rest")
+    p = cut(prefixes(texts.join(rest.select("key"), "key", "left_semi"), idf, threshold).join(rest, "key"), "prefixes")
+    # the lighter text is 1; one of two texts of a pair is apart from a pivot, so no pairs inside a class are made
+    x = lambda df, k: df.select("shingle", *[F.col(c).alias(f"{c}{k}") for c in ("key", "root", "weight", "left")])
+
+    def meet(one: DataFrame, two: DataFrame) -> DataFrame:
+        sizes = (F.col("weight1") <= F.col("weight2")) & (F.col("weight1") >= threshold * F.col("weight2") - 1e-6)
+        enough = F.least("left1", "left2") >= threshold / (1 + threshold) * (F.col("weight1") + F.col("weight2")) - 1e-5
+        return x(one, 1).join(x(two, 2), "shingle").where((F.col("root1") != F.col("root2")) & sizes & enough).select("key1", "key2", "root1", "root2")
+
+    near = meet(p.where("first AND apart"), p).unionByName(meet(p.where("first"), p.where("apart")))
+    ordered = lambda a, b, low: F.when(F.col("key1") < F.col("key2"), F.col(a if low else b)).otherwise(F.col(b if low else a))
+    more = near.select(ordered("key1", "key2", True).alias("a"), ordered("key1", "key2", False).alias("b"), ordered("root1", "root2", True).alias("root_a"), ordered("root1", "root2", False).alias("root_b")).distinct()
+    more = more.join(known.select("a", "b"), ["a", "b"], "left_anti")
+    # links between classes: the classes of a class are few, and their rounds short
+    joined = components(verify(more, texts, idf).where(F.col("d") <= limit).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+    over = joined.select(F.col("key").alias("root"), F.col("root").alias("new"))
+    moved = roots.join(loose(over), "root", "left").select("key", F.coalesce("new", "root").alias("root"))
+    return moved.unionByName(joined.select("key", "root"))
 
 
 def classify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -333,8 +390,7 @@ def classify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     sketch, n = document_frequencies(docs, text_col)
     idf = spark.sparkContext.broadcast(idf_table(sketch, n))
     signed = cut(sign(docs, id_col, text_col, idf), "signed")
-    known = find_links(signed, docs, id_col, text_col, idf, threshold)
-    roots = components(known.where(F.col("d") <= 1 - threshold + 1e-9))
+    roots = find_classes(signed, docs, id_col, text_col, idf, threshold)
     worded = signed.where(F.size("bands") > 0).select("id", "key").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     classes = worded.groupBy("root").agg(F.min("id").alias("class_id"), F.count("*").alias("n_class"))
     out = worded.join(loose(classes), "root").select(F.col("id").alias("doc_id"), "key", "class_id", "n_class")
@@ -344,9 +400,9 @@ def classify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that stand for their class: those of the smallest id, and one row only where a row repeats."""
     c = classify(docs, id_col=id_col, text_col=text_col, threshold=threshold).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    c = c.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
-    d = drop_columns(docs, "_id", "_key").withColumn("_row_key", text_key(text_col))
-    return d.join(c, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_id")) & (F.col("_row_key") == F.col("_key")), "left_semi").dropDuplicates([id_col, "_row_key"]).drop("_row_key")
+    c = c.select(F.col("doc_id").alias("__kept_id"), F.col("key").alias("__kept_key")).distinct()
+    d = docs.withColumn("__row_key", text_key(text_col))
+    return d.join(c, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__kept_id")) & (F.col("__row_key") == F.col("__kept_key")), "left_semi").dropDuplicates([id_col, "__row_key"]).drop("__row_key")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
@@ -185,8 +186,8 @@ def test_sanitised_texts(spark):
 def plain_classes(spark, rows):
     d = spark.createDataFrame(rows, "doc_id long, text string")
     sketch, n = near_duplicates.document_frequencies(d, "text")
-    idf, known = near_duplicates.idf_table(sketch, n), near_duplicates.WordHashes()
-    sets = {i: near_duplicates.weighted(x or "", known, idf) for i, x in rows}
+    idf = near_duplicates.idf_table(sketch, n)
+    sets = {i: near_duplicates.weighted(x or "", idf) for i, x in rows}
     root = {i: i for i in sets}
 
     def find(x):
@@ -218,6 +219,51 @@ def test_classes_against_all_pairs(spark, texts):
     assert got == want and got[20_004] == 20_003 and got[20_001] == 20_001
 
 
+def test_shingles_of_groups():
+    r = random.Random(4)
+    texts = ["", "!!", "one", "One, two!", "a b c d", "a b c d e", "a b c d e " * 9, "\u00c9t\u00e9 \u0130 x y z " * 3, "x" * 100_000] + [" ".join(r.choices("abcdefg", k=r.randint(0, 40))) for _ in range(200)]
+    some = pa.array(["skipped", *texts]).slice(1)
+    for t, (h, _) in zip(texts, near_duplicates.weighted_sets(some, np.ones(1 << near_duplicates.SKETCH_BITS, np.float32)), strict=True):
+        words = re.findall(r"[0-9a-z\u0080-\U0010ffff]+", t.lower())
+        plain = collections.Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else {}
+        alone, counts = near_duplicates.shingles(t)
+        assert len(h) == len(plain) and (alone == h).all() and sorted(counts.tolist()) == sorted(plain.values()) and (np.diff(h.astype(object)) > 0).all()
+
+
+@pytest.mark.parametrize("n", [4_800, 20_000])
+def test_links_in_a_group_that_a_template_makes_alike(spark, n):
+    """Texts of 230 words that share 200, unrelated pairs of which are just below the threshold; planted pairs must be found, and nothing else."""
+    r, words = random.Random(5), [f"w{i}" for i in range(50_000)]
+    common, rows = r.choices(words, k=200), []
+    for i in range(n - 800):
+        own = r.choices(words, k=30)
+        rows.append((i, " ".join(common + own)))
+        if i < 800:  # a partner with up to 15 other words at the end
+            k = 1 + i % 15
+            rows.append((n + i, " ".join(common + own[: 30 - k] + r.choices(words, k=k))))
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {x.doc_id: x.class_id for x in near_duplicates.classify(d).collect()}
+    assert all(got[n + i] == got[i] == i for i in range(800)) and len(set(got.values())) == n - 800
+
+
+def test_components_of_long_chains(spark):
+    r = random.Random(6)
+    ids = [i.to_bytes(4, "big") for i in range(3000)]
+    links = [(ids[i], ids[i + 1]) for i in range(500)] + [(ids[1000], ids[i]) for i in range(1001, 2000)] + [(ids[r.randrange(2000, 3000)], ids[r.randrange(2000, 3000)]) for _ in range(1200)]
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    want = {x: find(x) for p in links for x in p if find(x) != x}
+    assert {bytes(x.key): bytes(x.root) for x in near_duplicates.components(spark.createDataFrame(links, "a binary, b binary")).collect()} == want
+
+
 def test_sampling_estimates_similarity():
     r = np.random.default_rng(1)
     h = np.unique(r.integers(0, 2**63, 400).astype(np.uint64))
