@@ -13,7 +13,8 @@ are new. Similarity is then verified on whole texts, and connected components of
 A member that isn't in its pivot's class is open. The weighted Jaccard distance is a metric, so only members x with d(pivot, x) >= d(pivot, f) - 0.2 can be near an
 open member f: these are the rest, and all links in it are found, by prefix filtering: with the shingles of every text in one order, rarest first, two texts of
 similarity 0.8 share a shingle among the first of each, up to where what follows weighs too little for the overlap that they need. Shingles of a template that a large group shares come
-last, so members that only the template makes alike share no prefix, and a large group of them costs what its texts cost and not its pairs. Nothing depends on a bucket's size.
+last, so members that only the template makes alike share no prefix, and a large group of them costs what its texts cost and not its pairs. Texts that share a shingle are first
+compared with the one of them that has the least of its own, which joins the members of a large class, and then all pairs that are still of two classes are. Nothing depends on a bucket's size.
 
 Plan: texts are shuffled to the pairs that need them alone, every result that is used twice is written to the shared folder, and links of the rest join classes, not texts.
 """
@@ -34,6 +35,8 @@ SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 12, 2
 SKETCH_BITS, SKETCH_BLOCK = 20, 1 << 12
 #: Bytes of text, and shingles, that are worked on at once, about.
 GROUP_BYTES, GROUP_SHINGLES = 1 << 18, 40_000
+#: Rounds in which texts that share a shingle are compared with one of them, another each time, before all pairs that are still of two classes are.
+PIVOT_ROUNDS = 3
 IS_WORD = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])
 M1, M2, M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 Sets = tuple[np.ndarray, np.ndarray, np.ndarray]
@@ -360,23 +363,40 @@ def find_classes(signed: DataFrame, docs: DataFrame, id_col: str, text_col: str,
     rest = m.join(loose(open_), "bucket").where(F.col("apart") | (F.col("d") >= F.col("low") - limit))
     rest = cut(rest.groupBy("key").agg(F.first("root").alias("root"), F.max("apart").alias("apart")), "rest")
     p = cut(prefixes(texts.join(rest.select("key"), "key", "left_semi"), idf, threshold).join(rest, "key"), "prefixes")
-    # the lighter text is 1; one of two texts of a pair is apart from a pivot, so no pairs inside a class are made
-    x = lambda df, k: df.select("shingle", *[F.col(c).alias(f"{c}{k}") for c in ("key", "root", "weight", "left")])
+    for last in (*[False] * PIVOT_ROUNDS, True):
+        # shingles whose texts are in several classes; the pivot is the text with the least of its own before the shingle
+        several = p.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.struct((F.col("left") / F.col("weight")).alias("share"), "key", "root", "weight", "left")).alias("top")).where("low <> high")
+        p = cut(p.join(loose(several.select("shingle", "top")), "shingle"), "prefixes")
+        near = all_pairs(p, threshold) if last else p.select("key", "root", "weight", "left", *[F.col(f"top.{c}").alias(f"{c}2") for c in ("key", "root", "weight", "left")]).where(may_link(threshold))
+        ordered = lambda c: [F.when(F.col("key") < F.col("key2"), F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in ((c, f"{c}2", "a" if c == "key" else "root_a"), (f"{c}2", c, "b" if c == "key" else "root_b"))]
+        more = near.select(*ordered("key"), *ordered("root")).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
+        found = cut(verify(more, texts, idf), "verified")
+        known = known.select("a", "b", "d").unionByName(found.select("a", "b", "d"))
+        # links between classes: the classes of a class are few, and their rounds short
+        joined = components(found.where(F.col("d") <= limit).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+        over = joined.select(F.col("key").alias("root"), F.col("root").alias("new"))
+        relabel = lambda df: df.join(loose(over), "root", "left").withColumn("root", F.coalesce("new", "root")).select(*df.columns)
+        roots = cut(relabel(roots).unionByName(joined.select("key", "root")), "roots")
+        # the pivot has been compared with all of its group
+        p = relabel(p.where("key <> top.key").select("key", "shingle", "weight", "left", "first", "root", "apart"))
+    return roots
+
+
+def may_link(threshold: float) -> Column:
+    """Texts of two classes whose weights allow the threshold, if the shingle is the first that they share."""
+    light, heavy = F.least("weight", "weight2"), F.greatest("weight", "weight2")
+    return (F.col("root") != F.col("root2")) & (light >= threshold * heavy - 1e-6) & (F.least("left", "left2") >= threshold / (1 + threshold) * (light + heavy) - 1e-5)
+
+
+def all_pairs(p: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of rows of ``prefixes`` that share a shingle and may link; one text of a pair is apart from a pivot of its bucket, and the lighter one's shingle is ``first``."""
 
     def meet(one: DataFrame, two: DataFrame) -> DataFrame:
-        sizes = (F.col("weight1") <= F.col("weight2")) & (F.col("weight1") >= threshold * F.col("weight2") - 1e-6)
-        enough = F.least("left1", "left2") >= threshold / (1 + threshold) * (F.col("weight1") + F.col("weight2")) - 1e-5
-        return x(one, 1).join(x(two, 2), "shingle").where((F.col("root1") != F.col("root2")) & sizes & enough).select("key1", "key2", "root1", "root2")
-
-    near = meet(p.where("first AND apart"), p).unionByName(meet(p.where("first"), p.where("apart")))
-    ordered = lambda a, b, low: F.when(F.col("key1") < F.col("key2"), F.col(a if low else b)).otherwise(F.col(b if low else a))
-    more = near.select(ordered("key1", "key2", True).alias("a"), ordered("key1", "key2", False).alias("b"), ordered("root1", "root2", True).alias("root_a"), ordered("root1", "root2", False).alias("root_b")).distinct()
-    more = more.join(known.select("a", "b"), ["a", "b"], "left_anti")
-    # links between classes: the classes of a class are few, and their rounds short
-    joined = components(verify(more, texts, idf).where(F.col("d") <= limit).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
-    over = joined.select(F.col("key").alias("root"), F.col("root").alias("new"))
-    moved = roots.join(loose(over), "root", "left").select("key", F.coalesce("new", "root").alias("root"))
-    return moved.unionByName(joined.select("key", "root"))
+        columns = ("key", "root", "weight", "left")
+        other = two.select("shingle", *[F.col(c).alias(f"{c}2") for c in columns])
+        return one.select("shingle", *columns).join(other, "shingle").where(may_link(threshold) & (F.col("weight") <= F.col("weight2"))).select("key", "root", "key2", "root2")
+
+    return meet(p.where("first AND apart"), p).unionByName(meet(p.where("first"), p.where("apart")))
 
 
 def classify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
