@@ -18,6 +18,13 @@ def budget(hits: DataFrame, tokens: int = 6000, query_id: str = "query_id", orde
     return running.where((F.col("marker") == 1) | (F.col("used_tokens") <= tokens))
 
 
+def continue_markers(hits: DataFrame, given: DataFrame, turn: list[str], order: str = "rank") -> DataFrame:
+    """Hits of a further call in a turn with markers that go on after those that the turn has given out (``given``: turn, marker)."""
+    last = given.groupBy(*turn).agg(F.max("marker").alias("_last"))
+    n = F.row_number().over(Window.partitionBy(*turn).orderBy(order))
+    return hits.join(last, turn, "left").withColumn("marker", F.coalesce("_last", F.lit(0)) + n).drop("_last")
+
+
 def context(citations: DataFrame, query_id: str = "query_id", label: str = "label", text: str = "content") -> DataFrame:
     """The prompt's passages: ``[#n] label`` and the text, in order."""
     part = F.concat(F.lit("[#"), F.col("marker").cast("string"), F.lit("] "), F.col(label), F.lit("\n"), F.col(text))
@@ -42,7 +49,7 @@ def markers(answer: Column) -> Column:
 def drop_unknown_markers(answer: Column, known: Column) -> Column:
     """An answer without markers of passages that it wasn't given (``known``: array of int)."""
     unknown = F.array_except(markers(answer), known)
-    return F.trim(F.aggregate(unknown, answer, lambda a, m: F.regexp_replace(F.replace(a, F.concat(F.lit("[#"), m.cast("string"), F.lit("]")), F.lit("\u0000")), "\\s*\u0000", "")))
+    return F.trim(F.aggregate(unknown, answer, lambda a, m: F.regexp_replace(a, F.concat(F.lit("\\s*\\[#"), m.cast("string"), F.lit("\\]")), F.lit(""))))
 
 
 def judge_answers(answers: DataFrame, citations: DataFrame, query_id: str = "query_id") -> DataFrame:

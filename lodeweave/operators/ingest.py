@@ -164,6 +164,12 @@ def purge_source(documents: DataFrame, chunks: DataFrame, source_key: str, embed
     return d, forget_vectors(chunks, own)
 
 
+def resize_vectors(documents: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables before vectors of another width are made: no chunk has one, and embedded documents are ``chunked`` again."""
+    status = F.when(F.col("status") == "embedded", "chunked").otherwise(F.col("status"))
+    return documents.withColumns({"embedded_chunk_count": F.lit(0).cast("long"), "status": status}), forget_vectors(chunks)
+
+
 def orphans(stored: DataFrame, source: DataFrame) -> DataFrame:
     """Stored documents that the source no longer has: one anti join."""
     return stored.join(source.select(*KEY).distinct(), KEY, "left_anti")

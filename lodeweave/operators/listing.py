@@ -98,3 +98,24 @@ def with_counts(df: DataFrame, child: DataFrame, key: str, foreign_key: str, fla
     """With the number of children, and whether any of them has the flag."""
     c = child.groupBy(F.col(foreign_key).alias("_fk")).agg(F.count("*").alias(count_name), F.max(F.coalesce(flag, F.lit(False))).alias(flag_name))
     return df.join(c, F.col(key) == F.col("_fk"), "left").drop("_fk").fillna(0, [count_name]).fillna(False, [flag_name])
+
+
+def with_related(rows: DataFrame, related: DataFrame, foreign_key: str, owner_key: str, label: str, alias: str) -> DataFrame:
+    """Rows with the label of what they refer to, by one join for the whole list; null where there is none."""
+    r = related.select(F.col(owner_key).alias("_owner"), F.col(label).alias(alias)).dropDuplicates(["_owner"])
+    return rows.join(r, F.col(foreign_key) == F.col("_owner"), "left").drop("_owner")
+
+
+def admin_filters(df: DataFrame, chosen: dict[str, object]) -> DataFrame:
+    """Rows that meet the choices of an administrator's list: each names a column and the value, or list of values, that it may have; None and an empty list choose nothing.
+
+    ``negative_feedback`` (true) keeps rows whose ``feedback`` is -1.
+    """
+    for name, value in chosen.items():
+        if value is None or value == []:
+            continue
+        if name == "negative_feedback":
+            df = df.where(F.col("feedback") == -1) if value else df
+        else:
+            df = df.where(F.col(name).isin(*value) if isinstance(value, (list, tuple)) else F.col(name) == value)
+    return df

@@ -39,36 +39,65 @@ def vector_search(chunks: DataFrame, query: list[float], limit: int, min_score:
     return s.orderBy(F.col("score").desc(), id_col).limit(limit)
 
 
-def knn_join(queries: DataFrame, chunks: DataFrame, k: int, *, query_id: str = "query_id", id_col: str = "chunk_id", vector_col: str = "embedding", block_rows: int = 4096, exclude_self: bool = False) -> DataFrame:
+#: Bytes of query vectors, and queries, that one pass sends to every worker.
+QUERY_BYTES, QUERY_ROWS = 32 << 20, 2048
+
+
+def knn_join(queries: DataFrame, chunks: DataFrame, k: int, *, query_id: str = "query_id", id_col: str = "chunk_id", vector_col: str = "embedding", batch_rows: int = 2048, exclude_self: bool = False) -> DataFrame:
     """The k nearest chunks of each query by cosine, exactly: query_id, id, score, rank from 1 (ties by id).
 
-    Queries are a stated set; they go in blocks of ``block_rows`` past every block of the corpus, each of which returns the k best of a query alone, so
-    what is shuffled is the vectors once, and k rows for each query and block. Blocks are cut by a hash of the id.
+    Queries are a stated set. As many of them as fit into QUERY_BYTES and QUERY_ROWS, both measured, are sent to every worker; the corpus passes by them as it is read, and each
+    partition hands over its k best rows of a query, with those that tie with the last. The corpus is never shuffled. More queries take more passes.
     """
+    q_type, i_type = queries.schema[query_id].dataType, chunks.schema[id_col].dataType.simpleString()
+    rows = queries.select(F.col(query_id).alias("i"), F.col(vector_col).cast("array<double>").alias("v")).where("v IS NOT NULL")
+    size, many = rows.agg(F.coalesce(F.sum(F.size("v") * 8 + 64), F.lit(0)), F.count("*")).first()
+    passes = max(1, -(-size // QUERY_BYTES), -(-many // QUERY_ROWS))
+    found = None
+    for n in range(passes):
+        block = rows.where(F.pmod(F.xxhash64("i"), F.lit(passes)) == n).collect()  # QUERY_BYTES, about
+        if block:
+            some = _nearest(chunks, [r.i for r in block], np.array([r.v for r in block]), k, q_type, query_id, id_col, i_type, vector_col, batch_rows, exclude_self)
+            found = some if found is None else found.unionByName(some)
+    if found is None:
+        found = chunks.sparkSession.createDataFrame([], f"{query_id} {q_type.simpleString()}, {id_col} {i_type}, score double")
+    order = Window.partitionBy(query_id).orderBy(F.round("score", 9).desc(), id_col)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-    def blocks(df: DataFrame, i: str, v: str, name: str) -> DataFrame:
-        n = max(1, -(-df.count() // block_rows))
-        rows = df.select(F.col(i).alias("i"), F.col(v).cast("array<double>").alias("v"), F.pmod(F.xxhash64(i), F.lit(n)).alias("block"))
-        return rows.groupBy("block").agg(F.collect_list("i").alias(f"{name}_ids"), F.collect_list("v").alias(f"{name}_vectors")).drop("block")
 
-    pairs = blocks(chunks, id_col, vector_col, "c").crossJoin(blocks(queries, query_id, vector_col, "q"))
-    i_type, q_type = chunks.schema[id_col].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
+def _nearest(chunks: DataFrame, ids: list, vectors: np.ndarray, k: int, q_type, query_id: str, id_col: str, i_type: str, vector_col: str, batch_rows: int, exclude_self: bool) -> DataFrame:  # noqa: ANN001
+    unit = lambda a: a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-300)
+    sent = chunks.sparkSession.sparkContext.broadcast((ids, unit(vectors)))
 
     def best(frames):  # noqa: ANN001, ANN202
+        qi, qv = np.array(sent.value[0], dtype=object), sent.value[1]
+        kept_s, kept_i = np.full((len(qi), 0), -np.inf), np.empty((len(qi), 0), dtype=object)
+
+        def trim() -> None:
+            # the k best of a query, and rows that tie with the last of them
+            nonlocal kept_s, kept_i
+            if kept_s.shape[1] > k:
+                kth = -np.partition(-kept_s, k - 1, axis=1)[:, k - 1]
+                keep = kept_s >= kth[:, None] - 1e-9
+                width = int(keep.sum(axis=1).max())
+                order = np.argsort(~keep, axis=1, kind="stable")[:, :width]
+                kept_s, kept_i = np.where(np.take_along_axis(keep, order, 1), np.take_along_axis(kept_s, order, 1), -np.inf), np.take_along_axis(kept_i, order, 1)
+
         for pdf in frames:
-            for ci, cv, qi, qv in zip(pdf["c_ids"], pdf["c_vectors"], pdf["q_ids"], pdf["q_vectors"], strict=True):
-                unit = lambda x: (a := np.vstack(x)) / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-300)
-                scores, ci, qi = unit(qv) @ unit(cv).T, np.asarray(ci), np.asarray(qi)
+            for at in range(0, len(pdf), batch_rows):
+                part = pdf.iloc[at : at + batch_rows]
+                ci = part[id_col].to_numpy(dtype=object)
+                scores = qv @ unit(np.vstack(part[vector_col].to_numpy()).astype(float)).T
                 if exclude_self:
-                    scores[qi[:, None] == ci[None, :]] = -np.inf
-                # all that are as good as the k-th, so that ties are decided by id below
-                kth = -np.partition(-scores, min(k, len(ci)) - 1, axis=1)[:, min(k, len(ci)) - 1]
-                a, b = np.nonzero((scores >= kth[:, None] - 1e-12) & np.isfinite(scores))
-                yield pd.DataFrame({query_id: qi[a], id_col: ci[b], "score": scores[a, b]})
+                    scores = np.where(qi[:, None] == ci[None, :], -np.inf, scores)
+                kept_s, kept_i = np.hstack([kept_s, scores]), np.hstack([kept_i, np.broadcast_to(ci, scores.shape)])
+                trim()
+        a, b = np.nonzero(np.isfinite(kept_s))
+        if len(a):
+            yield pd.DataFrame({query_id: qi[a], id_col: kept_i[a, b], "score": kept_s[a, b]})
 
-    found = pairs.mapInPandas(best, f"{query_id} {q_type}, {id_col} {i_type}, score double")
-    order = Window.partitionBy(query_id).orderBy(F.round("score", 9).desc(), id_col)
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    rows = chunks.select(id_col, vector_col).where(F.col(vector_col).isNotNull())
+    return rows.mapInPandas(best, f"{query_id} {q_type.simpleString()}, {id_col} {i_type}, score double")
 
 
 Stem = Callable[[Column], Column]
@@ -197,6 +226,23 @@ def rerank(hits: DataFrame, scored: Column, o: RetrievalOptions, query_id: str =
     return head.withColumns({"score": F.when(F.col("_ok"), F.col("_new")).otherwise(F.col("score")), "_position": F.row_number().over(order)}).drop("position", "_new", "_ok").withColumnRenamed("_position", "position")
 
 
+def rerank_text(title: Column, passage: Column) -> Column:
+    """What a reranker reads: the title, where there is one, and the passage below it."""
+    return F.concat_ws("\n", F.when(F.length(F.trim(title)) > 0, title), passage)
+
+
+def rated_scores(reply: Column, n: Column) -> Column:
+    """Scores of 0 to 1 from a model's reply with whole numbers of 0 to 10, ``{"scores": [..]}`` or a plain list; null unless there are ``n`` of them."""
+    found = F.coalesce(F.from_json(reply, "scores array<double>")["scores"], F.from_json(F.regexp_extract(reply, r"\[[^\]]*\]", 0), "array<double>"))
+    return F.when(F.size(found) == n, F.transform(found, lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(10.0)) / 10))
+
+
+def with_documents(chunks: DataFrame, documents: DataFrame, key: list[str] | None = None, columns: tuple[str, ...] = ("title", "metadata")) -> DataFrame:
+    """Chunks with columns of their document, ``document_`` before each; chunks without a document are left out."""
+    k = key or ["source_key", "external_id"]
+    return chunks.join(documents.select(*k, *[F.col(c).alias(f"document_{c}") for c in columns]), k)
+
+
 def yes_probability(log_yes: Column, log_no: Column) -> Column:
     """The probability of yes against no from their log-probabilities; a missing one is -30; 0.5 if both are."""
     return 1 / (1 + F.exp(F.coalesce(log_no, F.lit(-30.0)) - F.coalesce(log_yes, F.lit(-30.0))))
@@ -239,11 +285,19 @@ def hybrid(queries: DataFrame, chunks: DataFrame, o: RetrievalOptions, *, index:
     return f.join(asked, query_id).join(chunks, id_col).withColumn("score", cosine("embedding", "_q")).drop("_q")
 
 
-def search(queries: DataFrame, chunks: DataFrame, o: RetrievalOptions, *, query_id: str = "query_id", id_col: str = "chunk_id", **index: object) -> DataFrame:
-    """The pipeline: candidates, fusion, de-duplication, diversity, neighbours. Blank questions find nothing."""
+def search(queries: DataFrame, chunks: DataFrame, o: RetrievalOptions, *, query_id: str = "query_id", id_col: str = "chunk_id", reranker: Callable[[DataFrame], DataFrame] | None = None, **index: object) -> DataFrame:
+    """The pipeline: candidates, fusion, reranking, de-duplication, diversity, neighbours. Blank questions find nothing.
+
+    ``reranker`` turns the candidates' head (the query, the id, ``question``, ``content``) into new scores: query, id, ``new_score``; pairs that it doesn't return have none.
+    """
     asked = queries.where(F.length(F.trim("question")) > 0)
     hits = hybrid(asked, chunks, o, query_id=query_id, id_col=id_col, **index)
     hits = hits.withColumn("_by", F.col("relevance") if o.lexical or "rewrite" in queries.columns else F.col("score"))
+    if reranker:
+        said = asked.where("rewrite = 0") if "rewrite" in asked.columns else asked
+        head = hits.where(F.col("position") <= max(2, o.rerank_candidates)).join(said.select(query_id, "question"), query_id)
+        hits = hits.join(reranker(head.select(query_id, id_col, "question", "content")).select(query_id, id_col, "new_score"), [query_id, id_col], "left")
+        hits = rerank(hits.withColumn("score", F.col("_by")), F.col("new_score"), o, query_id).withColumn("_by", F.col("score"))
     best = select_diverse(hits, o, query_id=query_id, id_col=id_col, score_col="_by")
     return expand_neighbours(best, chunks, o.neighbours, query_id=query_id, id_col=id_col) if o.neighbours else best
 

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeweave.config import EngineConfig
 from lodeweave.functions.text import excerpt, normalize
 from lodeweave.operators import answering, chunking, dashboards, ingest, retrieval
-from lodeweave.sources.filters import narrow
+from lodeweave.sources.filters import narrow, user_scope
 from lodeweave.sources.tables import KnowledgeSource, SourceRegistry
 
 
@@ -36,26 +36,67 @@ class Engine:
     def ingest(self, key: str, filters: dict[str, Any] | None = None, mode: str = ingest.INCREMENTAL) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(documents, chunks, summary) after an ingestion of a source: unchanged documents are skipped, unchanged chunks keep their vectors."""
         c, source = self.config, self.source(key)
+        if mode == ingest.EMBEDDINGS_ONLY:
+            return self._embed_stored(key)
         segments = source.segments(filters)
         checksums = chunking.content_checksums(segments, normalize("text", c.chunking.normalizers))
         drafts = source.documents(filters)
         params = c.chunking.checksum(c.embedding_model, c.dimensions)
-        todo = checksums
-        if self.documents is not None and mode != ingest.EMBEDDINGS_ONLY:
-            todo = ingest.pending_documents(checksums, self.documents, params, mode)
-        new = chunking.chunk_documents(segments.join(todo.select(*ingest.KEY), ingest.KEY, "left_semi"), c.chunking, drafts)
+        todo = checksums if self.documents is None else ingest.pending_documents(checksums, self.documents, params, mode)
+        todo = self._settle(todo.select(*ingest.KEY))
+        new = chunking.chunk_documents(segments.join(todo, ingest.KEY, "left_semi"), c.chunking, drafts)
         new = new.withColumnRenamed("text", "content")
         if self.chunks is not None:
-            touched = self.chunks.join(todo.select(*ingest.KEY), ingest.KEY, "left_semi")
-            diff = ingest.diff_chunks(touched, new)
-            after = ingest.apply_diff(diff).unionByName(self.chunks.join(todo.select(*ingest.KEY), ingest.KEY, "left_anti"), allowMissingColumns=True)
+            diff = ingest.diff_chunks(self.chunks.join(todo, ingest.KEY, "left_semi"), new)
+            after = ingest.apply_diff(diff).unionByName(self.chunks.join(todo, ingest.KEY, "left_anti"), allowMissingColumns=True)
         else:
             diff = new.withColumn("state", F.lit("created"))
             after = new.withColumns({"embedding": F.lit(None).cast("array<float>"), "embedding_model": F.lit(None).cast("string"), "embedding_dimensions": F.lit(None).cast("int"), "embedded_at": F.lit(None).cast("timestamp_ntz")})
-        after = ingest.embed_chunks(after, self.embed, c.embedding_model, c.dimensions, c.embedding_batch)
-        known = drafts.join(checksums.select(*ingest.KEY, "content_checksum"), ingest.KEY, "left").withColumn("params_checksum", F.lit(params)).withColumn("status", F.lit("pending"))
-        docs = ingest.refresh_counts(known, after)
-        return docs, after, ingest.diff_summary(diff)
+        diff_rows = self._settle(ingest.diff_summary(diff))
+        # written once: both tables are built on it, and the provider is paid once
+        after = self._settle(ingest.embed_chunks(after, self.embed, c.embedding_model, c.dimensions, c.embedding_batch))
+        stamped = drafts.join(checksums.select(*ingest.KEY, "content_checksum"), ingest.KEY, "left").withColumn("params_checksum", F.lit(params))
+        known = stamped.withColumn("status", F.lit("pending"))
+        if self.documents is not None:
+            # documents of other sources, or that the filters leave out, stay as they are
+            known = ingest.upsert_documents(self.documents, drafts)
+            fresh = stamped.select(*ingest.KEY, F.col("content_checksum").alias("_content"), F.col("params_checksum").alias("_params"), F.lit(True).alias("_seen"))
+            known = known.join(fresh, ingest.KEY, "left").withColumns({"content_checksum": F.when(F.col("_seen"), F.col("_content")).otherwise(F.col("content_checksum")), "params_checksum": F.when(F.col("_seen"), F.col("_params")).otherwise(F.col("params_checksum"))}).drop("_content", "_params", "_seen")
+        return ingest.refresh_counts(known, after), after, diff_rows
+
+    def _embed_stored(self, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Nothing is read or chunked: stale chunks of the source, as they are stored, get their vectors."""
+        c, own = self.config, F.col("source_key") == key
+        done = ingest.embed_chunks(self.chunks.where(own), self.embed, c.embedding_model, c.dimensions, c.embedding_batch)
+        after = self._settle(done.unionByName(self.chunks.where(~own), allowMissingColumns=True))
+        return ingest.refresh_counts(self.documents, after), after, ingest.diff_summary(self.chunks.where(F.lit(False)).withColumn("state", F.lit("")))
+
+    def _settle(self, df: DataFrame) -> DataFrame:
+        """A frame that is computed once: checkpointed where the session has a folder for that, else kept on the disks of the executors."""
+        if self.spark.sparkContext.getCheckpointDir() or self.spark.conf.get("spark.checkpoint.dir", None):
+            return df.checkpoint()
+        from pyspark import StorageLevel
+
+        return df.persist(StorageLevel.DISK_ONLY)
+
+    def reindex(self) -> tuple[DataFrame, DataFrame]:
+        """(documents, chunks) without vectors, before ones of another width are made with ``embeddings_only``."""
+        return ingest.resize_vectors(self.documents, self.chunks)
+
+    def prune(self, key: str) -> tuple[DataFrame, DataFrame]:
+        """(documents, chunks) without those that the source no longer has."""
+        gone = ingest.orphans(self.documents.where(F.col("source_key") == key), self.source(key).documents(None)).select(*ingest.KEY)
+        return self.documents.join(gone, ingest.KEY, "left_anti"), self.chunks.join(gone, ingest.KEY, "left_anti")
+
+    def keyword_index(self) -> tuple[DataFrame, DataFrame, int]:
+        """(postings, document frequencies, chunks) of the stored chunks, to be kept and given to ``search`` as ``index``."""
+        c = self._ids(self.chunks)
+        index = self._settle(retrieval.postings(c))
+        return index, self._settle(retrieval.document_frequencies(index)), c.count()
+
+    @staticmethod
+    def _ids(chunks: DataFrame) -> DataFrame:
+        return chunks.withColumn("chunk_id", F.concat_ws("/", *ingest.KEY, F.col("ordinal").cast("string"))).withColumn("document_id", F.concat_ws("/", *ingest.KEY))
 
     def estimate(self, key: str, filters: dict[str, Any] | None = None, micros_per_token: float = 0.0) -> DataFrame:
         """What an ingestion would cost, from the first five documents."""
@@ -64,18 +105,27 @@ class Engine:
         sample = source.segments(filters).join(ids, ingest.KEY, "left_semi").groupBy(*ingest.KEY).agg(F.sum(F.length("text")).alias("chars"))
         return ingest.estimate(source.documents(filters), sample, self.config.chunking, micros_per_token)
 
-    def search(self, questions: DataFrame | str, *, sources: Sequence[str] | None = None, limit: int | None = None, **scan: Any) -> DataFrame:
-        """Hits of one question or a frame of them (query_id, question): passages with marker, score and an excerpt. ``limit`` is held to 1-20."""
+    def search(self, questions: DataFrame | str, *, sources: Sequence[str] | None = None, limit: int | None = None, min_score: float | None = None, scopes: dict[str, Callable[[DataFrame], Column] | None] | None = None, rewrites: DataFrame | None = None, reranker: Callable[[DataFrame], DataFrame] | None = None, index: tuple[DataFrame, DataFrame, int] | None = None, **scan: Any) -> DataFrame:
+        """Hits of one question or a frame of them (query_id, question): passages with marker, score and an excerpt. ``limit`` is held to 1-20.
+
+        ``scopes``: what of each source the user may see. ``rewrites``: further wordings (query_id, rewrite from 1, question). ``reranker``: as ``retrieval.search`` has it.
+        ``index``: what ``keyword_index`` returned; without it the words of all chunks are read anew. Other arguments are those of ``retrieval.base_scan``.
+        """
         from dataclasses import replace
 
         o = self.config.retrieval
         if limit is not None:
             o = replace(o, top_k=min(20, max(1, limit)))
+        if min_score is not None:
+            o = replace(o, min_score=min_score)
         q = self.spark.createDataFrame([(0, questions)], "query_id long, question string") if isinstance(questions, str) else questions
-        q = self._embed_questions(q.where(F.length(F.trim("question")) > 0))
+        q = q.where(F.length(F.trim("question")) > 0)
+        asked = q if rewrites is None else q.withColumn("rewrite", F.lit(0)).unionByName(rewrites.select("query_id", "question", F.col("rewrite").cast("int").alias("rewrite")))
         c = retrieval.base_scan(self.chunks, source_keys=narrow(self.sources.exposed_keys(), sources), **scan)
-        c = c.withColumn("chunk_id", F.concat_ws("/", *ingest.KEY, F.col("ordinal").cast("string"))).withColumn("document_id", F.concat_ws("/", *ingest.KEY))
-        hits = retrieval.search(q, c, o).join(c.select("chunk_id", *ingest.KEY, "ordinal", "position_start", "position_end", "content", "token_count"), "chunk_id").join(q.select("query_id", "question"), "query_id")
+        c = self._ids(c if scopes is None else user_scope(c, scopes))
+        given = {} if index is None else {"index": index[0].join(c.select("chunk_id"), "chunk_id", "left_semi"), "frequencies": index[1], "n": index[2]}
+        found = retrieval.search(self._embed_questions(asked), c, o, reranker=reranker, **given)
+        hits = found.join(c.select("chunk_id", *ingest.KEY, "ordinal", "position_start", "position_end", "content", "token_count"), "chunk_id").join(q.select("query_id", "question"), "query_id")
         return hits.withColumns({"score": F.round("score", 4), "excerpt": excerpt("content", "question", o.rerank_chars)}).drop("question")
 
     def _embed_questions(self, q: DataFrame) -> DataFrame:

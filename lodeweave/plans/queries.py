@@ -671,9 +671,13 @@ def html_to_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", T.readable_html("html").alias("text"))
 
 
-@query("public_urls", "SELECT page_id, true AS allowed FROM pages")
+@query("public_urls", "SELECT page_id, page_id % 8 IN (0, 5) AS allowed FROM pages")
 def public_urls(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", T.is_public_url("url").alias("allowed"))
+    """The pages' own URLs, and others made of them that must be refused: local names, literal addresses of closed networks, other schemes."""
+    path = F.regexp_replace("url", r"^[a-z]+://[^/]*", "")
+    hosts = (None, "http://localhost", "http://192.168.1.5", "https://127.0.0.1", "ftp://example.com", "https://example.com", "http://printer.local", "https://[::1]")
+    made = F.element_at(F.array(*[F.col("url") if h is None else F.concat(F.lit(h), path) for h in hosts]), (F.col("page_id") % 8 + 1).cast("int"))
+    return table(spark, d, "pages").select("page_id", T.is_public_url(made).alias("allowed"))
 
 
 @query("sentence_split")

@@ -3,6 +3,7 @@
 import pytest
 from conftest import SMALL, rows_of
 
+from lodeweave.plans import run_queries  # noqa: F401
 from lodeweave.plans.queries import ORACLE_SQL, QUERIES
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeweave.config import EngineConfig, RetrievalOptions
-from lodeweave.operators import answering, ingest, retrieval
+from lodeweave.operators import answering, ingest, retrieval, runs
 from lodeweave.plans.engine import Engine
 from lodeweave.sources import filters as S
 from lodeweave.sources.tables import GroupedSource, SegmentMap, SourceRegistry, TableSource
@@ -157,3 +157,74 @@ def test_index_recall(spark):
     exact = {(r.query_id, r.vec_id) for r in ivf_search_exhaustive(spark, "/root/testdata/sf0.01").collect()}
     found = {(r.query_id, r.vec_id) for r in ivf_search(spark, "/root/testdata/sf0.01").collect()}
     assert len(exact & found) / len(exact) >= 0.9
+
+
+def test_engine_with_several_sources(spark):
+    """A second source, a filter and new parameters leave other documents as they are; stored chunks are embedded without being read again; the provider is paid once."""
+    calls = spark.sparkContext.accumulator(0)
+    hashing = ingest.HashingEmbedder(32)
+
+    def embed(texts):
+        calls.add(len(texts))
+        return hashing(texts)
+
+    rows = [("a", 1, "The butcher pays the bill."), ("b", 1, "The moon over the harbour is white."), ("c", 1, "A letter from the sea.")]
+    pages = spark.createDataFrame(rows, "book string, number int, content string")
+    books = spark.createDataFrame([("a", "First"), ("b", "Second"), ("c", "Third")], "id string, title string")
+    config = EngineConfig(dimensions=32, retrieval=replace(RetrievalOptions(), min_score=0.0))
+    e = Engine(spark, config, embed)
+    source = lambda key, ids: TableSource(key, books.where(F.col("id").isin(*ids)), "id", SegmentMap.relation(pages, "book", "content", "number"), title="title")
+    e.register(source("one", ["a", "b"]))
+    e.register(source("two", ["c"]))
+    e.documents, e.chunks, _ = e.ingest("one")
+    e.documents.collect(), e.chunks.collect()
+    assert calls.value == 2
+    e.documents, e.chunks, summary = e.ingest("two")
+    assert sorted((r.source_key, r.external_id, r.status, r.chunk_count) for r in e.documents.collect()) == [("one", "a", "embedded", 1), ("one", "b", "embedded", 1), ("two", "c", "embedded", 1)]
+    assert e.chunks.count() == 3 and calls.value == 3 and summary.count() == 1
+    assert e.ingest("one")[2].count() == 0 and calls.value == 3
+    e.documents, e.chunks = e.reindex()
+    assert {r.status for r in e.documents.collect()} == {"chunked"} and e.chunks.where("embedding IS NOT NULL").count() == 0
+    e.documents, e.chunks, _ = e.ingest("one", mode=ingest.EMBEDDINGS_ONLY)
+    assert {r.external_id: r.status for r in e.documents.collect()} == {"a": "embedded", "b": "embedded", "c": "chunked"} and calls.value == 5
+    index = e.keyword_index()
+    assert {r.external_id for r in e.search("harbour moon", index=index).collect()} >= {"b"}
+    assert {r.external_id for r in e.search("harbour moon", scopes={"one": lambda d: F.col("external_id") == "a", "two": None}).collect()} == {"a"}
+    turned = e.search("harbour moon", reranker=lambda head: head.withColumn("new_score", F.when(F.col("content").contains("butcher"), 0.9).otherwise(0.1))).orderBy("rank").collect()
+    assert turned[0].external_id == "a"
+    more = spark.createDataFrame([(0, 1, "butcher")], "query_id long, rewrite int, question string")
+    assert e.search("harbour", rewrites=more).count() == 2 and e.search("harbour moon", min_score=0.99).where("score < 0.99").count() <= 1
+    kept = e.source("one")
+    e.register(source("one", ["a"]))
+    assert e.prune("one")[0].count() == 2 and kept is not None
+
+
+def test_rate_limiter_and_retries():
+    now, slept, failures = [0.0], [], [RuntimeError(), RuntimeError()]
+
+    def sleep(s):
+        slept.append(s)
+        now[0] += s
+
+    limiter = runs.RateLimiter(2, 60.0, clock=lambda: now[0], sleep=sleep)
+    for _ in range(3):
+        limiter.wait()
+    assert slept == [60.0]
+
+    def embed(texts):
+        if failures:
+            raise failures.pop()
+        return [[1.0]] * len(texts)
+
+    assert runs.with_retries(embed, sleep=sleep)(["a"]) == [[1.0]] and slept[1:] == [10, 30]
+
+
+def test_knn_ties_and_passes(spark, monkeypatch):
+    rows = [(i, [float(i % 3), 1.0]) for i in range(50)] + [(99, [0.0, 0.0]), (100, None)]
+    d = spark.createDataFrame(rows, "id long, v array<double>")
+    q = d.where("id < 7").select(F.col("id").alias("q"), "v")
+    ask = lambda: sorted(tuple(r) for r in retrieval.knn_join(q, d, 4, query_id="q", id_col="id", vector_col="v", batch_rows=5).select("q", "id", "rank").collect())
+    whole = ask()
+    assert [x[1] for x in whole if x[0] == 0] == [0, 3, 6, 9] and len(whole) == 28
+    monkeypatch.setattr(retrieval, "QUERY_ROWS", 2)
+    assert ask() == whole
