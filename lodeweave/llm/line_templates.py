@@ -1,17 +1,16 @@
 r"""Line de-duplication with a log-template tree (DataFrame functions only).
 
-The tree has a fixed depth: a line goes down by its number of tokens and its LEAD first tokens, to a leaf. A token that holds a digit
-counts as ``<*>`` throughout. In a leaf, lines that differ only inside one and the same quarter of their tokens belong to one
-template, in which the tokens of that quarter are generalised. That is an equality, so a leaf is not searched line by line: each line has
-four template hashes, one for each quarter that may vary, and what recurs is counted. The lead tokens never vary. A line of fewer than
-FREE_TOKENS tokens has one template, all of its tokens; one of fewer than MIN_TOKENS has none and always stays.
+The tree has a fixed depth: a line goes down by its number of tokens and its first token, to a leaf. A token that holds a digit counts as ``<*>`` throughout. In a
+leaf, lines belong to one template if they agree but for some variable fields, wherever these stand: a line of SEGMENTS tokens or more is cut into SEGMENTS runs of
+tokens, of which any two may vary, so three quarters of it agree; of a shorter line any one token may, but in a line of 3 tokens none (but for digits). The first token never varies; a
+line of fewer than MIN_TOKENS tokens has no template and always stays.
 
-Limits, which the SQL of the query states too: lines with variable tokens in two quarters, or among the lead tokens, or in a line of fewer than FREE_TOKENS
-tokens (digits apart), share no template, though three quarters of their tokens may agree; and ``min_docs`` is one number for lines of
-any length.
+That is an equality, so a leaf is not searched line by line: a line has a hash for each choice of fields that may vary, and what recurs is counted. As these are
+28 for a long line, a sieve goes before: if two of eight runs vary, one of three groups of them is the same in both lines, so only lines of which such a group
+recurs can have a template that does. The sieve loses none, and few lines pass it.
 
-A template recurs if at least ``min_docs`` rows of the corpus have it. Its lines are dropped from every document but the first (the one of
-the smallest id), so one copy of each text stays in the corpus.
+A template recurs if at least ``min_docs`` rows of the corpus have it, or two, if it has LONG_TOKENS tokens or more, as chance doesn't repeat such a passage. Its lines are
+dropped from every document but the first (the one of the smallest id), so one copy of each text stays in the corpus.
 
 A row counts once for each template before anything is shuffled, and counts are summed before the shuffle, so a line that a third of all
 documents have costs no more than any other; the joins back are of sides that Spark may split where they are skewed.
@@ -19,37 +18,66 @@ documents have costs no more than any other; the joins back are of sides that Sp
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeweave.llm.common import cut, drop_columns, loose, read, text_of
 
-LEAD, MIN_DOCS, MIN_TOKENS, FREE_TOKENS = 2, 5, 3, 8
+MIN_DOCS, LONG_DOCS, MIN_TOKENS, LONG_TOKENS, SEGMENTS = 5, 2, 3, 50, 8
+#: The groups of runs for the sieve: first run and number of runs.
+GROUPS = ((0, 3), (3, 3), (6, 2))
 RESULTS = ("n_lines", "n_dropped")
 
 
-def line_keys(text: Column) -> Column:
-    """For each line of a text an array of template hashes, empty for a line without a template."""
+def parsed_lines(text: Column) -> Column:
+    """For each line of a text ``n`` (tokens), ``leaf`` and ``runs`` (hashes of its runs of tokens, or of its tokens); null for a line without a template."""
     # white space becomes one space, and a token with a digit <*>; a match begins at a token's start alone, so that long tokens take linear time
     masked = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(F.trim(F.regexp_replace(x, r"[ \t-\r]+", " ")), r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<*>"))
-    sized = F.transform(masked, lambda m: F.struct(m.alias("m"), F.when(m == "", 0).otherwise(F.length(m) - F.length(F.replace(m, F.lit(" "), F.lit(""))) + 1).alias("n")))
+    tokens = F.transform(masked, lambda m: F.split(m, " "))
+
+    def line(t: Column) -> Column:
+        n = F.size(t)
+        begin = lambda s: F.floor(s * n / SEGMENTS).cast("int")
+        run = lambda s: F.hash(F.slice(t, begin(s) + 1, begin(s + 1) - begin(s)))
+        runs = F.when(n >= SEGMENTS, F.transform(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)), run)).otherwise(F.transform(t, lambda x: F.hash(x)))
+        return F.when(n >= MIN_TOKENS, F.struct(n.alias("n"), F.xxhash64(n, t[0]).alias("leaf"), runs.alias("runs")))
+
+    return F.transform(tokens, line)
+
+
+def sieve_keys(x: Column) -> Column:
+    """Hashes of groups of runs (of halves of a short line), one of which two lines of one template share."""
+    half = F.floor(x["n"] / 2).cast("int")
+    group = lambda k, a, size: F.xxhash64(x["leaf"], F.lit(k), F.slice(x["runs"], a, size))
+    return (
+        F.when(x["n"].isNull(), F.array().cast("array<bigint>"))
+        .when(x["n"] >= SEGMENTS, F.array(*[group(k, F.lit(a + 1), F.lit(size)) for k, (a, size) in enumerate(GROUPS)]))
+        .when(x["n"] > MIN_TOKENS, F.array(group(0, F.lit(1), half), group(1, half + 1, x["n"] - half)))
+        .otherwise(F.array(group(0, F.lit(1), x["n"])))
+    )
+
+
+def template_keys(x: Column) -> Column:
+    """The template hashes of a line, one for each choice of what may vary."""
+    without = lambda i, j: F.xxhash64(x["leaf"], i, j, F.transform(x["runs"], lambda r, k: F.when((k == i) | (k == j), 0).otherwise(r)))
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in combinations(range(SEGMENTS), 2)])
+    return (
+        F.when(x["n"] >= SEGMENTS, F.transform(pairs, lambda p: without(p["i"], p["j"])))
+        .when(x["n"] > MIN_TOKENS, F.transform(F.sequence(F.lit(1), x["n"] - 1), lambda i: without(i, i)))
+        .otherwise(F.array(F.xxhash64(x["leaf"], x["runs"])))
+    )
 
-    def keys(x: Column) -> Column:
-        m, n = x["m"], x["n"]
-        quarter = F.floor(n / 4).cast("int")
-        head = lambda k: F.call_function("substring_index", m, F.lit(" "), k)  # noqa: E731  the first k tokens
-        tail = lambda k: F.call_function("substring_index", m, F.lit(" "), k - n)  # noqa: E731  all but the first k
-        hashes = [(head(F.lit(LEAD)), tail(quarter)), (head(quarter), tail(2 * quarter)), (head(2 * quarter), tail(3 * quarter)), (head(3 * quarter), F.lit(""))]
-        return (
-            F.when(n < MIN_TOKENS, F.array().cast("array<bigint>"))
-            .when(n < FREE_TOKENS, F.array(F.xxhash64(n, m)))
-            .otherwise(F.array(*[F.xxhash64(n, F.lit(i), a, b) for i, (a, b) in enumerate(hashes)]))
-        )
 
-    return F.transform(sized, keys)
+def recurring(keys: DataFrame, min_docs: int, long_docs: int, long_tokens: int) -> DataFrame:
+    """``key`` and ``first`` (the smallest id) of what enough rows have, of (id, array ``ks`` of structs n, key): a row counts once."""
+    once = keys.select("id", F.explode(F.array_distinct("ks")).alias("k")).select("id", "k.*")
+    counted = once.groupBy("key").agg(F.count("*").alias("rows"), F.min("id").alias("first"), F.max("n").alias("n"))
+    return counted.where(F.col("rows") >= F.when(F.col("n") >= long_tokens, long_docs).otherwise(min_docs)).select("key", "first")
 
 
-def drop_recurring_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, long_docs: int = LONG_DOCS, long_tokens: int = LONG_TOKENS) -> DataFrame:
     """Every row with its text without recurring lines, ``n_lines`` (lines before) and ``n_dropped``.
 
     Null text becomes empty and has one blank line. Blank lines always stay. A text may lose all of its lines and is then empty. A
@@ -57,21 +85,32 @@ def drop_recurring_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     occur and are treated alike. Input columns named like a result are replaced.
     """
     d = drop_columns(docs, *RESULTS)
-    row = [F.col(f"`{id_col}`").alias("_id"), F.xxhash64(text_of(text_col)).alias("_hash")]
-    keyed = cut(d.select(*row, line_keys(text_of(text_col)).alias("_keys")), "line_keys")
-    once = keyed.select("_id", F.explode(F.array_distinct(F.flatten("_keys"))).alias("_key"))
-    recurring = once.groupBy("_key").agg(F.count("*").alias("_n"), F.min("_id").alias("_first")).where(F.col("_n") >= min_docs).drop("_n")
-    lines = keyed.select("_id", "_hash", F.posexplode("_keys").alias("_at", "_key")).select("_id", "_hash", "_at", F.explode("_key").alias("_key"))
-    gone = lines.join(loose(recurring), "_key").where(~F.col("_id").eqNullSafe(F.col("_first")))
-    gone = gone.groupBy(F.col("_id").alias("_gone_id"), F.col("_hash").alias("_gone_hash")).agg(F.collect_set("_at").alias("_gone"))
-    at = F.expr("array_except(sequence(0, size(_lines) - 1), coalesce(_gone, cast(array() as array<int>)))")
-    out = d.withColumn("_hash", row[1]).join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("_gone_id")) & (F.col("_hash") == F.col("_gone_hash")), "left")
-    out = out.withColumn("_lines", F.split(text_of(text_col), "\n"))
+    many = (min_docs, long_docs, long_tokens)
+    row_hash = F.xxhash64(text_of(text_col))
+    parsed = cut(d.select(F.col(f"`{id_col}`").alias("id"), row_hash.alias("hash"), parsed_lines(text_of(text_col)).alias("lines")), "line_keys")
+    tagged = lambda keys: lambda x: F.transform(keys(x), lambda k: F.struct(x["n"].alias("n"), k.alias("key")))
+    # the sieve
+    sieved = parsed.select("id", "hash", F.transform("lines", tagged(sieve_keys)).alias("by_line"))
+    some = recurring(sieved.select("id", F.flatten("by_line").alias("ks")), *many)
+    at = sieved.select("id", "hash", F.posexplode("by_line").alias("at", "ks")).select("id", "hash", "at", F.explode("ks.key").alias("key"))
+    passed = at.join(loose(some.select("key")), "key", "left_semi").groupBy("id", "hash").agg(F.collect_set("at").alias("passed"))
+    # the templates of what passes; a row of each for rows that repeat
+    p = passed.select(F.col("id").alias("other_id"), F.col("hash").alias("other_hash"), "passed")
+    open_ = parsed.join(loose(p), F.col("id").eqNullSafe(F.col("other_id")) & (F.col("hash") == F.col("other_hash")))
+    line = lambda i: F.col("lines")[i]
+    open_ = cut(open_.select("id", "hash", F.transform("passed", lambda i: F.struct(i.alias("at"), tagged(template_keys)(line(i)).alias("ks"))).alias("open")), "line_templates")
+    last = recurring(open_.select("id", F.flatten(F.col("open.ks")).alias("ks")), *many)
+    each = open_.select("id", "hash", F.explode("open").alias("o")).select("id", "hash", "o.at", F.explode("o.ks.key").alias("key"))
+    gone = each.join(loose(last), "key").where(~F.col("id").eqNullSafe(F.col("first")))
+    gone = gone.groupBy(F.col("id").alias("__gone_id"), F.col("hash").alias("__gone_hash")).agg(F.collect_set("at").alias("__gone"))
+    out = d.withColumn("__row_hash", row_hash).join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("__gone_id")) & (F.col("__row_hash") == F.col("__gone_hash")), "left")
+    out = out.withColumn("__lines", F.split(text_of(text_col), "\n"))
+    kept = F.expr("array_except(sequence(0, size(__lines) - 1), coalesce(__gone, cast(array() as array<int>)))")
     out = out.withColumns(
         {
-            text_col: F.when(F.col("_gone").isNull(), text_of(text_col)).otherwise(F.array_join(F.transform(at, lambda i: F.col("_lines")[i]), "\n")),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dropped": F.coalesce(F.array_size("_gone"), F.lit(0)).cast("long"),
+            text_col: F.when(F.col("__gone").isNull(), text_of(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.col("__lines")[i]), "\n")),
+            "n_lines": F.size("__lines").cast("long"),
+            "n_dropped": F.coalesce(F.array_size("__gone"), F.lit(0)).cast("long"),
         }
     )
     return out.select(*[F.col(f"`{c}`") for c in d.columns], *RESULTS)
@@ -82,18 +121,19 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle_sql() -> str:
-    cat = lambda *parts: "concat_ws(chr(1), n, " + ", ".join(parts) + ")"
-    words = lambda a, b: f"array_to_string(t[{a} : {b}], ' ')"
-    keys = [cat("0", words(1, LEAD), words("q + 1", "n")), cat("1", words(1, "q"), words("2 * q + 1", "n")), cat("2", words(1, "2 * q"), words("3 * q + 1", "n")), cat("3", words(1, "3 * q"), "''")]
+    pairs = ", ".join(f"{{'i': {i}, 'j': {j}}}" for i, j in combinations(range(SEGMENTS), 2))
+    runs = ", ".join(f"array_to_string(t[{s} * n // {SEGMENTS} + 1 : {s + 1} * n // {SEGMENTS}], ' ')" for s in range(SEGMENTS))
     return f"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS MATERIALIZED (SELECT rid, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM d),
-m AS (SELECT rid, doc_id, pos, line, regexp_replace(trim(regexp_replace(line, '[ \\t-\\r]+', ' ', 'g'), ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS m FROM l),
-t AS (SELECT *, string_split(m, ' ') AS t, CASE WHEN m = '' THEN 0 ELSE len(string_split(m, ' ')) END AS n FROM m),
-q AS (SELECT *, n // 4 AS q FROM t),
-k AS MATERIALIZED (SELECT rid, doc_id, pos, unnest(CASE WHEN n < {MIN_TOKENS} THEN [] WHEN n < {FREE_TOKENS} THEN [{cat("m")}] ELSE [{", ".join(keys)}] END) AS key FROM q),
-r AS MATERIALIZED (SELECT key, min(doc_id) AS first FROM (SELECT DISTINCT rid, doc_id, key FROM k) GROUP BY key HAVING count(*) >= {MIN_DOCS}),
-g AS MATERIALIZED (SELECT DISTINCT rid, pos FROM k JOIN r ON k.key = r.key WHERE doc_id IS DISTINCT FROM first),
+m AS (SELECT rid, doc_id, pos, regexp_replace(trim(regexp_replace(line, '[ \\t-\\r]+', ' ', 'g'), ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS m FROM l),
+t AS (SELECT rid, doc_id, pos, string_split(m, ' ') AS t, len(string_split(m, ' ')) AS n FROM m),
+r AS (SELECT rid, doc_id, pos, n, t[1] AS lead, CASE WHEN n >= {SEGMENTS} THEN [{runs}] ELSE t END AS runs,
+      CASE WHEN n >= {SEGMENTS} THEN [{pairs}] WHEN n > {MIN_TOKENS} THEN list_transform(range(1, n), lambda i: {{'i': i, 'j': i}}) ELSE [{{'i': -1, 'j': -1}}] END AS masks FROM t WHERE n >= {MIN_TOKENS}),
+k AS MATERIALIZED (SELECT rid, doc_id, pos, n, concat_ws(chr(1), n, lead, p.i, p.j, array_to_string(list_transform(runs, lambda x, y: CASE WHEN y - 1 = p.i OR y - 1 = p.j THEN '' ELSE x END), chr(2))) AS key
+      FROM (SELECT rid, doc_id, pos, n, lead, runs, unnest(masks) AS p FROM r)),
+c AS MATERIALIZED (SELECT key, min(doc_id) AS first FROM (SELECT DISTINCT rid, doc_id, key, n FROM k) GROUP BY key, n HAVING count(*) >= CASE WHEN n >= {LONG_TOKENS} THEN {LONG_DOCS} ELSE {MIN_DOCS} END),
+g AS MATERIALIZED (SELECT DISTINCT rid, pos FROM k JOIN c ON k.key = c.key WHERE doc_id IS DISTINCT FROM first),
 s AS (SELECT rid, string_agg(line, chr(10) ORDER BY pos) AS text FROM (SELECT l.rid, l.pos, line FROM l ANTI JOIN g ON l.rid = g.rid AND l.pos = g.pos) GROUP BY rid),
 n AS (SELECT rid, count(*) AS n_dropped FROM g GROUP BY rid)
 SELECT doc_id, coalesce(s.text, '') AS text, len(lines) AS n_lines, coalesce(n_dropped, 0) AS n_dropped

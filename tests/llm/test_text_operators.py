@@ -93,26 +93,87 @@ def docs(spark, texts):
 
 def test_lines(spark):
     long = "this line has a very own set of words number {} and then goes on"
-    texts = [(i, f"own words of document {'abcdefghij'[i]} only\nShare this page 12{i} now\n\n{long.format(i)}") for i in range(6)]
+    texts = [(i, f"own {'abcdefghij'[i]} of document {'abcdefghij'[i]} only\nShare this page 12{i} now\n\n{long.format(i)}") for i in range(6)]
     texts += [(50, None), (51, ""), (None, "Share this page 7 now\nof my own"), (5, texts[5][1])]
     out = line_templates.drop_recurring_lines(docs(spark, texts)).collect()
     by = {r.doc_id: r for r in out if r.doc_id is not None}
     assert len(out) == len(texts) and out[0].n_lines in (1, 2, 4) and by[0].text == texts[0][1]  # the first keeps its lines
-    assert by[3].text == "own words of document d only\n" and by[3].n_dropped == 2 and by[3].n_lines == 4
+    assert by[3].text == "own d of document d only\n" and by[3].n_dropped == 2 and by[3].n_lines == 4
     assert by[50].text == by[51].text == "" and next(r for r in out if r.doc_id is None).text == "of my own"
     assert line_templates.drop_recurring_lines(docs(spark, [])).count() == 0
 
 
-def test_one_quarter_may_vary(spark):
-    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()
-    texts = []
-    for i in range(6):
-        w = words.copy()
-        w[7] = "xyzuvw"[i] * 3  # third quarter
-        texts.append((i, " ".join(w)))
-    texts.append((9, " ".join([*words[:4], "all", "else", "is", "very", "different", "from", "the", "others"])))
-    by = {r.doc_id: r for r in line_templates.drop_recurring_lines(docs(spark, texts)).collect()}
-    assert [by[i].n_dropped for i in range(6)] == [0, 1, 1, 1, 1, 1] and by[9].n_dropped == 0
+def dropped(spark, lines):
+    """Lines dropped of documents that each have one of ``lines``."""
+    out = line_templates.drop_recurring_lines(docs(spark, list(enumerate(lines)))).collect()
+    return [r.n_dropped for r in sorted(out, key=lambda r: r.doc_id)]
+
+
+def test_fields_that_vary(spark):
+    names = "anna bert carl dora emil fred gina hans".split()
+    assert dropped(spark, [f"user {x} logged in" for x in names]) == [0] + [1] * 7
+    assert dropped(spark, [f"the article was written by {x} and first shown in our {x[::-1]} section" for x in names]) == [0] + [1] * 7
+    assert dropped(spark, [f"{x} logged in here" for x in names]) == [0] * 8  # the first token leads to the leaf
+    assert dropped(spark, [f"one {x} two {x} three" for x in names]) == [0] * 8
+    assert dropped(spark, [f"a {x} b" for x in names]) == [0] * 8 and dropped(spark, [f"a {i} b" for i in range(8)]) == [0] + [1] * 7
+    assert dropped(spark, [f"{x} {x} " * 4 + "some more of a line that isn't the same" for x in names]) == [0] * 8
+
+
+def test_long_lines_recur_in_two_documents(spark):
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
+    assert dropped(spark, [" ".join(words), " ".join(words[::-1]), " ".join([*words[:30], "other", *words[31:]]), " ".join(words[:49]), " ".join(words[:49])]) == [0, 0, 1, 0, 0]
+
+
+def plain_templates(rows, min_docs=line_templates.MIN_DOCS):
+    """(id, line number) of lines to drop, pair by pair: templates are all ways to leave out what may vary."""
+    import itertools
+
+    where = {}
+    for i, text in rows:
+        for at, line in enumerate(text.split("\n")):
+            t = ["<*>" if any(c.isdigit() for c in x) else x for x in line.split()]
+            n = len(t)
+            if n >= 8:
+                runs = [tuple(t[s * n // 8 : (s + 1) * n // 8]) for s in range(8)]
+                ways = [tuple(None if k in pair else r for k, r in enumerate(runs)) for pair in itertools.combinations(range(8), 2)]
+            elif n > 3:
+                ways = [tuple(None if k == j else x for k, x in enumerate(t)) for j in range(1, n)]
+            else:
+                ways = [tuple(t)] if n == 3 else []
+            for w in ways:
+                where.setdefault((n, t[0], w), set()).add((i, at))
+    gone = set()
+    for (n, *_), places in where.items():
+        ids = {i for i, _ in places}
+        if len(ids) >= (line_templates.LONG_DOCS if n >= line_templates.LONG_TOKENS else min_docs):
+            gone |= {(i, at) for i, at in places if i != min(ids)}
+    return gone
+
+
+def test_templates_against_brute_force(spark):
+    import random
+
+    r = random.Random(7)
+    rows = []
+    for i in range(120):
+        lines = []
+        for _ in range(r.randint(1, 12)):
+            n = r.choice([1, 2, 3, 3, 4, 5, 6, 7, 8, 9, 12, 20, 55])
+            base = random.Random(n * 10 + r.randrange(2))
+            t = base.choices("the of a red blue green sun moon star 12".split(), k=n)
+            for _ in range(r.choice([0, 0, 1, 2, 3])):
+                t[r.randrange(n)] = r.choice("x y z w v u 77".split())
+            lines.append(" ".join(t))
+        rows.append((i, "\n".join(lines)))
+    gone = plain_templates(rows)
+    got = {x.doc_id: x.text for x in line_templates.drop_recurring_lines(docs(spark, rows)).collect()}
+    assert got == {i: "\n".join(x for at, x in enumerate(t.split("\n")) if (i, at) not in gone) for i, t in rows} and len(gone) > 100
+
+
+def test_columns_of_the_operator_clash_with_none(spark):
+    d = docs(spark, [(1, "some line of words"), (2, "other")]).withColumnsRenamed({"lang": "_id", "source": "_hash"}).withColumnRenamed("n_chars", "_lines")
+    out = line_templates.drop_recurring_lines(d)
+    assert out.columns == ["doc_id", "text", "_id", "_hash", "_lines", "n_lines", "n_dropped"] and out.count() == 2
 
 
 # --- decontamination ---
