@@ -842,12 +842,13 @@ def json_props(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query("stream_hourly_counts")
+@query("stream_hourly_counts", "SELECT strftime(date_trunc('hour', CAST(ts AS TIMESTAMP)), '%Y-%m-%d %H') AS hour, count(*) AS n FROM events GROUP BY 1")
 def stream_hourly_counts(spark: SparkSession, d: str) -> DataFrame:
     """The batch form of the streaming extension: the same transformation, on a frame that ends."""
     from lodeweave.streaming.streams import hourly_counts
 
-    return hourly_counts(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts")
+    counted = hourly_counts(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts")
+    return counted.select(F.date_format("bucket", "yyyy-MM-dd HH").alias("hour"), "n")
 
 
 # --- more of ingestion, ranking and answering --------------------------------------------------------------------------------------------
