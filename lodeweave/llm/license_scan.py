@@ -1,11 +1,13 @@
-r"""License scan: sparse TF-IDF cosine of lines to licence statements, then inheritance from the nearest ancestor directory (DataFrame functions only).
+r"""License scan: sparse TF-IDF cosine of headers and licence files to templates, then inheritance from the nearest ancestor directory (DataFrame functions only).
 
-Every line of every file is a sparse vector: a distinct term (letters and digits, lower case) weighs its idf, ln(1 + files / files with it); terms
-that no template has weigh as if one file had them. A line whose cosine to a template is at least ``threshold`` states that licence. The
-templates' terms are few, so document frequencies are a table of their size. A line can reach the threshold only if at least
-threshold^2 of its terms are templates' terms, as no other term weighs less; lines that can't are left out before any shuffle.
+Every file is looked at in three sizes, as a licence may be a line, a comment of several lines, or the whole file: its lines, its blocks (lines up to one without letters and
+digits) and all of it. Each of these is a sparse vector: a distinct term (letters and digits, lower case) weighs its idf, ln(1 + files / files with it); terms
+that no template has weigh as if one file had them. A vector whose cosine to a template is at least ``threshold`` states that licence; an SPDX line must match its template almost
+exactly, as such lines differ in a name alone. The
+templates' terms are few, so document frequencies are a table of their size. A vector can reach the threshold only if at least
+threshold^2 of its terms are templates' terms, as no other term weighs less; those that can't are left out before any shuffle. One pass over the texts finds both, and is written.
 
-A file's own licence is its best statement. A licence file (by its name, or because statements make up at least half of its words) gives its
+A file's own licence is its best statement. A licence file (by its name, or because stating lines, or a block or all of it with a cosine of FILE_COSINE, make up at least half of its words) gives its
 licence to its directory. A file without its own takes that of the nearest directory above it that has one: directories, not files, are
 expanded to their ancestors and joined by path, and files are then joined to their directory.
 """
@@ -17,7 +19,12 @@ from pyspark.sql import functions as F
 
 from lodeweave.llm.common import cut, loose, read, text_of
 
-THRESHOLD = 0.75
+#: A block or a whole file is nothing but a licence from the second cosine on.
+THRESHOLD, FILE_COSINE = 0.75, 0.9
+#: Parts that licence texts share.
+AS_IS_MIT = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+AS_IS_BSD = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
 #: Names of licences with statements of them as headers and first lines of licence files have them.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -40,9 +47,33 @@ TEMPLATES = (
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
     ("All-rights-reserved", "All rights reserved."),
     ("All-rights-reserved", "Copyright (c) All rights reserved."),
-)
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    *((name, f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} General Public License as published by the Free Software Foundation, either version {v} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} General Public License for more details. You should have received a copy of the GNU {kind} General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.")
+      for name, kind, v in (("GPL-2.0", "", "2"), ("GPL-3.0", "", "3"), ("LGPL-3.0", "Lesser", "3"), ("AGPL-3.0", "Affero", "3"))),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("MIT", "MIT License Copyright (c) Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + AS_IS_MIT),
+    ("ISC", "ISC License Copyright (c) Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("BSD-2-Clause", f"BSD 2-Clause License Copyright (c) All rights reserved. {BSD_HEAD} {AS_IS_BSD}"),
+    ("BSD-3-Clause", f"BSD 3-Clause License Copyright (c) All rights reserved. {BSD_HEAD} Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {AS_IS_BSD}"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain."),
+)
+#: Identifiers of SPDX lines.
+IDENTIFIERS = (
+    "0BSD", "AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0",
+    "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later",
+    "MIT", "MPL-2.0", "Unlicense", "Zlib",
+)
+FIRST_SPDX, SPDX_THRESHOLD = len(TEMPLATES), 0.95
+TEMPLATES = (*TEMPLATES, *((x.removesuffix("-only").removesuffix("-or-later"), f"SPDX-License-Identifier: {x}") for x in IDENTIFIERS))
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|unlicense)[^/]*$"
 
 
@@ -60,29 +91,50 @@ def terms(text: Column) -> Column:
     return F.array_remove(F.array_distinct(F.split(F.lower(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")), "")
 
 
+BLOCKS = r"\n(?:[^\p{L}\p{N}\n]*\n)+"
+
+
+def _size(text: Column) -> Column:
+    return F.size(F.filter(F.split(text, r"[ \t-\r]+"), lambda x: x != ""))
+
+
+def candidates(files: DataFrame, threshold: float) -> DataFrame:
+    """``file``, ``known`` (terms of it that templates have) and ``parts``: (at, own terms, number of others, share of the file's words) of lines, blocks and the whole that may state a licence."""
+    vocabulary = F.array(*[F.lit(w) for w in VOCABULARY])
+    pieces = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("at"), x.alias("l")))
+    blocks = F.filter(F.split("text", BLOCKS), lambda x: F.contains(x, F.lit("\n")))
+    more = F.transform(F.when(F.size(F.split("text", BLOCKS)) > 1, F.concat(blocks, F.array("text"))).otherwise(blocks), lambda x, i: F.struct((-1 - i).alias("at"), x.alias("l")))
+
+    def part(x: Column) -> Column:
+        t = terms(x["l"])
+        return F.struct(x["at"].alias("at"), x["l"].alias("l"), F.array_intersect(t, vocabulary).alias("own"), F.size(t).alias("n"))
+
+    read_ = files.select("file", "text", F.transform(pieces, part).alias("lines"), F.transform(more, part).alias("more"))
+    good = lambda x: (F.size(x["own"]) > 0) & (F.size(x["own"]) >= threshold * threshold * x["n"] - 1e-9)
+    words = _size(F.col("text"))
+    said = F.transform(F.filter(F.concat("lines", "more"), good), lambda x: F.struct(x["at"].alias("at"), x["own"].alias("own"), (x["n"] - F.size(x["own"])).alias("others"), (_size(x["l"]) / words).alias("share")))
+    return read_.select("file", F.array_distinct(F.flatten(F.transform("lines", lambda x: x["own"]))).alias("known"), said.alias("parts"))
+
+
 def statements(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``file``, ``line``, ``licence``, ``cosine`` (6 digits) and ``share`` (words of the line in those of the file) of lines that state a licence: the best template of each."""
+    """``file``, ``at`` (a line's number; below 0 for blocks and the whole), ``licence``, ``cosine`` (6 digits) and ``share`` (of the file's words) of parts that state a licence: the best template of each."""
     spark = files.sparkSession
-    vocabulary = F.array(*[F.lit(w) for w in VOCABULARY])
-    n = files.agg(F.count("*").alias("n_files"))
-    df = files.select(F.explode(F.array_intersect(terms(F.col("text")), vocabulary)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    found = cut(candidates(files, threshold), "licence_parts")
+    n = found.agg(F.count("*").alias("n_files"))
+    df = found.select(F.explode("known").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     # one row for each term of the templates, whatever the corpus
     known = spark.createDataFrame([(w,) for w in VOCABULARY], "term string").join(df, "term", "left").crossJoin(n)
     weights = cut(known.select("term", F.ln(1 + F.col("n_files") / F.greatest(F.coalesce("df", F.lit(1)), F.lit(1))).alias("w"), F.ln(1 + F.col("n_files")).alias("w_other")).coalesce(1), "licence_weights")
-    vectors = spark.createDataFrame([(i, name, w) for i, (name, t) in enumerate(TEMPLATES) for w in _words(t)], "template int, licence string, term string").join(F.broadcast(weights), "term")
+    need = lambda i: SPDX_THRESHOLD if i >= FIRST_SPDX else threshold
+    vectors = spark.createDataFrame([(i, name, w, need(i)) for i, (name, t) in enumerate(TEMPLATES) for w in _words(t)], "template int, licence string, term string, need double").join(F.broadcast(weights), "term")
     norms = vectors.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     vectors = vectors.join(F.broadcast(norms), "template")
-
-    lines = files.select("file", F.size(F.filter(F.split("text", r"[ \t-\r]+"), lambda x: x != "")).alias("words"), F.posexplode(F.split("text", "\n")).alias("line", "l"))
-    lines = lines.select("file", "words", "line", "l", terms(F.col("l")).alias("t"))
-    lines = lines.withColumn("own", F.array_intersect("t", vocabulary)).where((F.size("own") > 0) & (F.size("own") >= threshold * threshold * F.size("t") - 1e-9))
-    lines = lines.select("file", "line", "own", (F.size("t") - F.size("own")).alias("others"), (F.size(F.filter(F.split("l", r"[ \t-\r]+"), lambda x: x != "")) / F.col("words")).alias("share"))
-    sparse = lines.select("file", "line", "others", "share", F.explode("own").alias("term"))
-    size = sparse.join(F.broadcast(weights), "term").groupBy("file", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w")) + F.first(F.col("others") * F.col("w_other") * F.col("w_other"))).alias("size"), F.first("share").alias("share"))
-    dots = sparse.join(F.broadcast(vectors), "term").groupBy("file", "line", "template", "licence", "norm").agg(F.sum(F.col("w") * F.col("w")).alias("dot"))
-    scored = dots.join(size, ["file", "line"]).select("file", "line", "licence", "share", F.round(F.col("dot") / (F.col("norm") * F.col("size")), 6).alias("cosine")).where(F.col("cosine") >= threshold)
-    best = scored.groupBy("file", "line").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("b"), F.first("share").alias("share"))
-    return best.select("file", "line", F.col("b.licence").alias("licence"), (-F.col("b.c")).alias("cosine"), "share")
+    sparse = found.select("file", F.explode("parts").alias("p")).select("file", "p.at", "p.others", "p.share", F.explode("p.own").alias("term"))
+    size = sparse.join(F.broadcast(weights), "term").groupBy("file", "at").agg(F.sqrt(F.sum(F.col("w") * F.col("w")) + F.first(F.col("others") * F.col("w_other") * F.col("w_other"))).alias("size"), F.first("share").alias("share"))
+    dots = sparse.join(F.broadcast(vectors), "term").groupBy("file", "at", "template", "licence", "need", "norm").agg(F.sum(F.col("w") * F.col("w")).alias("dot"))
+    scored = dots.join(size, ["file", "at"]).select("file", "at", "licence", "need", "share", F.round(F.col("dot") / (F.col("norm") * F.col("size")), 6).alias("cosine")).where(F.col("cosine") >= F.col("need"))
+    best = scored.groupBy("file", "at").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("b"), F.first("share").alias("share"))
+    return best.select("file", "at", F.col("b.licence").alias("licence"), (-F.col("b.c")).alias("cosine"), "share")
 
 
 def inherit(own: DataFrame) -> DataFrame:
@@ -110,7 +162,7 @@ def scan(files: DataFrame, *, path_col: str = "path", text_col: str = "text", th
     f = files.select(F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"), text_of(text_col).alias("text"))
     f = f.withColumn("file", F.struct("path", F.xxhash64("text").alias("hash")))
     said = cut(statements(f.select("file", "text"), threshold), "licence_statements")
-    best = said.groupBy("file").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("b"), F.sum("share").alias("share"))
+    best = said.groupBy("file").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("b"), F.greatest(F.sum(F.when(F.col("at") >= 0, F.col("share")).otherwise(0.0)), F.max(F.when(F.col("cosine") >= FILE_COSINE, F.col("share")))).alias("share"))
     own = f.select("file").join(best, "file", "left")
     path = F.col("file.path")
     named = path.rlike(LICENCE_FILE)
@@ -137,14 +189,16 @@ f AS MATERIALIZED (SELECT row_number() OVER () AS file, doc_id, concat_ws('/', s
 n AS (SELECT count(*) AS n FROM f),
 ft AS (SELECT file, unnest({split("text")}) AS term FROM f),
 w AS MATERIALIZED (SELECT term, ln(1 + n / greatest(df, 1)) AS w FROM (SELECT v.term, count(ft.term) AS df FROM (SELECT DISTINCT term FROM v) v LEFT JOIN ft ON ft.term = v.term GROUP BY v.term), n),
-l AS (SELECT file, {words("text")} AS words, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS line FROM f),
-lt AS MATERIALIZED (SELECT file, line, {words("l")} / words AS share, unnest({split("l")}) AS term FROM l),
+l AS (SELECT file, {words("text")} AS words, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS line FROM f
+      UNION ALL SELECT file, words, unnest(p) AS l, unnest(list_transform(range(len(p)), lambda i: -1 - i)) AS line FROM (SELECT file, {words("text")} AS words, list_filter(regexp_split_to_array(text, '{BLOCKS}'), lambda x: contains(x, chr(10))) || CASE WHEN len(regexp_split_to_array(text, '{BLOCKS}')) > 1 THEN [text] ELSE [] END AS p FROM f)),
+lx AS (SELECT file, line, words, l, {split("l")} AS ts FROM l),
+lt AS MATERIALIZED (SELECT file, line, {words("l")} / words AS share, unnest(ts) AS term FROM lx WHERE len(list_intersect(ts, [{", ".join(map(quote, VOCABULARY))}])) >= {THRESHOLD**2} * len(ts) - 1e-9 AND len(ts) > 0),
 s AS (SELECT file, line, any_value(share) AS share, sqrt(sum(coalesce(w, ln(1 + n)) ** 2)) AS size FROM lt LEFT JOIN w ON lt.term = w.term, n GROUP BY file, line HAVING count(w) > 0),
 vn AS (SELECT template, sqrt(sum(w * w)) AS norm FROM v JOIN w ON v.term = w.term GROUP BY template),
 d AS (SELECT file, line, v.template, licence, sum(w * w) AS dot FROM lt JOIN v ON lt.term = v.term JOIN w ON w.term = v.term GROUP BY ALL),
-c AS (SELECT d.file, d.line, licence, share, round(dot / (norm * size), 6) AS cosine FROM d JOIN s ON d.file = s.file AND d.line = s.line JOIN vn ON vn.template = d.template),
-b AS (SELECT file, line, any_value(share) AS share, max(cosine) AS cosine, arg_min(licence, {{'c': -cosine, 'l': licence}}) AS licence FROM c WHERE cosine >= {THRESHOLD} GROUP BY file, line),
-o AS MATERIALIZED (SELECT f.file, doc_id, dir, licence, cosine, coalesce(share >= 0.5, false) AS is_file FROM f LEFT JOIN (SELECT file, sum(share) AS share, max(cosine) AS cosine, arg_min(licence, {{'c': -cosine, 'l': licence}}) AS licence FROM b GROUP BY file) g ON f.file = g.file),
+c AS (SELECT d.file, d.line, d.template, licence, share, round(dot / (norm * size), 6) AS cosine FROM d JOIN s ON d.file = s.file AND d.line = s.line JOIN vn ON vn.template = d.template),
+b AS (SELECT file, line, any_value(share) AS share, max(cosine) AS cosine, arg_min(licence, {{'c': -cosine, 'l': licence}}) AS licence FROM c WHERE cosine >= CASE WHEN template >= {FIRST_SPDX} THEN {SPDX_THRESHOLD} ELSE {THRESHOLD} END GROUP BY file, line),
+o AS MATERIALIZED (SELECT f.file, doc_id, dir, licence, cosine, coalesce(share >= 0.5, false) AS is_file FROM f LEFT JOIN (SELECT file, greatest(sum(CASE WHEN line >= 0 THEN share ELSE 0 END), max(CASE WHEN cosine >= {FILE_COSINE} THEN share END)) AS share, max(cosine) AS cosine, arg_min(licence, {{'c': -cosine, 'l': licence}}) AS licence FROM b GROUP BY file) g ON f.file = g.file),
 g AS (SELECT dir AS above, arg_min(licence, {{'c': -cosine, 'l': licence}}) AS given FROM o WHERE is_file AND licence IS NOT NULL GROUP BY dir),
 a AS (SELECT dir, unnest(range(len(string_split(dir, '/')) + 1)) AS distance FROM (SELECT DISTINCT dir FROM o)),
 i AS (SELECT dir, min(distance) AS distance, arg_min(given, distance) AS given FROM a JOIN g ON g.above = array_to_string(string_split(dir, '/')[1 : len(string_split(dir, '/')) - distance], '/') GROUP BY dir)

@@ -266,7 +266,48 @@ def test_licences(spark):
     assert license_scan.scan(spark.createDataFrame([], "path string, text string")).count() == 0
 
 
-def test_native_plans_hold_no_python(spark):
+def wrapped(text, mark="", width=70):
+    import textwrap
+
+    return "\n".join(f"{mark} {x}".strip() for x in textwrap.wrap(text, width))
+
+
+def template(licence, of):
+    return max((t for name, t in license_scan.TEMPLATES if name == licence and of in t), key=len)
+
+
+def test_headers_and_whole_files(spark):
+    """Licences that no single line states: headers of several lines, in comments, and whole files, among files with other texts."""
+    code = "\n\nimport os\n\ndef main(argument):\n    return os.path.join(argument, 'data')\n"
+    wants = {
+        "gpl3": ("GPL-3.0", wrapped(template("GPL-3.0", "free software"), "#") + code), "agpl": ("AGPL-3.0", "/*\n" + wrapped(template("AGPL-3.0", "free software"), " *") + "\n */" + code),
+        "lgpl": ("LGPL-2.1", wrapped(template("LGPL-2.1", "library"), "//") + code), "bsd3": ("BSD-3-Clause", wrapped(template("BSD-3-Clause", "Neither"))), "bsd2": ("BSD-2-Clause", wrapped(template("BSD-2-Clause", "Redistributions"), "", 50)),
+        "mit": ("MIT", wrapped(template("MIT", "NONINFRINGEMENT")).replace("Permission is", "\n\nPermission is").replace("THE SOFTWARE IS", "\n\nTHE SOFTWARE IS")), "isc": ("ISC", wrapped(template("ISC", "DISCLAIMS"))),
+        "mpl": ("MPL-2.0", wrapped(template("MPL-2.0", "distributed"), "//") + code), "apache": ("Apache-2.0", wrapped(template("Apache-2.0", "WARRANTIES"), "#") + code),
+        "spdx1": ("MIT", "// SPDX-License-Identifier: MIT" + code), "spdx2": ("GPL-2.0", "# SPDX-License-Identifier: GPL-2.0-only" + code), "spdx3": (None, "# SPDX-License-Identifier: Homegrown-9" + code),
+        "nc": ("CC-BY-NC-4.0", "Words about the sea.\nLicensed under CC BY-NC 4.0.\nMore words."), "none": (None, "A text that speaks of software, of a licence and of copyright holders, but grants none of its rights." + code),
+    }
+    files = [(f"{k}/x", text) for k, (_, text) in wants.items()] + [(f"z/{i}", f"quite ordinary text of file {i} with the and of{code}") for i in range(60)]
+    got = {r.path: (r.licence, r.how) for r in license_scan.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert {k: got[f"{k}/x"][0] for k in wants} == {k: v for k, (v, _) in wants.items()}
+    assert got["bsd3/x"][1] == got["mit/x"][1] == "file" and got["spdx1/x"][1] == "header"
+
+
+def test_native_plans_hold_no_python(spark, monkeypatch):
+    """Of the queries, and of all that they write on their way."""
+    from lodeweave.llm import common, quality_rules
+
+    plans = []
+
+    def seen(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return common.cut(df, name)
+
+    for module in (license_scan, line_templates, quality_rules):
+        monkeypatch.setattr(module, "cut", seen)
     for name in ("op2_line_templates", "op8_chat_format", "op9_license_scan", "op10_quality_rules"):
         plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+        plans.append((name, plan))
+    assert len(plans) >= 8
+    for name, plan in plans:
         assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan, name
