@@ -70,11 +70,10 @@ def template_keys(x: Column) -> Column:
     )
 
 
-def recurring(keys: DataFrame, min_docs: int, long_docs: int, long_tokens: int) -> DataFrame:
-    """``key`` and ``first`` (the smallest id) of what enough rows have, of (id, array ``ks`` of structs n, key): a row counts once."""
-    once = keys.select("id", F.explode(F.array_distinct("ks")).alias("k")).select("id", "k.*")
-    counted = once.groupBy("key").agg(F.count("*").alias("rows"), F.min("id").alias("first"), F.max("n").alias("n"))
-    return counted.where(F.col("rows") >= F.when(F.col("n") >= long_tokens, long_docs).otherwise(min_docs)).select("key", "first")
+def recurring(keys: DataFrame, min_docs: int, long_docs: int) -> DataFrame:
+    """``key`` and ``first`` (the smallest id) of what enough rows have, of (id, ``keys``): a row counts once, and the last bit of a key says that its lines are long."""
+    counted = keys.select("id", F.explode(F.array_distinct("keys")).alias("key")).groupBy("key").agg(F.count("*").alias("rows"), F.min("id").alias("first"))
+    return counted.where(F.col("rows") >= F.when(F.col("key") % 2 == 0, min_docs).otherwise(long_docs)).select("key", "first")
 
 
 def drop_recurring_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, long_docs: int = LONG_DOCS, long_tokens: int = LONG_TOKENS) -> DataFrame:
@@ -85,22 +84,22 @@ def drop_recurring_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     occur and are treated alike. Input columns named like a result are replaced.
     """
     d = drop_columns(docs, *RESULTS)
-    many = (min_docs, long_docs, long_tokens)
     row_hash = F.xxhash64(text_of(text_col))
     parsed = cut(d.select(F.col(f"`{id_col}`").alias("id"), row_hash.alias("hash"), parsed_lines(text_of(text_col)).alias("lines")), "line_keys")
-    tagged = lambda keys: lambda x: F.transform(keys(x), lambda k: F.struct(x["n"].alias("n"), k.alias("key")))
+    # numbers and not structs, as Spark finds distinct structs pair by pair
+    tagged = lambda keys: lambda x: F.transform(keys(x), lambda k: k.bitwiseAND(F.lit(-2).cast("long")).bitwiseOR(F.when(x["n"] >= long_tokens, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))))
     # the sieve
     sieved = parsed.select("id", "hash", F.transform("lines", tagged(sieve_keys)).alias("by_line"))
-    some = recurring(sieved.select("id", F.flatten("by_line").alias("ks")), *many)
-    at = sieved.select("id", "hash", F.posexplode("by_line").alias("at", "ks")).select("id", "hash", "at", F.explode("ks.key").alias("key"))
+    some = recurring(sieved.select("id", F.flatten("by_line").alias("keys")), min_docs, long_docs)
+    at = sieved.select("id", "hash", F.posexplode("by_line").alias("at", "keys")).select("id", "hash", "at", F.explode("keys").alias("key"))
     passed = at.join(loose(some.select("key")), "key", "left_semi").groupBy("id", "hash").agg(F.collect_set("at").alias("passed"))
     # the templates of what passes; a row of each for rows that repeat
     p = passed.select(F.col("id").alias("other_id"), F.col("hash").alias("other_hash"), "passed")
     open_ = parsed.join(loose(p), F.col("id").eqNullSafe(F.col("other_id")) & (F.col("hash") == F.col("other_hash")))
     line = lambda i: F.col("lines")[i]
-    open_ = cut(open_.select("id", "hash", F.transform("passed", lambda i: F.struct(i.alias("at"), tagged(template_keys)(line(i)).alias("ks"))).alias("open")), "line_templates")
-    last = recurring(open_.select("id", F.flatten(F.col("open.ks")).alias("ks")), *many)
-    each = open_.select("id", "hash", F.explode("open").alias("o")).select("id", "hash", "o.at", F.explode("o.ks.key").alias("key"))
+    open_ = cut(open_.select("id", "hash", F.transform("passed", lambda i: F.struct(i.alias("at"), tagged(template_keys)(line(i)).alias("keys"))).alias("open")), "line_templates")
+    last = recurring(open_.select("id", F.flatten(F.col("open.keys")).alias("keys")), min_docs, long_docs)
+    each = open_.select("id", "hash", F.explode("open").alias("o")).select("id", "hash", "o.at", F.explode("o.keys").alias("key"))
     gone = each.join(loose(last), "key").where(~F.col("id").eqNullSafe(F.col("first")))
     gone = gone.groupBy(F.col("id").alias("__gone_id"), F.col("hash").alias("__gone_hash")).agg(F.collect_set("at").alias("__gone"))
     out = d.withColumn("__row_hash", row_hash).join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("__gone_id")) & (F.col("__row_hash") == F.col("__gone_hash")), "left")
