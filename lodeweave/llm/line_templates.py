@@ -33,13 +33,17 @@ RESULTS = ("n_lines", "n_dropped")
 
 def parsed_lines(text: Column) -> Column:
     """For each line of a text ``n`` (tokens), ``leaf`` and ``runs`` (hashes of its runs of tokens, or of its tokens); null for a line without a template."""
-    # white space becomes one space, and a token with a digit <*>; a match begins at a token's start alone, so that long tokens take linear time
-    masked = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(F.trim(F.regexp_replace(x, r"[ \t-\r]+", " ")), r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<*>"))
+    # white space becomes one space, and a token with a digit <*>, where there are any; a match begins at a token's start alone, so that long tokens take linear time
+    spaced = F.lit(False)
+    for c in ("  ", "\t", "\v", "\f", "\r"):
+        spaced = spaced | F.contains(text, F.lit(c))
+    plain = F.when(spaced, F.regexp_replace(text, r"[ \t\x0B\f\r]+", " ")).otherwise(text)
+    masked = F.transform(F.split(plain, "\n"), lambda x: F.trim(F.when(x.rlike("[0-9]"), F.regexp_replace(x, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<*>")).otherwise(x)))
     tokens = F.transform(masked, lambda m: F.split(m, " "))
 
     def line(t: Column) -> Column:
         n = F.size(t)
-        begin = lambda s: F.floor(s * n / SEGMENTS).cast("int")
+        begin = lambda s: F.shiftright(s * n, 3)  # noqa: E731  an eighth
         run = lambda s: F.hash(F.slice(t, begin(s) + 1, begin(s + 1) - begin(s)))
         runs = F.when(n >= SEGMENTS, F.transform(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)), run)).otherwise(F.transform(t, lambda x: F.hash(x)))
         return F.when(n >= MIN_TOKENS, F.struct(n.alias("n"), F.xxhash64(n, t[0]).alias("leaf"), runs.alias("runs")))
@@ -61,13 +65,17 @@ def sieve_keys(x: Column) -> Column:
 
 def template_keys(x: Column) -> Column:
     """The template hashes of a line, one for each choice of what may vary."""
-    without = lambda i, j: F.xxhash64(x["leaf"], i, j, F.transform(x["runs"], lambda r, k: F.when((k == i) | (k == j), 0).otherwise(r)))
     pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in combinations(range(SEGMENTS), 2)])
-    return (
-        F.when(x["n"] >= SEGMENTS, F.transform(pairs, lambda p: without(p["i"], p["j"])))
-        .when(x["n"] > MIN_TOKENS, F.transform(F.sequence(F.lit(1), x["n"] - 1), lambda i: without(i, i)))
-        .otherwise(F.array(F.xxhash64(x["leaf"], x["runs"])))
-    )
+    places = F.when(x["n"] >= SEGMENTS, pairs).when(x["n"] > MIN_TOKENS, F.transform(F.sequence(F.lit(1), x["n"] - 1), lambda i: F.struct(i.alias("i"), (i - i - 1).alias("j"))))
+    hashes = F.transform(x["runs"], lambda r, k: F.xxhash64(k, r))
+    # all runs together by exclusive or, from which those that may vary are taken out again
+    both = F.transform(F.array(hashes), lambda h: F.struct(h.alias("h"), F.aggregate(h, F.lit(0).cast("long"), lambda a, y: a.bitwiseXOR(y)).alias("all")))
+
+    def keys(q: Column) -> Column:
+        out = lambda k: F.when(k >= 0, q["h"][F.greatest(k, F.lit(0))]).otherwise(F.lit(0).cast("long"))
+        return F.transform(places, lambda p: F.xxhash64(x["leaf"], p["i"], p["j"], q["all"].bitwiseXOR(out(p["i"])).bitwiseXOR(out(p["j"]))))
+
+    return F.when(x["n"] > MIN_TOKENS, F.transform(both, keys)[0]).otherwise(F.array(F.xxhash64(x["leaf"], x["runs"])))
 
 
 def recurring(keys: DataFrame, min_docs: int, long_docs: int) -> DataFrame:
