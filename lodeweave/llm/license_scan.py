@@ -91,7 +91,8 @@ def terms(text: Column) -> Column:
     return F.array_remove(F.array_distinct(F.split(F.lower(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")), "")
 
 
-BLOCKS = r"\n(?:[^\p{L}\p{N}\n]*\n)+"
+#: No group repeats here: the matcher of the JVM would call itself for each line.
+BLOCKS = r"\n[^\p{L}\p{N}]*\n"
 
 
 def _size(text: Column) -> Column:
