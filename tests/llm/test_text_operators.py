@@ -1,9 +1,11 @@
 """Page text, line templates, decontamination, chat formatting and licences: edge cases, and brute force where SQL doesn't reach."""
 
+import hashlib
 import random
 
 import pytest
 from conftest import SMALL, rows_of
+from pyspark.sql import functions as F
 
 from lodeweave.llm import chat_format, decontaminate, license_scan, line_templates, page_text
 from lodeweave.llm.registry import ORACLE_SQL, QUERIES
@@ -199,17 +201,16 @@ def test_search_against_brute_force():
         word = lambda: r.choice("ab cd é".split())
         items = [(str(i), " ".join(word() for _ in range(r.randint(0, 9)))) for i in range(4)]
         text = ", ".join(word() for _ in range(r.randint(0, 40)))
-        ranges, found = decontaminate.scan(decontaminate.words_of(text), decontaminate.build_tables(items, 4))
+        ranges, found = decontaminate.Tables([(i, decontaminate.words_of(t)) for i, t in items], 4).scan(decontaminate.words_of(text))
         assert (decontaminate.covered(ranges), found) == plain_scan(text, items, 4)
 
 
 def test_decontaminate_edges(spark):
-    d = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "One TWO three", "x"), (3, "One TWO three", "x"), (4, "two " * 5000, "x")], "doc_id long, text string, n_hit string")
-    b = spark.createDataFrame([(7, "one two three"), (7, "one two three"), (10, "TWO!"), (8, None), (9, ""), (None, "one")], "item_id long, text string")
+    d = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "One TWO three", "x"), (3, "One TWO three", "x"), (4, "two " * 5000, "x"), (5, "a zebra", "x")], "doc_id long, text string, n_hit string")
+    b = spark.createDataFrame([(7, "one two three"), (7, "one two three"), (10, "TWO!"), (8, None), (9, ""), (None, "zebra")], "item_id long, text string")
     out = decontaminate.decontaminate(d, b).orderBy("doc_id").collect()
-    assert [(r.n_words, r.n_hit, r.n_items) for r in out] == [(0, 0, 0), (0, 0, 0), (3, 3, 2), (3, 3, 2), (5000, 5000, 1)]
-    import hashlib
-
+    assert [(r.n_words, r.n_hit, r.n_items) for r in out] == [(0, 0, 0), (0, 0, 0), (3, 3, 2), (3, 3, 2), (5000, 5000, 1), (2, 1, 0)]
+    assert out[-1].contaminated and out[-1].items_sha256 == out[0].items_sha256
     assert out[2].items_sha256 == hashlib.sha256(b"10,7").hexdigest() and out[0].items_sha256 == hashlib.sha256(b"").hexdigest()
     sharded = decontaminate.decontaminate(d, b, max_bytes=8).select("doc_id", *decontaminate.RESULTS)
     assert sorted(map(str, sharded.collect())) == sorted(map(str, decontaminate.decontaminate(d, b).select("doc_id", *decontaminate.RESULTS).collect()))
@@ -217,6 +218,19 @@ def test_decontaminate_edges(spark):
     assert decontaminate.decontaminate(d, b.limit(0)).where("contaminated").count() == 0 and decontaminate.decontaminate(d.limit(0), b).count() == 0
 
 
+def test_long_items_are_cut_without_loss(spark, monkeypatch):
+    r = random.Random(8)
+    words = [f"w{r.randrange(60)}" for _ in range(400)]
+    item = [w if r.random() < 0.9 else "z" for w in words]
+    monkeypatch.setattr(decontaminate, "PIECE_WORDS", 12)
+    b = spark.createDataFrame([("a", " ".join(item)), ("b", " ".join(words[5:40])), ("c", "w1 w2")], "item_id string, text string")
+    d = spark.createDataFrame([(i, " ".join(words[i : i + 60])) for i in range(0, 340, 7)], "doc_id long, text string").withColumn("__HIT", F.lit(1))
+    for size in (1 << 20, 20_000):
+        for row in decontaminate.decontaminate(d, b, max_bytes=size).collect():
+            n, found = plain_scan(row.text, [tuple(x) for x in b.collect()], 10)
+            assert (row.n_hit, row.n_items, row.items_sha256) == (n, len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest())
+
+
 # --- chat formatting ---
 
 
