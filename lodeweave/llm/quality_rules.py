@@ -52,32 +52,32 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     characters of ``#*$%&|<>``. ``n_dup_lines``: lines with a word that equal an earlier line. ``n_repeat_words``: words inside
     8-word windows that the text holds at least twice. An empty or null text has zeros.
     """
-    words = "array_remove(split(_t, '[ \\\\t-\\\\r]+'), '')"
-    lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^ \t-\r]"))
+    words = "array_remove(split(__rules_t, '[ \\\\t-\\\\r]+'), '')"
+    lines = F.filter(F.split("__rules_t", "\n"), lambda x: x.rlike(r"[^ \t-\r]"))
     # windows of 8 words as 64-bit hashes: of pairs, then of pairs of pairs, then of those
     step = lambda a, gap: (
         f"CASE WHEN size({a}) > {gap} THEN transform(sequence(0, size({a}) - {gap + 1}), i -> xxhash64({a}[i], {a}[i + {gap}])) ELSE array() END"
     )
-    d = drop_columns(docs, *FEATURES).withColumn("_t", text_of(text_col)).withColumn("_w", F.expr(words))
-    d = d.withColumn("_l", lines)
-    d = d.withColumn("_h", F.expr("CASE WHEN size(_w) >= 8 THEN transform(_w, x -> xxhash64(x)) ELSE cast(array() as array<bigint>) END"))
+    d = drop_columns(docs, *FEATURES).withColumn("__rules_t", text_of(text_col)).withColumn("__rules_w", F.expr(words))
+    d = d.withColumn("__rules_l", lines)
+    d = d.withColumn("__rules_h", F.expr("CASE WHEN size(__rules_w) >= 8 THEN transform(__rules_w, x -> xxhash64(x)) ELSE cast(array() as array<bigint>) END"))
     for gap in (1, 2, 4):
-        d = d.withColumn("_h", F.expr(f"cast({step('_h', gap)} as array<bigint>)"))
+        d = d.withColumn("__rules_h", F.expr(f"cast({step('__rules_h', gap)} as array<bigint>)"))
     # only a text with a repeated window pays for the sort that finds where its repeats are
-    at = "transform(_h, (x, i) -> struct(x AS h, i AS i))"
-    d = d.withColumn("_s", F.expr(f"CASE WHEN size(array_distinct(_h)) < size(_h) THEN sort_array({at}) END"))
-    d = d.withColumn("_p", F.expr("sort_array(transform(filter(_s, (x, i) -> (i > 0 AND _s[i - 1].h = x.h) OR (i + 1 < size(_s) AND _s[i + 1].h = x.h)), x -> x.i))"))
+    at = "transform(__rules_h, (x, i) -> struct(x AS h, i AS i))"
+    d = d.withColumn("__rules_s", F.expr(f"CASE WHEN size(array_distinct(__rules_h)) < size(__rules_h) THEN sort_array({at}) END"))
+    d = d.withColumn("__rules_p", F.expr("sort_array(transform(filter(__rules_s, (x, i) -> (i > 0 AND __rules_s[i - 1].h = x.h) OR (i + 1 < size(__rules_s) AND __rules_s[i + 1].h = x.h)), x -> x.i))"))
     d = d.withColumns(
         {
             # least(id, 0) is 0; but a filter isn't pushed below what isn't deterministic, where it would hold all of the above, many times over
-            "n_words": F.size("_w") + F.least(F.monotonically_increasing_id(), F.lit(0)),
-            "word_chars": F.length(F.array_join("_w", "")).cast("long"),
-            "n_symbols": (F.length("_t") - F.length(F.regexp_replace("_t", r"[#*$%&|<>]", ""))).cast("long"),
-            "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
-            "n_repeat_words": F.expr(f"CASE WHEN _p IS NULL THEN 0L ELSE {WINDOW} + aggregate(transform(_p, (x, i) -> CASE WHEN i = 0 THEN 0 ELSE least({WINDOW}, x - _p[i - 1]) END), 0L, (a, x) -> a + x) END"),
+            "n_words": F.size("__rules_w") + F.least(F.monotonically_increasing_id(), F.lit(0)),
+            "word_chars": F.length(F.array_join("__rules_w", "")).cast("long"),
+            "n_symbols": (F.length("__rules_t") - F.length(F.regexp_replace("__rules_t", r"[#*$%&|<>]", ""))).cast("long"),
+            "n_dup_lines": (F.size("__rules_l") - F.size(F.array_distinct("__rules_l"))).cast("long"),
+            "n_repeat_words": F.expr(f"CASE WHEN __rules_p IS NULL THEN 0L ELSE {WINDOW} + aggregate(transform(__rules_p, (x, i) -> CASE WHEN i = 0 THEN 0 ELSE least({WINDOW}, x - __rules_p[i - 1]) END), 0L, (a, x) -> a + x) END"),
         }
     )
-    return d.drop("_t", "_w", "_l", "_h", "_s", "_p")
+    return d.drop("__rules_t", "__rules_w", "__rules_l", "__rules_h", "__rules_s", "__rules_p")
 
 
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
@@ -105,7 +105,7 @@ def with_ln_tail(df: DataFrame, k: str, n: str, p: float) -> DataFrame:
 
 
 def certify(labelled: DataFrame, stratum: str, good: Column, rules: tuple[Rule, ...] = RULES, risk: float = RISK, confidence: float = CONFIDENCE) -> DataFrame:
-    """The cutoffs that the labelled rows prove safe: one row per stratum, a column ``_cut_<rule>`` each (null: none is safe).
+    """The cutoffs that the labelled rows prove safe: one row per stratum, a column ``__rules_cut_<rule>`` each (null: none is safe).
 
     A cutoff is safe if P(X <= rejected good | good rows, risk) is at most (1 - confidence) / (strata x cutoffs of all rules):
     then the Clopper-Pearson upper bound of its false rejections is at most ``risk``. Rows with a null stratum form one of their own.
@@ -114,14 +114,14 @@ def certify(labelled: DataFrame, stratum: str, good: Column, rules: tuple[Rule,
 
     flat = [(r, c) for r in rules for c in r.cutoffs]
     rejected = lambda r, c, of: F.sum((of & (100 * F.col(r.numerator) > c * F.col(r.denominator))).cast("long"))
-    counts = labelled.groupBy(F.col(stratum).alias("_stratum")).agg(F.sum(good.cast("long")).alias("_good"), *[rejected(r, c, of).alias(f"_{k}_{r.name}_{c}") for r, c in flat for k, of in (("k", good), ("b", ~good))])
+    counts = labelled.groupBy(F.col(stratum).alias("__rules_stratum")).agg(F.sum(good.cast("long")).alias("_good"), *[rejected(r, c, of).alias(f"_{k}_{r.name}_{c}") for r, c in flat for k, of in (("k", good), ("b", ~good))])
     # from here on there are as many rows as strata x cutoffs, however large the corpus
     cells = ", ".join(f"'{r.name}', {c}, _k_{r.name}_{c}, _b_{r.name}_{c}" for r, c in flat)
-    tests = counts.select("_stratum", "_good", F.expr(f"stack({len(flat)}, {cells}) AS (_rule, _cut, _k, _bad)"))
+    tests = counts.select("__rules_stratum", "_good", F.expr(f"stack({len(flat)}, {cells}) AS (_rule, _cut, _k, _bad)"))
     tests = tests.withColumn("_strata", F.count("*").over(Window.partitionBy("_rule", "_cut")))
     tested = with_ln_tail(tests.where((F.col("_k") <= F.col("_good") * risk) & (F.col("_bad") > F.col("_k"))), "_k", "_good", risk)
     safe = tested.where(F.col("ln_tail") <= F.lit(log(1 - confidence)) - F.ln(F.col("_strata") * len(flat)))
-    return safe.groupBy("_stratum").agg(*[F.min(F.when(F.col("_rule") == r.name, F.col("_cut"))).alias(f"_cut_{r.name}") for r in rules])
+    return safe.groupBy("__rules_stratum").agg(*[F.min(F.when(F.col("_rule") == r.name, F.col("_cut"))).alias(f"__rules_cut_{r.name}") for r in rules])
 
 
 def labelled(d: DataFrame, labels: DataFrame, id_col: str, stratum: str) -> DataFrame:
@@ -153,11 +153,11 @@ def judge(d: DataFrame, labels: DataFrame, id_col: str = "doc_id", stratum: str
     # one row for each stratum, counted: a few go to every worker, or all rows would be dealt out by a handful of keys
     cuts = cut(cuts, "cutoffs")
     cuts = F.broadcast(cuts) if cuts.count() <= MOST_STRATA else loose(cuts)
-    out = d.join(cuts, F.col(f"`{stratum}`").eqNullSafe(F.col("_stratum")), "left")
+    out = d.join(cuts, F.col(f"`{stratum}`").eqNullSafe(F.col("__rules_stratum")), "left")
     bad = F.col("base_failed")
     for r in rules:
-        bad = bad | F.coalesce(100 * F.col(r.numerator) > F.col(f"_cut_{r.name}") * F.col(r.denominator), F.lit(False))
-    return out.withColumn("kept", ~bad).drop("_stratum", *[f"_cut_{r.name}" for r in rules])
+        bad = bad | F.coalesce(100 * F.col(r.numerator) > F.col(f"__rules_cut_{r.name}") * F.col(r.denominator), F.lit(False))
+    return out.withColumn("kept", ~bad).drop("__rules_stratum", *[f"__rules_cut_{r.name}" for r in rules])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

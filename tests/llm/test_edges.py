@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from lodeweave.llm import bpe, chat_format, decontaminate, license_scan, line_templates, near_duplicates, page_text, private_terms, quality_rules, token_records
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, N_WORDS string, class_id string, ids string, quality string, spans string, item_id string, path string, url string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, N_WORDS string, class_id string, ids string, quality string, spans string, item_id string, path string, url string, _t string, _w string, _stratum string, _cut_symbols string, _ranges string, _items string, _dir string, _id string"
 GOOD = " ".join(f"word{i} of a text" for i in range(30))
 
 
 def odd(spark):
-    more = ("k", "w", "c", "i", "q", "s", "t", "a/b", "http://h/x")
+    more = ("k", "w", "c", "i", "q", "s", "t", "a/b", "http://h/x", *"twsurid", "x")
     rows = [
-        (1, GOOD, "en", "s", 5, *more), (1, GOOD, "en", "s", 5, *more), (2, GOOD, None, None, None, *[None] * 9), (None, GOOD + " more", "en", "s", 1, *more), (None, None, None, None, None, *[None] * 9),
+        (1, GOOD, "en", "s", 5, *more), (1, GOOD, "en", "s", 5, *more), (2, GOOD, None, None, None, *[None] * 17), (None, GOOD + " more", "en", "s", 1, *more), (None, None, None, None, None, *[None] * 17),
         (3, None, "en", "s", 0, *more), (4, "", "de", "s", 0, *more), (5, "long " * 200_000, "en", "s", 9, *more), (6, "\n" * 3000, "en", "s", 9, *more), (7, "x" * 500_000, "en", "s", 9, *more), (8, "\U0001f600\x00\x0b � tail", "en", "s", 9, *more),
         (9, " ".join(f"one{i}" for i in range(40)), "fr", "s", 2, *more), (-9, " ".join(f"one{i}" for i in range(40)), "fr", "s", 2, *more),
     ]
@@ -37,6 +37,9 @@ def test_operators(spark):
     assert {k: len(v) for k, v in out.items()} == dict.fromkeys(out, n)
     assert {r.doc_id for r in out["near"] if r.class_id == 1} == {1, 2, None}
     assert sum(r.contaminated for r in out["leaks"]) == 4
+    internal = {"_t", "_w", "_stratum", "_cut_symbols", "_ranges", "_items", "_dir", "_id"}
+    assert all(internal <= set(out[k][0].asDict()) for k in ("lines", "leaks", "bpe", "rules"))
+    assert {r["_t"] for r in out["rules"]} == {"t", None}
     assert {r.kept for r in out["rules"] if r.doc_id in (1, 2)} == {True}
     assert {r.doc_id: r.n_tokens for r in out["records"]}[5] == 200_001
 
