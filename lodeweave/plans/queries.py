@@ -782,23 +782,23 @@ def query_log(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "eval_recall_mrr",
-    """WITH r AS (SELECT b.item_id AS case_id, d.doc_id, row_number() OVER (PARTITION BY b.item_id ORDER BY (d.doc_id * 7919 + b.item_id * 104729) % 1000, d.doc_id) AS rank FROM benchmark b, (SELECT doc_id FROM documents WHERE lang = 'en' AND doc_id < 400) d),
-e AS (SELECT item_id AS case_id, min(doc_id) AS doc_id FROM benchmark b, documents d WHERE lang = 'en' AND doc_id < 400 AND d.doc_id % 40 = b.item_id % 40 GROUP BY 1),
-f AS (SELECT e.case_id, min(rank) AS fr FROM e LEFT JOIN r ON r.case_id = e.case_id AND r.doc_id = e.doc_id GROUP BY 1),
-g AS (SELECT CASE WHEN case_id % 2 = 0 THEN 'even' ELSE 'odd' END AS category, fr FROM f)
+    """WITH r AS (SELECT l_orderkey AS case_id, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey) AS rank FROM lineitem),
+e AS (SELECT l_orderkey AS case_id, min(l_partkey) FILTER (l_returnflag = 'R') AS part FROM lineitem GROUP BY 1),
+f AS (SELECT e.case_id, min(rank) AS fr FROM e LEFT JOIN r ON r.case_id = e.case_id AND r.l_partkey = e.part GROUP BY 1),
+g AS (SELECT o_orderpriority AS category, fr FROM f JOIN orders ON case_id = o_orderkey)
 SELECT coalesce(category, 'all') AS category, count(*) AS cases, round(avg(CASE WHEN fr <= 1 THEN 1.0::DOUBLE ELSE 0 END), 4) AS recall_1, round(avg(CASE WHEN fr <= 5 THEN 1.0::DOUBLE ELSE 0 END), 4) AS recall_5, round(avg(CASE WHEN fr <= 10 THEN 1.0::DOUBLE ELSE 0 END), 4) AS recall_10, round(avg(coalesce(1 / fr::DOUBLE, 0)), 4) AS mrr FROM g GROUP BY ROLLUP (category)""",
 )
 def eval_recall_mrr(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql.window import Window
 
-    # a stated set of results: every benchmark item as a case, with a made-up ranking of the first English documents
-    docs = table(spark, d, "documents").where("lang = 'en' AND doc_id < 400").select("doc_id")
-    pairs = table(spark, d, "benchmark").select(F.col("item_id").alias("case_id")).crossJoin(docs)
-    w = Window.partitionBy("case_id").orderBy((F.col("doc_id") * 7919 + F.col("case_id") * 104729) % 1000, "doc_id")
-    results = pairs.select("case_id", F.col("doc_id").cast("string").alias("external_id"), F.row_number().over(w).alias("rank"), F.lit("documents").alias("source_key"), F.lit(1).alias("position_start"), F.lit(3).alias("position_end"))
+    # every order is a case: its lines by price are the ranking, and its smallest part that came back is what should be found (none: a miss)
+    lines, source = table(spark, d, "lineitem"), F.lit("lines").alias("source")
+    w = Window.partitionBy("l_orderkey").orderBy(F.desc("l_extendedprice"), "l_linenumber", "l_partkey")
+    results = lines.select(F.col("l_orderkey").alias("case_id"), F.col("l_partkey").cast("string").alias("external_id"), F.row_number().over(w).alias("rank"), F.lit("lines").alias("source_key"), F.lit(1).alias("position_start"), F.lit(3).alias("position_end"))
     none = F.lit(None).cast("int")
-    expected = pairs.where("doc_id % 40 = case_id % 40").groupBy("case_id").agg(F.min("doc_id").cast("string").alias("document_id")).select("case_id", "document_id", F.lit("documents").alias("source"), F.lit(2).alias("page"), none.alias("page_from"), none.alias("page_to"))
-    cases = expected.select("case_id", F.when(F.col("case_id") % 2 == 0, "even").otherwise("odd").alias("category"), F.lit(1.0).alias("ms"))
+    back = F.min(F.when(F.col("l_returnflag") == "R", F.col("l_partkey"))).cast("string").alias("document_id")
+    expected = lines.groupBy(F.col("l_orderkey").alias("case_id")).agg(back).select("case_id", "document_id", source, F.lit(2).alias("page"), none.alias("page_from"), none.alias("page_to"))
+    cases = table(spark, d, "orders").select(F.col("o_orderkey").alias("case_id"), F.col("o_orderpriority").alias("category"), F.lit(1.0).alias("ms"))
     return evaluation.report(evaluation.relevant_ranks(results, expected), cases).drop("avg_ms")
 
 
