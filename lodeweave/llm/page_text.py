@@ -170,6 +170,18 @@ def url_order(url: str | None) -> tuple[str, str]:
 LINES = "range int, neighbour boolean, host string, path string, page_id long, url string, texts array<string>, skipped array<boolean>, depth array<int>"
 
 
+def range_starts(ranked: list[tuple[str, str, int]], n: int) -> list[tuple[str, str, int]]:
+    """Where ranges of pages begin, from a sorted sample of (host, path, id): inside a host only at a page that another page of it follows, or else where the host begins."""
+    starts: list[tuple[str, str, int]] = []
+    for at in sorted({i * len(ranked) // n for i in range(1, n)}):
+        start = ranked[at]
+        if at + 1 == len(ranked) or ranked[at + 1][0] != start[0]:
+            start = (start[0], "", -(1 << 63))
+        if not starts or start > starts[-1]:
+            starts.append(start)
+    return starts
+
+
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id``, ``url``, ``text``, ``n_chars`` (code points), ``n_lines`` and ``n_shared`` (lines that the neighbour has) of every page.
 
@@ -185,7 +197,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     picked = keys.sample(fraction=min(1.0, 20 * n / max(1, total)), seed=7).limit(60 * n).collect()
     order = lambda r: (*url_order(r.url), r.page_id if r.page_id is not None else -(1 << 63))
     ranked = sorted({order(r) for r in picked})
-    starts = sorted({ranked[i * len(ranked) // n] for i in range(1, n)}) if len(ranked) > n else []
+    starts = range_starts(ranked, n) if len(ranked) > n else []
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begins = set(starts)

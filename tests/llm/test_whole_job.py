@@ -25,6 +25,19 @@ def test_marks_on_a_page_drop_no_line_of_its_own(spark):
     assert page_text.main_text(marked, {0, 1}) == "copied note of this page"
 
 
+def test_no_page_is_cut_off_from_its_host():
+    r = random.Random(6)
+    for n in (2, 5, 17):
+        pages = sorted({(f"h{r.choice((0, 0, r.randrange(12)))}", f"/{r.randrange(10**6)}", i) for i in range(200)})
+        starts = page_text.range_starts(sorted(r.sample(pages, 60)), n)
+        assert starts == sorted(set(starts)) and len(starts) > n // 2 - 1
+        place = lambda p: sum(s <= p for s in starts)
+        for i, p in enumerate(pages):
+            after = i + 1 < len(pages) and pages[i + 1][0] == p[0]  # the next page is in this range, or goes there as its neighbour
+            before = i and pages[i - 1][0] == p[0]
+            assert after or not before or place(pages[i - 1]) == place(p)
+
+
 def test_disclosing_terms_are_marked_everywhere(spark):
     gap = "some quite ordinary words that tell nothing about anyone at all here"
     rows = [(i, f"ordinary words about the town {i}") for i in range(60)]
