@@ -4,7 +4,7 @@ import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
-from lodeweave.llm import bpe, chat_format, decontaminate, license_scan, line_templates, near_duplicates, page_text, private_terms, quality_rules, token_records
+from lodeweave.llm import bpe, chat_format, collocations, decontaminate, license_scan, line_templates, near_duplicates, page_text, private_terms, quality_rules, ranked_search, similarity_join, token_records
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, N_WORDS string, class_id string, ids string, quality string, spans string, item_id string, path string, url string, _t string, _w string, _stratum string, _cut_symbols string, _ranges string, _items string, _dir string, _id string"
 GOOD = " ".join(f"word{i} of a text" for i in range(30))
@@ -26,7 +26,7 @@ def results(spark, d):
     return {
         "lines": line_templates.drop_recurring_lines(d), "leaks": decontaminate.decontaminate(d, benchmark), "bpe": bpe.encode(d), "private": private_terms.find_private(d), "near": near_duplicates.classify(d),
         "records": token_records.read_records(token_records.write(d, token_records.scratch_path(spark, "edges"))), "rules": quality_rules.apply_rules(d, labels), "licences": license_scan.scan(d),
-        "pages": page_text.extract(d, id_col="doc_id", html_col="text"),
+        "pages": page_text.extract(d, id_col="doc_id", html_col="text"), "links": similarity_join.link(d),
     }
 
 
@@ -44,6 +44,16 @@ def test_operators(spark):
     assert {r.doc_id: r.n_tokens for r in out["records"]}[5] == 200_001
 
 
+def test_search_and_phrases(spark):
+    d = odd(spark)
+    items = spark.createDataFrame([(1, "word3 long"), (1, "word3 long"), (None, "word3"), (2, None)], "item_id long, text string")
+    out = ranked_search.search(d, items).collect()
+    assert [(r.item_id, r["rank"], r.doc_id) for r in out if r.item_id is None] == [(None, 1, 1), (None, 2, 1), (None, 3, 2), (None, 4, None)]
+    assert sum(r.item_id == 1 for r in out) == 10 and {r.doc_id for r in out if r.item_id == 1} == {1, 2, 5, None}
+    assert {(r.lang, r.phrase, r.a) for r in collocations.collocations(d).collect()} == {("en", "long long long long", 199_997), ("en", "of a text", 90), ("und", "of a text", 30)}
+    assert ranked_search.search(d.limit(0), items).count() == collocations.collocations(d.limit(0)).count() == 0
+
+
 def test_empty_tables(spark):
     assert {k: v.count() for k, v in results(spark, odd(spark).limit(0)).items()} == dict.fromkeys(results(spark, odd(spark).limit(0)), 0)
 
