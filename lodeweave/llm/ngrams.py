@@ -89,43 +89,56 @@ def groups(texts: pa.Array, size: int = GROUP_BYTES) -> Iterator[tuple[int, pa.A
         yield at, texts.slice(at)
 
 
-class Counter:
-    """Adds up counts of slots of one fixed table; hands over those of its blocks that aren't zero."""
+class Cells:
+    """A task's own table of counts, each at most ``most``. It hands over blocks of cells, the used ones of a block alone where they are few: never more than follows from what the task has counted."""
 
-    def __init__(self, slots: int, block: int):
-        self.total, self.block, self.waiting, self.size = np.zeros(slots, np.int64), block, [], 0
+    def __init__(self, n: int, most: int):
+        self.table, self.most, self.waiting, self.size = np.zeros(n, np.min_scalar_type(most)), most, [], 0
 
-    def add(self, slots: np.ndarray) -> None:
-        self.waiting.append(slots)
-        self.size += len(slots)
-        if self.size >= len(self.total) // 2:
+    def add(self, cells: np.ndarray) -> None:
+        self.waiting.append(cells.astype(np.uint32))
+        self.size += len(cells)
+        if self.size >= WAITING:
             self.flush()
 
     def flush(self) -> None:
-        if self.size:
-            self.total += np.bincount(np.concatenate(self.waiting), minlength=len(self.total))
-            self.waiting, self.size = [], 0
+        at, n = np.unique(np.concatenate([np.zeros(0, np.uint32), *self.waiting]), return_counts=True)
+        self.table[at] = np.minimum(self.table[at] + n, self.most)
+        self.waiting, self.size = [], 0
 
-    def blocks(self) -> pa.RecordBatch:
+    def blocks(self) -> Iterator[pa.RecordBatch]:
         self.flush()
-        rows = self.total.reshape(-1, self.block)
+        rows = self.table.reshape(-1, BLOCK)
         used = np.flatnonzero(rows.any(axis=1))
-        return pa.RecordBatch.from_pydict({"block": pa.array(used, pa.int32()), "counts": pa.array([rows[i].astype(np.uint32).tobytes() for i in used], pa.binary())})
+        for i in range(0, len(used), 256):
+            out: list[tuple[bytes, bytes]] = []
+            for c in rows[used[i : i + 256]]:
+                at = np.flatnonzero(c).astype(np.uint16)
+                out.append((at.tobytes(), c[at].tobytes()) if len(at) * (2 + c.itemsize) < len(c) * c.itemsize else (b"", c.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(used[i : i + 256], pa.int32()), pa.array([a for a, _ in out], pa.binary()), pa.array([c for _, c in out], pa.binary())], names=["block", "at", "counts"])
 
 
-def merged(parts: DataFrame, slots: int, block: int, most: int) -> np.ndarray:
-    """The sum of the tables of all tasks, each count at most ``most``. Blocks of one number are added where they meet; the driver gets one of each, a size that is fixed by ``slots``."""
+#: Cells of a block, and how many wait before they are added.
+BLOCK, WAITING = 1 << 12, 1 << 21
+CELLS = "block int, at binary, counts binary"
+
+
+def merged(parts: DataFrame, n: int, most: int) -> np.ndarray:
+    """The sum of the tables of all tasks (rows of ``CELLS``), each count at most ``most``. Blocks of one number are added where they meet; the driver gets one of each, a size that is fixed by ``n``."""
+    kind = np.min_scalar_type(most)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
-            for i, c in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                c = np.frombuffer(c.as_buffer(), np.uint32).astype(np.uint64)
-                sums[i] = sums[i] + c if i in sums else c
+            for i, at, c in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                total = sums.setdefault(i, np.zeros(BLOCK, kind))
+                at, c = np.frombuffer(at.as_buffer(), np.uint16), np.frombuffer(c.as_buffer(), kind).astype(np.uint64)
+                where = at if len(at) else slice(None)
+                total[where] = np.minimum(total[where] + c, most)
         if sums:
-            yield pa.RecordBatch.from_pydict({"block": pa.array(list(sums), pa.int32()), "counts": pa.array([np.minimum(c, most).astype(np.uint32).tobytes() for c in sums.values()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"block": pa.array(list(sums), pa.int32()), "counts": pa.array([c.tobytes() for c in sums.values()], pa.binary())})
 
-    out = np.zeros(slots, np.uint32)
+    out = np.zeros(n, kind)
     for r in parts.repartition(16, F.col("block")).mapInArrow(add, "block int, counts binary").toLocalIterator():
-        out[r.block * block : (r.block + 1) * block] = np.frombuffer(r.counts, np.uint32)
+        out[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.counts, kind)
     return out

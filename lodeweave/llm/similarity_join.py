@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 
 from lodeweave.llm.common import cut, loose, read, small_batches, text_of
 from lodeweave.llm.near_duplicates import M1, M2, M3, components, mix, text_key
-from lodeweave.llm.ngrams import Counter, Words, byte_table, groups, merged, windows
+from lodeweave.llm.ngrams import CELLS, Cells, Words, byte_table, groups, merged, windows
 
 SHINGLE, THRESHOLD_PCT = 4, 85
 WORD = ~byte_table(b" \t\n\x0b\x0c\r")
-LEAST_BITS, MOST_BITS, BLOCK, PER_SLOT = 16, 24, 1 << 12, 16
+LEAST_BITS, MOST_BITS, PER_SLOT, MOST_COUNT = 16, 24, 64, 65535
 #: Counts of slots are kept as steps of their logarithm, a byte each.
 STEPS = 8
 #: Shingles of which slots count more than these (times the mean count, and at least) are frequent and very frequent; sets below PLAIN shingles index single ones all the same.
@@ -144,13 +144,13 @@ def frequency_order(texts: DataFrame) -> Order:
     bits = min(MOST_BITS, max(LEAST_BITS, int(total // PER_SLOT).bit_length()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = Counter(1 << bits, BLOCK)
+        c = Cells(1 << bits, MOST_COUNT)
         for b in batches:
             for h in shingle_sets(b.column(0)):
                 c.add(slot(h, bits))
-        yield c.blocks()
+        yield from c.blocks()
 
-    return Order(merged(texts.select("text").mapInArrow(count, "block int, counts binary"), 1 << bits, BLOCK, 1 << 31))
+    return Order(merged(texts.select("text").mapInArrow(count, CELLS), 1 << bits, MOST_COUNT))
 
 
 def index(texts: DataFrame, order, pct: int, largest: int) -> DataFrame:  # noqa: ANN001
@@ -202,7 +202,7 @@ def find_classes(texts: DataFrame, pct: int, rounds: int = PIVOT_ROUNDS) -> Data
     spark = texts.sparkSession
     largest = texts.agg(F.max("n")).first()[0] or 1
     order = spark.sparkContext.broadcast(frequency_order(texts))
-    p = index(texts, order, pct, largest).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "sig")
+    p = cut(index(texts, order, pct, largest), "index")
     # signatures of two sets or more, one of them as the smaller
     shared = p.groupBy("sig").agg(F.min("row").alias("low"), F.max("row").alias("high"), F.max("first").alias("any")).where("low <> high AND any").select("sig")
     p = cut(p.join(loose(shared), "sig").withColumn("root", F.col("row")), "signatures")
@@ -210,8 +210,8 @@ def find_classes(texts: DataFrame, pct: int, rounds: int = PIVOT_ROUNDS) -> Data
     roots = spark.createDataFrame([], "row long, root long")
     columns = ("row", "root", "n", "left", "first")
     for last in (*[False] * rounds, True):
-        # the member that the others of a signature are compared with: of the largest classes' smallest rows, so that it is one for many signatures
-        several = p.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(*columns)).alias("top")).where("low <> high")
+        # the member that the others of a signature are compared with: that with the least of its own, which joins the members of a large class
+        several = p.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.struct((F.col("left") / F.col("n")).alias("share"), *columns)).alias("top")).where("low <> high")
         p = cut(p.join(loose(several.select("sig", "top")), "sig"), "signatures")
         if last:
             other = p.select("sig", *[F.col(c).alias(f"{c}2") for c in columns])
