@@ -1,17 +1,20 @@
 """Sentences and overlapping chunks of documents.
 
-A window's extent depends on the tokens of the sentences in it, so it is a grouped function over one document at a time; all else about a chunk
-(header, hash, tokens) is made of columns after it. Offsets are characters of the normalised segments joined by line feeds.
+A window's extent depends on the tokens of the sentences in it, so documents are streams: their segments are dealt by document and sorted by position within a partition (a sort that spills), and pass a generator
+that holds one window and one batch of results, whatever the length of a document; batches of Arrow rows end anywhere in a document. All else about a chunk (header, hash, tokens) is made of columns after it. Offsets
+are characters of the normalised segments joined by line feeds. Segments of one position are in the order of their texts.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import deque
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -126,29 +129,50 @@ SENTENCES = "source_key string, external_id string, ordinal int, position int, p
 DRAFTS = "source_key string, external_id string, ordinal int, text string, position_start int, position_end int, char_start int, char_end int"
 
 
-def _segments(pdf: pd.DataFrame) -> list[tuple[int, str]]:
-    pdf = pdf.sort_values("position", kind="stable")
-    return list(zip(pdf["position"].astype(int), pdf["text"], strict=True))
+#: Rows of one batch that the generators return.
+OUT_ROWS = 1024
 
 
-def split_sentences(segments: DataFrame, o: ChunkingOptions) -> DataFrame:
-    """Sentences of every document of a ``segments`` frame (source_key, external_id, position, text)."""
+def per_document(segments: DataFrame, one: Callable[[Iterator[tuple[int, str]]], Iterator[tuple]], schema: str) -> DataFrame:
+    """What ``one`` yields for the (position, text) segments of each document, in order, with the document's key before it; ``one`` needn't read them all."""
+    rows = segments.select("source_key", "external_id", F.col("position").cast("int").alias("position"), "text")
+    rows = rows.repartition(int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source_key", "external_id").sortWithinPartitions("source_key", "external_id", "position", "text")
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = [{"string": pa.string(), "int": pa.int32(), "long": pa.int64()}[c.split()[1]] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = (row for b in batches for row in zip(*[c.to_pylist() for c in b.columns], strict=True))
+        out: list[tuple] = []
+
+        def batch() -> pa.RecordBatch:
+            columns = [pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)]
+            out.clear()
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
+        for key, group in groupby(read, key=lambda r: r[:2]):
+            for row in one((position, text) for _, _, position, text in group):
+                out.append((*key, *row))
+                if len(out) == OUT_ROWS:
+                    yield batch()
+        if out:
+            yield batch()
 
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [(*key, i, s.position, s.position_end, s.text, s.start, s.end, s.tokens) for i, s in enumerate(sentences(_segments(pdf), o))]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in SENTENCES.split(", ")])
+    return rows.mapInArrow(run, schema)
 
-    return segments.groupBy("source_key", "external_id").applyInPandas(one, SENTENCES)
+
+def split_sentences(segments: DataFrame, o: ChunkingOptions) -> DataFrame:
+    """Sentences of every document of a ``segments`` frame (source_key, external_id, position, text)."""
+    return per_document(segments, lambda found: ((i, s.position, s.position_end, s.text, s.start, s.end, s.tokens) for i, s in enumerate(sentences(found, o))), SENTENCES)
 
 
 def chunk_documents(segments: DataFrame, o: ChunkingOptions, titles: DataFrame | None = None) -> DataFrame:
     """Chunks of every document, with header, embedding input, content hash and tokens. ``titles``: source_key, external_id, title."""
 
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [(*key, i, " ".join(s.text for s in w), w[0].position, max(w[-1].position_end, w[0].position), w[0].start, w[-1].end) for i, w in enumerate(chunk_windows(sentences(_segments(pdf), o), o))]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in DRAFTS.split(", ")])
+    def one(found: Iterator[tuple[int, str]]) -> Iterator[tuple]:
+        for i, w in enumerate(chunk_windows(sentences(found, o), o)):
+            yield i, " ".join(s.text for s in w), w[0].position, max(w[-1].position_end, w[0].position), w[0].start, w[-1].end
 
-    drafts = segments.groupBy("source_key", "external_id").applyInPandas(one, DRAFTS)
+    drafts = per_document(segments, one, DRAFTS)
     if titles is not None:
         drafts = drafts.join(titles.select("source_key", "external_id", "title"), ["source_key", "external_id"], "left")
     else:
@@ -168,7 +192,14 @@ def finish_drafts(drafts: DataFrame, o: ChunkingOptions, label: Column | None =
 
 
 def content_checksums(segments: DataFrame, normalized: Column) -> DataFrame:
-    """SHA-256 of each document's ``position:text`` lines in order, over normalised text."""
-    line = F.concat(F.col("position").cast("string"), F.lit(":"), normalized, F.lit("\n"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("position", line.alias("line")))), lambda x: x["line"])
-    return segments.groupBy("source_key", "external_id").agg(F.sha2(F.concat_ws("", ordered), 256).alias("content_checksum"), F.count("*").alias("segments"))
+    """SHA-256 of each document's ``position:text`` lines in order, over normalised text; a digest that runs along the document, so nothing of it is held. A segment without position or text adds nothing."""
+
+    def one(found: Iterator[tuple[int, str]]) -> Iterator[tuple]:
+        digest, n = hashlib.sha256(), 0
+        for position, text in found:
+            if position is not None and text is not None:
+                digest.update(f"{position}:{text}\n".encode())
+            n += 1
+        yield digest.hexdigest(), n
+
+    return per_document(segments.withColumn("text", normalized), one, "source_key string, external_id string, content_checksum string, segments long")

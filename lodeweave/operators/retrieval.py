@@ -47,7 +47,7 @@ def knn_join(queries: DataFrame, chunks: DataFrame, k: int, *, query_id: str = "
     """The k nearest chunks of each query by cosine, exactly: query_id, id, score, rank from 1 (ties by id).
 
     Queries are a stated set. As many of them as fit into QUERY_BYTES and QUERY_ROWS, both measured, are sent to every worker; the corpus passes by them as it is read, and each
-    partition hands over its k best rows of a query, with those that tie with the last. The corpus is never shuffled. More queries take more passes.
+    partition hands over its k best rows of a query. The corpus is never shuffled. More queries take more passes.
     """
     q_type, i_type = queries.schema[query_id].dataType, chunks.schema[id_col].dataType.simpleString()
     rows = queries.select(F.col(query_id).alias("i"), F.col(vector_col).cast("array<double>").alias("v")).where("v IS NOT NULL")
@@ -73,15 +73,21 @@ def _nearest(chunks: DataFrame, ids: list, vectors: np.ndarray, k: int, q_type,
         qi, qv = np.array(sent.value[0], dtype=object), sent.value[1]
         kept_s, kept_i = np.full((len(qi), 0), -np.inf), np.empty((len(qi), 0), dtype=object)
 
-        def trim() -> None:
-            # the k best of a query, and rows that tie with the last of them
+        def add(scores: np.ndarray, ci: np.ndarray) -> None:
+            # the k best of a query by (rounded score, id), never more: equal vectors may be a million
             nonlocal kept_s, kept_i
-            if kept_s.shape[1] > k:
-                kth = -np.partition(-kept_s, k - 1, axis=1)[:, k - 1]
-                keep = kept_s >= kth[:, None] - 1e-9
-                width = int(keep.sum(axis=1).max())
-                order = np.argsort(~keep, axis=1, kind="stable")[:, :width]
-                kept_s, kept_i = np.where(np.take_along_axis(keep, order, 1), np.take_along_axis(kept_s, order, 1), -np.inf), np.take_along_axis(kept_i, order, 1)
+            had, all_s = kept_i, np.hstack([kept_s, scores])
+            all_i = np.hstack([had, np.broadcast_to(ci, scores.shape)])
+            if all_s.shape[1] > k:
+                score = np.round(all_s, 9)
+                kth = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
+                place = np.zeros((1, 1), np.int64)
+                if ((score >= kth).sum(axis=1) > k).any():
+                    ids = np.unique(np.concatenate([had.ravel(), ci]))
+                    place = np.hstack([np.searchsorted(ids, had.ravel()).reshape(had.shape), np.broadcast_to(np.searchsorted(ids, ci), scores.shape)])
+                order = np.lexsort((np.broadcast_to(place, score.shape), -score), axis=1)[:, :k]
+                all_s, all_i = np.take_along_axis(all_s, order, 1), np.take_along_axis(all_i, order, 1)
+            kept_s, kept_i = all_s, all_i
 
         for pdf in frames:
             for at in range(0, len(pdf), batch_rows):
@@ -90,8 +96,7 @@ def _nearest(chunks: DataFrame, ids: list, vectors: np.ndarray, k: int, q_type,
                 scores = qv @ unit(np.vstack(part[vector_col].to_numpy()).astype(float)).T
                 if exclude_self:
                     scores = np.where(qi[:, None] == ci[None, :], -np.inf, scores)
-                kept_s, kept_i = np.hstack([kept_s, scores]), np.hstack([kept_i, np.broadcast_to(ci, scores.shape)])
-                trim()
+                add(scores, ci)
         a, b = np.nonzero(np.isfinite(kept_s))
         if len(a):
             yield pd.DataFrame({query_id: qi[a], id_col: kept_i[a, b], "score": kept_s[a, b]})

@@ -53,8 +53,10 @@ class Engine:
             diff = new.withColumn("state", F.lit("created"))
             after = new.withColumns({"embedding": F.lit(None).cast("array<float>"), "embedding_model": F.lit(None).cast("string"), "embedding_dimensions": F.lit(None).cast("int"), "embedded_at": F.lit(None).cast("timestamp_ntz")})
         diff_rows = self._settle(ingest.diff_summary(diff))
-        # written once: both tables are built on it, and the provider is paid once
-        after = self._settle(ingest.embed_chunks(after, self.embed, c.embedding_model, c.dimensions, c.embedding_batch))
+        # written once: both tables are built on it, and the provider is paid once, for this source alone
+        own = F.col("source_key") == key
+        done = ingest.embed_chunks(after.where(own), self.embed, c.embedding_model, c.dimensions, c.embedding_batch)
+        after = self._settle(done.unionByName(after.where(~own), allowMissingColumns=True))
         stamped = drafts.join(checksums.select(*ingest.KEY, "content_checksum"), ingest.KEY, "left").withColumn("params_checksum", F.lit(params))
         known = stamped.withColumn("status", F.lit("pending"))
         if self.documents is not None:
@@ -123,7 +125,12 @@ class Engine:
         asked = q if rewrites is None else q.withColumn("rewrite", F.lit(0)).unionByName(rewrites.select("query_id", "question", F.col("rewrite").cast("int").alias("rewrite")))
         c = retrieval.base_scan(self.chunks, source_keys=narrow(self.sources.exposed_keys(), sources), **scan)
         c = self._ids(c if scopes is None else user_scope(c, scopes))
-        given = {} if index is None else {"index": index[0].join(c.select("chunk_id"), "chunk_id", "left_semi"), "frequencies": index[1], "n": index[2]}
+        given = {}
+        if index is not None:
+            # postings of the questions' terms first; only a scan or scope that leaves chunks out needs their ids
+            found = index[0].join(F.broadcast(retrieval.query_terms(asked, o).select("term").distinct()), "term", "left_semi")
+            narrowed = sources is not None or scopes is not None or any(v is not None for v in scan.values()) or set(self.sources.exposed_keys()) != set(self.sources.keys())
+            given = {"index": found.join(c.select("chunk_id"), "chunk_id", "left_semi") if narrowed else found, "frequencies": index[1], "n": index[2]}
         found = retrieval.search(self._embed_questions(asked), c, o, reranker=reranker, **given)
         hits = found.join(c.select("chunk_id", *ingest.KEY, "ordinal", "position_start", "position_end", "content", "token_count"), "chunk_id").join(q.select("query_id", "question"), "query_id")
         return hits.withColumns({"score": F.round("score", 4), "excerpt": excerpt("content", "question", o.rerank_chars)}).drop("question")

@@ -98,3 +98,33 @@ def test_hashes(spark):
     assert a["a", 0].content_hash == a["b", 0].content_hash != b["a", 0].content_hash
     assert a["a", 0].header == "Test document - 1" and not any(k[0] == "c" for k in a)
     assert sorted(k[1] for k in a if k[0] == "a") == list(range(sum(k[0] == "a" for k in a)))
+
+
+def test_documents_are_streams(spark):
+    """One document of many segments passes in bounded memory: the generator is never given more than the batch that it is at."""
+    from pyspark.sql import functions as F
+
+    from lodeweave.config import ChunkingOptions
+    from lodeweave.operators import chunking
+
+    o = ChunkingOptions()
+    read = []
+
+    def found():
+        for i in range(100_000):
+            read.append(i)
+            yield i, f"Sentence number {i} is here to be read. And another one follows it."
+
+    held = next(chunking.chunk_windows(chunking.sentences(found(), o), o))
+    assert held and len(read) < 200
+    pages = spark.range(60_000).select(F.lit("s").alias("source_key"), F.when(F.col("id") < 50_000, "long").otherwise(F.concat(F.lit("d"), F.col("id") % 50)).alias("external_id"), F.col("id").cast("int").alias("position"), F.format_string("Sentence number %d is here to be read. And another one follows it.", "id").alias("text"))
+    got = chunking.chunk_documents(pages, o).where("external_id = 'long'").select("ordinal", "char_start", "char_end", "text").orderBy("ordinal").collect()
+    want = [(i, w[0].start, w[-1].end, " ".join(s.text for s in w)) for i, w in enumerate(chunking.chunk_windows(chunking.sentences(((i, f"Sentence number {i} is here to be read. And another one follows it.") for i in range(50_000)), o), o))]
+    assert [tuple(r) for r in got] == want
+    sums = {r.external_id: (r.content_checksum, r.segments) for r in chunking.content_checksums(pages, F.col("text")).collect()}
+    import hashlib
+
+    lines = "".join(f"{i}:Sentence number {i} is here to be read. And another one follows it.\n" for i in range(50_000))
+    assert sums["long"] == (hashlib.sha256(lines.encode()).hexdigest(), 50_000) and len(sums) == 51
+    plan = chunking.chunk_documents(pages, o)._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan

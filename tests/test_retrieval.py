@@ -135,7 +135,7 @@ def test_engine(spark):
 
 
 def test_stream(spark, tmp_path):
-    from lodeweave.plans.queries import stream_hourly_counts, table
+    from lodeweave.plans.queries import table
     from lodeweave.streaming.streams import hourly_counts, ingest_stream
 
     folder = str(tmp_path / "events")
@@ -145,7 +145,7 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     key = lambda r: (str(r.bucket), r.n)
-    assert sorted(map(key, spark.table("hours").collect())) == sorted(map(key, stream_hourly_counts(spark, "/root/testdata/sf0.001").collect()))
+    assert sorted(map(key, spark.table("hours").collect())) == sorted(map(key, hourly_counts(spark.read.parquet(folder), "ts").collect()))
     seen = []
     ingest_stream(stream, lambda df, i: seen.append(df.count()), str(tmp_path / "checkpoint")).awaitTermination(60)
     assert sum(seen) == spark.read.parquet(folder).count()
@@ -228,3 +228,29 @@ def test_knn_ties_and_passes(spark, monkeypatch):
     assert [x[1] for x in whole if x[0] == 0] == [0, 3, 6, 9] and len(whole) == 28
     monkeypatch.setattr(retrieval, "QUERY_ROWS", 2)
     assert ask() == whole
+
+
+def test_knn_holds_k_of_equal_vectors(spark):
+    """A partition hands over k rows of a query, however many vectors tie."""
+    d = spark.range(100_000, numPartitions=4).select(F.col("id"), F.array(F.lit(1.0), F.lit(2.0)).alias("v"))
+    q = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 1.0])], "q int, v array<double>")
+    got = retrieval.knn_join(q, d, 10, query_id="q", id_col="id", vector_col="v")
+    assert sorted((r.q, r["rank"], r.id) for r in got.collect()) == [(i, k, k - 1) for i in (0, 1) for k in range(1, 11)]
+    handed = retrieval._nearest(d, [0, 1], np.array([[1.0, 2.0], [2.0, 1.0]]), 10, q.schema["q"].dataType, "q", "id", "bigint", "v", 2048, False)
+    assert handed.count() == 2 * 10 * 4
+
+
+def test_only_the_ingested_source_is_embedded(spark):
+    """After ``reindex`` an ingestion pays for its own source alone."""
+    rows = [("a", str(i), 0, f"text {i} of the first source") for i in range(4)] + [("b", "0", 0, "one text of the second")]
+    pages = spark.createDataFrame(rows, "s string, d string, n int, t string")
+    e = Engine(spark)
+    for key in ("a", "b"):
+        own = pages.where(F.col("s") == key)
+        e.register(TableSource(key, own.select("d").distinct(), "d", SegmentMap.relation(own.select("d", "n", "t"), "d", "t", "n")))
+        e.documents, e.chunks, _ = e.ingest(key)
+    assert e.chunks.where("embedded_at IS NOT NULL").count() == 5
+    e.documents, e.chunks = e.reindex()
+    e.documents, e.chunks, _ = e.ingest("b")
+    assert {(r.source_key, r.embedded_at is not None) for r in e.chunks.collect()} == {("a", False), ("b", True)}
+    assert e.chunks.count() == 5
