@@ -12,6 +12,7 @@ from lodeweave.config import EngineConfig
 from lodeweave.functions.text import excerpt, normalize
 from lodeweave.operators import answering, chunking, dashboards, ingest, retrieval
 from lodeweave.sources.filters import narrow, user_scope
+from lodeweave.sources.store import Change, TableStore
 from lodeweave.sources.tables import KnowledgeSource, SourceRegistry
 
 
@@ -66,6 +67,33 @@ class Engine:
             known = known.join(fresh, ingest.KEY, "left").withColumns({"content_checksum": F.when(F.col("_seen"), F.col("_content")).otherwise(F.col("content_checksum")), "params_checksum": F.when(F.col("_seen"), F.col("_params")).otherwise(F.col("params_checksum"))}).drop("_content", "_params", "_seen")
         return ingest.refresh_counts(known, after), after, diff_rows
 
+    def open(self, store: TableStore) -> None:
+        """Take the tables of a store."""
+        self.documents, self.chunks = store.read("documents"), store.read("chunks")
+
+    def ingest_into(self, store: TableStore, key: str, filters: dict[str, Any] | None = None, mode: str = "incremental", *, gone: DataFrame | None = None, facts: dict | None = None) -> DataFrame:
+        """``ingest``, stored: only the buckets of the source's documents are read, and only those of changed documents rewritten, both tables in one version. Nothing changed and no ``facts``: no version.
+
+        ``gone``: keys of documents that go with their chunks. The summary of chunk differences is returned.
+        """
+        base, source = store.version(), self.source(key)
+        keys = self._settle(source.documents(filters).select(*ingest.KEY).distinct())
+        self.documents, self.chunks = store.read("documents", keys), store.read("chunks", keys)
+        before = self.documents
+        documents, chunks, summary = self.ingest(key, filters, mode)
+        documents = self._settle(documents.join(keys, ingest.KEY, "left_semi"))
+        mark = lambda df, name: df.select(*ingest.KEY, F.to_json(F.struct(*sorted(c for c in documents.columns if c not in ingest.KEY))).alias(name))
+        changed = documents.select(*ingest.KEY)
+        if before is not None:
+            changed = mark(documents, "_new").join(mark(before, "_old"), ingest.KEY, "left").where(~F.col("_new").eqNullSafe(F.col("_old"))).select(*ingest.KEY)
+        changed = self._settle(changed if gone is None else changed.unionByName(gone.select(*ingest.KEY)).distinct())
+        if facts or not changed.isEmpty():
+            own = lambda df: df.join(changed, ingest.KEY, "left_semi")
+            key_columns = tuple(ingest.KEY)
+            store.commit([Change("documents", key_columns, own(documents), changed), Change("chunks", key_columns, own(chunks), changed)], facts, base)
+        self.open(store)
+        return summary
+
     def _embed_stored(self, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Nothing is read or chunked: stale chunks of the source, as they are stored, get their vectors."""
         c, own = self.config, F.col("source_key") == key

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,9 +12,12 @@ from lodeweave.functions import text as T
 from lodeweave.functions import vectors as V
 from lodeweave.operators import answering, ingest, listing, retrieval, runs
 from lodeweave.operators.metrics import Dimension, Measure, Metric, MetricDefinition
+from lodeweave.plans.engine import Engine
 from lodeweave.plans.queries import TODAY, letters_source, query, table
 from lodeweave.sources import filters as S
+from lodeweave.sources.store import Change, TableStore, shared_folder
 from lodeweave.sources.tables import FunctionSource, SourceRegistry, prune_files
+from lodeweave.streaming.streams import capture_batch
 
 
 def _orders_as_documents(spark: SparkSession, d: str) -> DataFrame:
@@ -184,3 +189,29 @@ def dedupe_candidates(spark: SparkSession, d: str) -> DataFrame:
 def vector_literal_values(spark: SparkSession, d: str) -> DataFrame:
     v = V.from_literal(V.to_literal("embedding"))
     return table(spark, d, "embeddings").select("vec_id", F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double")), 6).alias("total"))
+
+
+@query("store_upsert", "SELECT doc_id, CASE WHEN lang = 'de' THEN upper(source) ELSE source END AS source, n_chars FROM documents WHERE lang IS DISTINCT FROM 'fr'")
+def store_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """A stored table after an upsert of one language and the removal of another, in one version."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars")
+    store = TableStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", buckets=16)
+    store.commit([Change("documents", ("doc_id",), docs, docs)])
+    upsert = docs.where("lang = 'de'").withColumn("source", F.upper("source"))
+    store.commit([Change("documents", ("doc_id",), upsert, docs.where("lang IN ('de', 'fr')"))])
+    return store.read("documents").drop("lang")
+
+
+@query("captured_documents", "SELECT CAST(doc_id AS VARCHAR) AS external_id, source AS title, CASE WHEN lang = 'de' THEN '2' ELSE '1' END AS revision, true AS current FROM documents WHERE lang <> 'es' AND text <> ''")
+def captured_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of a store after three batches of revisions, one of them delivered twice: new texts of one language, another one taken away, and an older revision that comes late."""
+    docs = table(spark, d, "documents").where("text <> ''").select(F.col("doc_id").alias("external_id"), F.col("source").alias("title"), F.lit(1).alias("revision"), F.lit(0).alias("position"), "text", "lang")
+    engine, store = Engine(spark), TableStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", buckets=16)
+    second = docs.where("lang = 'de'").withColumns({"revision": F.lit(2), "text": F.concat(F.lit("Second. "), "text")})
+    away = docs.where("lang = 'es'").withColumns({"revision": F.lit(2), "position": F.lit(None).cast("int")})
+    for number, batch in ((0, docs), (1, second.unionByName(away)), (1, docs), (2, docs.where("lang = 'de'"))):
+        capture_batch(engine, store, "letters", batch.drop("lang"), number)
+    opened = store.read("chunks").groupBy("external_id").agg(F.min_by("content", "ordinal").alias("first"), F.count("embedded_at").alias("vectors"))
+    rows = store.read("documents").join(opened, "external_id").withColumn("revision", F.col("metadata")["revision"])
+    current = (F.col("first").startswith("Second.") == (F.col("revision") == "2")) & (F.col("vectors") == F.col("chunk_count")) & (F.col("status") == "embedded")
+    return rows.select("external_id", "title", "revision", current.alias("current"))

@@ -1,12 +1,15 @@
-"""Streaming counterparts of hourly throughput and daily volume, and continuous ingestion. An extension: batches of the same rows give the same result."""
+"""Streaming counterparts of hourly throughput and daily volume, and incremental capture of documents into a store. Batches of the same rows give the same result."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodeweave.operators.ingest import KEY
+from lodeweave.plans.engine import Engine
+from lodeweave.sources.store import TableStore
+from lodeweave.sources.tables import FunctionSource
+
 
 def hourly_counts(stream: DataFrame, at: str, late: str = "2 hours", by: list[str] | None = None) -> DataFrame:
     """Rows by hour (and ``by``), closed when the watermark passes an hour. ``at`` is a timestamp."""
@@ -20,6 +23,34 @@ def daily_volume(stream: DataFrame, at: str, refused: Column, late: str = "1 day
     return w.select(F.col("w.start").alias("bucket"), "answered", "refused")
 
 
-def ingest_stream(stream: DataFrame, ingest: Callable[[DataFrame, int], None], checkpoint: str):  # noqa: ANN201
-    """Run an ingestion on each batch of arriving segments; the checkpoint makes a restart go on where it stopped."""
-    return stream.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+REVISION = "revision"
+
+
+def capture_batch(engine: Engine, store: TableStore, key: str, arrived: DataFrame, batch: int) -> bool:
+    """Take a batch of revisions into the store; False for a batch that is there already.
+
+    Rows of ``arrived`` are segments: external_id, title, revision (a number), position, text. A document's highest revision in the batch is the document, unless a higher one is stored; a revision without any
+    position takes the document away. The number of the batch is committed with its rows, so a batch that is delivered again changes nothing, whether the writer died before or after its commit.
+    """
+    name = f"stream:{key}"
+    if store.facts().get(name, -1) >= batch:
+        return False
+    rows = arrived.select(F.lit(key).alias("source_key"), F.col("external_id").cast("string").alias("external_id"), "title", F.col(REVISION).cast("long").alias(REVISION), F.col("position").cast("int").alias("position"), "text")
+    newest = rows.groupBy(*KEY).agg(F.max(REVISION).alias(REVISION))
+    stored = store.read("documents", newest)
+    if stored is not None:
+        have = stored.select(*KEY, F.col("metadata")[REVISION].cast("long").alias("_have"))
+        newest = newest.join(have, KEY, "left").where(F.col("_have").isNull() | (F.col("_have") < F.col(REVISION))).drop("_have")
+    rows = engine._settle(rows.join(newest, [*KEY, REVISION], "left_semi"))
+    kept = rows.where("position IS NOT NULL")
+    gone = rows.select(*KEY).distinct().join(kept.select(*KEY).distinct(), KEY, "left_anti")
+    documents = kept.groupBy(*KEY).agg(F.max("title").alias("title"), F.max(REVISION).cast("string").alias(REVISION)).withColumn("metadata", F.create_map(F.lit(REVISION), F.col(REVISION))).drop(REVISION)
+    engine.register(FunctionSource(key, make_documents=lambda _: documents, make_segments=lambda _: kept.select(*KEY, "position", "text")))
+    engine.ingest_into(store, key, gone=gone, facts={name: batch})
+    return True
+
+
+def capture(stream: DataFrame, engine: Engine, store: TableStore, key: str, checkpoint: str, trigger: dict | None = None):  # noqa: ANN201
+    """Keep the store's documents and chunks of a source up to date from a stream of revisions (see ``capture_batch``)."""
+    writer = stream.writeStream.foreachBatch(lambda df, batch: capture_batch(engine, store, key, df, batch)).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()

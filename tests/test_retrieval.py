@@ -136,7 +136,7 @@ def test_engine(spark):
 
 def test_stream(spark, tmp_path):
     from lodeweave.plans.queries import table
-    from lodeweave.streaming.streams import hourly_counts, ingest_stream
+    from lodeweave.streaming.streams import daily_volume, hourly_counts
 
     folder = str(tmp_path / "events")
     table(spark, "/root/testdata/sf0.001", "events").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(folder)
@@ -146,9 +146,11 @@ def test_stream(spark, tmp_path):
     q.stop()
     key = lambda r: (str(r.bucket), r.n)
     assert sorted(map(key, spark.table("hours").collect())) == sorted(map(key, hourly_counts(spark.read.parquet(folder), "ts").collect()))
-    seen = []
-    ingest_stream(stream, lambda df, i: seen.append(df.count()), str(tmp_path / "checkpoint")).awaitTermination(60)
-    assert sum(seen) == spark.read.parquet(folder).count()
+    volume = daily_volume(stream, "ts", F.col("user_id") % 5 == 0).writeStream.outputMode("complete").format("memory").queryName("volume").start()
+    volume.processAllAvailable()
+    volume.stop()
+    want = daily_volume(spark.read.parquet(folder), "ts", F.col("user_id") % 5 == 0)
+    assert sorted(map(tuple, spark.table("volume").collect())) == sorted(map(tuple, want.collect()))
 
 
 def test_index_recall(spark):
