@@ -122,6 +122,13 @@ def document_frequencies(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def matching(chunks: DataFrame, queries: DataFrame, o: RetrievalOptions, *, query_id: str = "query_id", text_col: str = "content", id_col: str = "chunk_id", stem: Stem | None = None) -> tuple[DataFrame, DataFrame]:
+    """(postings, document frequencies) of the terms of a stated set of questions alone, for a corpus without an index: texts are cut into words once, no other word leaves the scan, and both come from one shuffle."""
+    wanted = query_terms(queries, o, query_id, stem=stem).select("term").distinct()
+    found = postings(chunks, text_col, id_col, stem).join(wanted, "term", "left_semi").select("term", id_col).repartition("term")
+    return found, found.groupBy("term").agg(F.count(id_col).alias("df"))
+
+
 def query_terms(queries: DataFrame, o: RetrievalOptions, query_id: str = "query_id", text_col: str = "question", stem: Stem | None = None) -> DataFrame:
     """(query, term): folded terms, distinct."""
     words = queries.select(query_id, F.explode(terms(text_col, o.max_query_words)).alias("t")).select(query_id, F.explode(F.split(fold_accents("t"), "['’]")).alias("term")).where(F.length("term") > 0).distinct()
@@ -144,7 +151,10 @@ def lexical_search(queries: DataFrame, index: DataFrame, frequencies: DataFrame,
     t = t.withColumn("idf", idf(F.lit(max(1, n)), F.col("df")))
     rare = Window.partitionBy(query_id).orderBy(F.col("idf").desc(), "term")
     t = t.withColumn("_n", F.row_number().over(rare)).where(F.col("_n") <= o.max_terms).select(query_id, "term", "idf")
-    scored = index.join(t, "term").groupBy(query_id, id_col).agg(F.sum("idf").alias("score"))
+    scored = index.join(t, "term")
+    if "sign" in index.columns:  # postings that were added and taken away again cancel one another
+        scored = scored.groupBy(query_id, id_col, "term").agg((F.first("idf") * F.sum("sign")).alias("idf")).where("idf <> 0")
+    scored = scored.groupBy(query_id, id_col).agg(F.sum("idf").alias("score"))
     order = Window.partitionBy(query_id).orderBy(F.round("score", 9).desc(), id_col)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= (limit or o.lexical_candidates))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lodeweave.config import EngineConfig
 from lodeweave.functions.text import excerpt, normalize
 from lodeweave.operators import answering, chunking, dashboards, ingest, retrieval
+from lodeweave.operators.keyword_index import KeywordIndex, named
 from lodeweave.sources.filters import narrow, user_scope
 from lodeweave.sources.store import Change, TableStore
 from lodeweave.sources.tables import KnowledgeSource, SourceRegistry
@@ -71,15 +72,16 @@ class Engine:
         """Take the tables of a store."""
         self.documents, self.chunks = store.read("documents"), store.read("chunks")
 
-    def ingest_into(self, store: TableStore, key: str, filters: dict[str, Any] | None = None, mode: str = "incremental", *, gone: DataFrame | None = None, facts: dict | None = None) -> DataFrame:
+    def ingest_into(self, store: TableStore, key: str, filters: dict[str, Any] | None = None, mode: str = "incremental", *, gone: DataFrame | None = None, facts: dict | None = None, keywords: KeywordIndex | None = None) -> DataFrame:
         """``ingest``, stored: only the buckets of the source's documents are read, and only those of changed documents rewritten, both tables in one version. Nothing changed and no ``facts``: no version.
 
-        ``gone``: keys of documents that go with their chunks. The summary of chunk differences is returned.
+        ``gone``: keys of documents that go with their chunks. ``keywords``: the index of the same store, which is changed with them. The summary of chunk differences is returned.
         """
         base, source = store.version(), self.source(key)
         keys = self._settle(source.documents(filters).select(*ingest.KEY).distinct())
-        self.documents, self.chunks = store.read("documents", keys), store.read("chunks", keys)
-        before = self.documents
+        touched = keys if gone is None else keys.unionByName(gone.select(*ingest.KEY))
+        self.documents, self.chunks = store.read("documents", touched), store.read("chunks", touched)
+        before, chunks_before = self.documents, self.chunks
         documents, chunks, summary = self.ingest(key, filters, mode)
         documents = self._settle(documents.join(keys, ingest.KEY, "left_semi"))
         mark = lambda df, name: df.select(*ingest.KEY, F.to_json(F.struct(*sorted(c for c in documents.columns if c not in ingest.KEY))).alias(name))
@@ -89,8 +91,13 @@ class Engine:
         changed = self._settle(changed if gone is None else changed.unionByName(gone.select(*ingest.KEY)).distinct())
         if facts or not changed.isEmpty():
             own = lambda df: df.join(changed, ingest.KEY, "left_semi")
+            chunks = own(chunks) if gone is None else own(chunks).join(gone, ingest.KEY, "left_anti")
             key_columns = tuple(ingest.KEY)
-            store.commit([Change("documents", key_columns, own(documents), changed), Change("chunks", key_columns, own(chunks), changed)], facts, base)
+            changes = [Change("documents", key_columns, own(documents), changed), Change("chunks", key_columns, chunks, changed)]
+            if keywords is not None:
+                postings, count = keywords.change(None if chunks_before is None else own(chunks_before), chunks, store.state(base)["facts"])
+                changes, facts = [*changes, postings], (facts or {}) | count
+            store.commit(changes, facts, base)
         self.open(store)
         return summary
 
@@ -135,11 +142,11 @@ class Engine:
         sample = source.segments(filters).join(ids, ingest.KEY, "left_semi").groupBy(*ingest.KEY).agg(F.sum(F.length("text")).alias("chars"))
         return ingest.estimate(source.documents(filters), sample, self.config.chunking, micros_per_token)
 
-    def search(self, questions: DataFrame | str, *, sources: Sequence[str] | None = None, limit: int | None = None, min_score: float | None = None, scopes: dict[str, Callable[[DataFrame], Column] | None] | None = None, rewrites: DataFrame | None = None, reranker: Callable[[DataFrame], DataFrame] | None = None, index: tuple[DataFrame, DataFrame, int] | None = None, **scan: Any) -> DataFrame:
+    def search(self, questions: DataFrame | str, *, sources: Sequence[str] | None = None, limit: int | None = None, min_score: float | None = None, scopes: dict[str, Callable[[DataFrame], Column] | None] | None = None, rewrites: DataFrame | None = None, reranker: Callable[[DataFrame], DataFrame] | None = None, index: tuple[DataFrame, DataFrame, int] | KeywordIndex | None = None, **scan: Any) -> DataFrame:
         """Hits of one question or a frame of them (query_id, question): passages with marker, score and an excerpt. ``limit`` is held to 1-20.
 
         ``scopes``: what of each source the user may see. ``rewrites``: further wordings (query_id, rewrite from 1, question). ``reranker``: as ``retrieval.search`` has it.
-        ``index``: what ``keyword_index`` returned; without it the words of all chunks are read anew. Other arguments are those of ``retrieval.base_scan``.
+        ``index``: what ``keyword_index`` returned, or the ``KeywordIndex`` of the store that the chunks are from; without it the words of all chunks are read anew. Other arguments are those of ``retrieval.base_scan``.
         """
         from dataclasses import replace
 
@@ -152,17 +159,24 @@ class Engine:
         q = q.where(F.length(F.trim("question")) > 0)
         asked = q if rewrites is None else q.withColumn("rewrite", F.lit(0)).unionByName(rewrites.select("query_id", "question", F.col("rewrite").cast("int").alias("rewrite")))
         c = retrieval.base_scan(self.chunks, source_keys=narrow(self.sources.exposed_keys(), sources), **scan)
-        c = self._ids(c if scopes is None else user_scope(c, scopes))
+        c = c if scopes is None else user_scope(c, scopes)
+        c = named(c).withColumn("document_id", F.concat_ws("/", *ingest.KEY)) if isinstance(index, KeywordIndex) else self._ids(c)
         given = {}
-        if index is not None:
+        if isinstance(index, KeywordIndex):
+            found, frequencies, n = index.lookup(asked, o)
+            given = {"index": found.join(c.select("chunk_id"), "chunk_id", "left_semi") if self._narrowed(sources, scopes, scan) else found, "frequencies": frequencies, "n": n}
+        elif index is not None:
             # postings of the questions' terms first; only a scan or scope that leaves chunks out needs their ids
             found = index[0].join(F.broadcast(retrieval.query_terms(asked, o).select("term").distinct()), "term", "left_semi")
-            narrowed = sources is not None or scopes is not None or any(v is not None for v in scan.values()) or set(self.sources.exposed_keys()) != set(self.sources.keys())
-            given = {"index": found.join(c.select("chunk_id"), "chunk_id", "left_semi") if narrowed else found, "frequencies": index[1], "n": index[2]}
+            given = {"index": found.join(c.select("chunk_id"), "chunk_id", "left_semi") if self._narrowed(sources, scopes, scan) else found, "frequencies": index[1], "n": index[2]}
         found = retrieval.search(self._embed_questions(asked), c, o, reranker=reranker, **given)
         hits = found.join(c.select("chunk_id", *ingest.KEY, "ordinal", "position_start", "position_end", "content", "token_count"), "chunk_id").join(q.select("query_id", "question"), "query_id")
         return hits.withColumns({"score": F.round("score", 4), "excerpt": excerpt("content", "question", o.rerank_chars)}).drop("question")
 
+    def _narrowed(self, sources: Sequence[str] | None, scopes: dict | None, scan: dict[str, Any]) -> bool:
+        """Whether a search leaves chunks out."""
+        return sources is not None or scopes is not None or any(v is not None for v in scan.values()) or self.sources.exposed_keys() != self.sources.keys()
+
     def _embed_questions(self, q: DataFrame) -> DataFrame:
         embed = self.embed
 

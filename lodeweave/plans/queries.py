@@ -505,8 +505,8 @@ SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank
 )
 def lexical_idf_topk(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    index = retrieval.postings(docs, "text", "doc_id")
-    hits = retrieval.lexical_search(questions(spark, d), index, retrieval.document_frequencies(index), docs.count(), O, id_col="doc_id")
+    index, frequencies = retrieval.matching(docs, questions(spark, d), O, text_col="text", id_col="doc_id")
+    hits = retrieval.lexical_search(questions(spark, d), index, frequencies, docs.count(), O, id_col="doc_id")
     return hits.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 

@@ -11,9 +11,10 @@ from lodeweave.config import EngineConfig
 from lodeweave.functions import text as T
 from lodeweave.functions import vectors as V
 from lodeweave.operators import answering, ingest, listing, retrieval, runs
+from lodeweave.operators.keyword_index import KeywordIndex, named
 from lodeweave.operators.metrics import Dimension, Measure, Metric, MetricDefinition
 from lodeweave.plans.engine import Engine
-from lodeweave.plans.queries import TODAY, letters_source, query, table
+from lodeweave.plans.queries import LEX, TODAY, O, letters_source, query, questions, table
 from lodeweave.sources import filters as S
 from lodeweave.sources.store import Change, TableStore, shared_folder
 from lodeweave.sources.tables import FunctionSource, SourceRegistry, prune_files
@@ -215,3 +216,29 @@ def captured_documents(spark: SparkSession, d: str) -> DataFrame:
     rows = store.read("documents").join(opened, "external_id").withColumn("revision", F.col("metadata")["revision"])
     current = (F.col("first").startswith("Second.") == (F.col("revision") == "2")) & (F.col("vectors") == F.col("chunk_count")) & (F.col("status") == "embedded")
     return rows.select("external_id", "title", "revision", current.alias("current"))
+
+
+@query(
+    "stored_keyword_search",
+    f"""WITH d AS MATERIALIZED (SELECT * FROM documents WHERE lang <> 'fr' AND text <> ''), p AS MATERIALIZED (SELECT doc_id, unnest({LEX}) AS term FROM d), f AS (SELECT term, count(*) AS df FROM p GROUP BY term), n AS (SELECT count(*) AS n FROM d),
+raw AS (SELECT item_id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), lambda t: length(t) >= 2) AS ts FROM benchmark),
+q0 AS (SELECT item_id, term, min(pos) AS pos FROM (SELECT item_id, unnest(ts) AS term, unnest(range(len(ts))) AS pos FROM raw) GROUP BY item_id, term),
+q1 AS (SELECT item_id, term FROM q0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY pos) <= {O.max_query_words}),
+q AS (SELECT DISTINCT item_id, strip_accents(term) AS term FROM q1),
+t AS (SELECT item_id, q.term, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM q JOIN f ON q.term = f.term, n WHERE n < {O.common_from} OR df <= ceil({O.common_share} * n)),
+k AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY idf DESC, term) <= {O.max_terms})
+SELECT item_id AS query_id, CAST(doc_id AS VARCHAR) AS external_id, round(sum(idf), 6) AS score FROM k JOIN p ON k.term = p.term GROUP BY ALL""",
+)
+def stored_keyword_search(spark: SparkSession, d: str) -> DataFrame:
+    """A stored keyword index after one language has gone from it: all matches of each question."""
+    docs = table(spark, d, "documents").where("text <> ''")
+    chunks = docs.select(F.col("source").alias("source_key"), F.col("doc_id").cast("string").alias("external_id"), F.lit(0).alias("ordinal"), F.sha2("text", 256).alias("content_hash"), F.col("text").alias("content"), "lang")
+    index = KeywordIndex(TableStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", buckets=16))
+    change, facts = index.change(None, chunks, {})
+    index.store.commit([change], facts)
+    gone = chunks.where("lang = 'fr'")
+    change, facts = index.change(gone, gone.limit(0), index.store.facts())
+    index.store.commit([change], facts)
+    asked = questions(spark, d)
+    found = retrieval.lexical_search(asked, *index.lookup(asked, O), O, limit=2**31 - 1)
+    return found.join(named(chunks), "chunk_id").select("query_id", "external_id", F.round("score", 6).alias("score"))

@@ -27,12 +27,13 @@ class Conflict(RuntimeError):
 
 @dataclass(frozen=True)
 class Change:
-    """For a table: all rows of ``keys`` (columns ``key``) go, and ``rows`` come in their place."""
+    """For a table: all rows of ``keys`` (columns ``key``) go, and ``rows`` come in their place. Without ``keys`` rows are added to what is there, which isn't read. ``sort``: columns that files are sorted by."""
 
     table: str
     key: tuple[str, ...]
     rows: DataFrame
-    keys: DataFrame
+    keys: DataFrame | None = None
+    sort: tuple[str, ...] = ()
 
 
 class TableStore:
@@ -60,7 +61,7 @@ class TableStore:
         if entry is None:
             return None
         wanted = entry["at"] if keys is None else {str(b) for b in self._touched(keys, tuple(entry["key"]), entry["buckets"])}
-        paths = [f"{self.path}/{table}/{p}" for b, p in sorted(entry["at"].items()) if b in wanted]
+        paths = [f"{self.path}/{table}/{p}" for b, ps in sorted(entry["at"].items()) if b in wanted for p in ps]
         schema = StructType.fromJson(entry["schema"])
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
@@ -78,7 +79,7 @@ class TableStore:
         """Remove versions but the last ``keep``, and folders that none of these names (also those of writers that died; none may be at work)."""
         newest = self.version()
         kept = [v for v in range(max(1, newest - keep + 1), newest + 1)]
-        named = {f"{t}/{p.split('/')[0]}" for v in kept for t, e in self.state(v)["tables"].items() for p in e["at"].values()}
+        named = {f"{t}/{p.split('/')[0]}" for v in kept for t, e in self.state(v)["tables"].items() for ps in e["at"].values() for p in ps}
         gone = [f"{t}/{d}" for t in self.state()["tables"] for d in self._names(t) if f"{t}/{d}" not in named]
         gone += [f"_versions/{n}" for n in self._names("_versions") if n.endswith(".json") and int(n[:-5]) < kept[0]]
         for p in gone:
@@ -87,17 +88,20 @@ class TableStore:
 
     def _write(self, c: Change, entry: dict | None, base: int) -> dict:
         buckets = entry["buckets"] if entry else self.buckets
-        touched = self._touched(c.keys, c.key, buckets)
+        touched = set() if c.keys is None else self._touched(c.keys, c.key, buckets)
         rows, at = c.rows, dict(entry["at"]) if entry else {}
-        if entry and any(str(b) in at for b in touched):
+        if any(str(b) in at for b in touched):
             stored = self.read(c.table, c.keys, base)
             rows = stored.join(c.keys.select(*c.key).distinct(), list(c.key), "left_anti").unionByName(rows, allowMissingColumns=True)
         folder = uuid.uuid4().hex
-        rows.withColumn(BUCKET, _bucket(c.key, buckets)).hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(f"{self.path}/{c.table}/{folder}")
+        dealt = rows.withColumn(BUCKET, _bucket(c.key, buckets)).hint("rebalance", BUCKET)
+        dealt = dealt.sortWithinPartitions(BUCKET, *c.sort) if c.sort else dealt
+        dealt.write.partitionBy(BUCKET).parquet(f"{self.path}/{c.table}/{folder}")
         written = {n.partition("=")[2] for n in self._names(f"{c.table}/{folder}") if n.startswith(f"{BUCKET}=")}
-        if not written <= {str(b) for b in touched}:
+        if c.keys is not None and not written <= {str(b) for b in touched}:
             raise ValueError(f"{c.table}: rows of other keys than those of the change")
-        at = {b: p for b, p in at.items() if int(b) not in touched} | {b: f"{folder}/{BUCKET}={b}" for b in written}
+        kept = {b: ps for b, ps in at.items() if int(b) not in touched}
+        at = kept | {b: [*kept.get(b, []), f"{folder}/{BUCKET}={b}"] for b in written}
         return {"key": list(c.key), "buckets": buckets, "schema": json.loads(rows.schema.json()), "at": at}
 
     def _touched(self, keys: DataFrame, key: tuple[str, ...], buckets: int) -> set[int]:
