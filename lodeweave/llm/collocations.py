@@ -1,7 +1,7 @@
 """Collocations: phrases of two to four words that hold together, from merged count-min sketches and one exact count of what survives them.
 
 Texts are cut into pieces at punctuation and line ends, pieces into words; everything is counted in each language apart. First pass: each task counts words and pairs in a count-min
-sketch of its own (ROWS hash rows of one width), and the sketches are added up. A cell counts all that falls into it, so an estimate (the least of an n-gram's cells) is never below
+sketch of its own (ROWS hash rows of one width), and the sketches are added up, each task's in proportion to what it has counted. A cell counts all that falls into it, so an estimate (the least of an n-gram's cells) is never below
 the count. Second pass: the same for phrases of three and four words, but only those of which every pair may be frequent by the first sketch: a phrase is no more frequent than its parts. Third pass:
 what both sketches let through is counted exactly, by its words, first in the task and then by a shuffle on (language, phrase); what stays below the least count goes. So nothing frequent is
 lost, whatever the width: a sketch that is too full only lets more through to the exact count.
@@ -15,6 +15,8 @@ its count says nothing of its own and is dropped. Each language's best come from
 from __future__ import annotations
 
 import hashlib
+import sys
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,17 +26,17 @@ from pyspark.sql import functions as F
 
 from lodeweave.llm.common import cut, loose, read, small_batches, text_of
 from lodeweave.llm.near_duplicates import M3, mix
-from lodeweave.llm.ngrams import Words, byte_table, groups, merged, windows
+from lodeweave.llm.ngrams import CELLS, Cells, Words, byte_table, groups, merged, windows
 
 LEAST, LONGEST, TOP, SUBSUMED_PCT, SCALE = 30, 4, 2000, 80, 2_000_000
 NO_LANG = "und"
 BREAKS = byte_table(b".,;:!?\n\x0b\x0c\r")
 WORD = ~(BREAKS | byte_table(b" \t"))
-ROWS, WORDS_PER_CELL, LEAST_BITS, MOST_BITS, BLOCK = 2, 16, 16, 25, 1 << 12
+ROWS, WORDS_PER_CELL, LEAST_BITS, MOST_BITS = 2, 16, 16, 25
 #: Phrases whose counts a task holds before it hands them over.
-HELD = 300_000
-#: Slots that wait before they are added to a sketch.
-WAITING = 1 << 21
+HELD = 1_000_000
+#: Bytes of text for a task, about.
+TASK_BYTES = 128 << 20
 
 
 def cells(keys: np.ndarray, row: int, bits: int) -> np.ndarray:
@@ -42,35 +44,16 @@ def cells(keys: np.ndarray, row: int, bits: int) -> np.ndarray:
     return (mix(keys + np.uint64((row + 1) * int(M3) & (1 << 64) - 1)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-class Sketch:
+class Sketch(Cells):
     """A task's own sketch."""
 
-    def __init__(self, bits: int):
-        self.bits, self.table, self.waiting, self.size = bits, np.zeros((ROWS, 1 << bits), np.uint32), [], 0
+    def __init__(self, bits: int, least: int):
+        super().__init__(ROWS << bits, least)
+        self.bits = bits
 
-    def add(self, keys: np.ndarray) -> None:
-        self.waiting.append(keys)
-        self.size += len(keys)
-        if self.size >= WAITING:
-            self.flush()
-
-    def flush(self) -> None:
-        keys = np.concatenate([np.zeros(0, np.uint64), *self.waiting])
-        self.waiting, self.size = [], 0
+    def add_keys(self, keys: np.ndarray) -> None:
         for r in range(ROWS):
-            at = cells(keys, r, self.bits)
-            if len(at) * 8 < 1 << self.bits:
-                at, n = np.unique(at, return_counts=True)
-                self.table[r, at] += n.astype(np.uint32)
-            else:
-                self.table[r] += np.bincount(at, minlength=1 << self.bits).astype(np.uint32)
-
-    def blocks(self, most: int) -> Iterator[pa.RecordBatch]:
-        self.flush()
-        rows = np.minimum(self.table.reshape(-1, BLOCK), most)
-        used = np.flatnonzero(rows.any(axis=1))
-        for i in range(0, len(used), 256):
-            yield pa.RecordBatch.from_pydict({"block": pa.array(used[i : i + 256], pa.int32()), "counts": pa.array([rows[k].astype(np.uint32).tobytes() for k in used[i : i + 256]], pa.binary())})
+            self.add(cells(keys, r, self.bits) + (r << self.bits))
 
 
 def estimates(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -80,9 +63,8 @@ def estimates(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def sketched(parts: DataFrame, bits: int, least: int) -> np.ndarray:
-    """The sum of the tasks' sketches, in the smallest type that holds ``least``."""
-    kind = np.uint8 if least < 256 else np.uint16 if least < 65536 else np.uint32
-    return merged(parts, ROWS << bits, BLOCK, least).astype(kind).reshape(ROWS, -1)
+    """The sum of the tasks' sketches."""
+    return merged(parts, ROWS << bits, least).reshape(ROWS, -1)
 
 
 def texts_of(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
@@ -120,64 +102,92 @@ def surviving(keys: list[np.ndarray], inside: list[np.ndarray], short: np.ndarra
     return out
 
 
+class Held:
+    """A task's exact counts by key, and what each key says: language, phrase and number of words."""
+
+    def __init__(self):
+        self.keys, self.counts, self.langs, self.phrases, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0, object), np.zeros(0, np.int32)
+
+    def add(self, keys: np.ndarray, counts: np.ndarray, tell) -> None:  # noqa: ANN001
+        """``keys`` are ascending; ``tell(i)`` gives (lang, phrase, n_words) of the i-th."""
+        at = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        known[at < len(self.keys)] = self.keys[at[at < len(self.keys)]] == keys[at < len(self.keys)]
+        self.counts[at[known]] += counts[known]
+        new = np.flatnonzero(~known)
+        if len(new):
+            told = [tell(i) for i in new.tolist()]
+            columns = [np.empty(len(new), object) for _ in range(2)]
+            for column, i in zip(columns, range(2), strict=True):
+                column[:] = [x[i] for x in told]
+            put = lambda have, more: np.insert(have, at[new], more)
+            self.keys, self.counts, self.langs, self.phrases, self.sizes = put(self.keys, keys[new]), put(self.counts, counts[new]), put(self.langs, columns[0]), put(self.phrases, columns[1]), put(self.sizes, [x[2] for x in told])
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(self.keys), 1 << 16):
+            part = slice(i, i + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(self.langs[part], pa.string()), pa.array(self.phrases[part], pa.binary()), pa.array(self.sizes[part], pa.int32()), pa.array(self.counts[part])], names=["lang", "phrase", "n_words", "count"])
+        self.__init__()
+
+
 def phrase_counts(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST, bits: int | None = None) -> DataFrame:
     """``lang``, ``phrase``, ``n_words`` and ``count`` of every phrase of up to ``longest`` words that occurs ``least`` times or more, exactly; and a row with an empty phrase for all words of a language."""
     if not 1 <= least < 1 << 31 or longest < 2:
         raise ValueError("a least count from 1 on, and phrases of two words or more")
     spark, rows = docs.sparkSession, texts_of(docs, text_col, lang_col)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # what a task counts in advance is the less to shuffle the more the task has read
+    rows = rows.coalesce(max(spark.sparkContext.defaultParallelism, size // TASK_BYTES + 1))
     if bits is None:
-        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         bits = min(MOST_BITS, max(LEAST_BITS, int(size // 6 // WORDS_PER_CELL).bit_length()))  # about six bytes to a word
 
     def count_short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Sketch(bits)
+        s = Sketch(bits, least)
         for b in batches:
             for _, _, keys, inside in grams(b, 2):
-                s.add(keys[0])
-                s.add(keys[1][inside[1]])
-        yield from s.blocks(least)
+                s.add_keys(keys[0])
+                s.add_keys(keys[1][inside[1]])
+        yield from s.blocks()
 
-    schema = "block int, counts binary"
-    short = spark.sparkContext.broadcast(sketched(rows.mapInArrow(count_short, schema), bits, least))
+    short = spark.sparkContext.broadcast(sketched(rows.mapInArrow(count_short, CELLS), bits, least))
 
     def count_long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Sketch(bits)
+        s = Sketch(bits, least)
         for b in batches:
             for _, _, keys, inside in grams(b, longest):
                 for k, may in list(zip(keys, surviving(keys, inside, short.value, least), strict=True))[2:]:
-                    s.add(k[may])
-        yield from s.blocks(least)
+                    s.add_keys(k[may])
+        yield from s.blocks()
 
-    long = spark.sparkContext.broadcast(sketched(rows.mapInArrow(count_long, schema), bits, least)) if longest > 2 else short
+    long = spark.sparkContext.broadcast(sketched(rows.mapInArrow(count_long, CELLS), bits, least)) if longest > 2 else short
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], list] = {}
-
-        def out() -> pa.RecordBatch:
-            cols = list(zip(*[(x[0], x[1], k[0], x[2]) for k, x in held.items()], strict=True))
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64())], names=["lang", "phrase", "n_words", "count"])
-
+        held, words = Held(), defaultdict(int)
         for b in batches:
-            langs = b.column(1).to_pylist()
+            langs = [sys.intern(x) for x in b.column(1).to_pylist()]
             for at, w, keys, inside in grams(b, longest):
                 for i, n in enumerate(np.diff(w.ends, prepend=0).tolist()):
-                    held.setdefault((0, langs[at + i]), [langs[at + i], b"", 0])[2] += n
+                    words[langs[at + i]] += n
+                found, first, size = [], [], []
                 for n, (k, may) in enumerate(zip(keys, surviving(keys, inside, short.value, least), strict=True), 1):
                     places = np.flatnonzero(may)
                     if n > 2:
                         places = places[estimates(long.value, k[places]) >= least]
-                    u, first, times = np.unique(k[places], return_index=True, return_counts=True)
-                    for key, i, c in zip(u.tolist(), places[first].tolist(), times.tolist(), strict=True):
-                        x = held.get((n, key))
-                        if x is None:
-                            held[n, key] = [langs[at + int(w.text[i])], b" ".join(w.data[w.start[j] : w.stop[j]] for j in range(i, i + n)), c]
-                        else:
-                            x[2] += c
-                if len(held) >= HELD:
-                    yield out()
-        if held:
-            yield out()
+                    found.append(k[places])
+                    first.append(places)
+                    size.append(np.full(len(places), n))
+                first, size = np.concatenate(first), np.concatenate(size)
+                u, one, times = np.unique(np.concatenate(found), return_index=True, return_counts=True)
+
+                def tell(i: int, w=w, one=one, first=first, size=size, at=at, langs=langs) -> tuple[str, bytes, int]:  # noqa: ANN001
+                    i, n = int(first[one[i]]), int(size[one[i]])
+                    return langs[at + int(w.text[i])], b" ".join(w.data[w.start[j] : w.stop[j]] for j in range(i, i + n)), n
+
+                held.add(u, times, tell)
+                if len(held.keys) >= HELD:
+                    yield from held.batches()
+        yield from held.batches()
+        yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array([b""] * len(words), pa.binary()), pa.array([0] * len(words), pa.int32()), pa.array(list(words.values()), pa.int64())], names=["lang", "phrase", "n_words", "count"])
 
     found = rows.mapInArrow(count, "lang string, phrase binary, n_words int, count long").groupBy("lang", "phrase", "n_words").agg(F.sum("count").alias("count"))
     return found.where((F.col("count") >= least) | (F.col("n_words") == 0)).select("lang", F.col("phrase").cast("string").alias("phrase"), "n_words", "count")
