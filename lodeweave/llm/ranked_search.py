@@ -7,7 +7,7 @@ as it needs. The impact is what one occurrence of the term in a query adds to th
 1. the heads: the k postings of most impact of every list. Scores of the documents in the heads of a query's lists are looked up, and the k-th of them, tau, bounds the k-th of the result from below;
 2. one threshold for all lists of a query: a document that reaches tau has tau / m in one of its m lists at least. Lists are in the order of what they add at most, and the weakest may be left out: of j lists with
    ``rest`` left over, one adds (tau - rest) / j; the j of the highest threshold is taken. All postings above it are fetched, and a document stays if its sum, with the threshold for each list in which it
-   wasn't seen and with the rest, reaches tau;
+   wasn't seen and with the rest, reaches tau, which the exact scores of the highest sums have raised before;
 3. exact scores of what stayed are looked up, and the best k are the result.
 
 Lookups join (query, row) pairs with the documents' rows of counts; nothing is looked up by the driver, which only keeps a block's queries, tau of each and the highest impact of each term.
@@ -189,9 +189,13 @@ def search_block(docs: DataFrame, queries: list[list[bytes]], top: int, id_col:
 
     lowest = spark.createDataFrame(pa.table({"term": pa.array(list(fetch), pa.int32()), "lowest": pa.array([int(x[2].min()) for x in fetch.values()], pa.int64())}))
     above = postings.join(F.broadcast(lowest), "term").where("impact >= lowest").select("term", "impact", "row")
-    seen = above.mapInArrow(fetched, "q int, row long, added long").groupBy("q", "row").agg(F.sum("added").alias("sum"), F.count("*").alias("lists"))
-    bounds = spark.createDataFrame(pa.table({"q": pa.array(np.arange(len(queries)), pa.int32()), **{c: pa.array(bound[:, i]) for i, c in enumerate(("needed", "of", "rest"))}}))
-    may = F.expr("CAST(sum AS DECIMAL(38, 0)) * of + CAST(of - lists AS DECIMAL(20, 0)) * needed >= CAST(needed AS DECIMAL(38, 0)) * of")
+    seen = cut(above.mapInArrow(fetched, "q int, row long, added long").groupBy("q", "row").agg(F.sum("added").alias("sum"), F.count("*").alias("lists")), "seen")
+    # the documents of the highest sums bound the k-th score from below once more
+    high = seen.withColumn("k", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sum"), "row"))).where(F.col("k") <= top).select("q", "row")
+    for r in best(exact_scores(high, rows, block, weights, n_docs, n_terms)).where(F.col("rank") == top).select("q", "score").toLocalIterator():
+        tau[r.q] = max(tau.get(r.q, 0), r.score)
+    bounds = spark.createDataFrame(pa.table({"q": pa.array(np.arange(len(queries)), pa.int32()), "tau": pa.array([tau.get(q, 0) for q in range(len(queries))], pa.int64()), **{c: pa.array(bound[:, i]) for i, c in enumerate(("needed", "of", "rest"))}}))
+    may = F.expr("CAST(sum AS DECIMAL(38, 0)) * of + CAST(of - lists AS DECIMAL(20, 0)) * needed >= CAST(tau - rest AS DECIMAL(38, 0)) * of")
     candidates = cut(seen.join(F.broadcast(bounds), "q").where(may).select("q", "row"), "candidates")
 
     # 3: exact scores
