@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -24,10 +24,27 @@ def relevant_ranks(results: DataFrame, expected: DataFrame) -> DataFrame:
     return expected.select("case_id").distinct().join(found, "case_id", "left")
 
 
+def expectations(cases: DataFrame) -> DataFrame:
+    """What ``relevant_ranks`` expects, of cases with ``expected`` (document_id, source, page, pages); a case without any is one that nothing answers."""
+    e = cases.select("case_id", F.explode_outer("expected").alias("e"))
+    return e.select("case_id", "e.document_id", "e.source", "e.page", F.get("e.pages", 0).alias("page_from"), F.get("e.pages", 1).alias("page_to"))
+
+
+def compare(ranks: DataFrame, cases: DataFrame, ks: Sequence[int] = (1, 5, 10)) -> DataFrame:
+    """``report`` for several runs at once: ``ranks`` has ``run`` and ``ms`` too. One pass gives each run's categories and its whole; ``cases``: case_id, category."""
+    r = ranks.join(cases.select("case_id", F.coalesce("category", F.lit("general")).alias("category")), "case_id")
+    sums = r.groupingSets([["run", "category"], ["run"]], "run", "category").agg(F.grouping("category").alias("_all"), F.count("*").alias("cases"), *measures(ks), F.round(F.avg("ms"), 2).alias("avg_ms"))
+    return sums.withColumn("category", F.when(F.col("_all") == 1, "all").otherwise(F.col("category"))).drop("_all")
+
+
+def measures(ks: Sequence[int]) -> list[Column]:
+    """Recall at each k and MRR, 4 digits."""
+    hit = lambda k: F.round(F.avg(F.when(F.col("first_rank") <= k, 1.0).otherwise(0.0)), 4).alias(f"recall_{k}")
+    return [*[hit(k) for k in ks], F.round(F.avg(F.when(F.col("first_rank").isNotNull(), 1 / F.col("first_rank")).otherwise(0.0)), 4).alias("mrr")]
+
+
 def report(ranks: DataFrame, cases: DataFrame, ks: Sequence[int] = (1, 5, 10)) -> DataFrame:
     """Recall at each k and MRR (4 digits) of each category and of ``all``. ``cases``: case_id, category, ms."""
     r = ranks.join(cases.select("case_id", F.coalesce("category", F.lit("uncategorised")).alias("category"), "ms"), "case_id")
-    hit = lambda k: F.round(F.avg(F.when(F.col("first_rank") <= k, 1.0).otherwise(0.0)), 4).alias(f"recall_{k}")
-    mrr = F.round(F.avg(F.when(F.col("first_rank").isNotNull(), 1 / F.col("first_rank")).otherwise(0.0)), 4).alias("mrr")
-    out = r.rollup("category").agg(F.grouping("category").alias("_all"), F.count("*").alias("cases"), *[hit(k) for k in ks], mrr, F.round(F.avg("ms"), 2).alias("avg_ms"))
+    out = r.rollup("category").agg(F.grouping("category").alias("_all"), F.count("*").alias("cases"), *measures(ks), F.round(F.avg("ms"), 2).alias("avg_ms"))
     return out.withColumn("category", F.when(F.col("_all") == 1, "all").otherwise(F.col("category"))).drop("_all")

@@ -77,15 +77,18 @@ def is_stale(model: str, dimensions: int) -> Column:
     return F.col("embedded_at").isNull() | ~F.col("embedding_model").eqNullSafe(F.lit(model)) | ~F.col("embedding_dimensions").eqNullSafe(F.lit(dimensions))
 
 
-def is_incomplete() -> Column:
-    return F.col("embedded_chunk_count") < F.col("chunk_count")
-
+Embed = Callable[[list[str]], list[list[float]]]
 
-def is_spanning() -> Column:
-    return F.col("position_end") > F.col("position_start")
 
+def unit_vectors(got: list[list[float]], n: int, dimensions: int) -> list[Any]:
+    """A provider's vectors, normalised; a wrong count or width is an error."""
+    import numpy as np
 
-Embed = Callable[[list[str]], list[list[float]]]
+    if len(got) != n or any(len(v) != dimensions for v in got):
+        raise ValueError(f"the provider returned {len(got)} vectors for {n} texts, or not {dimensions} wide")
+    a = np.asarray(got, dtype="float64").reshape(n, dimensions)
+    size = np.linalg.norm(a, axis=1, keepdims=True)
+    return list(np.where(size > 0, a / np.where(size > 0, size, 1), a).astype("float32"))
 
 
 def embed_chunks(chunks: DataFrame, embed: Embed, model: str, dimensions: int, batch: int = 96, prefix: str = "", now: Column | None = None) -> DataFrame:
@@ -96,18 +99,11 @@ def embed_chunks(chunks: DataFrame, embed: Embed, model: str, dimensions: int, b
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in todo.schema) + ", embedding array<float>"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
         for pdf in frames:
             vectors: list[Any] = []
             for i in range(0, len(pdf), batch):
                 texts = [prefix + t for t in pdf["embedding_input"].iloc[i : i + batch]]
-                got = embed(texts)
-                if len(got) != len(texts) or any(len(v) != dimensions for v in got):
-                    raise ValueError(f"the provider returned {len(got)} vectors for {len(texts)} texts, or not {dimensions} wide")
-                a = np.asarray(got, dtype="float64")
-                n = np.linalg.norm(a, axis=1, keepdims=True)
-                vectors += list(np.where(n > 0, a / np.where(n > 0, n, 1), a).astype("float32"))
+                vectors += unit_vectors(embed(texts), len(texts), dimensions)
             yield pdf.assign(embedding=vectors)
 
     done = todo.mapInPandas(run, schema).withColumns({"embedding_model": F.lit(model), "embedding_dimensions": F.lit(dimensions), "embedded_at": now if now is not None else F.current_timestamp().cast("timestamp_ntz")})

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodeweave.config import EngineConfig
+from lodeweave.config import EngineConfig, RetrievalOptions
 from lodeweave.functions.text import excerpt, normalize
-from lodeweave.operators import answering, chunking, dashboards, ingest, retrieval
+from lodeweave.operators import answering, chunking, dashboards, evaluation, ingest, retrieval
+from lodeweave.operators.embedding_run import EmbeddingRun
 from lodeweave.operators.keyword_index import KeywordIndex, named
 from lodeweave.sources.filters import narrow, user_scope
 from lodeweave.sources.store import Change, TableStore
@@ -35,8 +38,8 @@ class Engine:
     def source(self, key: str) -> KnowledgeSource:
         return self.sources.get(key)
 
-    def ingest(self, key: str, filters: dict[str, Any] | None = None, mode: str = ingest.INCREMENTAL) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(documents, chunks, summary) after an ingestion of a source: unchanged documents are skipped, unchanged chunks keep their vectors."""
+    def ingest(self, key: str, filters: dict[str, Any] | None = None, mode: str = ingest.INCREMENTAL, defer: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(documents, chunks, summary) after an ingestion of a source: unchanged documents are skipped, unchanged chunks keep their vectors. ``defer``: new chunks get theirs later, by ``embed_into``."""
         c, source = self.config, self.source(key)
         if mode == ingest.EMBEDDINGS_ONLY:
             return self._embed_stored(key)
@@ -57,7 +60,7 @@ class Engine:
         diff_rows = self._settle(ingest.diff_summary(diff))
         # written once: both tables are built on it, and the provider is paid once, for this source alone
         own = F.col("source_key") == key
-        done = ingest.embed_chunks(after.where(own), self.embed, c.embedding_model, c.dimensions, c.embedding_batch)
+        done = after.where(own) if defer else ingest.embed_chunks(after.where(own), self.embed, c.embedding_model, c.dimensions, c.embedding_batch)
         after = self._settle(done.unionByName(after.where(~own), allowMissingColumns=True))
         stamped = drafts.join(checksums.select(*ingest.KEY, "content_checksum"), ingest.KEY, "left").withColumn("params_checksum", F.lit(params))
         known = stamped.withColumn("status", F.lit("pending"))
@@ -72,7 +75,7 @@ class Engine:
         """Take the tables of a store."""
         self.documents, self.chunks = store.read("documents"), store.read("chunks")
 
-    def ingest_into(self, store: TableStore, key: str, filters: dict[str, Any] | None = None, mode: str = "incremental", *, gone: DataFrame | None = None, facts: dict | None = None, keywords: KeywordIndex | None = None) -> DataFrame:
+    def ingest_into(self, store: TableStore, key: str, filters: dict[str, Any] | None = None, mode: str = "incremental", *, gone: DataFrame | None = None, facts: dict | None = None, keywords: KeywordIndex | None = None, defer: bool = False) -> DataFrame:
         """``ingest``, stored: only the buckets of the source's documents are read, and only those of changed documents rewritten, both tables in one version. Nothing changed and no ``facts``: no version.
 
         ``gone``: keys of documents that go with their chunks. ``keywords``: the index of the same store, which is changed with them. The summary of chunk differences is returned.
@@ -82,7 +85,7 @@ class Engine:
         touched = keys if gone is None else keys.unionByName(gone.select(*ingest.KEY))
         self.documents, self.chunks = store.read("documents", touched), store.read("chunks", touched)
         before, chunks_before = self.documents, self.chunks
-        documents, chunks, summary = self.ingest(key, filters, mode)
+        documents, chunks, summary = self.ingest(key, filters, mode, defer)
         documents = self._settle(documents.join(keys, ingest.KEY, "left_semi"))
         mark = lambda df, name: df.select(*ingest.KEY, F.to_json(F.struct(*sorted(c for c in documents.columns if c not in ingest.KEY))).alias(name))
         changed = documents.select(*ingest.KEY)
@@ -101,6 +104,48 @@ class Engine:
         self.open(store)
         return summary
 
+    def embed_into(self, store: TableStore, key: str, **sizes: int) -> list[dict[str, int]]:
+        """Give stored chunks of a source the vectors that they lack, by an ``EmbeddingRun`` (``sizes``: its waves and tasks), whose waves are returned. After a failure the same call goes on where it stopped."""
+        c = self.config
+        run = EmbeddingRun(store, self.embed, c.embedding_model, c.dimensions, c.embedding_batch, **sizes)
+        self.open(store)
+        done = run.run(self.chunks.where(F.col("source_key") == key))
+        base = store.version()
+        own = store.read("chunks", version=base).where(F.col("source_key") == key)
+        stale = self._settle(own.where(ingest.is_stale(c.embedding_model, c.dimensions)).select(*ingest.KEY).distinct())
+        if not stale.isEmpty():
+            of = lambda df: df.join(stale, ingest.KEY, "left_semi")
+            chunks = self._settle(run.apply(of(own)))
+            documents = ingest.refresh_counts(of(store.read("documents", version=base)), chunks)
+            store.commit([Change(name, tuple(ingest.KEY), rows, stale) for name, rows in (("documents", documents), ("chunks", chunks))], base=base)
+        self.open(store)
+        return done
+
+    def evaluate(self, cases: DataFrame, settings: dict[str, RetrievalOptions] | None = None, k: int = 20, **search: Any) -> tuple[DataFrame, DataFrame]:
+        """(report, ranks) of a set of questions with known answers, for one or more settings of the search side by side.
+
+        ``cases``: as ``read_eval_cases`` gives them; those with ``sources`` are asked of these alone. ``ranks``: run, case_id and the rank of the first relevant hit of k (null: none). Diversity is off. ``search``: further
+        arguments of ``search``.
+        """
+        parts, took = None, {}
+        # as many as the file has different lists of sources
+        scopes = [r.sources for r in cases.select(F.array_sort("sources").alias("sources")).distinct().collect()]
+        for name, o in (settings or {"default": self.config.retrieval}).items():
+            start = time.monotonic()
+            for sources in scopes:
+                asked = cases.where(F.array_sort("sources").eqNullSafe(F.lit(sources).cast("array<string>"))).select(F.col("case_id").alias("query_id"), "question")
+                hits = self._search(asked, replace(o, top_k=max(1, k), mmr=False, fetch_k=max(o.fetch_k, k)), sources=sources, **search)
+                hits = hits.select(F.col("query_id").alias("case_id"), F.col("rank" if "rank" in hits.columns else "position").alias("rank"), "external_id", "source_key", "position_start", "position_end")
+                part = self._settle(evaluation.relevant_ranks(hits, evaluation.expectations(cases.where(F.array_sort("sources").eqNullSafe(F.lit(sources).cast("array<string>"))))).withColumn("run", F.lit(name)))
+                part.count()
+                parts = part if parts is None else parts.unionByName(part)
+            took[name] = 1000 * (time.monotonic() - start)
+        if parts is None:
+            parts = self.spark.createDataFrame([], "case_id string, first_rank int, run string")
+        ms = F.create_map(*[F.lit(v) for name, t in took.items() for v in (name, t)]) if took else F.lit(None)
+        timed = parts.select("run", "case_id", "first_rank", (ms[F.col("run")] / F.count("*").over(Window.partitionBy("run"))).alias("ms"))
+        return evaluation.compare(timed, cases, tuple(n for n in sorted({1, 5, 10, k}) if n <= k)), parts.select("run", "case_id", "first_rank")
+
     def _embed_stored(self, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Nothing is read or chunked: stale chunks of the source, as they are stored, get their vectors."""
         c, own = self.config, F.col("source_key") == key
@@ -148,13 +193,14 @@ class Engine:
         ``scopes``: what of each source the user may see. ``rewrites``: further wordings (query_id, rewrite from 1, question). ``reranker``: as ``retrieval.search`` has it.
         ``index``: what ``keyword_index`` returned, or the ``KeywordIndex`` of the store that the chunks are from; without it the words of all chunks are read anew. Other arguments are those of ``retrieval.base_scan``.
         """
-        from dataclasses import replace
-
         o = self.config.retrieval
         if limit is not None:
             o = replace(o, top_k=min(20, max(1, limit)))
         if min_score is not None:
             o = replace(o, min_score=min_score)
+        return self._search(questions, o, sources=sources, scopes=scopes, rewrites=rewrites, reranker=reranker, index=index, **scan)
+
+    def _search(self, questions: DataFrame | str, o: RetrievalOptions, *, sources: Sequence[str] | None = None, scopes: dict[str, Callable[[DataFrame], Column] | None] | None = None, rewrites: DataFrame | None = None, reranker: Callable[[DataFrame], DataFrame] | None = None, index: tuple[DataFrame, DataFrame, int] | KeywordIndex | None = None, **scan: Any) -> DataFrame:
         q = self.spark.createDataFrame([(0, questions)], "query_id long, question string") if isinstance(questions, str) else questions
         q = q.where(F.length(F.trim("question")) > 0)
         asked = q if rewrites is None else q.withColumn("rewrite", F.lit(0)).unionByName(rewrites.select("query_id", "question", F.col("rewrite").cast("int").alias("rewrite")))

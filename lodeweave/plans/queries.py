@@ -13,6 +13,7 @@ from lodeweave.functions import text as T
 from lodeweave.functions import vectors as V
 from lodeweave.operators import answering, chunking, dashboards, evaluation, ingest, listing, retrieval
 from lodeweave.operators.metrics import Dimension, Measure, Metric, MetricDefinition, MetricFilter, Relation
+from lodeweave.operators.ranges import overlap_join
 from lodeweave.sources import filters as S
 from lodeweave.sources.tables import GroupedSource, SegmentMap, SourceRegistry, TableSource
 
@@ -806,7 +807,7 @@ def eval_recall_mrr(spark: SparkSession, d: str) -> DataFrame:
 def interval_join(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations").groupBy("conv_id").agg(F.min("turn").alias("lo"), F.max("turn").alias("hi"))
     ranges = spark.createDataFrame([(0, 1), (3, 4), (6, 9)], "f int, t int")
-    return c.join(F.broadcast(ranges), (F.col("hi") >= F.col("f")) & (F.col("lo") <= F.col("t"))).groupBy("conv_id").agg(F.count("*").alias("n"))
+    return overlap_join(c, ranges, ("lo", "hi"), ("f", "t")).groupBy("conv_id").agg(F.count("*").alias("n"))
 
 
 # --- sets and scalars --------------------------------------------------------------------------------------------------------------------

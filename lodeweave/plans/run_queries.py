@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from lodeweave.config import EngineConfig
 from lodeweave.functions import text as T
 from lodeweave.functions import vectors as V
-from lodeweave.operators import answering, ingest, listing, retrieval, runs
+from lodeweave.operators import answering, evaluation, ingest, listing, retrieval, runs
+from lodeweave.operators.embedding_run import EmbeddingRun
 from lodeweave.operators.keyword_index import KeywordIndex, named
 from lodeweave.operators.metrics import Dimension, Measure, Metric, MetricDefinition
+from lodeweave.operators.ranges import overlap_join
 from lodeweave.plans.engine import Engine
 from lodeweave.plans.queries import LEX, TODAY, O, letters_source, query, questions, table
 from lodeweave.sources import filters as S
@@ -242,3 +244,63 @@ def stored_keyword_search(spark: SparkSession, d: str) -> DataFrame:
     asked = questions(spark, d)
     found = retrieval.lexical_search(asked, *index.lookup(asked, O), O, limit=2**31 - 1)
     return found.join(named(chunks), "chunk_id").select("query_id", "external_id", F.round("score", 6).alias("score"))
+
+
+@query(
+    "overlapping_windows",
+    """WITH e AS (SELECT event_id, event_type, epoch_us(ts) // 1000000 AS s FROM events),
+p AS (SELECT event_id, s, s + 60 * (event_id % 3 + 1) AS t FROM e WHERE event_type = 'purchase'), o AS (SELECT event_id AS other, s - 30 AS f, CASE WHEN event_type = 'view' THEN s + 7200 ELSE s END AS u FROM e WHERE event_type <> 'purchase')
+SELECT event_id, count(*) AS events, min(other) AS first_id, max(other) AS last_id FROM p JOIN o ON s <= u AND f <= t GROUP BY 1""",
+)
+def overlapping_windows(spark: SparkSession, d: str) -> DataFrame:
+    """The events, each with a window of its own, that overlap the minutes after each purchase: ranges of both sides come from the table."""
+    e = table(spark, d, "events").select("event_id", "event_type", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("s"))
+    bought = e.where("event_type = 'purchase'").select("event_id", "s", (F.col("s") + 60 * (F.col("event_id") % 3 + 1)).alias("t"))
+    others = e.where("event_type <> 'purchase'").select(F.col("event_id").alias("other"), (F.col("s") - 30).alias("f"), F.when(F.col("event_type") == "view", F.col("s") + 7200).otherwise(F.col("s")).alias("u"))
+    pairs = overlap_join(bought, others, ("s", "t"), ("f", "u"))
+    return pairs.groupBy("event_id").agg(F.count("*").alias("events"), F.min("other").alias("first_id"), F.max("other").alias("last_id"))
+
+
+@query("embedding_run", "SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE 1.0::DOUBLE END AS same, lang IS DISTINCT FROM 'de' AS first_run FROM documents")
+def embedding_run(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of all documents after two runs: the first one's provider refuses the groups of one language, the second run asks for these alone. ``same``: the product with the vector made directly."""
+    docs = table(spark, d, "documents").select(
+        "doc_id", "lang", F.col("text").alias("embedding_input"), F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast("string").alias("embedding_model"),
+        F.lit(None).cast("int").alias("embedding_dimensions"), F.lit(None).cast("timestamp_ntz").alias("embedded_at"),
+    )
+    store, embed = TableStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", buckets=16), ingest.HashingEmbedder(32)
+    refusing = lambda texts: []
+    first = EmbeddingRun(store, embed, "hashing", 32)
+    first.run(docs.where("lang IS DISTINCT FROM 'de'"))
+    EmbeddingRun(store, refusing, "hashing", 32).run(docs)
+    early = first.apply(docs)
+    first.run(docs)
+    direct = ingest.embed_chunks(docs.where("embedding_input IS NOT NULL"), embed, "hashing", 32).select("doc_id", F.col("embedding").alias("direct"))
+    rows = first.apply(docs).join(direct, "doc_id", "left").join(early.select("doc_id", F.col("embedding").isNotNull().alias("first_run")), "doc_id")
+    return rows.select("doc_id", F.round(V.dot("embedding", "direct"), 4).alias("same"), "first_run")
+
+
+@query(
+    "eval_runs",
+    """WITH r AS (SELECT 'price' AS run, l_orderkey AS case_id, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey) AS rank FROM lineitem
+UNION ALL SELECT 'quantity', l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_partkey) FROM lineitem),
+e AS (SELECT l_orderkey AS case_id, min(l_partkey) FILTER (l_returnflag = 'R') AS part FROM lineitem GROUP BY 1),
+f AS (SELECT x.run, e.case_id, min(rank) AS fr FROM e CROSS JOIN (VALUES ('price'), ('quantity')) x(run) LEFT JOIN r ON r.run = x.run AND r.case_id = e.case_id AND r.l_partkey = e.part GROUP BY 1, 2),
+g AS (SELECT run, o_orderpriority AS category, fr FROM f JOIN orders ON case_id = o_orderkey)
+SELECT run, coalesce(category, 'all') AS category, count(*) AS cases, round(avg(CASE WHEN fr <= 1 THEN 1.0::DOUBLE ELSE 0 END), 4) AS recall_1, round(avg(CASE WHEN fr <= 3 THEN 1.0::DOUBLE ELSE 0 END), 4) AS recall_3, round(avg(coalesce(1 / fr::DOUBLE, 0)), 4) AS mrr FROM g GROUP BY GROUPING SETS ((run, category), (run))""",
+)
+def eval_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Two rankings of each order's lines side by side, by category and over all."""
+    from pyspark.sql.window import Window
+
+    lines = table(spark, d, "lineitem")
+    back = F.min(F.when(F.col("l_returnflag") == "R", F.col("l_partkey"))).cast("string")
+    expected = F.array(F.struct(back.alias("document_id"), F.lit("lines").alias("source"), F.lit(2).alias("page"), F.array(F.lit(3), F.lit(9)).alias("pages"))).alias("expected")
+    cases = lines.groupBy(F.col("l_orderkey").alias("case_id")).agg(expected)
+    parts = []
+    for run, column in (("price", "l_extendedprice"), ("quantity", "l_quantity")):
+        w = Window.partitionBy("l_orderkey").orderBy(F.desc(column), "l_linenumber", "l_partkey")
+        hits = lines.select(F.col("l_orderkey").alias("case_id"), F.col("l_partkey").cast("string").alias("external_id"), F.row_number().over(w).alias("rank"), F.lit("lines").alias("source_key"), F.lit(1).alias("position_start"), F.lit(3).alias("position_end"))
+        parts.append(evaluation.relevant_ranks(hits, evaluation.expectations(cases)).select("case_id", "first_rank", F.lit(run).alias("run"), F.lit(1.0).alias("ms")))
+    kinds = table(spark, d, "orders").select(F.col("o_orderkey").alias("case_id"), F.col("o_orderpriority").alias("category"))
+    return evaluation.compare(parts[0].unionByName(parts[1]), kinds, (1, 3)).drop("avg_ms")

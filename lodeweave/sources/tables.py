@@ -194,10 +194,17 @@ class SourceRegistry:
         return [k for k in self.keys() if self._exposed is None or k in self._exposed]
 
 
-def read_eval_cases(spark: SparkSession, path: str) -> DataFrame:
-    """Evaluation cases from a JSON file: id, question, category, sources, expected (document_id, source, page, pages)."""
-    schema = "id string, question string, category string, sources array<string>, expected array<struct<document_id:string,source:string,page:int,pages:array<int>>>"
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def read_eval_cases(spark: SparkSession, path: str, categories: list[str] | None = None, only: list[str] | None = None) -> DataFrame:
+    """Evaluation cases from a file with a JSON list: case_id (its place from 1, where none is given), question, category (``general``), sources, expected (document_id, source, page, pages).
+
+    ``categories``, ``only``: those of these categories or with these ids. The file is one that people write by hand, so one task reads it.
+    """
+    schema = "array<struct<id:string,question:string,category:string,sources:array<string>,expected:array<struct<document_id:string,source:string,page:int,pages:array<int>>>>>"
+    each = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", schema)).alias("n", "c"))
+    cases = each.select(F.coalesce("c.id", (F.col("n") + 1).cast("string")).alias("case_id"), "c.question", F.coalesce("c.category", F.lit("general")).alias("category"), "c.sources", "c.expected")
+    for name, values in (("category", categories), ("case_id", only)):
+        cases = cases if not values else cases.where(F.col(name).isin(values))
+    return cases
 
 
 def prune_files(files: DataFrame, now: datetime, days: int) -> DataFrame:
