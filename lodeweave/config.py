@@ -60,6 +60,7 @@ class RetrievalOptions:
     max_query_words: int = 32
     common_from: int = 1000
     common_share: float = 0.08
+    language: str = "simple"
 
 
 @dataclass(frozen=True)

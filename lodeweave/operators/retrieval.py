@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodeweave.config import RetrievalOptions
+from lodeweave.functions.stems import SIMPLE, stemmer
 from lodeweave.functions.text import fold_accents, lexemes, terms
 from lodeweave.functions.vectors import cosine, dot
 from lodeweave.sources.filters import any_of, overlaps
@@ -108,12 +109,18 @@ def _nearest(chunks: DataFrame, ids: list, vectors: np.ndarray, k: int, q_type,
 Stem = Callable[[Column], Column]
 
 
-def postings(chunks: DataFrame, text_col: str = "content", id_col: str = "chunk_id", stem: Stem | None = None) -> DataFrame:
+def index_words(text_col: str, language: str = SIMPLE) -> Column:
+    """The list of what a text is found by: its different words, or their stems."""
+    stems = stemmer(language)
+    return lexemes(text_col) if stems is None else stems(lexemes(text_col))
+
+
+def postings(chunks: DataFrame, text_col: str = "content", id_col: str = "chunk_id", stem: Stem | None = None, language: str = SIMPLE) -> DataFrame:
     """(term, id) of every distinct word: what a keyword index holds. Write it partitioned or bucketed by term to search it often.
 
-    ``stem`` maps a column of words to their stems, and must be given to ``lexical_search`` too.
+    ``language``: whose stems and stop words count; that of the options of ``lexical_search`` must be the same. ``stem`` maps a column of words to stems of your own, and must be given to ``lexical_search`` too.
     """
-    words = chunks.select(F.col(id_col), F.explode(lexemes(text_col)).alias("term"))
+    words = chunks.select(F.col(id_col), F.explode(index_words(text_col, language)).alias("term"))
     return words if stem is None else words.select(id_col, stem(F.col("term")).alias("term")).distinct()
 
 
@@ -125,12 +132,15 @@ def document_frequencies(index: DataFrame) -> DataFrame:
 def matching(chunks: DataFrame, queries: DataFrame, o: RetrievalOptions, *, query_id: str = "query_id", text_col: str = "content", id_col: str = "chunk_id", stem: Stem | None = None) -> tuple[DataFrame, DataFrame]:
     """(postings, document frequencies) of the terms of a stated set of questions alone, for a corpus without an index: texts are cut into words once, no other word leaves the scan, and both come from one shuffle."""
     wanted = query_terms(queries, o, query_id, stem=stem).select("term").distinct()
-    found = postings(chunks, text_col, id_col, stem).join(wanted, "term", "left_semi").select("term", id_col).repartition("term")
+    found = postings(chunks, text_col, id_col, stem, o.language).join(wanted, "term", "left_semi").select("term", id_col).repartition("term")
     return found, found.groupBy("term").agg(F.count(id_col).alias("df"))
 
 
 def query_terms(queries: DataFrame, o: RetrievalOptions, query_id: str = "query_id", text_col: str = "question", stem: Stem | None = None) -> DataFrame:
-    """(query, term): folded terms, distinct."""
+    """(query, term): folded terms, distinct; stems without stop words, where the options name a language."""
+    if (stems := stemmer(o.language)) is not None:
+        folded = F.flatten(F.transform(terms(text_col, o.max_query_words), lambda t: F.split(fold_accents(t), "['’]")))
+        return queries.select(query_id, F.explode(stems(F.filter(folded, lambda t: F.length(t) > 0))).alias("term")).distinct()
     words = queries.select(query_id, F.explode(terms(text_col, o.max_query_words)).alias("t")).select(query_id, F.explode(F.split(fold_accents("t"), "['’]")).alias("term")).where(F.length("term") > 0).distinct()
     return words if stem is None else words.select(query_id, stem(F.col("term")).alias("term")).distinct()
 
@@ -289,7 +299,7 @@ def hybrid(queries: DataFrame, chunks: DataFrame, o: RetrievalOptions, *, index:
     vec = vec.join(meta.withColumn("_key", F.to_json("_leg")), "_key").where((F.lit(o.min_score) <= 0) | (F.col("score") >= o.min_score))
     legs = vec.select(query_id, id_col, (F.col("rewrite") * 2).alias("leg"), (F.col("w") * share).alias("weight"), "rank")
     if o.lexical:
-        index = index if index is not None else postings(chunks, id_col=id_col)
+        index = index if index is not None else postings(chunks, id_col=id_col, language=o.language)
         frequencies = frequencies if frequencies is not None else document_frequencies(index)
         n = n if n is not None else chunks.count()
         lex = lexical_search(q.withColumn("_key", F.to_json("_leg")), index, frequencies, n, o, query_id="_key", id_col=id_col).join(meta.withColumn("_key", F.to_json("_leg")), "_key")

@@ -173,7 +173,7 @@ class Engine:
     def keyword_index(self) -> tuple[DataFrame, DataFrame, int]:
         """(postings, document frequencies, chunks) of the stored chunks, to be kept and given to ``search`` as ``index``."""
         c = self._ids(self.chunks)
-        index = self._settle(retrieval.postings(c))
+        index = self._settle(retrieval.postings(c, language=self.config.retrieval.language))
         return index, self._settle(retrieval.document_frequencies(index)), c.count()
 
     @staticmethod
@@ -209,6 +209,7 @@ class Engine:
         c = named(c).withColumn("document_id", F.concat_ws("/", *ingest.KEY)) if isinstance(index, KeywordIndex) else self._ids(c)
         given = {}
         if isinstance(index, KeywordIndex):
+            o = replace(o, language=index.language)
             found, frequencies, n = index.lookup(asked, o)
             given = {"index": found.join(c.select("chunk_id"), "chunk_id", "left_semi") if self._narrowed(sources, scopes, scan) else found, "frequencies": frequencies, "n": n}
         elif index is not None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -304,3 +305,12 @@ def eval_runs(spark: SparkSession, d: str) -> DataFrame:
         parts.append(evaluation.relevant_ranks(hits, evaluation.expectations(cases)).select("case_id", "first_rank", F.lit(run).alias("run"), F.lit(1.0).alias("ms")))
     kinds = table(spark, d, "orders").select(F.col("o_orderkey").alias("case_id"), F.col("o_orderpriority").alias("category"))
     return evaluation.compare(parts[0].unionByName(parts[1]), kinds, (1, 3)).drop("avg_ms")
+
+
+@query("stemmed_search")
+def stemmed_search(spark: SparkSession, d: str) -> DataFrame:
+    """``lexical_idf_topk`` by English stems, without stop words; held by brute force in tests, as SQL has no stems."""
+    docs, o = table(spark, d, "documents"), replace(O, language="english")
+    index, frequencies = retrieval.matching(docs, questions(spark, d), o, text_col="text", id_col="doc_id")
+    hits = retrieval.lexical_search(questions(spark, d), index, frequencies, docs.count(), o, id_col="doc_id")
+    return hits.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
