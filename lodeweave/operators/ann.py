@@ -1,7 +1,7 @@
 """An inverted-file index for vector search: rows in lists around centroids, of which a query reads the nearest few.
 
 Centroids are fitted on a bounded sample (``sample_rows``); every row is assigned. The table of centroids has lists x width numbers whatever the
-corpus, and is sent to the workers. Write the index partitioned by ``list``, and a search prunes to the lists that it probes. With as many probes as
+corpus, and is sent to the workers. How many lists a search must probe for a wanted recall depends on the data: ``fit_probes`` measures it. Write the index partitioned by ``list``, and a search prunes to the lists that it probes. With as many probes as
 lists the search is exact.
 """
 
@@ -13,9 +13,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from lodeweave.functions.vectors import cosine
+from lodeweave.operators.retrieval import knn_join
 
 
 def unit(rows: object) -> np.ndarray:
@@ -60,8 +59,22 @@ def build_index(vectors: DataFrame, centroids: np.ndarray, vector_col: str = "em
 
 
 def search_index(queries: DataFrame, index: DataFrame, centroids: np.ndarray, k: int, probes: int, *, query_id: str = "query_id", id_col: str = "chunk_id", vector_col: str = "embedding") -> DataFrame:
-    """The k best rows of the probed lists for each query: query, id, score, rank from 1 (ties by id)."""
-    q = nearest_lists(queries.select(query_id, F.col(vector_col).alias("_q")), centroids, probes, "_q").select(query_id, "_q", F.explode("lists").alias("list"))
-    scored = index.select("list", id_col, vector_col).join(q, "list").select(query_id, id_col, cosine(vector_col, "_q").alias("score"))
-    w = Window.partitionBy(query_id).orderBy(F.round("score", 9).desc(), id_col)
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    """The k best rows of the probed lists for each query: query, id, score, rank from 1 (ties by id).
+
+    Rows of a list are scored against all queries that probe it by one product of matrices, of which k a query stay; there is no row for a query and a vector, and no shuffle of the index, so no list is too hot.
+    """
+    q = nearest_lists(queries.select(query_id, vector_col), centroids, probes, vector_col)
+    return knn_join(q, index, k, query_id=query_id, id_col=id_col, vector_col=vector_col, lists=("lists", "list"))
+
+
+def fit_probes(index: DataFrame, centroids: np.ndarray, k: int, *, target: float = 0.95, sample_queries: int = 200, id_col: str = "chunk_id", vector_col: str = "embedding") -> int:
+    """The least number of probes that finds the share ``target`` of the true k nearest of sampled rows, themselves left out; all lists where the sample is empty.
+
+    The sample is of ``sample_queries`` rows at most; its neighbours are searched exactly in the whole index, in one pass.
+    """
+    asked = index.where(F.col(vector_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(sample_queries).select(F.col(id_col).alias("_asked"), vector_col)
+    near = knn_join(asked, index, k, query_id="_asked", id_col=id_col, vector_col=vector_col, exclude_self=True)
+    own = index.select(id_col, "list").join(F.broadcast(near.select("_asked", id_col)), id_col)  # sample_queries x k rows
+    order = nearest_lists(asked, centroids, max(1, len(centroids)), vector_col).select("_asked", "lists")
+    needed = sorted(r.n for r in own.join(F.broadcast(order), "_asked").select(F.array_position("lists", F.col("list")).alias("n")).collect())
+    return int(needed[min(len(needed), int(np.ceil(target * len(needed)))) - 1]) if needed else max(1, len(centroids))

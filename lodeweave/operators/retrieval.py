@@ -44,21 +44,23 @@ def vector_search(chunks: DataFrame, query: list[float], limit: int, min_score:
 QUERY_BYTES, QUERY_ROWS = 32 << 20, 2048
 
 
-def knn_join(queries: DataFrame, chunks: DataFrame, k: int, *, query_id: str = "query_id", id_col: str = "chunk_id", vector_col: str = "embedding", batch_rows: int = 2048, exclude_self: bool = False) -> DataFrame:
+def knn_join(queries: DataFrame, chunks: DataFrame, k: int, *, query_id: str = "query_id", id_col: str = "chunk_id", vector_col: str = "embedding", batch_rows: int = 2048, exclude_self: bool = False, lists: tuple[str, str] | None = None) -> DataFrame:
     """The k nearest chunks of each query by cosine, exactly: query_id, id, score, rank from 1 (ties by id).
 
     Queries are a stated set. As many of them as fit into QUERY_BYTES and QUERY_ROWS, both measured, are sent to every worker; the corpus passes by them as it is read, and each
     partition hands over its k best rows of a query. The corpus is never shuffled. More queries take more passes.
+    ``lists``: a column of the queries with the lists that each one probes, and one of the chunks with the list that each is in; a query then meets the chunks of its lists alone.
     """
     q_type, i_type = queries.schema[query_id].dataType, chunks.schema[id_col].dataType.simpleString()
-    rows = queries.select(F.col(query_id).alias("i"), F.col(vector_col).cast("array<double>").alias("v")).where("v IS NOT NULL")
+    probes = F.col(lists[0]) if lists else F.lit(None)
+    rows = queries.select(F.col(query_id).alias("i"), F.col(vector_col).cast("array<double>").alias("v"), probes.cast("array<int>").alias("p")).where("v IS NOT NULL")
     size, many = rows.agg(F.coalesce(F.sum(F.size("v") * 8 + 64), F.lit(0)), F.count("*")).first()
     passes = max(1, -(-size // QUERY_BYTES), -(-many // QUERY_ROWS))
     found = None
     for n in range(passes):
         block = rows.where(F.pmod(F.xxhash64("i"), F.lit(passes)) == n).collect()  # QUERY_BYTES, about
         if block:
-            some = _nearest(chunks, [r.i for r in block], np.array([r.v for r in block]), k, q_type, query_id, id_col, i_type, vector_col, batch_rows, exclude_self)
+            some = _nearest(chunks, [r.i for r in block], np.array([r.v for r in block]), k, q_type, query_id, id_col, i_type, vector_col, batch_rows, exclude_self, lists, [r.p for r in block] if lists else None)
             found = some if found is None else found.unionByName(some)
     if found is None:
         found = chunks.sparkSession.createDataFrame([], f"{query_id} {q_type.simpleString()}, {id_col} {i_type}, score double")
@@ -66,43 +68,54 @@ def knn_join(queries: DataFrame, chunks: DataFrame, k: int, *, query_id: str = "
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _nearest(chunks: DataFrame, ids: list, vectors: np.ndarray, k: int, q_type, query_id: str, id_col: str, i_type: str, vector_col: str, batch_rows: int, exclude_self: bool) -> DataFrame:  # noqa: ANN001
+def _nearest(chunks: DataFrame, ids: list, vectors: np.ndarray, k: int, q_type, query_id: str, id_col: str, i_type: str, vector_col: str, batch_rows: int, exclude_self: bool, lists: tuple[str, str] | None = None, probes: list | None = None) -> DataFrame:  # noqa: ANN001
     unit = lambda a: a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-300)
-    sent = chunks.sparkSession.sparkContext.broadcast((ids, unit(vectors)))
+    asked = None
+    if probes is not None:
+        asked = {one: np.array([n for n, p in enumerate(probes) if one in p]) for one in sorted({one for p in probes for one in p})}
+        chunks = chunks.where(F.col(lists[1]).isin(list(asked)))
+    sent = chunks.sparkSession.sparkContext.broadcast((ids, unit(vectors), asked))
 
     def best(frames):  # noqa: ANN001, ANN202
-        qi, qv = np.array(sent.value[0], dtype=object), sent.value[1]
-        kept_s, kept_i = np.full((len(qi), 0), -np.inf), np.empty((len(qi), 0), dtype=object)
+        qi, qv, probed = np.array(sent.value[0], dtype=object), sent.value[1], sent.value[2]
+        kept_s, kept_i, empty = np.full((len(qi), k), -np.inf), np.empty((len(qi), k), dtype=object), True
 
-        def add(scores: np.ndarray, ci: np.ndarray) -> None:
+        def add(which: object, vectors: np.ndarray, ci: np.ndarray) -> None:
             # the k best of a query by (rounded score, id), never more: equal vectors may be a million
-            nonlocal kept_s, kept_i
-            had, all_s = kept_i, np.hstack([kept_s, scores])
+            nonlocal empty
+            if empty:
+                kept_i[:], empty = ci[0], False  # an id that can be compared, where there is none yet
+            scores, had = qv[which] @ vectors.T, kept_i[which]
+            if exclude_self:
+                scores = np.where(qi[which][:, None] == ci[None, :], -np.inf, scores)
+            all_s = np.hstack([kept_s[which], scores])
             all_i = np.hstack([had, np.broadcast_to(ci, scores.shape)])
-            if all_s.shape[1] > k:
-                score = np.round(all_s, 9)
-                kth = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
-                place = np.zeros((1, 1), np.int64)
-                if ((score >= kth).sum(axis=1) > k).any():
-                    ids = np.unique(np.concatenate([had.ravel(), ci]))
-                    place = np.hstack([np.searchsorted(ids, had.ravel()).reshape(had.shape), np.broadcast_to(np.searchsorted(ids, ci), scores.shape)])
-                order = np.lexsort((np.broadcast_to(place, score.shape), -score), axis=1)[:, :k]
-                all_s, all_i = np.take_along_axis(all_s, order, 1), np.take_along_axis(all_i, order, 1)
-            kept_s, kept_i = all_s, all_i
+            score = np.round(all_s, 9)
+            kth = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
+            place = np.zeros((1, 1), np.int64)
+            if ((score >= kth).sum(axis=1) > k).any():
+                ids = np.unique(np.concatenate([had.ravel(), ci]))
+                place = np.hstack([np.searchsorted(ids, had.ravel()).reshape(had.shape), np.broadcast_to(np.searchsorted(ids, ci), scores.shape)])
+            order = np.lexsort((np.broadcast_to(place, score.shape), -score), axis=1)[:, :k]
+            kept_s[which], kept_i[which] = np.take_along_axis(all_s, order, 1), np.take_along_axis(all_i, order, 1)
 
         for pdf in frames:
             for at in range(0, len(pdf), batch_rows):
                 part = pdf.iloc[at : at + batch_rows]
-                ci = part[id_col].to_numpy(dtype=object)
-                scores = qv @ unit(np.vstack(part[vector_col].to_numpy()).astype(float)).T
-                if exclude_self:
-                    scores = np.where(qi[:, None] == ci[None, :], -np.inf, scores)
-                add(scores, ci)
+                ci, vectors = part[id_col].to_numpy(dtype=object), unit(np.vstack(part[vector_col].to_numpy()).astype(float))
+                if probed is None:
+                    add(slice(None), vectors, ci)
+                    continue
+                own = part[lists[1]].to_numpy()
+                for one in np.unique(own):
+                    if one in probed:
+                        rows = np.flatnonzero(own == one)
+                        add(probed[one], vectors[rows], ci[rows])
         a, b = np.nonzero(np.isfinite(kept_s))
         if len(a):
             yield pd.DataFrame({query_id: qi[a], id_col: kept_i[a, b], "score": kept_s[a, b]})
 
-    rows = chunks.select(id_col, vector_col).where(F.col(vector_col).isNotNull())
+    rows = chunks.select(id_col, vector_col, *(lists or ())[1:]).where(F.col(vector_col).isNotNull())
     return rows.mapInPandas(best, f"{query_id} {q_type.simpleString()}, {id_col} {i_type}, score double")
 
 

@@ -256,3 +256,42 @@ def test_only_the_ingested_source_is_embedded(spark):
     e.documents, e.chunks, _ = e.ingest("b")
     assert {(r.source_key, r.embedded_at is not None) for r in e.chunks.collect()} == {("a", False), ("b", True)}
     assert e.chunks.count() == 5
+
+
+def test_probed_lists_are_scored_as_blocks(spark):
+    """Against brute force over the probed lists: a list that holds half of all rows, equal vectors, queries that are rows themselves, and queries whose lists are empty."""
+    import numpy as np
+
+    from lodeweave.operators import ann
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 6))
+    x[:300] = x[0]
+    rows = [(f"c{n:04d}", [float(v) for v in r]) for n, r in enumerate(x)]
+    corpus = spark.createDataFrame(rows, "chunk_id string, embedding array<double>").repartition(3)
+    centroids = ann.unit(rng.normal(size=(8, 6)))
+    index = ann.build_index(corpus, centroids)
+    queries = spark.createDataFrame([(n, rows[n * 37][1]) for n in range(16)] + [(99, None)], "query_id long, embedding array<double>")
+    for probes in (1, 3, 8):
+        got = ann.search_index(queries, index, centroids, 7, probes)
+        plan = got._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+        assert "Join" not in plan
+        u = ann.unit(x)
+        own = np.argmax(u @ centroids.T, axis=1)
+        want = set()
+        for n in range(16):
+            q = ann.unit([rows[n * 37][1]])[0]
+            near = np.argsort(-(q @ centroids.T), kind="stable")[:probes]
+            best = sorted((-round(float(u[i] @ q), 9), rows[i][0]) for i in np.flatnonzero(np.isin(own, near)))[:7]
+            want |= {(n, c, r) for r, (_, c) in enumerate(best, 1)}
+        assert {(r.query_id, r.chunk_id, r["rank"]) for r in got.collect()} == want
+    assert ann.search_index(queries, index.limit(0), centroids, 7, 3).count() == 0
+    # of all rows as the sample, the share that the fitted probes find is the target at least, and less with one probe fewer
+    n = ann.fit_probes(index, centroids, 7, target=0.8, sample_queries=600)
+    share = []
+    exact = {(r.q, r.chunk_id) for r in retrieval.knn_join(corpus.withColumnRenamed("chunk_id", "q"), corpus, 7, query_id="q", exclude_self=True).collect()}
+    nearest = np.argsort(-(u @ centroids.T), axis=1, kind="stable")
+    for p in (n - 1, n):
+        share.append(np.mean([own[int(c[1:])] in nearest[int(q[1:])][:p] for q, c in exact]))
+    assert share[0] < 0.8 <= share[1]
+    assert ann.fit_probes(index.limit(0), centroids, 7) == 8
