@@ -329,7 +329,7 @@ def source_paged(spark: SparkSession, d: str) -> DataFrame:
 
         key = ds.field("doc_id").cast("string")
         within = (key >= pc.scalar(low or "")) if high is None else (key >= pc.scalar(low or "")) & (key < pc.scalar(high))
-        for batch in ds.dataset(path).to_batches(columns=["doc_id", "source", "text"], filter=within, batch_size=1024):
+        for batch in ds.dataset(path).to_batches(columns=["doc_id", "source", "text"], filter=within, batch_size=1024, use_threads=False):
             yield from batch.to_pylist()
 
     documents = lambda low, high: ((str(r["doc_id"]), r["source"], None) for r in rows(low, high))
