@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from lodeweave.config import RetrievalOptions
 from lodeweave.functions.stems import SIMPLE, stemmer
-from lodeweave.functions.text import fold_accents, lexemes, terms
+from lodeweave.functions.text import excerpt, fold_accents, lexemes, terms
 from lodeweave.functions.vectors import cosine, dot
 from lodeweave.sources.filters import any_of, overlaps
 
@@ -323,17 +323,23 @@ def hybrid(queries: DataFrame, chunks: DataFrame, o: RetrievalOptions, *, index:
     return f.join(asked, query_id).join(chunks, id_col).withColumn("score", cosine("embedding", "_q")).drop("_q")
 
 
-def search(queries: DataFrame, chunks: DataFrame, o: RetrievalOptions, *, query_id: str = "query_id", id_col: str = "chunk_id", reranker: Callable[[DataFrame], DataFrame] | None = None, **index: object) -> DataFrame:
+def search(queries: DataFrame, chunks: DataFrame, o: RetrievalOptions, *, query_id: str = "query_id", id_col: str = "chunk_id", reranker: Callable[[DataFrame], DataFrame] | None = None, titles: DataFrame | None = None, document: str = "document_id", **index: object) -> DataFrame:
     """The pipeline: candidates, fusion, reranking, de-duplication, diversity, neighbours. Blank questions find nothing.
 
-    ``reranker`` turns the candidates' head (the query, the id, ``question``, ``content``) into new scores: query, id, ``new_score``; pairs that it doesn't return have none.
+    ``reranker`` turns the candidates' head (the query, the id, ``question``, ``content``) into new scores: query, id, ``new_score``; pairs that it doesn't return have none. ``content`` is what it is to read: the title of
+    the document (``titles``: document, title) and the part of the passage where the words of the question and its rewrites are.
     """
     asked = queries.where(F.length(F.trim("question")) > 0)
     hits = hybrid(asked, chunks, o, query_id=query_id, id_col=id_col, **index)
     hits = hits.withColumn("_by", F.col("relevance") if o.lexical or "rewrite" in queries.columns else F.col("score"))
     if reranker:
-        said = asked.where("rewrite = 0") if "rewrite" in asked.columns else asked
-        head = hits.where(F.col("position") <= max(2, o.rerank_candidates)).join(said.select(query_id, "question"), query_id)
+        ways = F.transform(F.array_sort(F.collect_list(F.struct("rewrite", "question"))), lambda x: x["question"])
+        said = asked.groupBy(query_id).agg(ways.alias("_ways")) if "rewrite" in asked.columns else asked.select(query_id, F.array("question").alias("_ways"))
+        head = hits.where(F.col("position") <= max(2, o.rerank_candidates)).join(said, query_id)
+        if titles is not None:
+            head = head.join(titles.select(document, F.col("title").alias("_title")), document, "left")
+        read = rerank_text(F.col("_title") if titles is not None else F.lit(None).cast("string"), excerpt("content", F.array_join("_ways", " "), o.rerank_chars))
+        head = head.withColumns({"question": F.col("_ways")[0], "content": read})
         hits = hits.join(reranker(head.select(query_id, id_col, "question", "content")).select(query_id, id_col, "new_score"), [query_id, id_col], "left")
         hits = rerank(hits.withColumn("score", F.col("_by")), F.col("new_score"), o, query_id).withColumn("_by", F.col("score"))
     best = select_diverse(hits, o, query_id=query_id, id_col=id_col, score_col="_by")

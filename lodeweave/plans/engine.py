@@ -187,10 +187,11 @@ class Engine:
         sample = source.segments(filters).join(ids, ingest.KEY, "left_semi").groupBy(*ingest.KEY).agg(F.sum(F.length("text")).alias("chars"))
         return ingest.estimate(source.documents(filters), sample, self.config.chunking, micros_per_token)
 
-    def search(self, questions: DataFrame | str, *, sources: Sequence[str] | None = None, limit: int | None = None, min_score: float | None = None, scopes: dict[str, Callable[[DataFrame], Column] | None] | None = None, rewrites: DataFrame | None = None, reranker: Callable[[DataFrame], DataFrame] | None = None, index: tuple[DataFrame, DataFrame, int] | KeywordIndex | None = None, **scan: Any) -> DataFrame:
+    def search(self, questions: DataFrame | str, *, sources: Sequence[str] | None = None, limit: int | None = None, min_score: float | None = None, scopes: dict[str, Callable[[DataFrame], Column] | None] | None = None, rewrites: DataFrame | None = None, expander: answering.Model | None = None, reranker: Callable[[DataFrame], DataFrame] | None = None, index: tuple[DataFrame, DataFrame, int] | KeywordIndex | None = None, **scan: Any) -> DataFrame:
         """Hits of one question or a frame of them (query_id, question): passages with marker, score and an excerpt. ``limit`` is held to 1-20.
 
-        ``scopes``: what of each source the user may see. ``rewrites``: further wordings (query_id, rewrite from 1, question). ``reranker``: as ``retrieval.search`` has it.
+        ``scopes``: what of each source the user may see. ``rewrites``: further wordings (query_id, rewrite from 1, question). ``expander``: a model that gives them, as ``answering.expand`` has it.
+        ``reranker``: as ``retrieval.search`` has it.
         ``index``: what ``keyword_index`` returned, or the ``KeywordIndex`` of the store that the chunks are from; without it the words of all chunks are read anew. Other arguments are those of ``retrieval.base_scan``.
         """
         o = self.config.retrieval
@@ -198,11 +199,12 @@ class Engine:
             o = replace(o, top_k=min(20, max(1, limit)))
         if min_score is not None:
             o = replace(o, min_score=min_score)
-        return self._search(questions, o, sources=sources, scopes=scopes, rewrites=rewrites, reranker=reranker, index=index, **scan)
+        return self._search(questions, o, sources=sources, scopes=scopes, rewrites=rewrites, expander=expander, reranker=reranker, index=index, **scan)
 
-    def _search(self, questions: DataFrame | str, o: RetrievalOptions, *, sources: Sequence[str] | None = None, scopes: dict[str, Callable[[DataFrame], Column] | None] | None = None, rewrites: DataFrame | None = None, reranker: Callable[[DataFrame], DataFrame] | None = None, index: tuple[DataFrame, DataFrame, int] | KeywordIndex | None = None, **scan: Any) -> DataFrame:
-        q = self.spark.createDataFrame([(0, questions)], "query_id long, question string") if isinstance(questions, str) else questions
-        q = q.where(F.length(F.trim("question")) > 0)
+    def _search(self, questions: DataFrame | str, o: RetrievalOptions, *, sources: Sequence[str] | None = None, scopes: dict[str, Callable[[DataFrame], Column] | None] | None = None, rewrites: DataFrame | None = None, expander: answering.Model | None = None, reranker: Callable[[DataFrame], DataFrame] | None = None, index: tuple[DataFrame, DataFrame, int] | KeywordIndex | None = None, **scan: Any) -> DataFrame:
+        q = self._asked(questions).where(F.length(F.trim("question")) > 0)
+        if rewrites is None and expander is not None:
+            rewrites = self._settle(answering.expand(q, expander, o.max_rewrites))  # several legs read them, and the model is asked once
         asked = q if rewrites is None else q.withColumn("rewrite", F.lit(0)).unionByName(rewrites.select("query_id", "question", F.col("rewrite").cast("int").alias("rewrite")))
         c = retrieval.base_scan(self.chunks, source_keys=narrow(self.sources.exposed_keys(), sources), **scan)
         c = c if scopes is None else user_scope(c, scopes)
@@ -216,7 +218,10 @@ class Engine:
             # postings of the questions' terms first; only a scan or scope that leaves chunks out needs their ids
             found = index[0].join(F.broadcast(retrieval.query_terms(asked, o).select("term").distinct()), "term", "left_semi")
             given = {"index": found.join(c.select("chunk_id"), "chunk_id", "left_semi") if self._narrowed(sources, scopes, scan) else found, "frequencies": index[1], "n": index[2]}
-        found = retrieval.search(self._embed_questions(asked), c, o, reranker=reranker, **given)
+        titles = None
+        if reranker is not None and self.documents is not None and "title" in self.documents.columns:
+            titles = self.documents.select(F.concat_ws("/", *ingest.KEY).alias("document_id"), "title")
+        found = retrieval.search(self._embed_questions(asked), c, o, reranker=reranker, titles=titles, **given)
         hits = found.join(c.select("chunk_id", *ingest.KEY, "ordinal", "position_start", "position_end", "content", "token_count"), "chunk_id").join(q.select("query_id", "question"), "query_id")
         return hits.withColumns({"score": F.round("score", 4), "excerpt": excerpt("content", "question", o.rerank_chars)}).drop("question")
 
@@ -238,6 +243,32 @@ class Engine:
         """``search`` within the answer's token budget, with citation markers."""
         return answering.budget(self.search(questions, **options), self.config.context_tokens)
 
+    def answer(self, questions: DataFrame | str, model: answering.Model, *, history: DataFrame | None = None, system: str | None = None, refusal: str = answering.REFUSAL, require_citations: bool = True, **options: Any) -> tuple[DataFrame, DataFrame]:
+        """(log, citations) of questions (query_id, question) that a model answers from what ``search`` finds within the token budget: as ``answering.answers`` has them, the log with ``retrieved_count``.
+
+        ``model``: as ``answering.replies`` has it; a reply without markers is asked for once more. ``history``: earlier turns (query_id, turn, question, answer). ``options`` are those of ``search``. A question that finds
+        nothing is refused without a call.
+        """
+        q = self._settle(self._asked(questions))
+        hits = self.search(q, **options)
+        order = "rank" if "rank" in hits.columns else "position"
+        hits = self._settle(hits)
+        given = answering.budget(hits, self.config.context_tokens, order=order).withColumnRenamed(order, "rank")
+        if self.documents is not None and "title" in self.documents.columns:
+            given = given.join(self.documents.select(*ingest.KEY, "title"), ingest.KEY, "left")
+        else:
+            given = given.withColumn("title", F.lit(None).cast("string"))
+        given = self._settle(answering.labelled(given))
+        asked = answering.prompts(q, given, history, answering.SYSTEM + refusal if system is None else system)
+        said = answering.replies(asked, model, refusal, require_citations, self._settle)
+        found = hits.groupBy("query_id").agg(F.count("*").alias("retrieved_count"))
+        log, cited = answering.answers(q, given, said, refusal, require_citations, self.config.snippet_chars)
+        log = log.join(found, "query_id", "left").withColumn("retrieved_count", F.coalesce("retrieved_count", F.lit(0)))
+        return log, cited.select("query_id", "marker", "rank", "chunk_id", *ingest.KEY, "label", "score", "position_start", "position_end", "used", "snippet")
+
+    def _asked(self, questions: DataFrame | str) -> DataFrame:
+        return self.spark.createDataFrame([(0, questions)], "query_id long, question string") if isinstance(questions, str) else questions
+
     def fetch(self, source_key: str, external_id: str, position_from: int | None = None, position_to: int | None = None) -> DataFrame:
         """A document's text from its chunks, as far as the character budget goes."""
         c = retrieval.base_scan(self.chunks, source_keys=[source_key], external_ids=[external_id], position_from=position_from, position_to=position_to)

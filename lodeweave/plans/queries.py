@@ -565,15 +565,37 @@ def dedupe_hash(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").groupBy(F.sha2("text", 256).alias("content_hash")).agg(F.min("doc_id").alias("doc_id"))
 
 
-@query("mmr_rerank")
-def mmr_rerank(spark: SparkSession, d: str) -> DataFrame:
-    """De-duplication and MMR on the 60 nearest vectors of each query of the stated set."""
+# Greedy choices as recursions in SQL: d has what stays of the k nearest vectors of each query, in order, after de-duplication; the next recursion takes one vector a step, with the nearest chosen one of each that is left.
+DEDUPED = (
+    "WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, e.vec_id, e.v, list_cosine_similarity(e.v, q.v) AS s FROM e q, e WHERE q.vec_id % 100 = 0), "
+    "c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS p FROM s) WHERE p <= {k}), "
+    "near AS (SELECT a.query_id, a.p, list(b.p) FILTER (b.p < a.p AND list_inner_product(a.v, b.v) >= {threshold}) AS near FROM c a JOIN c b USING (query_id) GROUP BY 1, 2), "
+    "kept AS (SELECT query_id, p, [p] AS kept FROM near WHERE p = 1 UNION ALL SELECT k.query_id, n.p, CASE WHEN list_has_any(k.kept, coalesce(n.near, [])) THEN k.kept ELSE list_append(k.kept, n.p) END FROM kept k JOIN near n ON n.query_id = k.query_id AND n.p = k.p + 1), "
+    "last AS (SELECT query_id, arg_max(kept, p) AS kept FROM kept GROUP BY 1), d AS (SELECT c.*, list_position(kept, p) AS rank FROM c JOIN last USING (query_id) WHERE list_contains(kept, p)) "
+)
+
+
+def nearest_60(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql.window import Window
 
     e = table(spark, d, "embeddings")
     near = retrieval.knn_join(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e, 60, id_col="vec_id")
-    hits = near.join(e, "vec_id").select("query_id", "vec_id", "score", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")).alias("position"), F.lit(None).cast("string").alias("content_hash"), "embedding")
-    return retrieval.select_diverse(hits, O, id_col="vec_id").select("query_id", "vec_id", "rank")
+    return near.join(e, "vec_id").select("query_id", "vec_id", "score", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")).alias("position"), F.lit(None).cast("string").alias("content_hash"), "embedding")
+
+
+@query(
+    "mmr_rerank",
+    DEDUPED.format(k=60, threshold=O.dedupe_threshold)
+    + ", dots AS (SELECT a.query_id, a.rank, any_value(a.vec_id) AS vec_id, any_value(a.s) AS s, list(list_inner_product(a.v, b.v) ORDER BY b.rank) AS dots FROM d a JOIN d b USING (query_id) GROUP BY 1, 2), "
+    "m AS (SELECT query_id, list(vec_id ORDER BY rank) AS ids, list(s ORDER BY rank) AS s, list(dots ORDER BY rank) AS dots FROM dots GROUP BY 1), "
+    "g AS (SELECT query_id, 0 AS rank, CAST([] AS BIGINT[]) AS chosen, CAST(NULL AS BIGINT) AS best, list_transform(s, lambda x: 0.0::DOUBLE) AS nearest FROM m "
+    "UNION ALL SELECT query_id, rank + 1, list_append(chosen, pick), pick, list_transform(range(1, len(ids) + 1), lambda i: greatest(nearest[i], dots[i][pick])) FROM ("
+    f"SELECT *, list_position(vals, list_max(vals)) AS pick FROM (SELECT g.*, ids, dots, list_transform(range(1, len(ids) + 1), lambda i: CASE WHEN list_contains(chosen, i) THEN -1e9 ELSE {O.mmr_lambda} * m.s[i] - (1 - {O.mmr_lambda}) * nearest[i] END) AS vals "
+    f"FROM g JOIN m USING (query_id) WHERE rank < least({O.top_k}, len(ids))))) SELECT query_id, ids[best] AS vec_id, CAST(rank AS INTEGER) AS rank FROM g JOIN m USING (query_id) WHERE rank > 0",
+)
+def mmr_rerank(spark: SparkSession, d: str) -> DataFrame:
+    """De-duplication and MMR on the 60 nearest vectors of each query of the stated set."""
+    return retrieval.select_diverse(nearest_60(spark, d), O, id_col="vec_id").select("query_id", "vec_id", "rank")
 
 
 @query("hybrid_search")

@@ -8,6 +8,7 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodeweave.config import EngineConfig
 from lodeweave.functions import text as T
@@ -18,7 +19,7 @@ from lodeweave.operators.keyword_index import KeywordIndex, named
 from lodeweave.operators.metrics import Dimension, Measure, Metric, MetricDefinition
 from lodeweave.operators.ranges import overlap_join
 from lodeweave.plans.engine import Engine
-from lodeweave.plans.queries import LEX, TODAY, O, letters_source, query, questions, table
+from lodeweave.plans.queries import DEDUPED, LEX, TODAY, O, letters_source, nearest_60, query, questions, table
 from lodeweave.sources import filters as S
 from lodeweave.sources.paged import paged_source
 from lodeweave.sources.store import Change, TableStore, shared_folder
@@ -337,3 +338,63 @@ def source_paged(spark: SparkSession, d: str) -> DataFrame:
     s = paged_source(spark, "paged", [str(n) for n in range(1, 10)], documents, segments)
     wanted = F.col("external_id").between("15", "77")
     return s.documents().where(wanted).join(s.segments().where(wanted), "external_id").select("external_id", "title", F.length("text").cast("long").alias("chars"))
+
+
+def _scripted(reply):  # noqa: ANN001, ANN202
+    """A model that follows a rule: ``reply`` is a column over a question's prompt, and every call takes 7 and 1 tokens."""
+    return lambda p: p.select("query_id", reply.alias("answer"), F.lit("rule").alias("model"), F.lit(7).alias("prompt_tokens"), F.lit(1).alias("completion_tokens"))
+
+
+def _answered_orders(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Every order as a question and its lines as passages, within a budget of 60 pieces, answered by a model that forgets the markers of every third, makes one up, and refuses every third."""
+    asked = table(spark, d, "orders").select(F.col("o_orderkey").alias("query_id"), F.concat(F.lit(" Order "), F.col("o_orderpriority")).alias("question"))
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")).alias("rank"), F.col("l_quantity").cast("int").alias("token_count"),
+        (1.0 / F.col("l_linenumber")).alias("score"), F.col("l_linenumber").alias("position_start"), F.col("l_linenumber").alias("position_end"), F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("content"), F.when(F.col("l_linenumber") > 1, F.col("l_returnflag")).alias("title"))
+    given = answering.labelled(answering.budget(lines, 60))
+    third, again = F.col("query_id") % 3, F.col("prompt").endswith(answering.REMINDER)
+    reply = F.when(third == 0, F.when(again, "Once more [#1] and [#9].").otherwise("Without a marker.")).when(third == 1, " Both [#2] [#1]. ").otherwise(answering.REFUSAL)
+    said = answering.replies(answering.prompts(asked, given), _scripted(reply))
+    return answering.answers(asked, given, said)
+
+
+LINES = (
+    "WITH l AS (SELECT l_orderkey AS query_id, row_number() OVER w AS marker, sum(CAST(l_quantity AS INTEGER)) OVER (w ROWS UNBOUNDED PRECEDING) AS size, l_linenumber, l_partkey, l_returnflag FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity)), "
+    "g AS (SELECT * FROM l WHERE marker = 1 OR size <= 60), n AS (SELECT query_id, count(*) AS top_k FROM g GROUP BY 1) "
+)
+
+
+@query(
+    "answer_log",
+    LINES + "SELECT o_orderkey AS query_id, sha256(lower(trim(' Order ' || o_orderpriority))) AS question_hash, coalesce(top_k, 0) AS top_k, top_k IS NOT NULL AND o_orderkey % 3 = 0 AS retried, top_k IS NULL OR o_orderkey % 3 = 2 AS refused, CASE WHEN top_k IS NULL THEN 0 WHEN o_orderkey % 3 = 0 THEN 14 ELSE 7 END AS prompt_tokens, "
+    f"CASE WHEN top_k IS NULL OR o_orderkey % 3 = 2 THEN '{answering.REFUSAL.replace(chr(39), chr(39) * 2)}' WHEN o_orderkey % 3 = 0 THEN 'Once more [#1] and.' WHEN top_k > 1 THEN 'Both [#2] [#1].' ELSE 'Both [#1].' END AS answer FROM orders LEFT JOIN n ON query_id = o_orderkey",
+)
+def answer_log(spark: SparkSession, d: str) -> DataFrame:
+    return _answered_orders(spark, d)[0].select("query_id", "question_hash", "top_k", "retried", "refused", "prompt_tokens", "answer")
+
+
+@query("answer_citations", LINES + "SELECT query_id, marker, 'part ' || l_partkey AS snippet, CASE WHEN l_linenumber > 1 THEN l_returnflag || ' - ' ELSE '' END || l_linenumber AS label, query_id % 3 < 2 AND marker <= 1 + query_id % 3 AS used FROM g JOIN orders ON o_orderkey = query_id")
+def answer_citations(spark: SparkSession, d: str) -> DataFrame:
+    return _answered_orders(spark, d)[1].join(table(spark, d, "orders").select(F.col("o_orderkey").alias("query_id")), "query_id", "left_semi").select("query_id", "marker", "snippet", "label", "used")
+
+
+@query(
+    "expanded_questions",
+    "WITH q AS (SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM benchmark) "
+    "SELECT item_id AS query_id, 1 AS rewrite, 'item ' || item_id AS question FROM q WHERE item_id % 4 < 3 AND t <> '' UNION ALL SELECT item_id, 2, 'seek ' || t FROM q WHERE item_id % 4 < 2 AND t <> '' AND length(t) <= 595",
+)
+def expanded_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Every item as a question to a model that replies with JSON in prose, with lines, with a number among the texts, or to a question in quotes (which it never sees)."""
+    kind, text = F.col("item_id") % 4, T.collapse_whitespace("text")
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.when(kind == 3, F.concat(F.lit("«"), text, F.lit("»"))).otherwise(text).alias("question"))
+    item, seek = F.concat(F.lit("item "), F.col("query_id").cast("string")), F.concat(F.lit("seek "), F.col("question"))
+    as_json = F.concat(F.lit("Here: "), F.to_json(F.struct(F.array(item, F.upper(item), F.col("question"), seek).alias("queries"))), F.lit(" as asked."))
+    lines = F.concat(F.lit('1. "'), item, F.lit('"\n\n- '), seek, F.lit("\n* "), F.col("question"))
+    number = F.concat(F.lit('{"queries": [7, "'), item, F.lit('"]}'))
+    kind = F.col("query_id") % 4
+    return answering.expand(asked, lambda q: q.select("query_id", F.when(kind == 0, as_json).when(kind == 1, lines).otherwise(number).alias("reply")))
+
+
+@query("dedupe_vectors", DEDUPED.format(k=60, threshold=0.3) + "SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank FROM d")
+def dedupe_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Of the 60 nearest vectors of each query of the stated set, in order, those that no earlier one that stays is nearer to than 0.3."""
+    return retrieval.select_diverse(nearest_60(spark, d), replace(O, mmr=False, dedupe_threshold=0.3, top_k=60), id_col="vec_id").select("query_id", "vec_id", "rank")
