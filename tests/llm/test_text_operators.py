@@ -307,6 +307,23 @@ def test_headers_and_whole_files(spark):
     assert got["bsd3/x"][1] == got["mit/x"][1] == "file" and got["spdx1/x"][1] == "header"
 
 
+def test_rival_licences(spark):
+    """Licences that begin as others do, choices between two, and notices cut after their first paragraph."""
+    code = "\n\nimport os\n\ndef main(argument):\n    return os.path.join(argument, 'data')\n"
+    boost = template("BSL-1.0", "NON-INFRINGEMENT").replace(" Permission is", "\n\nPermission is").replace(" The copyright notices", "\n\nThe copyright notices").replace(" THE SOFTWARE IS", "\n\nTHE SOFTWARE IS")
+    wants = {
+        "boost/COPYING": ("BSL-1.0", "\n".join(wrapped(x) for x in boost.split("\n"))), "boost2/x.h": ("BSL-1.0", wrapped(template("BSL-1.0", "Distributed"), "//") + code),
+        "dual/x.rs": ("Apache-2.0 OR MIT", "// SPDX-License-Identifier: MIT OR Apache-2.0" + code), "dual2/x.rs": ("Apache-2.0 OR MIT", wrapped("Licensed under the Apache License, Version 2.0 or the MIT license, at your option. This file may not be copied, modified, or distributed except according to those terms.", "//") + code),
+        "kernel/x.c": ("GPL-2.0 OR MIT", "/* SPDX-License-Identifier: (GPL-2.0-only OR MIT) */" + code), "one/x.c": ("MIT", "/* SPDX-License-Identifier: MIT */" + code), "llvm/x.c": ("Apache-2.0 WITH LLVM-exception", "// SPDX-License-Identifier: Apache-2.0 WITH LLVM-exception" + code),
+        "gpl/x.c": ("GPL-3.0", wrapped(license_scan.GPL_GRANT.format(kind="", v="3"), "*") + code), "gpl2/x.c": ("GPL-2.0", wrapped(license_scan.GPL_GRANT.format(kind="", v="2"), "*") + code), "eupl/x.c": ("EUPL-1.2", "# Licensed under the EUPL, Version 1.2." + code),
+        "mit/LICENSE": ("MIT", wrapped(template("MIT", "NONINFRINGEMENT"))), "apache/x.c": ("Apache-2.0", "# Licensed under the Apache License, Version 2.0." + code), "odd/x.c": (None, "// SPDX-License-Identifier: MIT OR Homegrown-9" + code),
+        "boost/deep/y.c": ("BSL-1.0", code), "none/x.c": (None, "Permission is granted to no one." + code),
+    }
+    files = [(k, text) for k, (_, text) in wants.items()] + [(f"z/{i}", f"quite ordinary text of file {i} with the and of{code}") for i in range(60)]
+    got = {r.path: r.licence for r in license_scan.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert {k: got[k] for k in wants} == {k: v for k, (v, _) in wants.items()}
+
+
 def test_native_plans_hold_no_python(spark, monkeypatch):
     """Of the queries, and of all that they write on their way."""
     from lodeweave.llm import common, quality_rules
