@@ -121,8 +121,14 @@ def lexemes(c: Text) -> Column:
 def terms_py(text: str, limit: int = 32) -> list[str]:
     import regex
 
-    bare = (regex.sub(r"^\p{L}{1,4}['’]", "", t) for t in regex.findall(TERM, text.lower()))
-    return list(dict.fromkeys(t for t in bare if len(t) >= 2))[:limit]
+    found: dict[str, None] = {}
+    for m in regex.finditer(TERM, text.lower()):
+        t = regex.sub(r"^\p{L}{1,4}['’]", "", m[0])
+        if len(t) >= 2:
+            found[t] = None
+        if len(found) == limit:
+            break
+    return list(found)
 
 
 def snippet(c: Text, limit: int) -> Column:
@@ -185,7 +191,12 @@ def excerpt_py(content: str, query: str, limit: int) -> str:
     if len(content) <= limit:
         return content
     limit, low = max(200, limit), content.lower()
-    hits = sorted(m.start() for t in terms_py(query) if len(t) >= 4 for m in re.finditer(f"(?={re.escape(t[: max(4, len(t) - 2)])})", low))
+    hits: list[int] = []
+    for t in terms_py(query):
+        at = -1
+        while len(t) >= 4 and (at := low.find(t[: max(4, len(t) - 2)], at + 1)) >= 0:
+            hits.append(at)
+    hits.sort()
     start, best, right = 0, 0, 0
     from bisect import bisect_left
 

@@ -668,7 +668,17 @@ def normalize_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.sha2(T.collapse_whitespace("text"), 256).alias("h"))
 
 
-@query("normalize_pipeline")
+def _normalized_sql(c: str) -> str:
+    """The normalisers in order, with the classes of the regular expressions written out."""
+    out = f"regexp_replace({c}, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{{9F}}\\x{{200B}}\\x{{200C}}\\x{{200D}}\\x{{2060}}\\x{{FEFF}}\\x{{FFFD}}]', '', 'g')"
+    for a, b in (T.TO_ASCII | T.LIGATURES).items():
+        out = f"replace({out}, chr({ord(a)}), '{b.replace(chr(39), chr(39) * 2)}')"
+    space, line = "[ \\t-\\r]", "(?:\\r\\n|[\\n-\\r\\x{85}\\x{2028}\\x{2029}])"
+    out = f"regexp_replace({out}, '(\\p{{Ll}})-{space}*{line}{space}*(\\p{{Ll}})', '\\1\\2', 'g')"
+    return f"trim(regexp_replace({out}, '[\\t-\\r\\x{{85}}\\p{{Z}}]+', ' ', 'g'))"
+
+
+@query("normalize_pipeline", f"SELECT doc_id, sha256({_normalized_sql('text')}) AS h FROM documents")
 def normalize_pipeline(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.sha2(T.normalize("text"), 256).alias("h"))
 
@@ -689,9 +699,16 @@ def title_from_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select("item_id", T.title_of("text").alias("title"))
 
 
-@query("html_to_text")
+# the references that the pages have, named ones with or without a semicolon
+@query(
+    "html_to_text",
+    "WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<(?:" + "|".join(f"{t}\\b[^>]*>.*?</{t}" for t in ("script", "style", "noscript", "svg", "template")) + ")\\s*>', '', 'g') AS t FROM pages), "
+    "b AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?i)<br\\s*/?>|</(?:p|div|li|tr|h[1-6])\\s*>', chr(10), 'g'), '(?s)<[^>]*>', '', 'g') AS t FROM a), "
+    "c AS (SELECT page_id, regexp_replace(replace(replace(replace(t, '&middot;', '·'), '&copy;', '©'), '&quot;', '\"'), '&amp;?', '&', 'g') AS t FROM b) "
+    "SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '[ \\t]+', ' ', 'g'), '\\s*\\n\\s*\\n\\s*', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS text FROM c",
+)
 def html_to_text(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", T.readable_html("html").alias("text"))
+    return table(spark, d, "pages").select("page_id", T.readable_html("html", None).alias("text"))
 
 
 @query("public_urls", "SELECT page_id, page_id % 8 IN (0, 5) AS allowed FROM pages")
@@ -716,10 +733,10 @@ def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
 
 @query("excerpt")
 def excerpt(spark: SparkSession, d: str) -> DataFrame:
-    """Each labelled document's part that is nearest to the first words of the next one."""
+    """Each document's part that has most terms of the next one; the last one has no question."""
     docs = table(spark, d, "documents")
-    asked = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.substring("text", 1, 60).alias("question"))
-    return docs.join(asked, "doc_id").select("doc_id", T.excerpt("text", "question", 400).alias("excerpt"))
+    asked = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("question"))
+    return docs.join(asked, "doc_id", "left").select("doc_id", T.excerpt("text", "question", 400).alias("excerpt"))
 
 
 @query("embed_stale", "SELECT conv_id, turn, role <> 'user' AS was_fresh, true AS is_fresh FROM conversations")

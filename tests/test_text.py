@@ -1,6 +1,7 @@
 """Normalisers, terms, tokens, snippets, excerpts and readable pages."""
 
 import pytest
+from conftest import SMALL
 from pyspark.sql import functions as F
 
 from lodeweave.functions import text as T
@@ -49,6 +50,36 @@ def test_excerpt():
     assert T.excerpt_py("short", "x", 200) == "short"
 
 
+def plain_excerpt(content, question, limit):
+    """By counting the occurrences in the window before each one."""
+    if len(content) <= limit:
+        return content
+    low, begins = content.lower(), {}
+    for t in T.terms_py(question):
+        if len(t) >= 4:
+            head = t[: max(4, len(t) - 2)]
+            for i in range(len(low)):
+                if low.startswith(head, i):
+                    begins.setdefault(i, []).append(head)
+    counts = [(sum(len(h) for i, h in begins.items() if b <= i < b + limit), -b) for b in (max(0, i - limit // 4) for i in begins)]
+    start = min(-max(counts)[1], len(content) - limit) if counts else 0
+    spaces = [i for i, c in enumerate(content[:start]) if c == " "]
+    start = spaces[-1] + 1 if spaces else start
+    part = content[start : start + limit]
+    if start + limit < len(content) and " " in part:
+        part = part[: part.rindex(" ")]
+    return ("… " if start > 0 else "") + part.strip() + (" …" if start + len(part) < len(content) else "")
+
+
+def test_the_excerpt_query_against_plain_counts(spark):
+    """Over the whole table: one row for each document, the last one too."""
+    from lodeweave.plans.queries import excerpt, table
+
+    docs = {r.doc_id: r.text for r in table(spark, SMALL, "documents").collect()}
+    got = {r.doc_id: r.excerpt for r in excerpt(spark, SMALL).collect()}
+    assert got == {i: plain_excerpt(t, docs.get(i + 1, ""), 400) for i, t in docs.items()}
+
+
 def test_readable_html(spark):
     page = "<p>One &amp; <b>two</b></p><script>no()</script><div>three</div>"
     assert value(spark, T.readable_html(F.lit(page))) == "One & two\nthree"
