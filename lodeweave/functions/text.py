@@ -5,6 +5,7 @@ All lengths are in characters. Null in, null out, unless a function says otherwi
 
 from __future__ import annotations
 
+import codecs
 import html
 import re
 from collections.abc import Callable, Iterable
@@ -174,9 +175,26 @@ def decode_references(c: Text) -> Column:
     return decode(col(c))
 
 
-def decode_charset(c: Text, charset: str) -> Column:
-    """Bytes of a declared charset as text."""
-    return F.decode(col(c), charset)
+def decode_body(body: Text, content_type: Text) -> Column:
+    """The bytes of a response as text: by the charset that its content type declares, if there is such a charset, else as UTF-8. What can't be decoded becomes a question mark. Valid UTF-8 stays in the JVM."""
+    declared = F.lower(F.regexp_extract(F.coalesce(col(content_type), F.lit("")), r"(?i)charset=\"?([\w-]+)", 1))
+    as_is = declared.isin("", "utf-8", "utf8") & F.is_valid_utf8(col(body).cast("string"))
+
+    @F.pandas_udf("string")
+    def repair(raw, names):  # noqa: ANN001, ANN202
+        codecs.register_error("question_mark", lambda e: ("?", e.end))
+
+        def one(b: bytes | None, name: str) -> str | None:
+            if b is None:
+                return None
+            try:
+                return bytes(b).decode(name or "utf-8", "question_mark")
+            except (LookupError, UnicodeError):
+                return bytes(b).decode("utf-8", "question_mark")
+
+        return raw.combine(names, one)
+
+    return F.when(as_is, col(body).cast("string")).otherwise(repair(F.when(~as_is, col(body)), declared))
 
 
 def is_public_url(c: Text) -> Column:

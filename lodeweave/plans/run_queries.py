@@ -398,3 +398,12 @@ def expanded_questions(spark: SparkSession, d: str) -> DataFrame:
 def dedupe_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Of the 60 nearest vectors of each query of the stated set, in order, those that no earlier one that stays is nearer to than 0.3."""
     return retrieval.select_diverse(nearest_60(spark, d), replace(O, mmr=False, dedupe_threshold=0.3, top_k=60), id_col="vec_id").select("query_id", "vec_id", "rank")
+
+
+@query("decoded_pages", "SELECT page_id, sha256(CASE WHEN page_id % 4 = 2 THEN html || '?' ELSE html END) AS h FROM pages")
+def decoded_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Every page as the bytes of a response: UTF-8, declared UTF-16, with a byte that is none of UTF-8's, and with a charset that doesn't exist."""
+    kind, utf8 = F.col("page_id") % 4, F.encode("html", "UTF-8")
+    body = F.when(kind == 1, F.encode("html", "UTF-16BE")).when(kind == 2, F.concat(utf8, F.lit(b"\xff"))).otherwise(utf8)
+    declared = F.when(kind == 1, "text/html; charset=UTF-16BE").when(kind == 3, "text/html; charset=klingon").when(kind == 0, "text/html; charset=utf-8")
+    return table(spark, d, "pages").select("page_id", F.sha2(T.decode_body(body, declared), 256).alias("h"))

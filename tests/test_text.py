@@ -96,3 +96,10 @@ def test_vectors(spark):
     assert value(spark, V.normalize(F.array(F.lit(3.0), F.lit(4.0)))) == [0.6, 0.8]
     assert value(spark, V.to_literal(F.array(F.lit(0.5), F.lit(-1.0)))) == "[0.5,-1]"
     assert value(spark, V.from_literal(F.lit("[0.5,-1]"))) == [0.5, -1.0]
+
+
+def test_bodies_of_responses(spark):
+    rows = [("grüße".encode(), None, "grüße"), ("grüße".encode("latin-1"), "text/html; Charset=ISO-8859-1", "grüße"), ("grüße".encode("latin-1"), "text/plain", "gr??e"), ("€".encode("cp1252"), 'text/html; charset="windows-1252"', "€"), (b"a\xffb", "x; charset=utf-8", "a?b")]
+    rows += [("ß\ufffd".encode(), "x; charset=no-such", "ß\ufffd"), (b"", "x; charset=latin1", ""), (b"", None, ""), (None, "x; charset=latin1", None), ("é".encode(), "x; charset=rot13", "é"), ("日本".encode("shift_jis"), "x; charset=Shift_JIS", "日本")]
+    got = spark.createDataFrame([(i, *r[:2]) for i, r in enumerate(rows)], "i int, body binary, type string").select("i", T.decode_body("body", "type").alias("t")).collect()
+    assert {r.i: r.t for r in got} == {i: r[2] for i, r in enumerate(rows)}
