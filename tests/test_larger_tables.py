@@ -26,3 +26,7 @@ def test_an_order_of_many_lines_holds_against_sql(spark, tmp_path, name):
     columns = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string"
     against_sql(spark, name, tmp_path, {"lineitem": (lines, columns), "orders": ([(3, "1-URGENT"), (6, "2-HIGH"), (9, "5-LOW")], "o_orderkey long, o_orderpriority string")})
 
+
+def test_words_that_cancel_out_hold_against_sql(spark, tmp_path):
+    rows = [(1, "Onound, shonre thourein the.", "en"), (2, "", "de"), (3, "plain words", "de"), (4, None, None)]
+    against_sql(spark, "embedding_run", tmp_path, {"documents": (rows, "doc_id long, text string, lang string")})
