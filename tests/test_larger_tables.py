@@ -1,9 +1,14 @@
 """Rows that only larger tables have, and steps whose cost must not grow faster than the input."""
 
+import random
+
 import duckdb
+import pyarrow as pa
 import pytest
 from conftest import rows_of
 
+from lodeweave.functions.slices import by_slices
+from lodeweave.functions.stems import LISTS, _remembering, _stem_lists
 from lodeweave.plans import run_queries  # noqa: F401
 from lodeweave.plans.queries import ORACLE_SQL, QUERIES
 
@@ -30,3 +35,23 @@ def test_an_order_of_many_lines_holds_against_sql(spark, tmp_path, name):
 def test_words_that_cancel_out_hold_against_sql(spark, tmp_path):
     rows = [(1, "Onound, shonre thourein the.", "en"), (2, "", "de"), (3, "plain words", "de"), (4, None, None)]
     against_sql(spark, "embedding_run", tmp_path, {"documents": (rows, "doc_id long, text string, lang string")})
+
+
+def test_python_holds_a_slice_of_a_batch():
+    sizes = []
+
+    def twice(some):
+        sizes.append(len(some))
+        return pa.array([None if v is None else 2 * v for v in some.to_pylist()], pa.int64())
+
+    got = by_slices(twice, pa.int64(), 64, pa.array([None, *range(999)], pa.int64()))
+    assert got.to_pylist() == [None, *range(0, 1998, 2)] and max(sizes) == 64
+    assert by_slices(twice, pa.int64(), 64, pa.array([], pa.int64())).to_pylist() == []
+
+
+def test_stems_of_a_batch_are_those_of_each_list():
+    chance, one = random.Random(2), _remembering("english")
+    words = ["running", "runs", "the", "cat", "cats", "and", "nation", "national", "x"]
+    lists = [None if chance.random() < 0.1 else chance.choices(words, k=chance.randrange(9)) for _ in range(3 * LISTS + 5)]
+    got = by_slices(lambda some: _stem_lists(some, one), pa.list_(pa.string()), LISTS, pa.array(lists, pa.list_(pa.string())))
+    assert got.to_pylist() == [None if x is None else list(dict.fromkeys(s for s in map(one, x) if s)) for x in lists]
