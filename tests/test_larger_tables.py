@@ -4,6 +4,7 @@ import random
 
 import duckdb
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from conftest import rows_of
 
@@ -11,6 +12,7 @@ from lodeweave.functions.slices import by_slices
 from lodeweave.functions.stems import LISTS, _remembering, _stem_lists
 from lodeweave.plans import run_queries  # noqa: F401
 from lodeweave.plans.queries import ORACLE_SQL, QUERIES
+from lodeweave.sources.paged import parquet_rows
 
 
 def against_sql(spark, name, folder, tables):
@@ -37,6 +39,18 @@ def test_words_that_cancel_out_hold_against_sql(spark, tmp_path):
     against_sql(spark, "embedding_run", tmp_path, {"documents": (rows, "doc_id long, text string, lang string")})
 
 
+def test_paging_holds_pages_of_a_row_group(tmp_path):
+    chance = random.Random(1)
+    texts = [f"{chance.random()} " * 100 for _ in range(20_000)]
+    pq.write_table(pa.table({"doc_id": list(range(20_000)), "text": texts}), f"{tmp_path}/t.parquet")
+    base, most, found = pa.total_allocated_bytes(), 0, []
+    for row in parquet_rows(f"{tmp_path}/t.parquet", "doc_id", ("text",), "15", "3"):
+        found.append(row)
+        most = max(most, pa.total_allocated_bytes() - base)
+    assert found == [(str(n), texts[n]) for n in range(20_000) if "15" <= str(n) < "3"]
+    assert most < 8 << 20 < sum(map(len, texts)) / 4
+
+
 def test_python_holds_a_slice_of_a_batch():
     sizes = []
 
