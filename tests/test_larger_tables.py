@@ -1,5 +1,6 @@
 """Rows that only larger tables have, and steps whose cost must not grow faster than the input."""
 
+import datetime
 import random
 
 import duckdb
@@ -10,6 +11,7 @@ from conftest import rows_of
 
 from lodeweave.functions.slices import by_slices
 from lodeweave.functions.stems import LISTS, _remembering, _stem_lists
+from lodeweave.operators.ranges import overlap_aggregate
 from lodeweave.plans import run_queries  # noqa: F401
 from lodeweave.plans.queries import ORACLE_SQL, QUERIES
 from lodeweave.sources.paged import parquet_rows
@@ -69,3 +71,22 @@ def test_stems_of_a_batch_are_those_of_each_list():
     lists = [None if chance.random() < 0.1 else chance.choices(words, k=chance.randrange(9)) for _ in range(3 * LISTS + 5)]
     got = by_slices(lambda some: _stem_lists(some, one), pa.list_(pa.string()), LISTS, pa.array(lists, pa.list_(pa.string())))
     assert got.to_pylist() == [None if x is None else list(dict.fromkeys(s for s in map(one, x) if s)) for x in lists]
+
+
+def test_counts_of_what_overlaps_against_all_pairs(spark):
+    chance = random.Random(3)
+    ranges = [[(n, a, a + chance.choice([-1, 0, 1, 6, 40, 200])) for n in range(150) for a in [chance.randrange(-60, 60)]] for _ in range(2)]
+    ranges[0][0], ranges[1][0] = (0, None, 3), (0, 5, None)
+    left, right = (spark.createDataFrame(r, f"{n} long, {n}_from long, {n}_to long") for r, n in zip(ranges, "lr"))
+    got = overlap_aggregate(left, right, ("l_from", "l_to"), ("r_from", "r_to"), "r")
+    usable = [[r for r in side if None not in r and r[1] <= r[2]] for side in ranges]
+    want = {n: [m for m, c, d in usable[1] if c <= b and a <= d] for n, a, b in usable[0]}
+    assert {r.l: (r["count"], r.least, r.greatest) for r in got.collect()} == {n: (len(m), min(m), max(m)) for n, m in want.items() if m}
+
+
+def test_close_windows_make_no_pairs(spark, tmp_path):
+    # 1500 purchases and 3000 views within a minute: 4.5 million pairs
+    rows = [(n, datetime.datetime(2024, 1, 1, 0, 0, n % 60), "view" if n % 3 else "purchase") for n in range(4500)]
+    got = against_sql(spark, "overlapping_windows", tmp_path, {"events": (rows, "event_id long, ts timestamp_ntz, event_type string")})
+    assert got["events"].tolist() == [3000] * 1500
+    assert "_longer" not in QUERIES["overlapping_windows"](spark, str(tmp_path))._jdf.queryExecution().toString()
