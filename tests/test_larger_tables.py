@@ -9,12 +9,15 @@ import pyarrow.parquet as pq
 import pytest
 from conftest import rows_of
 
+from lodeweave.config import RetrievalOptions
 from lodeweave.functions.slices import by_slices
 from lodeweave.functions.stems import LISTS, _remembering, _stem_lists
+from lodeweave.operators.keyword_index import POSTINGS, KeywordIndex
 from lodeweave.operators.ranges import overlap_aggregate
 from lodeweave.plans import run_queries  # noqa: F401
 from lodeweave.plans.queries import ORACLE_SQL, QUERIES
 from lodeweave.sources.paged import parquet_rows
+from lodeweave.sources.store import TableStore
 
 
 def against_sql(spark, name, folder, tables):
@@ -90,3 +93,13 @@ def test_close_windows_make_no_pairs(spark, tmp_path):
     got = against_sql(spark, "overlapping_windows", tmp_path, {"events": (rows, "event_id long, ts timestamp_ntz, event_type string")})
     assert got["events"].tolist() == [3000] * 1500
     assert "_longer" not in QUERIES["overlapping_windows"](spark, str(tmp_path))._jdf.queryExecution().toString()
+
+
+def test_postings_have_ids_of_16_bytes(spark, tmp_path):
+    index = KeywordIndex(TableStore(spark, f"file://{tmp_path}/store", buckets=2))
+    chunks = spark.createDataFrame([("s", "a", 0, "h1", "red kite"), ("s", "b", 0, "h2", "red fox")], "source_key string, external_id string, ordinal int, content_hash string, content string")
+    change, facts = index.change(None, chunks, {})
+    index.store.commit([change], facts)
+    assert {len(r.chunk_id) for r in index.store.read(POSTINGS).collect()} == {16}
+    found, _, n = index.lookup(spark.createDataFrame([(1, "red kite")], "query_id int, question string"), RetrievalOptions())
+    assert n == 2 and {(r.term, len(r.chunk_id)) for r in found.collect()} == {("red", 32), ("kite", 32)}
