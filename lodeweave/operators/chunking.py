@@ -12,7 +12,7 @@ import re
 from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from itertools import groupby
+from itertools import chain, groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -133,10 +133,14 @@ DRAFTS = "source_key string, external_id string, ordinal int, text string, posit
 OUT_ROWS = 1024
 
 
-def per_document(segments: DataFrame, one: Callable[[Iterator[tuple[int, str]]], Iterator[tuple]], schema: str) -> DataFrame:
-    """What ``one`` yields for the (position, text) segments of each document, in order, with the document's key before it; ``one`` needn't read them all."""
-    rows = segments.select("source_key", "external_id", F.col("position").cast("int").alias("position"), "text")
-    rows = rows.repartition(int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source_key", "external_id").sortWithinPartitions("source_key", "external_id", "position", "text")
+def per_document(segments: DataFrame, one: Callable[[Iterator[tuple[int, str]]], Iterator[tuple]], schema: str, dealt: bool = False, carried: tuple[str, ...] = ()) -> DataFrame:
+    """What ``one`` yields for the (position, text) segments of each document, in order, with the document's key before it; ``one`` needn't read them all.
+
+    ``dealt``: the segments of a document share a partition already. ``carried``: columns that are the same in all segments of a document, which follow its key.
+    """
+    rows = segments.select("source_key", "external_id", F.col("position").cast("int").alias("position"), "text", *carried)
+    rows = rows if dealt else rows.repartition(int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source_key", "external_id")
+    rows = rows.sortWithinPartitions("source_key", "external_id", "position", "text")
     names = [c.split()[0] for c in schema.split(", ")]
     kinds = [{"string": pa.string(), "int": pa.int32(), "long": pa.int64()}[c.split()[1]] for c in schema.split(", ")]
 
@@ -150,8 +154,9 @@ def per_document(segments: DataFrame, one: Callable[[Iterator[tuple[int, str]]],
             return pa.RecordBatch.from_arrays(columns, names=names)
 
         for key, group in groupby(read, key=lambda r: r[:2]):
-            for row in one((position, text) for _, _, position, text in group):
-                out.append((*key, *row))
+            first = next(group)
+            for row in one((r[2], r[3]) for r in chain((first,), group)):
+                out.append((*key, *first[4:], *row))
                 if len(out) == OUT_ROWS:
                     yield batch()
         if out:
@@ -165,13 +170,15 @@ def split_sentences(segments: DataFrame, o: ChunkingOptions) -> DataFrame:
     return per_document(segments, lambda found: ((i, s.position, s.position_end, s.text, s.start, s.end, s.tokens) for i, s in enumerate(sentences(found, o))), SENTENCES)
 
 
-def chunk_documents(segments: DataFrame, o: ChunkingOptions, titles: DataFrame | None = None) -> DataFrame:
-    """Chunks of every document, with header, embedding input, content hash and tokens. ``titles``: source_key, external_id, title."""
+def chunk_documents(segments: DataFrame, o: ChunkingOptions, titles: DataFrame | None = None, dealt: bool = False) -> DataFrame:
+    """Chunks of every document, with header, embedding input, content hash and tokens. ``titles``: source_key, external_id, title. ``dealt``: as ``per_document`` has it; such segments have their document's title with them."""
 
     def one(found: Iterator[tuple[int, str]]) -> Iterator[tuple]:
         for i, w in enumerate(chunk_windows(sentences(found, o), o)):
             yield i, " ".join(s.text for s in w), w[0].position, max(w[-1].position_end, w[0].position), w[0].start, w[-1].end
 
+    if dealt:
+        return finish_drafts(per_document(segments, one, DRAFTS.replace("ordinal", "title string, ordinal", 1), True, ("title",)), o)
     drafts = per_document(segments, one, DRAFTS)
     if titles is not None:
         drafts = drafts.join(titles.select("source_key", "external_id", "title"), ["source_key", "external_id"], "left")
@@ -191,7 +198,7 @@ def finish_drafts(drafts: DataFrame, o: ChunkingOptions, label: Column | None =
     return d.withColumns({"content_hash": F.sha2("embedding_input", 256), "token_count": token_estimate("embedding_input", o.chars_per_token)}).drop("title")
 
 
-def content_checksums(segments: DataFrame, normalized: Column) -> DataFrame:
+def content_checksums(segments: DataFrame, normalized: Column, dealt: bool = False) -> DataFrame:
     """SHA-256 of each document's ``position:text`` lines in order, over normalised text; a digest that runs along the document, so nothing of it is held. A segment without position or text adds nothing."""
 
     def one(found: Iterator[tuple[int, str]]) -> Iterator[tuple]:
@@ -202,4 +209,4 @@ def content_checksums(segments: DataFrame, normalized: Column) -> DataFrame:
             n += 1
         yield digest.hexdigest(), n
 
-    return per_document(segments.withColumn("text", normalized), one, "source_key string, external_id string, content_checksum string, segments long")
+    return per_document(segments.withColumn("text", normalized), one, "source_key string, external_id string, content_checksum string, segments long", dealt)

@@ -16,7 +16,7 @@ from lodeweave.operators import answering, chunking, dashboards, evaluation, ing
 from lodeweave.operators.embedding_run import EmbeddingRun
 from lodeweave.operators.keyword_index import KeywordIndex, named
 from lodeweave.sources.filters import narrow, user_scope
-from lodeweave.sources.store import Change, TableStore
+from lodeweave.sources.store import Change, TableStore, apart, beside, dealt
 from lodeweave.sources.tables import KnowledgeSource, SourceRegistry
 
 
@@ -40,28 +40,46 @@ class Engine:
 
     def ingest(self, key: str, filters: dict[str, Any] | None = None, mode: str = ingest.INCREMENTAL, defer: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(documents, chunks, summary) after an ingestion of a source: unchanged documents are skipped, unchanged chunks keep their vectors. ``defer``: new chunks get theirs later, by ``embed_into``."""
-        c, source = self.config, self.source(key)
         if mode == ingest.EMBEDDINGS_ONLY:
             return self._embed_stored(key)
-        segments = source.segments(filters)
-        checksums = chunking.content_checksums(segments, normalize("text", c.chunking.normalizers))
-        drafts = source.documents(filters)
+        pieces = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        deal = lambda rows: dealt(rows, ingest.KEY, pieces)
+        source = self.source(key)
+        segments = self._settle(self._deal_segments(source.segments(filters), source.documents(filters), deal))
+        return self._ingest(key, filters, mode, defer, deal, segments)[:3]
+
+    @staticmethod
+    def _deal_segments(segments: DataFrame, drafts: DataFrame, deal: Callable[[DataFrame], DataFrame], drafted: bool = False) -> DataFrame:
+        """Segments with their document's title, dealt by document; ``drafted``: only those of documents that there are."""
+        rows = beside(segments.select(*ingest.KEY, "position", "text"), drafts.select(*ingest.KEY, "title", F.lit(True).alias("_drafted")), ingest.KEY, deal)
+        return (rows.where("_drafted") if drafted else rows).select(*ingest.KEY, "position", "text", "title")
+
+    def _ingest(self, key: str, filters: dict[str, Any] | None, mode: str, defer: bool, deal: Callable[[DataFrame], DataFrame], segments: DataFrame, whole: bool = True) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
+        """``ingest`` of segments that ``deal`` has dealt (with titles, and settled), and the documents that were chunked (None: all). Not ``whole``: the chunks are those of these documents alone."""
+        c, drafts = self.config, self.source(key).documents(filters)
+        checksums = self._settle(chunking.content_checksums(segments, normalize("text", c.chunking.normalizers), dealt=True))
         params = c.chunking.checksum(c.embedding_model, c.dimensions)
-        todo = checksums if self.documents is None else ingest.pending_documents(checksums, self.documents, params, mode)
-        todo = self._settle(todo.select(*ingest.KEY))
-        new = chunking.chunk_documents(segments.join(todo, ingest.KEY, "left_semi"), c.chunking, drafts)
-        new = new.withColumnRenamed("text", "content")
-        if self.chunks is not None:
-            diff = ingest.diff_chunks(self.chunks.join(todo, ingest.KEY, "left_semi"), new)
-            after = ingest.apply_diff(diff).unionByName(self.chunks.join(todo, ingest.KEY, "left_anti"), allowMissingColumns=True)
-        else:
-            diff = new.withColumn("state", F.lit("created"))
+        todo = None
+        if self.documents is not None:
+            todo = self._settle(ingest.pending_documents(checksums, self.documents, params, mode).select(*ingest.KEY))
+            segments = beside(segments, todo.withColumn("_todo", F.lit(True)), ingest.KEY, deal).where("_todo")
+        new = chunking.chunk_documents(segments, c.chunking, dealt=True).withColumnRenamed("text", "content")
+        embedded = lambda df: df if defer else ingest.embed_chunks(df, self.embed, c.embedding_model, c.dimensions, c.embedding_batch)
+        # written once: both tables and the summary are built on it, and the provider is paid once, for this source alone
+        if self.chunks is None:
             after = new.withColumns({"embedding": F.lit(None).cast("array<float>"), "embedding_model": F.lit(None).cast("string"), "embedding_dimensions": F.lit(None).cast("int"), "embedded_at": F.lit(None).cast("timestamp_ntz")})
-        diff_rows = self._settle(ingest.diff_summary(diff))
-        # written once: both tables are built on it, and the provider is paid once, for this source alone
-        own = F.col("source_key") == key
-        done = after.where(own) if defer else ingest.embed_chunks(after.where(own), self.embed, c.embedding_model, c.dimensions, c.embedding_batch)
-        after = self._settle(done.unionByName(after.where(~own), allowMissingColumns=True))
+            after = self._settle(embedded(after))
+            diff_rows = self._settle(ingest.diff_summary(after.withColumn("state", F.lit("created"))))
+        else:
+            chosen = checksums.select(*ingest.KEY) if todo is None else todo
+            others, mine = apart(self.chunks, chosen, tuple(ingest.KEY))
+            old = mine.join(chosen, ingest.KEY, "left_semi")
+            found = self._settle(ingest.apply_diff(ingest.diff_chunks(old, new).withColumn("_state", F.col("state"))))
+            diff_rows = self._settle(ingest.kept_summary(found.withColumnRenamed("_state", "state"), old))
+            after, own = found.drop("_state"), F.col("source_key") == key
+            if whole:
+                after = after.unionByName(others, allowMissingColumns=True).unionByName(mine.join(chosen, ingest.KEY, "left_anti"), allowMissingColumns=True)
+            after = self._settle(embedded(after.where(own)).unionByName(after.where(~own), allowMissingColumns=True))
         stamped = drafts.join(checksums.select(*ingest.KEY, "content_checksum"), ingest.KEY, "left").withColumn("params_checksum", F.lit(params))
         known = stamped.withColumn("status", F.lit("pending"))
         if self.documents is not None:
@@ -69,23 +87,34 @@ class Engine:
             known = ingest.upsert_documents(self.documents, drafts)
             fresh = stamped.select(*ingest.KEY, F.col("content_checksum").alias("_content"), F.col("params_checksum").alias("_params"), F.lit(True).alias("_seen"))
             known = known.join(fresh, ingest.KEY, "left").withColumns({"content_checksum": F.when(F.col("_seen"), F.col("_content")).otherwise(F.col("content_checksum")), "params_checksum": F.when(F.col("_seen"), F.col("_params")).otherwise(F.col("params_checksum"))}).drop("_content", "_params", "_seen")
-        return ingest.refresh_counts(known, after), after, diff_rows
+        return ingest.refresh_counts(known, after, None if whole else todo), after, diff_rows, todo
 
     def open(self, store: TableStore) -> None:
         """Take the tables of a store."""
         self.documents, self.chunks = store.read("documents"), store.read("chunks")
 
-    def ingest_into(self, store: TableStore, key: str, filters: dict[str, Any] | None = None, mode: str = "incremental", *, gone: DataFrame | None = None, facts: dict | None = None, keywords: KeywordIndex | None = None, defer: bool = False) -> DataFrame:
+    def ingest_into(self, store: TableStore, key: str, filters: dict[str, Any] | None = None, mode: str = "incremental", *, gone: DataFrame | None = None, facts: dict | None = None, keywords: KeywordIndex | None = None, defer: bool = False, segments: DataFrame | None = None) -> DataFrame:
         """``ingest``, stored: only the buckets of the source's documents are read, and only those of changed documents rewritten, both tables in one version. Nothing changed and no ``facts``: no version.
 
-        ``gone``: keys of documents that go with their chunks. ``keywords``: the index of the same store, which is changed with them. The summary of chunk differences is returned.
+        ``gone``: keys of documents that go with their chunks. ``keywords``: the index of the same store, which is changed with them. ``segments``: the source's segments, settled,
+        with their document's title, where they lie as ``store.dealt`` deals them already. The summary of chunk differences is returned.
+
+        Texts are shuffled once to be compared, and those of documents that are chunked again once more; chunks of a first version lie as their texts do, and are written so.
         """
         base, source = store.version(), self.source(key)
+        deal = lambda rows: store.dealt(rows, tuple(ingest.KEY))
         keys = self._settle(source.documents(filters).select(*ingest.KEY).distinct())
         touched = keys if gone is None else keys.unionByName(gone.select(*ingest.KEY))
-        self.documents, self.chunks = store.read("documents", touched), store.read("chunks", touched)
-        before, chunks_before = self.documents, self.chunks
-        documents, chunks, summary = self.ingest(key, filters, mode, defer)
+        before, chunks_before = store.read("documents", touched), store.read("chunks", touched)
+        if before is not None:
+            before = self._settle(apart(before, touched, tuple(ingest.KEY))[1].join(touched.distinct(), ingest.KEY, "left_semi"))
+        self.documents, self.chunks, todo = before, chunks_before, None
+        if mode == ingest.EMBEDDINGS_ONLY:
+            documents, chunks, summary = self._embed_stored(key)
+        else:
+            if segments is None:
+                segments = self._settle(self._deal_segments(source.segments(filters), source.documents(filters), deal, drafted=True))
+            documents, chunks, summary, todo = self._ingest(key, filters, mode, defer, deal, segments, whole=False)
         documents = self._settle(documents.join(keys, ingest.KEY, "left_semi"))
         mark = lambda df, name: df.select(*ingest.KEY, F.to_json(F.struct(*sorted(c for c in documents.columns if c not in ingest.KEY))).alias(name))
         changed = documents.select(*ingest.KEY)
@@ -93,12 +122,19 @@ class Engine:
             changed = mark(documents, "_new").join(mark(before, "_old"), ingest.KEY, "left").where(~F.col("_new").eqNullSafe(F.col("_old"))).select(*ingest.KEY)
         changed = self._settle(changed if gone is None else changed.unionByName(gone.select(*ingest.KEY)).distinct())
         if facts or not changed.isEmpty():
-            own = lambda df: df.join(changed, ingest.KEY, "left_semi")
-            chunks = own(chunks) if gone is None else own(chunks).join(gone, ingest.KEY, "left_anti")
-            key_columns = tuple(ingest.KEY)
-            changes = [Change("documents", key_columns, own(documents), changed), Change("chunks", key_columns, chunks, changed)]
+            key_columns, moved = tuple(ingest.KEY), changed
+            if todo is not None:  # chunks of documents that weren't chunked stay where they are
+                again = todo if gone is None else todo.unionByName(gone.select(*ingest.KEY))
+                moved = self._settle(changed.join(again, ingest.KEY, "left_semi"))
+            as_dealt = before is None
+            if not as_dealt:
+                chunks = chunks.join(moved, ingest.KEY, "left_semi")
+            if gone is not None and not keys.join(gone, ingest.KEY, "left_semi").isEmpty():
+                chunks, as_dealt = chunks.join(gone, ingest.KEY, "left_anti"), False
+            changes = [Change("documents", key_columns, documents.join(changed, ingest.KEY, "left_semi"), changed), Change("chunks", key_columns, chunks, moved, dealt=as_dealt)]
             if keywords is not None:
-                postings, count = keywords.change(None if chunks_before is None else own(chunks_before), chunks, store.state(base)["facts"])
+                old = None if chunks_before is None else apart(chunks_before, moved, key_columns)[1].join(moved, ingest.KEY, "left_semi")
+                postings, count = keywords.change(old, chunks, store.state(base)["facts"])
                 changes, facts = [*changes, postings], (facts or {}) | count
             store.commit(changes, facts, base)
         self.open(store)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeweave.operators.ingest import KEY
 from lodeweave.plans.engine import Engine
-from lodeweave.sources.store import TableStore
+from lodeweave.sources.store import PIECE, TableStore, beside
 from lodeweave.sources.tables import FunctionSource
 
 
@@ -35,18 +35,20 @@ def capture_batch(engine: Engine, store: TableStore, key: str, arrived: DataFram
     name = f"stream:{key}"
     if store.facts().get(name, -1) >= batch:
         return False
-    rows = arrived.select(F.lit(key).alias("source_key"), F.col("external_id").cast("string").alias("external_id"), "title", F.col(REVISION).cast("long").alias(REVISION), F.col("position").cast("int").alias("position"), "text")
-    newest = rows.groupBy(*KEY).agg(F.max(REVISION).alias(REVISION))
-    stored = store.read("documents", newest)
-    if stored is not None:
-        have = stored.select(*KEY, F.col("metadata")[REVISION].cast("long").alias("_have"))
-        newest = newest.join(have, KEY, "left").where(F.col("_have").isNull() | (F.col("_have") < F.col(REVISION))).drop("_have")
-    rows = engine._settle(rows.join(newest, [*KEY, REVISION], "left_semi"))
-    kept = rows.where("position IS NOT NULL")
-    gone = rows.select(*KEY).distinct().join(kept.select(*KEY).distinct(), KEY, "left_anti")
-    documents = kept.groupBy(*KEY).agg(F.max("title").alias("title"), F.max(REVISION).cast("string").alias(REVISION)).withColumn("metadata", F.create_map(F.lit(REVISION), F.col(REVISION))).drop(REVISION)
-    engine.register(FunctionSource(key, make_documents=lambda _: documents, make_segments=lambda _: kept.select(*KEY, "position", "text")))
-    engine.ingest_into(store, key, gone=gone, facts={name: batch})
+    rows = arrived.select(F.lit(key).alias("source_key"), F.col("external_id").cast("string").alias("external_id"), "title", F.col(REVISION).cast("long").alias(REVISION), F.col("position").cast("int").alias("position"), F.when(F.col("position").isNotNull(), F.col("text")).alias("text"))
+    stored = store.read("documents", rows)
+    have = engine.spark.createDataFrame([], "source_key string, external_id string, _have long") if stored is None else stored.select(*KEY, F.col("metadata")[REVISION].cast("long").alias("_have"))
+    # texts are shuffled here, and lie from here on as the store deals them
+    found, of_document = beside(rows, have, KEY, lambda df: store.dealt(df, tuple(KEY))), Window.partitionBy(PIECE, *KEY)
+    found = found.withColumn("_newest", F.max(REVISION).over(of_document)).where((F.col(REVISION) == F.col("_newest")) & (F.col("_have").isNull() | (F.col("_have") < F.col(REVISION))))
+    found = found.withColumn("title", F.max(F.when(F.col("position").isNotNull(), F.col("title"))).over(of_document))
+    rows = engine._settle(found.select(*KEY, "title", REVISION, "position", "text"))
+    each = engine._settle(rows.groupBy(*KEY).agg(F.max("title").alias("title"), F.max(REVISION).cast("string").alias(REVISION), F.count("position").alias("_segments")))
+    kept, gone = rows.where("position IS NOT NULL"), each.where("_segments = 0").select(*KEY)
+    documents = each.where("_segments > 0").select(*KEY, "title", F.create_map(F.lit(REVISION), F.col(REVISION)).alias("metadata"))
+    segments = kept.select(*KEY, "position", "text", "title")
+    engine.register(FunctionSource(key, make_documents=lambda _: documents, make_segments=lambda _: segments.drop("title")))
+    engine.ingest_into(store, key, gone=gone, facts={name: batch}, segments=segments)
     return True
 
 

@@ -2,22 +2,26 @@
 
 import datetime
 import random
+from dataclasses import replace
 
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from conftest import rows_of
+from pyspark.sql import functions as F
 
-from lodeweave.config import RetrievalOptions
+from lodeweave.config import EngineConfig, RetrievalOptions
 from lodeweave.functions.slices import by_slices
 from lodeweave.functions.stems import LISTS, _remembering, _stem_lists
 from lodeweave.operators.keyword_index import POSTINGS, KeywordIndex
 from lodeweave.operators.ranges import overlap_aggregate
 from lodeweave.plans import run_queries  # noqa: F401
+from lodeweave.plans.engine import Engine
 from lodeweave.plans.queries import ORACLE_SQL, QUERIES
 from lodeweave.sources.paged import parquet_rows
-from lodeweave.sources.store import TableStore
+from lodeweave.sources.store import TableStore, apart
+from lodeweave.streaming.streams import capture_batch
 
 
 def against_sql(spark, name, folder, tables):
@@ -103,3 +107,48 @@ def test_postings_have_ids_of_16_bytes(spark, tmp_path):
     assert {len(r.chunk_id) for r in index.store.read(POSTINGS).collect()} == {16}
     found, _, n = index.lookup(spark.createDataFrame([(1, "red kite")], "query_id int, question string"), RetrievalOptions())
     assert n == 2 and {(r.term, len(r.chunk_id)) for r in found.collect()} == {("red", 32), ("kite", 32)}
+
+
+def shuffled(spark, work):
+    """Bytes that the stages of ``work`` write for shuffles."""
+    sc, jvm = spark.sparkContext, spark._jvm
+
+    def stages():
+        spark._jsc.sc().listenerBus().waitUntilEmpty()
+        nothing = jvm.java.util.ArrayList()
+        found = spark._jsc.sc().statusStore().stageList(nothing, False, False, sc._gateway.new_array(jvm.double, 0), nothing)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (found.apply(n) for n in range(found.size()))}
+
+    before = stages()
+    work()
+    return sum(n for k, n in stages().items() if k not in before)
+
+
+def test_captured_texts_are_shuffled_once(spark, tmp_path):
+    chance = random.Random(4)
+    texts = {n: " ".join(f"{chance.getrandbits(64):x}" for _ in range(1500)) + "." for n in range(160)}
+    size = sum(map(len, texts.values()))
+    frame = lambda rows: spark.createDataFrame(rows, "external_id string, title string, revision long, position int, text string").repartition(3)
+    store = TableStore(spark, f"file://{tmp_path}/store", buckets=4)
+    take = lambda rows, n: capture_batch(Engine(spark, replace(EngineConfig(), dimensions=2)), store, "s", frame(rows), n)
+    # beside the segments there are keys, checksums and counts; the rows that repartition() deals are of the test
+    assert shuffled(spark, lambda: take([(f"d{n}", "t", 1, 0, t) for n, t in texts.items()], 0)) < 2.5 * size
+    # three documents change and one goes: the rows of others are copied where they are read
+    changed = [(f"d{n}", "u", 2, 0, texts[n] + " More.") for n in range(3)] + [("d3", "t", 2, None, texts[3])]
+    assert shuffled(spark, lambda: take(changed, 1)) < 0.6 * size
+    assert store.version() == 2 and {(r.external_id, r.title) for r in store.read("documents").collect()} == {(f"d{n}", "u" if n < 3 else "t") for n in texts if n != 3}
+    chunks = {}
+    for r in store.read("chunks").orderBy("ordinal").collect():
+        chunks.setdefault(r.external_id, []).append(r)
+    assert set(chunks) == {f"d{n}" for n in texts if n != 3} and all(c[0].content[:500] == texts[int(d[1:])][:500] for d, c in chunks.items())
+    assert all((c[-1].content.endswith(" More.")) == (int(d[1:]) < 3) and c[-1].embedded_at for d, c in chunks.items())
+
+
+def test_rows_that_a_bitmap_sets_apart(spark):
+    rows = spark.range(20_000).select(F.col("id"), (F.col("id") % 7).alias("v")).unionByName(spark.createDataFrame([(None, 1), (None, 2)], "id long, v long"))
+    keys = spark.range(0, 40_000, 9).select(F.col("id").cast("int").alias("id"))
+    others, asked = apart(rows, keys, ("id",))
+    others, asked = ([tuple(r) for r in part.collect()] for part in (others, asked))
+    assert sorted(others + asked, key=repr) == sorted(map(tuple, rows.collect()), key=repr)
+    assert not [i for i, _ in others if i is not None and i % 9 == 0] and len(asked) < 20_000 / 9 + 100
+    assert [len(part.collect()) for part in apart(rows, keys.limit(0), ("id",))] == [20_002, 0]
